@@ -9,7 +9,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +69,10 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in uri:
         uri = "file://" + (uri[5:] if uri.startswith("file:") else uri)
     return pafs.FileSystem.from_uri(uri)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: what a task makes of a batch of long texts stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

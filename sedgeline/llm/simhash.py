@@ -14,8 +14,9 @@ axis left open holds both.  Each distinct fingerprint therefore goes to 32 cells
 
 Equal fingerprints are collapsed first, so a group of copies of any size is one node.
 Defined results: words are runs of anything but ASCII white space; A-Z are lower-cased; a null text is empty; no word
-gives fingerprint zero, which links like any other; a null id counts as larger than any other and is returned as null
-only if its whole component has no id.  Rows that repeat are all returned.  Extra columns are ignored.
+gives fingerprint zero, which links like any other.  A row without an id takes the component of the rows with its
+fingerprint; a fingerprint that only such rows have is no node, and its component is null.  Rows that repeat are all
+returned.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,7 +112,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("node"))
     links = near_links(nodes.select("fp")).join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b")
     found = components(links.where("u is not null and v is not null").select("u", "v"))
-    # fingerprints of rows without an id take their component from any fingerprint they link to
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
