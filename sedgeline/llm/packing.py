@@ -104,7 +104,7 @@ def packed_pieces(docs: DataFrame, tokenizer: str, style: str = "spaced", id_col
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pack_group(pdf, length)
-        pdf["sequence_id"] = (pdf["group"] << 38) + pdf["bin"]
+        pdf["sequence_id"] = pdf["group"] * (1 << 38) + pdf["bin"]
         return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]]
 
     packed = dealt.groupBy("group").applyInPandas(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

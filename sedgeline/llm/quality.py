@@ -28,13 +28,14 @@ SAMPLE_DOCS = 1500
 MIN_WORDS = 50
 MIN_CONTENT = 0.5
 BATCH_DOCS = 256
+KEEP_COST = 8.0
 
 SYMBOLS = "#*$%&|<>"
-FEATURES = ("bias", "capitals", "symbols", "bars", "bangs", "digits", "repeated", "short", "sentence_end", "blank")
+FEATURES = ("bias", "capitals", "symbols", "bars", "bangs", "digits", "repeated", "short", "blank")
 #: Weights for content against boilerplate, and the reward for keeping the label of the line before.
-DEFAULT = np.array([1.5, -4.0, -8.0, -8.0, -4.0, -2.0, -2.5, -0.3, 0.5, 0.0, 1.0])
+DEFAULT = np.array([1.5, -4.0, -8.0, -8.0, -4.0, -2.0, -2.5, -0.3, 0.0, 1.0])
 
-_UPPER, _SYMBOL, _BAR, _BANG, _DIGIT, _SPACE, _END, _LETTER = (1 << k for k in range(8))
+_UPPER, _SYMBOL, _BAR, _BANG, _DIGIT, _SPACE, _LETTER = (1 << k for k in range(7))
 _CLASS = np.zeros(129, np.uint8)  # by ASCII code; 128 stands for all others, which count as letters
 _CLASS[ord("A") : ord("Z") + 1] = _UPPER | _LETTER
 _CLASS[ord("a") : ord("z") + 1] = _LETTER
@@ -45,7 +46,6 @@ for _c in SYMBOLS:
 _CLASS[ord("|")] |= _BAR
 _CLASS[ord("!")] = _BANG
 _CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
-_CLASS[[ord("."), ord("?"), ord(":")]] = _END
 
 
 def word_counts(text: str) -> tuple[int, int, int]:
@@ -87,8 +87,6 @@ class Lines:
         self.chars = ends - starts
         self.visible = self.chars + 1 - count(_SPACE)  # each line's feed is white space too
         symbols, bars, bangs, digits, letters = map(count, (_SYMBOL, _BAR, _BANG, _DIGIT, _LETTER))
-        # white space before a line end is rare enough to ask only for the last character
-        last = kinds[np.maximum(ends - 1, 0)] if len(ends) else np.zeros(0, np.uint8)
         self.repeated = self._repeats(texts)
         self.symbols = np.bincount(self.doc, symbols, len(texts)).astype(np.int64)
         self.dup_lines = np.bincount(self.doc, self.repeated & (self.visible > 0), len(texts)).astype(np.int64)
@@ -97,7 +95,7 @@ class Lines:
             [
                 np.ones(len(ends)), np.minimum(1, 2 * count(_UPPER) / np.maximum(letters, 8)), np.minimum(1, 8 * (symbols - bars) / some),
                 np.minimum(1, 8 * bars / some), np.minimum(1, 16 * bangs / some), np.minimum(1, 2 * digits / some), self.repeated & (self.visible > 0),
-                self.visible < 15, (last & _END) != 0, self.visible == 0,
+                self.visible < 15, self.visible == 0,
             ], axis=1,
         ).astype(np.float64)
 
@@ -138,8 +136,7 @@ def viterbi(lines: Lines, weights: np.ndarray) -> np.ndarray:
     now = np.argmax(best + [0, 1e-12], axis=1)  # a tie is content
     for k in range(len(steps) - 1, -1, -1):
         docs, at = steps[k]
-        ends = lines.per_doc[docs] == k + 1
-        state = np.where(ends, now[docs], now[docs])
+        state = now[docs]
         label[at] = state == 1
         now[docs] = back[at, state]
     return label
@@ -152,8 +149,9 @@ def fit(texts: list[str], quality: list[int], steps: int = 150, rate: float = 0.
     lines = Lines(texts)
     x, chains = lines.features, list(lines.chains())
     y = np.repeat(np.array(quality) == 1, lines.per_doc).astype(float)
-    # documents of both kinds weigh the same, and each document as one
-    share = np.array([1 / max(1, sum(q == r for r in quality)) for q in quality])
+    # each document weighs as one; those of good quality more, as losing one is the worse mistake
+    total = {q: quality.count(q) for q in (0, 1)}
+    share = np.array([(KEEP_COST if q == 1 else 1.0) / total[q] for q in quality])
     weight = np.repeat(share / lines.per_doc, lines.per_doc)
     doc_weight = share / lines.per_doc
     same = [(y[at] == y[chains[k - 1][1][: len(at)]]).astype(float) if k else None for k, (_, at) in enumerate(chains)]

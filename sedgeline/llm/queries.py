@@ -7,8 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sedgeline.llm.exact_dedup import exact_groups
+from sedgeline.llm.idfiles import read_id_files, write_id_files
+from sedgeline.llm.language import languages
+from sedgeline.llm.mixing import taken_words
+from sedgeline.llm.packing import packed_pieces
+from sedgeline.llm.quality import quality_report
+from sedgeline.llm.scratch import new_path
 from sedgeline.llm.simhash import near_components
 
+#: Where the vocabularies are: a package that ships them, see ``tokenizer``.
+BYTE_BPE, WORD_BPE, WORD_BPE_END = "byte_bpe_50k.json", "word_bpe_49k.json", 2
+
+
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -18,12 +34,38 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(_documents(spark, sf_dir))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_documents(spark, sf_dir))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(_documents(spark, sf_dir), tokenizer(BYTE_BPE), keep_ids=False)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_id_files(_documents(spark, sf_dir), new_path(spark, "token-files"), tokenizer(WORD_BPE), "bare", WORD_BPE_END)
+    return read_id_files(files)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_packing": op5_packing,
+    "op6_token_files": op6_token_files,
+    "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
 }
 
