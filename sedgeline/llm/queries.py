@@ -14,6 +14,7 @@ from sedgeline.llm.packing import packed_pieces
 from sedgeline.llm.quality import quality_report
 from sedgeline.llm.scratch import new_path
 from sedgeline.llm.simhash import near_components
+from sedgeline.llm.suffix_dedup import remove_repeats
 
 #: Where the vocabularies are: a package that ships them, see ``tokenizer``.
 BYTE_BPE, WORD_BPE, WORD_BPE_END = "byte_bpe_50k.json", "word_bpe_49k.json", 2
@@ -55,6 +56,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir)).drop("kept")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_documents(spark, sf_dir))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
 }
 
