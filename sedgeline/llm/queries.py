@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sedgeline.llm.archives import archive_pages
 from sedgeline.llm.exact_dedup import exact_groups
 from sedgeline.llm.idfiles import read_id_files, write_id_files
 from sedgeline.llm.language import languages
@@ -64,6 +65,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_documents(spark, sf_dir))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return archive_pages(pages, new_path(spark, "archives")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +90,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        d AS (
+            SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first,
+                   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       1 + ((('0x' || substr(h, CAST(1 + 10 * (i // 8) AS BIGINT), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::BIGINT, 1)), '') AS payload_digest
+            FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d""",
 }
