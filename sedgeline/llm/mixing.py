@@ -171,7 +171,7 @@ def _slots(spark: SparkSession, quotas: list[Quota], blocks: list[int], shards:
                 words[(source == s) & (slot == last[s][0])] = last[s][1]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, source, slot, number, words)], names=["shard", "source_no", "slot", "block_no", "words"])
 
-    planned = spark.createDataFrame(plan, "shard int, source_no int, first long, n long").repartition("shard", "source_no")
+    planned = spark.createDataFrame(plan, "shard int, source_no int, first long, n long").repartition(shards, "shard")
     slots = planned.selectExpr("shard", "source_no", "explode(sequence(first, first + n - 1)) AS slot")
     return slots.mapInArrow(permuted, "shard int, source_no int, slot long, block_no long, words long")
 
@@ -200,7 +200,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = _starts(sized.where("size > 0"), rows)
     parts = placed.selectExpr("rid", "doc_id", "source_no", "start", "size", f"explode(sequence(start div {block}, (start + size - 1) div {block})) AS block_no")
     slots = _slots(spark, quotas, blocks, shards, block, seed)
-    pieces = parts.join(slots, ["source_no", "block_no"]).selectExpr(
+    pieces = parts.join(slots.hint("merge"), ["source_no", "block_no"]).selectExpr(
         "rid", "doc_id", "shard", "source_no", "slot", f"greatest(block_no * {block}, start) - start AS from_word",
         f"least(block_no * {block} + words, start + size) - start AS to_word",
     ).where("from_word < to_word")
@@ -217,8 +217,8 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **options) -> DataFrame:
     """The mix itself: a row for each piece that it takes, with the columns of ``docs`` and the piece as text.
 
-    Pieces keep the white space within them.  Ids must tell rows apart; rows without an id are taken whole times only
-    if their id is null, in which case they are left out, since no piece can be assigned to them.
+    Pieces keep the white space within them.  Ids must tell rows apart here: of rows that share an id each gets the
+    pieces of all that fit its length, and rows without an id are left out.
     """
     m = mix(docs, id_col, text_col, source_col, **options)
     spans = m.pieces.where("doc_id is not null").groupBy(F.col("doc_id").alias("__sedgeline_id")).agg(F.array_sort(F.collect_list(F.struct("slot", "from_word", "to_word"))).alias("__sedgeline_spans"))
@@ -234,6 +234,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for i, (text, spans) in enumerate(zip(b.column(names.index(text_col)), b.column(b.schema.names.index("__sedgeline_spans")), strict=True)):
                 at = [w.span() for w in word.finditer(text.as_py())]
                 for s in spans.as_py():
+                    if s["to_word"] > len(at):
+                        continue
                     rows.append(i)
                     texts.append(text.as_py()[at[s["from_word"]][0] : at[s["to_word"] - 1][1]])
             picked = b.take(pa.array(rows, pa.int64()))

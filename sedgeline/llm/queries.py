@@ -12,6 +12,7 @@ from sedgeline.llm.idfiles import read_id_files, write_id_files
 from sedgeline.llm.language import languages
 from sedgeline.llm.mixing import taken_words
 from sedgeline.llm.packing import packed_pieces
+from sedgeline.llm.pii import span_report
 from sedgeline.llm.quality import quality_report
 from sedgeline.llm.scratch import new_path
 from sedgeline.llm.simhash import near_components
@@ -40,6 +41,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(_documents(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(_documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_documents(spark, sf_dir))
 
@@ -70,9 +75,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(pages, new_path(spark, "archives")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
@@ -80,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
