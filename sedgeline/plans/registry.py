@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from sedgeline.plans import maintenance, relational
 
 FLAGSHIP = "list_articles"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+MODULES = (relational, maintenance)  # importing a module registers its queries
+QUERIES = relational.QUERIES
+ORACLE_SQL = relational.ORACLE_SQL
