@@ -22,8 +22,6 @@ empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,34 +81,31 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(texts: DataFrame, pattern: str, text: Column) -> DataFrame:
-    """From ``rid, text``: one row per match: ``rid, start, end, value, before, after`` (text next to it, up to the next
-    match).  Offsets are running sums over the document's own matches."""
-    cut = texts.select("rid", F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")).where(F.size("found") > 0)
-    gaps = F.transform("gaps", lambda g: F.struct(F.length(g).cast("long").alias("size"), F.right(g, F.lit(CONTEXT)).alias("tail"), F.left(g, F.lit(CONTEXT)).alias("head")))
-    rows = cut.select("rid", "found", gaps.alias("gaps"))
-    rows = rows.select("rid", F.posexplode(F.arrays_zip(F.col("found").alias("value"), F.col("gaps").alias("gap"), F.slice("gaps", 2, F.greatest(F.size("gaps"), F.lit(1))).alias("next"))).alias("i", "m")).where("m.value is not null")
-    end = F.sum(F.col("m.gap.size") + F.length("m.value")).over(Window.partitionBy("rid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("rid", F.col("m.value").alias("value"), F.col("m.gap.tail").alias("before"), F.col("m.next.head").alias("after"), end.alias("end"))
-    return rows.select("rid", (F.col("end") - F.length("value")).alias("start"), "end", "value", "before", "after")
-
-
-def base_spans(texts: DataFrame) -> DataFrame:
-    """From ``rid, text``: ``rid, kind, start, end, value, before, after`` of every seed."""
-    parts = []
-    for kind in KINDS:
-        found = _matches(texts.where(F.col("text").rlike(MAY_HOLD[kind])), PATTERNS[kind], _prepared(kind, F.col("text")))
-        parts.append(found.where(_valid(kind, F.col("value"))).withColumn("kind", F.lit(kind)))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def candidate_spans(texts: DataFrame, base: DataFrame) -> DataFrame:
-    """Tokens that look like identifiers and overlap no seed, with the columns of :func:`base_spans` and a null kind."""
-    found = _matches(texts.where(F.col("text").rlike("[0-9]")), CANDIDATE, F.col("text")).withColumn("kind", F.lit(None).cast("string"))
-    both = found.unionByName(base)
+def matches(texts: DataFrame) -> DataFrame:
+    """From ``rid, text``: one row per seed, and per token (kind null) that looks like an identifier:
+    ``rid, kind, start, end, value, before, after`` (text next to it, up to the next match of the same pattern).
+
+    One scan: a text's gaps and matches for all patterns that it may hold.  Offsets are running sums over the document's
+    own matches of a pattern."""
+    held = []
+    for kind in (*KINDS, None):
+        may, pattern, text = (MAY_HOLD[kind], PATTERNS[kind], _prepared(kind, F.col("text"))) if kind else ("[0-9]", CANDIDATE, F.col("text"))
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).cast("long").alias("size"), F.right(g, F.lit(CONTEXT)).alias("tail"), F.left(g, F.lit(CONTEXT)).alias("head")))
+        held.append(F.when(F.col("text").rlike(may), F.struct(F.lit(kind).cast("string").alias("kind"), gaps.alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))))
+    rows = texts.select("rid", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())).alias("x")).where("size(x.found) > 0")
+    parts = F.arrays_zip(F.col("x.found").alias("value"), F.col("x.gaps").alias("gap"), F.slice("x.gaps", 2, F.size("x.gaps")).alias("next"))
+    rows = rows.select("rid", F.col("x.kind").alias("kind"), F.posexplode(parts).alias("i", "m")).where("m.value is not null")
+    end = F.sum(F.col("m.gap.size") + F.length("m.value")).over(Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("rid", "kind", F.col("m.value").alias("value"), F.col("m.gap.tail").alias("before"), F.col("m.next.head").alias("after"), end.alias("end"))
+    valid = F.coalesce(*[F.when(F.col("kind") == k, _valid(k, F.col("value"))) for k in KINDS], F.lit(True))
+    return rows.where(valid).select("rid", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value", "before", "after")
+
+
+def without_overlaps(found: DataFrame) -> DataFrame:
+    """The tokens among ``found`` that overlap no seed."""
     rise = Window.partitionBy("rid").orderBy("start", F.col("kind").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     fall = Window.partitionBy("rid").orderBy(F.desc("start"), F.col("kind").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("before_end", F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(rise)).withColumn("after_start", F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(fall))
+    both = found.withColumn("before_end", F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(rise)).withColumn("after_start", F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(fall))
     free = (F.coalesce("before_end", F.lit(-1)) <= F.col("start")) & (F.coalesce("after_start", F.col("end")) >= F.col("end"))
     return both.where(F.col("kind").isNull() & free).drop("before_end", "after_start")
 
@@ -160,8 +155,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = scratch.table(rows.withColumn("rid", F.monotonically_increasing_id()), "pii-rows")
     else:
         rows = rows.withColumn("rid", F.col("doc_id").cast("long"))
-    base = scratch.table(base_spans(rows), "pii-base")
-    candidates = scratch.table(candidate_spans(rows, base), "pii-candidates")
+    found = scratch.table(matches(rows), "pii-matches")
+    base, candidates = found.where("kind is not null"), scratch.table(without_overlaps(found), "pii-candidates")
     best = learned_values(base, candidates).groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     more = candidates.drop("kind").withColumn("value", F.lower("value")).join(best, "value")
     number = F.array_position(F.lit(list(KINDS)), F.col("kind")).cast("int")
