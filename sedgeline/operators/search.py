@@ -1,6 +1,6 @@
 """Full-text search: folded tokens, phrases that are ANDed, the last token as a prefix.
 
-Two forms with the same result: a filter over token arrays for one pass, and a token table (an inverted index, written
+Two forms with the same result: a filter over folded text for one pass, and a token table (an inverted index, written
 once, partitioned by token) for repeated searches, whose lookups are semi-joins.
 """
 
@@ -37,36 +37,21 @@ def compile_term(term: str) -> list[Phrase] | None:
     return [Phrase(w, i == len(words) - 1) for i, w in enumerate(words)] or None
 
 
-def phrase_in(tokens: Column, phrase: Phrase) -> Column:
-    """Whether the phrase's tokens follow each other in the array, the last as a prefix if asked for."""
-    n = len(phrase.tokens)
-    if n == 1:
-        t = phrase.tokens[0]
-        return F.exists(tokens, lambda x: x.startswith(t)) if phrase.prefix else F.array_contains(tokens, t)
+def token_text(c: Column) -> Column:
+    """The tokens of a text between single spaces, with one at either end."""
+    return F.concat(F.lit(" "), F.regexp_replace(text.fold(F.coalesce(c, F.lit(""))), text.SEPARATORS, " "), F.lit(" "))
 
-    def here(i: Column) -> Column:
-        same = [F.get(tokens, i + k) == t for k, t in enumerate(phrase.tokens[:-1])]
-        last = F.get(tokens, i + (n - 1))
-        return reduce(Column.__and__, [*same, last.startswith(phrase.tokens[-1]) if phrase.prefix else last == phrase.tokens[-1]])
 
-    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))
-    return F.coalesce(F.exists(starts, here), F.lit(False))
+def phrase_in(token_text: Column, phrase: Phrase) -> Column:
+    """Whether the phrase's tokens follow each other, the last as a prefix if asked for."""
+    return F.contains(token_text, F.lit(" " + " ".join(phrase.tokens) + ("" if phrase.prefix else " ")))
 
 
 def search(rows: DataFrame, term: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Rows where each phrase lies within one of the columns; all rows if there is nothing to search for."""
-    phrases = compile_term(term)
-    if not phrases:
-        return rows
-    arrays = {c: f"__tokens_{c}" for c in columns}
-    # a cheap test on the folded text first: every token must be in it at all
-    folded = [text.fold(F.coalesce(F.col(c), F.lit(""))) for c in columns]
-    for t in {t for p in phrases for t in p.tokens}:
-        rows = rows.where(reduce(Column.__or__, [F.contains(f, F.lit(t)) for f in folded]))
-    rows = rows.withColumns({a: text.tokens(F.coalesce(F.col(c), F.lit(""))) for c, a in arrays.items()})
-    for p in phrases:
-        rows = rows.where(reduce(Column.__or__, [phrase_in(F.col(a), p) for a in arrays.values()]))
-    return rows.drop(*arrays.values())
+    for p in compile_term(term) or []:
+        rows = rows.where(reduce(Column.__or__, [phrase_in(token_text(F.col(c)), p) for c in columns]))
+    return rows
 
 
 def index(rows: DataFrame, key: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedgeline.plans import maintenance, relational, scalar
+from sedgeline.plans import documents, maintenance, relational, scalar
 
 FLAGSHIP = "list_articles"
-MODULES = (relational, maintenance, scalar)  # importing a module registers its queries
+MODULES = (relational, maintenance, scalar, documents)  # importing a module registers its queries
 QUERIES = relational.QUERIES
 ORACLE_SQL = relational.ORACLE_SQL

@@ -162,9 +162,9 @@ def search_and(c: Catalog) -> DataFrame:
     return _hits(search.search(c.documents, "The thi"))
 
 
-@query("search_prefix", f"WITH {DOCS} SELECT doc_id, owner FROM d WHERE owner = 'src3' AND len(list_filter(p || n, lambda x: starts_with(x, 'ger'))) > 0", views=False)
+@query("search_prefix", f"WITH {DOCS} SELECT doc_id, owner FROM d WHERE owner = 'src3' AND len(list_filter(p || n, lambda x: starts_with(x, 'ering'))) > 0", views=False)
 def search_prefix(c: Catalog) -> DataFrame:
-    return _hits(search.search(c.documents.where("owner = 'src3'"), "ger"))
+    return _hits(search.search(c.documents.where("owner = 'src3'"), "ering"))
 
 
 @query("search_folded", f"WITH {DOCS} SELECT doc_id, owner FROM d WHERE len(list_filter(p || n, lambda x: starts_with(x, 'etre'))) > 0", views=False)
