@@ -179,8 +179,9 @@ def percent_encode(c: Column) -> Column:
 
 def date_or(c: Column, now: Column) -> Column:
     """A date in ISO or feed form, else ``now``."""
-    forms = ["EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z"]
-    return F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(c, F.lit(f)) for f in forms], now)
+    plain = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3,9},\s*", "")  # the day's name says nothing new
+    forms = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z"]
+    return F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(plain, F.lit(f)) for f in forms], now)
 
 
 def iso_millis(c: Column) -> Column:
