@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedgeline.plans import collection, documents, maintenance, relational, scalar
+from sedgeline.plans import collection, documents, maintenance, relational, scalar, streams
 
 FLAGSHIP = "list_articles"
-MODULES = (relational, maintenance, scalar, documents, collection)  # importing a module registers its queries
+MODULES = (relational, maintenance, scalar, documents, collection, streams)  # importing a module registers its queries
 QUERIES = relational.QUERIES
 ORACLE_SQL = relational.ORACLE_SQL

@@ -1 +1 @@
-"""Subpackage of sedgeline."""
+"""Structured Streaming: job state, metered use, debounced batches and deltas."""
