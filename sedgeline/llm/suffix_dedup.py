@@ -13,9 +13,9 @@ that can be told without them:
 3. *Suffix arrays.*  The bytes of these slices are fetched and dealt, by anchor, to groups of bounded size.  Each group
    builds a suffix array by two-stage sorting; runs of adjacent common prefixes of ``LENGTH`` or more bytes are the sets
    of equal strings, whose earliest place stays.
-4. *Hot anchors.*  A frequent passage has as many different borders as places.  Anchors that a Misra-Gries sketch or the
-   exact count of contents finds too frequent for one group are split by content instead, and their strings compared
-   by 128-bit hashes with map-side partial aggregation.
+4. *Hot anchors.*  A frequent passage has as many different borders as places.  Anchors that a Misra-Gries sketch finds
+   frequent are spread over the shuffle by content.  Those that then still have more contents than a group may hold
+   are not gathered: their strings are compared by 128-bit hashes with map-side partial aggregation.
 5. The repeats' ranges are joined to the documents and cut out.
 
 Defined results: bytes are those of UTF-8; a null text is empty; order is by id, then place; a null id is smaller than
@@ -42,8 +42,8 @@ LENGTH = 100
 ANCHOR = 24
 SEGMENT = 1 << 20  # bytes of a document that are scanned at a time
 TASK_SLICES = 1 << 19  # slices among which a task looks for copies at a time
-HOT_SLICES = 2000  # slices of an anchor, by the sketch, from which it is split
-GROUP_SLICES = 20_000  # slices of a suffix array, about 3 MB
+HOT_SLICES, HOT_SHARE, HOT_MOST = 500, 1 << 13, 10_000_000  # an anchor is split from this share of all slices on, within these bounds
+GROUP_SLICES, ANCHOR_MOST = 5_000, 20_000  # slices of a suffix array (about 130 bytes each) by design; of one anchor at most
 SKETCH_ITEMS, MAX_HOT = 1 << 16, 4096
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -74,7 +74,7 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 SLICE = "key long, anchor long, content long, doc_id long, tag long, start long, n long, kind int"
 _NAMES = [c.split()[0] for c in SLICE.split(", ")]
-REPEAT, OPEN, SPLIT = 0, 1, 2  # kinds: known repeat, yet to be compared, of a hot anchor
+REPEAT, OPEN, SPLIT = 0, 1, 2  # kinds: known repeat, yet to be compared, the same of a hot anchor
 
 
 def _slices(hot: frozenset[int]):
@@ -180,11 +180,11 @@ def repeated_strings(slices: list[bytes]) -> np.ndarray:
     """Of slices in their order: for each byte of their concatenation, whether a repeated string starts there."""
     sizes = np.array([len(s) for s in slices], np.int64)
     raw = np.frombuffer(b"\0".join([*slices, b""]), np.uint8)
-    t = raw.astype(np.int64) + 1
+    t = raw.astype(np.int16) + 1
     ends = np.cumsum(sizes + 1) - 1
     t[ends] = 0
     room = np.repeat(ends, sizes + 1) - np.arange(len(t))
-    order = suffix_array(t, LENGTH)
+    order = suffix_array(t, LENGTH, room >= LENGTH)
     order = order[room[order] >= LENGTH]
     hit = np.zeros(len(t), bool)
     if len(order):
@@ -226,17 +226,17 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeat_ranges(docs: DataFrame) -> DataFrame:
     """From ``doc_id, tag, text``, places of repeated strings: ``doc_id, tag, start, n`` (``n`` strings from byte ``start``)."""
     place = "doc_id long, tag long, start long, n long"
-    sketch = docs.mapInArrow(_slices(frozenset()), SLICE).where(F.col("kind") == OPEN).agg(F.expr(f"approx_top_k(anchor, {MAX_HOT}, {SKETCH_ITEMS})").alias("top"))
-    hot = frozenset(r["item"] for r in (sketch.first()["top"] or []) if r["count"] >= HOT_SLICES)  # at most MAX_HOT numbers
+    sketch = docs.mapInArrow(_slices(frozenset()), SLICE).where(F.col("kind") == OPEN).agg(F.expr(f"approx_top_k(anchor, {MAX_HOT}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("slices")).first()
+    often = min(max(HOT_SLICES, sketch["slices"] // HOT_SHARE), HOT_MOST)
+    hot = frozenset(r["item"] for r in (sketch["top"] or []) if r["count"] >= often)  # at most MAX_HOT numbers
     found = docs.mapInArrow(_slices(hot), SLICE).repartition("key").sortWithinPartitions("key", "kind", "anchor", "content", "doc_id", "tag", "start")
     found = scratch.table(found.mapInArrow(_compare, SLICE), "slices")
     repeats = found.where(F.col("kind") == REPEAT).select("doc_id", "tag", "start", "n")
-    # what is still open is dealt by anchor to groups of about GROUP_SLICES; larger anchors are split
-    sizes = found.where(F.col("kind") == OPEN).groupBy("anchor").agg(F.count(F.lit(1)).alias("slices"))
-    large = sizes.where(F.col("slices") > GROUP_SLICES).select("anchor").withColumn("large", F.lit(True))
-    groups = max(1, -(-found.where(F.col("kind") == OPEN).count() // GROUP_SLICES))
-    split = (F.col("kind") == SPLIT) | F.col("large").isNotNull()
-    open_ = found.where(F.col("kind") != REPEAT).join(large, "anchor", "left").withColumn("group", F.when(split, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(groups))))
+    # what is still open is dealt by anchor to groups of about GROUP_SLICES; only larger anchors are split further
+    rest = found.where(F.col("kind") != REPEAT)
+    sizes = rest.groupBy("anchor").agg(F.count(F.lit(1)).alias("slices")).where("slices > 1")
+    groups = max(1, -(-rest.count() // GROUP_SLICES))
+    open_ = rest.join(sizes, "anchor").withColumn("group", F.when(F.col("slices") > ANCHOR_MOST, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(groups))))
     wanted = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("group", "start", "n")).alias("wanted"))  # a document's own
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["tag"] == wanted["tag"])
     fetched = docs.join(wanted, same).select(docs["doc_id"], docs["tag"], "text", "wanted").mapInArrow(_fetch, "group long, doc_id long, tag long, start long, bytes binary")

@@ -23,8 +23,8 @@ def _rising(t: np.ndarray) -> np.ndarray:
     return step[np.minimum.accumulate(differs[::-1])[::-1]] > 0
 
 
-def _sort_directly(t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes ``at`` in order of their first ``depth`` symbols."""
+def _sort_directly(t: np.ndarray, at: np.ndarray, depth: int, deep: np.ndarray) -> np.ndarray:
+    """Suffixes ``at`` in order of their first ``depth`` symbols; those not ``deep`` only of the first few."""
     padded = np.concatenate((t, np.zeros(depth + _PACKED, t.dtype))).astype(np.uint64)
     keys = np.zeros(len(padded) - _PACKED + 1, np.uint64)
     for j in range(_PACKED):
@@ -34,7 +34,7 @@ def _sort_directly(t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     group = np.cumsum(np.concatenate(([0], first[1:] != first[:-1])))  # equal so far
     for d in range(_PACKED, depth, _PACKED):
         size = np.bincount(group)
-        open_ = np.flatnonzero(size[group] > 1)
+        open_ = np.flatnonzero((size[group] > 1) & deep[order])
         if not len(open_):
             break
         now = keys[order[open_] + d]
@@ -47,8 +47,10 @@ def _sort_directly(t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Start positions of all suffixes of symbols below 512, by their first ``depth`` symbols."""
+def suffix_array(t: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Start positions of all suffixes of symbols below 512, by their first ``depth`` symbols.
+
+    If only the ``wanted`` suffixes need be in order, only the rising ones that these lead to are sorted deeply."""
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
@@ -57,7 +59,12 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     rises = np.bincount(t[rising], minlength=len(sizes))
     out = np.zeros(n, np.int64)
-    direct = _sort_directly(t, np.flatnonzero(rising), depth)
+    deep = rising
+    if wanted is not None:
+        leads_to = np.minimum.accumulate(np.where(rising, np.arange(n), n)[::-1])[::-1][wanted]
+        deep = np.zeros(n, bool)
+        deep[leads_to[leads_to < n]] = True
+    direct = _sort_directly(t, np.flatnonzero(rising), depth, deep)
     first_rise = starts + sizes - rises
     done = np.cumsum(rises) - rises
     for c in np.flatnonzero(rises):

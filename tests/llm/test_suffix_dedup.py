@@ -63,7 +63,9 @@ def test_hot_anchors_are_split_without_loss(spark, monkeypatch):
     rng = random.Random(8)
     rows = list(enumerate(corpus(rng, 40)))
     monkeypatch.setattr(S, "HOT_SLICES", 3)
+    monkeypatch.setattr(S, "HOT_SHARE", 1 << 30)
     monkeypatch.setattr(S, "GROUP_SLICES", 4)
+    monkeypatch.setattr(S, "ANCHOR_MOST", 4)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == brute(rows)
 
