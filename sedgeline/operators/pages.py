@@ -68,7 +68,7 @@ def places(found: DataFrame, name: str = "places") -> DataFrame:
 
 def select(tree: DataFrame, selectors: tuple[str, ...] | list[str]) -> DataFrame:
     """Elements that any selector matches; parts between spaces are ancestors.  Invalid selectors match nothing."""
-    chains = [c for c in ([_simple(x) for x in s.split()] for s in selectors) if c and all(x is not None for x in c)]
+    chains = [c for c in ([_simple(x) for x in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", s)] for s in selectors) if c and all(x is not None for x in c)]
     single = [c[0] for c in chains if len(c) == 1]
     found = [tree.where(reduce(Column.__or__, single))] if single else []  # one pass for all of these
     for first, *more in (c for c in chains if len(c) > 1):
