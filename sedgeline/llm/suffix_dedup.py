@@ -234,9 +234,11 @@ def repeat_ranges(docs: DataFrame) -> DataFrame:
     repeats = found.where(F.col("kind") == REPEAT).select("doc_id", "tag", "start", "n")
     # what is still open is dealt by anchor to groups of about GROUP_SLICES; only larger anchors are split further
     rest = found.where(F.col("kind") != REPEAT)
-    sizes = rest.groupBy("anchor").agg(F.count(F.lit(1)).alias("slices")).where("slices > 1")
+    sizes = rest.groupBy("kind", "anchor").agg(F.count(F.lit(1)).alias("slices")).where("slices > 1")
     groups = max(1, -(-rest.count() // GROUP_SLICES))
-    open_ = rest.join(sizes, "anchor").withColumn("group", F.when(F.col("slices") > ANCHOR_MOST, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(groups))))
+    hot_sizes = F.broadcast(sizes.where(F.col("kind") == SPLIT).drop("kind"))  # at most MAX_HOT rows
+    open_ = rest.where(F.col("kind") == SPLIT).join(hot_sizes, "anchor").unionByName(rest.where(F.col("kind") == OPEN).join(sizes.where(F.col("kind") == OPEN).drop("kind"), "anchor"))
+    open_ = open_.withColumn("group", F.when(F.col("slices") > ANCHOR_MOST, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(groups))))
     wanted = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("group", "start", "n")).alias("wanted"))  # a document's own
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["tag"] == wanted["tag"])
     fetched = docs.join(wanted, same).select(docs["doc_id"], docs["tag"], "text", "wanted").mapInArrow(_fetch, "group long, doc_id long, tag long, start long, bytes binary")
