@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.catalog import Catalog
-from sedgeline.operators import pages
+from sedgeline.operators import markdown, pages
 from sedgeline.plans.relational import query
 
 
@@ -103,3 +103,20 @@ def wire_documents(c: Catalog) -> DataFrame:
 @query("wire_round_trip")
 def wire_round_trip(c: Catalog) -> DataFrame:
     return pages.read_wire(wire_documents(c))
+
+
+@query("post_html", """
+    SELECT conv_id, turn, '<p>' || x || '</p>
+<ul><li>' || x || '</li><li><strong>' || turn || '</strong></li></ul>
+<h2>' || role || '</h2>' AS html
+    FROM (SELECT conv_id, turn, role, regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', 'e', 'g') || 'e' AS y, trim(regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', 'e', 'g') || 'e') AS x FROM conversations)""", views=False)
+def post_html(c: Catalog) -> DataFrame:
+    plain = F.trim(F.concat(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "e"), F.lit("e")))
+    body = F.concat(plain, F.lit("\n\n- "), plain, F.lit("\n- **"), F.col("turn").cast("string"), F.lit("**\n## "), F.col("role"))
+    posts = c.table("conversations").select(F.struct("conv_id", "turn").alias("key"), body.alias("body"))
+    return markdown.to_html(posts, "key", "body").select("key.conv_id", "key.turn", "html")
+
+
+@query("fn_entities", "SELECT page_id, html LIKE '%&amp;%' AS coded, replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS decoded FROM pages", views=False)
+def fn_entities(c: Catalog) -> DataFrame:
+    return c.table("pages").select("page_id", F.contains("html", F.lit("&amp;")).alias("coded"), markdown.decode_entities(F.col("html")).alias("decoded"))
