@@ -9,6 +9,7 @@ from sedgeline.catalog import Catalog
 from sedgeline.functions import text
 from sedgeline.plans.relational import NOW, query
 from sedgeline.sources import feeds as src
+from sedgeline.sources import sites
 
 
 def _feeds(c: Catalog) -> DataFrame:
@@ -105,8 +106,15 @@ def channel_ids(c: Catalog) -> DataFrame:
     return src.channel_id(rows.select("c_custkey", said.alias("identifier")), channels).select("c_custkey", "channel_id")
 
 
-@query("wanted_titles", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'heise' WHEN 1 THEN 'caschys_blog' ELSE 'merkur' END AS aggregator FROM customer WHERE NOT (c_custkey % 5 = 0 AND c_custkey % 3 IN (0, 1))", views=False)
+@query("wanted_titles", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'heise' WHEN 1 THEN 'caschys_blog' ELSE 'merkur' END AS aggregator FROM customer WHERE NOT (c_custkey % 3 = 1 AND c_custkey % 5 = 0) AND NOT (c_custkey % 3 = 0 AND c_custkey % 7 = 0)", views=False)
 def wanted_titles(c: Catalog) -> DataFrame:
     k = F.col("c_custkey")
-    rows = c.table("customer").select("c_custkey", F.when(k % 3 == 0, "heise").when(k % 3 == 1, "caschys_blog").otherwise("merkur").alias("aggregator"), F.when(k % 5 == 0, F.lit("Neu (Anzeige)")).otherwise(F.col("c_name")).alias("title"))
-    return src.wanted_titles(rows).drop("title")
+    title = F.concat(F.when(k % 5 == 0, "Neu (Anzeige) ").otherwise(""), F.when(k % 7 == 0, "HEISE-ANGEBOT").otherwise(F.col("c_name")))
+    rows = c.table("customer").select("c_custkey", F.when(k % 3 == 0, "heise").when(k % 3 == 1, "caschys_blog").otherwise("merkur").alias("aggregator"), title.alias("title"), F.lit("http://h/").alias("url"))
+    return sites.wanted(rows).drop("title", "url")
+
+
+@query("site_articles")
+def site_articles(c: Catalog) -> DataFrame:
+    fetched = c.table("pages").select("page_id", "html", F.lit(" no content ").alias("summary"))
+    return sites.site_articles(fetched, sites.SITES["full_website"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,30 +135,7 @@ def channel_id(identifiers: DataFrame, channels: DataFrame, column: str = "ident
     return handle.join(titles, "__wanted", "left").select(*identifiers.columns, F.coalesce("__id", "__handle", "__title").alias("channel_id"))
 
 
-# --- configuration of sources
-
-#: Per source: what is content, what is ignored, which titles are skipped.  A source is a row, not a class.
-SOURCES: dict[str, dict[str, tuple[str, ...]]] = {
-    "feed_content": {},
-    "full_website": {"content": ("article", ".article-content", ".entry-content", "main"), "ignore": ("script", "style", "iframe", "nav", "footer")},
-    "heise": {"content": ("#meldung", ".StoryContent", "article"), "ignore": (".ad-label", "a-collapse"), "skip_contains": ("die bilder der woche", "software-architektur", "anzeige", "#tgiqf")},
-    "merkur": {"content": (".idjs-Story", "article"), "ignore": (".id-DonaldBreadcrumb--default",)},
-    "caschys_blog": {"content": (".entry-inner", "article"), "ignore": (".aawp", "ins"), "skip_contains": ("(anzeige)",)},
-    "mactechnews": {"content": (".MtnArticle", "article"), "skip_prefix": ("techticker:",)},
-    "the_verge": {"content": (".duet--article--article-body-component", "article")},
-    "ars_technica": {"content": (".post-content", "article")},
-}
-
-
-def wanted_titles(rows: DataFrame, aggregator: str = "aggregator", title: str = "title") -> DataFrame:
-    """Rows whose title their source doesn't skip."""
-    tests = []
-    for name, conf in SOURCES.items():
-        low = F.lower(F.coalesce(F.col(title), F.lit("")))
-        skips = [F.contains(low, F.lit(s)) for s in conf.get("skip_contains", ())] + [low.startswith(s) for s in conf.get("skip_prefix", ())]
-        if skips:
-            tests.append((F.col(aggregator) == name) & reduce(Column.__or__, skips))
-    return rows.where(~reduce(Column.__or__, tests))
+# --- files
 
 
 def files(spark, folder: str) -> DataFrame:
