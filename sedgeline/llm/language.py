@@ -37,7 +37,6 @@ FOLDS = 5
 UNKNOWN = "und"
 BATCH_DOCS = 256
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACE = re.compile(r"\s+")
 
 
@@ -112,7 +111,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.langs else []
+        some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.langs else []
         if some:
             raw = self.kernel([texts[i] for i in some]) @ self.coefficients + self.bias
             soft = np.exp(SHARPNESS * (raw - raw.max(axis=1, keepdims=True)) / 2)

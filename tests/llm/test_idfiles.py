@@ -27,6 +27,13 @@ def test_memo_gives_the_library_ids(style, text):
     assert ENCODERS[style].ids(text).tolist() == PLAIN[style].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("style", STYLES)
+def test_every_latin_letter(style):
+    for c in map(chr, range(0x20, 0x260)):
+        for text in (c, f"a{c}b {c}", f" {c}{c} x", f"{c}\n{c}1"):
+            assert ENCODERS[style].ids(text).tolist() == PLAIN[style].encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("vocab", [1, 2, 3, 256, 257, 49408, 65536, 65537, 1 << 20])
 def test_bits_round_trip(vocab):
     ids = np.random.default_rng(1).integers(0, vocab, 1001).astype("<u4")
