@@ -113,3 +113,35 @@ def gallery(items: Column, media: Column) -> Column:
 def thumbnail(candidates: Column) -> Column:
     """Of a map by size the largest of the usual ones."""
     return F.coalesce(*[F.try_element_at(candidates, F.lit(k)) for k in ("maxres", "high", "medium")])
+
+
+# --- video embeds
+
+#: Addresses of a video's player and page by provider.
+PLAYERS = {
+    "youtube": ("https://www.youtube.com/embed/%s", "https://www.youtube.com/watch?v=%s"),
+    "dailymotion": ("https://www.dailymotion.com/embed/video/%s", "https://www.dailymotion.com/video/%s"),
+}
+#: Bodies of comments that were taken back.
+WITHDRAWN = ("[deleted]", "[removed]")
+
+
+def facade(provider: str, video: Column, label: str, thumbnail: Column | None = None, caption: Column | None = None) -> Column:
+    """HTML that stands for a video until it is clicked; null where there is no video."""
+    player, page = PLAYERS[provider]
+    image = F.when(thumbnail != "", F.format_string('<img src="%s" alt="">', text.escape_attr(thumbnail))) if thumbnail is not None else F.lit(None)
+    parts = (
+        F.format_string(f'<div class="{provider}-embed-container" data-embed="{player}">', video),
+        F.coalesce(image, F.lit("")),
+        F.format_string(f'<a href="{page}" target="_blank" rel="noopener">', video), F.lit(f"{label}</a>"),
+        F.coalesce(caption, F.lit("")) if caption is not None else F.lit(""),
+        F.lit("</div>"),
+    )
+    return F.when(video.isNotNull(), F.concat(*parts))
+
+
+def top_comments(threads: DataFrame, n: int) -> DataFrame:
+    """Of rows ``video_id, position, body`` each video's first ``n`` comments that have a body and were not taken back."""
+    kept = threads.where((F.col("body") != "") & ~F.col("body").isin(*WITHDRAWN))
+    ranked = kept.withColumn("__n", F.row_number().over(Window.partitionBy("video_id").orderBy("position", "body")))
+    return ranked.where(F.col("__n") <= n).drop("__n")

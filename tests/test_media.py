@@ -39,3 +39,18 @@ def test_json_media(spark):
     ).first()
     assert (row.v, [(x.url, x.caption) for x in row.g], row.t) == ("h", [("http://u?x&y", None), ("g", "c")], "h")
     assert pages is not None
+
+
+def test_facades(spark):
+    df = spark.createDataFrame([("a1", 'h/?x="y"', "<p>c</p>"), ("a2", "", None), (None, "t", "c")], "video string, thumbnail string, caption string")
+    got = [r.f for r in df.select(media.facade("youtube", F.col("video"), "100% play", F.col("thumbnail"), F.col("caption")).alias("f")).collect()]
+    start, link = '<div class="youtube-embed-container" data-embed="https://www.youtube.com/embed/%s">', '<a href="https://www.youtube.com/watch?v=%s" target="_blank" rel="noopener">100%% play</a>'
+    assert got == [start % "a1" + '<img src="h/?x=&quot;y&quot;" alt="">' + link % "a1" + "<p>c</p></div>", start % "a2" + link % "a2" + "</div>", None]
+    assert df.select(media.facade("dailymotion", F.lit("v"), "L").alias("f")).first().f == '<div class="dailymotion-embed-container" data-embed="https://www.dailymotion.com/embed/video/v"><a href="https://www.dailymotion.com/video/v" target="_blank" rel="noopener">L</a></div>'
+
+
+def test_top_comments(spark):
+    rows = [("v", 3, "c"), ("v", 1, "a"), ("v", 2, "[deleted]"), ("v", 4, "d"), ("w", 1, ""), ("w", 2, None), ("w", 3, "[removed]"), ("x", 1, "e")]
+    df = spark.createDataFrame(rows, "video_id string, position int, body string")
+    assert sorted((r.video_id, r.body) for r in media.top_comments(df, 2).collect()) == [("v", "a"), ("v", "c"), ("x", "e")]
+    assert media.top_comments(df, 0).count() == 0 and media.top_comments(df.limit(0), 2).count() == 0
