@@ -17,10 +17,15 @@ Defined results: words are runs of anything but ASCII white space; A-Z are lower
 gives fingerprint zero, which links like any other.  A row without an id takes the component of the rows with its
 fingerprint; a fingerprint that only such rows have is no node, and its component is null.  Rows that repeat are all
 returned.  Extra columns are ignored.
+
+:func:`drop_similar_copies` takes shingle and similarity as parameters.  The grid holds no radius that finds similarity
+0.8 (about 19 of 128 bits apart), so it looks for candidates in sorted orders of a wide fingerprint and verifies each
+pair's Jaccard similarity on the texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,8 @@ SHINGLE = 3
 SEED = 42
 BITS_APART = 2
 PAIR_CELL = 8
+WINDOW = 16
+RECALL = 0.99
 _CHUNK = 1 << 16
 
 
@@ -123,3 +130,112 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = docs.join(gone, F.col(id_col) == F.col("__sedgeline_id"), "left_anti")
     twins = docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).limit(1).count()
     return kept.dropDuplicates([id_col]) if twins else kept
+
+
+# --- copies of a given similarity
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the runs of ``shingle`` words; a shorter text is one run, one without words has none."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    runs = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64, len(runs))
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
+    """SimHash of 128 bits over distinct shingles, as two signed longs."""
+    h = shingle_hashes(text, shingle)
+    more = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    more = (more ^ (more >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    ones = np.zeros(128, np.int64)
+    for i in range(0, len(h), _CHUNK):
+        both = np.stack([h[i : i + _CHUNK], more[i : i + _CHUNK] ^ (more[i : i + _CHUNK] >> np.uint64(32))], axis=1).astype(">u8")
+        ones += np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
+    a, b = np.packbits(2 * ones > len(h)).view(">i8").tolist()
+    return a, b
+
+
+def apart(similarity: float) -> float:
+    """Share of SimHash bits in which two sets of equal size and this Jaccard similarity are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def orders_needed(n: int, similarity: float, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Orders in which pairs of ``similarity`` are neighbours at least once with probability ``recall``, among ``n`` random others."""
+    near = (1 - apart(similarity)) ** max(1.0, math.log2(max(2, n) / window))
+    return math.ceil(math.log(1 - recall) / math.log(1 - near))
+
+
+def candidate_pairs(texts: DataFrame, shingle: int, similarity: float, radius: int | None = None, window: int = WINDOW) -> DataFrame:
+    """From ``rid, text``: pairs ``(a, b)`` whose wide fingerprints are at most ``radius`` bits apart and that are within
+    ``window`` places of each other in one of several orders, each by 64 of the bits in a sequence of its own.
+
+    A text has at most ``2 * window`` neighbours in an order, however many copies it has.  Orders grow with the table, so
+    that recall does not fall.  Neighbours on both sides of a partition's border are not seen in that order."""
+    if radius is None:
+        radius = round(128 * apart(similarity) + 2.6 * math.sqrt(128 * apart(similarity) * (1 - apart(similarity))))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in scratch.small_batches(batches):
+            both = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["rid", "high", "low"])
+
+    marked = scratch.table(texts.select("rid", "text").mapInArrow(prints, "rid long, high long, low long"), "wide-prints")
+    orders = orders_needed(marked.count(), similarity, window)
+    picks = [np.random.default_rng([SEED, k]).permutation(128)[:64] for k in range(orders)]
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.unpackbits(np.stack([c.to_numpy() for c in b.columns[1:]], axis=1).astype(">i8").view(np.uint8).reshape(-1, 16), axis=1)
+            for k, pick in enumerate(picks):
+                key = np.ascontiguousarray(np.packbits(bits[:, pick], axis=1)).view(">i8").ravel().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), *b.columns], names=["ord", "key", "rid", "high", "low"])
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            new = [c.to_numpy() for c in (b.column(0), b.column(2), b.column(3), b.column(4))]
+            old = 0 if held is None else len(held[0])
+            at, rid, high, low = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            found = []
+            for k in range(1, min(window, len(at) - 1) + 1):
+                i = np.arange(max(0, old - k), len(at) - k)
+                bits = np.bitwise_count((high[i] ^ high[i + k]).view(np.uint64)).astype(int) + np.bitwise_count((low[i] ^ low[i + k]).view(np.uint64))
+                i = i[(at[i] == at[i + k]) & (bits <= radius)]
+                found.append(np.stack([np.minimum(rid[i], rid[i + k]), np.maximum(rid[i], rid[i + k])], axis=1))
+            held = [x[-window:] for x in (at, rid, high, low)]
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    rows = marked.mapInArrow(ordered, "ord int, key long, rid long, high long, low long").repartitionByRange("ord", "key").sortWithinPartitions("ord", "key", "rid")
+    return rows.mapInArrow(neighbours, "a long, b long").distinct()
+
+
+def similar_pairs(texts: DataFrame, shingle: int, similarity: float, **options) -> DataFrame:
+    """Candidate pairs of ``rid, text`` whose distinct shingles have this Jaccard similarity or more: ``a, b``, each verified."""
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in scratch.small_batches(batches):
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = shingle_hashes(x.as_py(), shingle), shingle_hashes(y.as_py(), shingle)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = scratch.table(candidate_pairs(texts, shingle, similarity, **options), "near-candidates")
+    sides = [texts.select(F.col("rid").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_text", "b_text").mapInArrow(verified, "a long, b long")
+
+
+def drop_similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of rows that verified pairs connect the one with the smallest id (none is largest)."""
+    mark = "__sedgeline_rid"
+    rows = scratch.table(docs.withColumn(mark, F.monotonically_increasing_id()), "near-rows")
+    links = similar_pairs(rows.select(F.col(mark).alias("rid"), F.col(text_col).alias("text")), shingle, similarity, **options)
+    found = components(links.toDF("u", "v"))
+    named = found.join(rows.select(F.col(mark).alias("node"), F.col(id_col).alias("id")), "node")
+    stays = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).getField("node").alias("stays"))
+    gone = named.join(stays, "component").where("node <> stays").select(F.col("node").alias(mark))
+    return rows.join(gone, mark, "left_anti").select(*docs.columns)
