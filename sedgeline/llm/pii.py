@@ -5,11 +5,13 @@ come from splitting a text at the pattern: the pieces between matches and the ma
 their lengths (a window over the matches of one document) are the offsets, in code points.
 
 *Patterns.*  Words before and after a seed are its lexical patterns: the two words before, the two after, and one of
-each.  *Candidates* are other tokens that look like identifiers (a digit, six characters or more, outside every seed).
+each.  *Candidates* are other tokens that look like identifiers (a digit or @, six characters or more, outside every
+seed) and groups of digits with spaces, brackets or other separators between them.
 Patterns and values form a bipartite graph.  Round by round a pattern's score is the share of the weight of its values
 that is known to be of a kind, damped by ``PRIOR`` unknown values, and a value's score is the noisy-or of its patterns'
-scores; only patterns with ``SUPPORT`` different seed values and a score of ``SURE`` or more pass anything on.  Values
-of score ``SURE`` or more whose shape a seed of that kind has are new identifiers wherever they stand in such a context.
+scores; only patterns with ``SUPPORT`` different seeds or sure values and a score of ``SURE`` or more pass anything on.
+Values of score ``SURE`` or more that may be of the kind by ``FITS`` and ``DIGITS`` are new identifiers wherever they
+stand in such a context; from the next round on they count for patterns as seeds do.
 
 All scoring is grouping with map-side aggregation and joins of score tables; a hot pattern ("the") is one more key for
 the aggregation, and its low score keeps it out of the join.
@@ -48,7 +50,11 @@ PATTERNS = {
 #: Cheap tests that a text may hold a match at all.
 MAY_HOLD = {"email": "@[A-Za-z0-9-]+\\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 _TOKEN = r"\-A-Za-z0-9._%+@/=:"
-CANDIDATE = rf"(?<![{_TOKEN}])(?=[{_TOKEN}&&[^0-9]]{{0,63}}+[0-9])[{_TOKEN}]{{6,64}}+(?![{_TOKEN}])"
+_GROUPS = rf"(?<![{_TOKEN}(])\(?[0-9]++(?:[ ()/.-]{{1,3}}[0-9]++){{1,18}}(?![{_TOKEN}])"
+CANDIDATE = rf"{_GROUPS}|(?<![{_TOKEN}])(?=[{_TOKEN}&&[^0-9@]]*+[0-9@])[{_TOKEN}]{{6,}}+"
+#: What a learned value of a kind may look like, and how many digits it may have.
+FITS = {"email": "^[^@]+@[^@]+$", "ip": "^[0-9a-f]*(?:[.:][0-9a-f]*){3,7}$", "card": "^[0-9][0-9 -]*$", "phone": "^[+(]?[0-9][0-9 ()./-]*$"}
+DIGITS = {"card": (12, 19), "phone": (9, 15)}
 
 
 def _prepared(kind: str, text: Column) -> Column:
@@ -89,7 +95,7 @@ def matches(texts: DataFrame) -> DataFrame:
     own matches of a pattern."""
     held = []
     for kind in (*KINDS, None):
-        may, pattern, text = (MAY_HOLD[kind], PATTERNS[kind], _prepared(kind, F.col("text"))) if kind else ("[0-9]", CANDIDATE, F.col("text"))
+        may, pattern, text = (MAY_HOLD[kind], PATTERNS[kind], _prepared(kind, F.col("text"))) if kind else ("[0-9@]", CANDIDATE, F.col("text"))
         gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).cast("long").alias("size"), F.right(g, F.lit(CONTEXT)).alias("tail"), F.left(g, F.lit(CONTEXT)).alias("head")))
         held.append(F.when(F.col("text").rlike(may), F.struct(F.lit(kind).cast("string").alias("kind"), gaps.alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))))
     rows = texts.select("rid", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())).alias("x")).where("size(x.found) > 0")
@@ -111,39 +117,39 @@ def without_overlaps(found: DataFrame) -> DataFrame:
 
 
 def _patterns(places: DataFrame) -> DataFrame:
-    """``pattern, value, kind, shape``: the lexical patterns of places, each combination once."""
+    """``pattern, value, kind``: the lexical patterns of places, each combination once."""
     word = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}]+", "")
     side = lambda c: F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)), word), lambda w: w != "")
     at = lambda a, i: F.coalesce(F.get(a, F.lit(i)), F.lit(""))
-    rows = places.select("kind", F.lower("value").alias("value"), _shape(F.col("value")).alias("shape"), F.reverse(side(F.col("before"))).alias("l"), side(F.col("after")).alias("r"))
+    rows = places.select("kind", F.lower("value").alias("value"), F.reverse(side(F.col("before"))).alias("l"), side(F.col("after")).alias("r"))
     forms = F.array(
         F.concat(at("l", 1), F.lit(" "), at("l", 0), F.lit(" _")),
         F.concat(F.lit("_ "), at("r", 0), F.lit(" "), at("r", 1)),
         F.concat(at("l", 0), F.lit(" _ "), at("r", 0)),
     )
-    return rows.select("kind", "value", "shape", F.explode(forms).alias("pattern")).distinct()
+    return rows.select("kind", "value", F.explode(forms).alias("pattern")).distinct()
 
 
-def _shape(value: Column) -> Column:
-    """Which signs a value is made of; letters and digits count as one sign each."""
-    return F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Za-z]+", "a"), ""))), "")
+def _fits(kind: Column, value: Column) -> Column:
+    """Whether a lower-cased value may be of a kind."""
+    tests = [F.when(kind == k, value.rlike(FITS[k]) & (F.length(_digits(value)).between(*DIGITS[k]) if k in DIGITS else F.lit(True))) for k in KINDS]
+    return F.coalesce(*tests, F.lit(False))
 
 
 def learned_values(base: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``value, kind, score`` of the candidates that the patterns of seeds lead to."""
     graph = scratch.table(_patterns(base).unionByName(_patterns(candidates)), "pii-graph")
     sizes = graph.groupBy("pattern").agg(F.count_distinct("value").alias("values"))
-    shapes = graph.where("kind is not null").select("kind", "shape").distinct()
-    unknown = graph.where("kind is null").select("pattern", "value", "shape")
+    unknown = graph.where("kind is null").select("pattern", "value")
     known = graph.where("kind is not null").select("pattern", "value", "kind", F.lit(1.0).alias("score"), F.lit(1).alias("seed"))
     learned = None
     for _ in range(rounds):
         weights = known.groupBy("pattern", "kind").agg(F.sum("score").alias("weight"), F.sum("seed").alias("support")).where(F.col("support") >= SUPPORT)
         scores = weights.join(sizes, "pattern").select("pattern", "kind", (F.col("weight") / (F.col("values") + PRIOR)).alias("p")).where(F.col("p") >= SURE)
-        reached = unknown.join(scores, "pattern").join(shapes, ["kind", "shape"], "left_semi")
+        reached = unknown.join(scores, "pattern").where(_fits(F.col("kind"), F.col("value")))
         learned = reached.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.999)))))).alias("score")).where(F.col("score") >= SURE)
         learned = scratch.table(learned, "pii-learned")
-        passed = unknown.join(learned, "value").select("pattern", "value", "kind", "score", F.lit(0).alias("seed"))
+        passed = unknown.join(learned, "value").select("pattern", "value", "kind", "score", F.lit(1).alias("seed"))
         known = graph.where("kind is not null").select("pattern", "value", "kind", F.lit(1.0).alias("score"), F.lit(1).alias("seed")).unionByName(passed)
     return learned
 
