@@ -1,6 +1,8 @@
-"""Shared scratch tables below the folder that the cluster names in ``spark.checkpoint.dir``.
+"""Shared scratch space: tables that cut lineage and survive lost executors.
 
-Only where that setting is absent (tests, a laptop) a temporary folder of this machine is used.
+Everything goes below the folder the cluster names in ``spark.checkpoint.dir``.  Only where that setting is absent and
+the master is local (tests, a laptop) a temporary folder of this machine is used; on a cluster its absence is an error,
+as no machine's own folder is seen by the others.
 """
 
 from __future__ import annotations
@@ -18,13 +20,28 @@ def _own_folder(app_id: str) -> str:
 
 
 def root(spark: SparkSession) -> str:
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(app)
+    """Folder of this application below ``spark.checkpoint.dir``."""
+    app, base = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = _own_folder(app)
     return f"{base.rstrip('/')}/sedgeline/{app}"
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path that no other call gets."""
+    return f"{root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet and read back: computed once, whatever executors are lost later."""
-    path = f"{root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's scratch files.  Call it when all results have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
