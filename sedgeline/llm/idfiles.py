@@ -6,9 +6,13 @@ then the documents' ids (signed), the documents' first ids within the file with
 byte offsets within the payload with its length as last entry; then the payload, each block padded to whole bytes.
 Block offsets let numpy unpack any range of ids from the few blocks that hold it, without reading the rest.
 
-Documents are ordered by id across files: rows are range-partitioned and sorted by id before they are tokenized, so
-each task writes the file of its range.  Nulls come first.  A retried task writes the same file again and renames it
-into place.
+Documents are ordered by id across files: rows are range-partitioned and sorted by id, rows of the same id (or none) by
+place in the table, before they are tokenized, so each task writes the files of its range, however many rows share an
+id.  Nulls come first.  A retried task writes the same file again and renames it into place.  Files are read back in as
+many tasks as there are files.
+
+Defined results: a null or empty text has its end id alone; rows that repeat are documents of their own; an empty table
+writes no file and reads back empty; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,14 +121,18 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer: str, style: str, end
         flush()
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*files, strict=True) if files else ((),) * 5, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "file_no", "path", "n_docs", "n_ids"])
 
-    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    ranged = rows.repartitionByRange("doc_id", "rid").sortWithinPartitions("doc_id", "rid").drop("rid")
     return scratch.table(ranged.mapInArrow(write, "part long, file_no long, path string, n_docs long, n_ids long"), "idfiles")
 
 
 def read_id_files(files: DataFrame) -> DataFrame:
     """From a list of files, per document: ``doc_id, start`` (ids of all documents before it), ``n_tokens, ids_crc32``."""
-    before = F.sum("n_ids").over(Window.orderBy("part", "file_no").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
-    based = files.withColumn("base", F.coalesce(before, F.lit(0)))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each task that wrote
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("part_base"))
+    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))
+    based = files.withColumn("within", F.coalesce(within, F.lit(0))).join(parts, "part").select("path", (F.col("part_base") + F.col("within")).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,4 +149,4 @@ def read_id_files(files: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return based.select("path", "base").repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return scratch.spread(based, "path", scratch.file_count(files)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

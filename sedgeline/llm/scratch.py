@@ -1,61 +1,62 @@
-"""Shared scratch space: tables and files that cut lineage and survive lost executors.
-
-Everything goes below the folder the cluster names in ``spark.checkpoint.dir``.  Only where that setting is absent
-(tests, a laptop) a temporary folder of this machine is used.
-"""
+"""Files and row ids of this subpackage on the shared scratch space (see ``sedgeline.scratch``)."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-@functools.cache
-def _own_folder(app_id: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="sedgeline-")
+from sedgeline.scratch import new_path, release, root, table
 
+__all__ = ["file_count", "get", "new_path", "numbered", "opened", "put", "release", "root", "small_batches", "spread", "table", "writing"]
 
-def root(spark: SparkSession) -> str:
-    """Folder of this application below ``spark.checkpoint.dir``."""
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(app)
-    return f"{base.rstrip('/')}/sedgeline/{app}"
+MOST_TASKS = 20_000  # among which a list of files is dealt
+BATCH_CHARS = 8 << 20
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path that no other call gets."""
-    return f"{root(spark)}/{label}-{uuid.uuid4().hex}"
+def numbered(docs: DataFrame, mark: str, label: str) -> DataFrame:
+    """``docs`` with a number for each row in column ``mark``, written once, so that every later read sees the same."""
+    return table(docs.withColumn(mark, F.monotonically_increasing_id()), label)
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that outlives executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def file_count(files: DataFrame) -> int:
+    """Tasks for a list of files: one for each, up to ``MOST_TASKS``."""
+    return max(1, min(files.count(), MOST_TASKS))
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this application's scratch files.  Call it when all results have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def spread(files: DataFrame, name: str, tasks: int) -> DataFrame:
+    """A list of files in ``tasks`` partitions of about the same number.  An explicit number is not coalesced again."""
+    return files.repartitionByRange(tasks, name)
 
 
-def put(uri: str, data: bytes) -> None:
-    """Write a file from a task.  A retried task replaces it whole: a private name is renamed at the end."""
+@contextmanager
+def writing(uri: str) -> Iterator[pa.NativeFile]:
+    """A file to write from a task, whole or not at all: a private name is renamed at the end."""
     fs, path = _filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(own) as out:
-        out.write(data)
+        yield out
     fs.move(own, path)
 
 
+def put(uri: str, data: bytes) -> None:
+    """Write a file from a task.  A retried task replaces it whole."""
+    with writing(uri) as out:
+        out.write(data)
+
+
+def opened(uri: str) -> pa.NativeFile:
+    """A file to read from start to end."""
+    fs, path = _filesystem(uri)
+    return fs.open_input_stream(path, compression=None)
+
+
 def get(uri: str, start: int = 0, length: int | None = None) -> bytes:
     """Read a file, or ``length`` bytes of it from ``start``."""
     fs, path = _filesystem(uri)
@@ -71,8 +72,14 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``: what a task makes of a batch of long texts stays small."""
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` and about ``size`` bytes (one row at least), so that what a task
+    makes of a batch of long texts stays small."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        step = max(1, min(rows, rows if b.nbytes <= size else size * b.num_rows // b.nbytes))
+        for i in range(0, b.num_rows, step):
+            part = b.slice(i, step)
+            if part.num_rows > 1 and part.nbytes > 2 * size:  # a few long texts among short ones
+                yield from (part.slice(k, 1) for k in range(part.num_rows))
+            else:
+                yield part
