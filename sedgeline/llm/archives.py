@@ -325,4 +325,4 @@ def archive_pages(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES)
     found = read_warcs(convert_arcs(names, folder, least_bytes, index), folder).withColumnRenamed("refers_to", "to")
     ids = index.select("record_id", "page_id")
     firsts = index.select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"))
-    return found.join(ids, "record_id").join(firsts, "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload")
+    return found.join(ids.hint("merge"), "record_id").join(firsts.hint("merge"), "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload")

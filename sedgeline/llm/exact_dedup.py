@@ -33,8 +33,8 @@ def text_digest(text: Column) -> Column:
     return F.sha2(lowered, 256)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_heavy: int = MAX_HEAVY) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.  ``keep_id`` is the group's largest id."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, max_heavy: int) -> DataFrame:
+    """One row per input row: ``doc_id, text_sha256, n, w`` (null for texts that are alone) ``, rid, heavy``."""
     rows = scratch.table(
         docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("text_sha256")).withColumn("rid", F.monotonically_increasing_id()),
         "digests",
@@ -48,22 +48,38 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labelled = rows.join(F.broadcast(heavy), "text_sha256", "left")
     rest = rows.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
     groups = rest.groupBy("text_sha256").agg(winner.alias("w"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    both = labelled.where("n is not null").unionByName(rest.join(groups, "text_sha256", "left"))
-    return both.select(
+    return labelled.where("n is not null").withColumn("heavy", F.lit(True)).unionByName(rest.join(groups, "text_sha256", "left").withColumn("heavy", F.lit(False)))
+
+
+def _kept() -> Column:
+    return F.col("n").isNull() | (F.col("w.rid") == F.col("rid"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_heavy: int = MAX_HEAVY) -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.  ``keep_id`` is the group's largest id."""
+    return _groups(docs, id_col, text_col, max_heavy).select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("w.doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("n").isNull() | (F.col("w.rid") == F.col("rid"))).alias("kept"),
+        _kept().alias("kept"),
         "text_sha256",
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    mark = "__sedgeline_digest"
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__sedgeline_id"), F.col("text_sha256").alias(mark))
-    on = [F.col("__sedgeline_own") == F.col(mark), F.col(id_col).eqNullSafe(F.col("__sedgeline_id"))]
-    out = docs.withColumn("__sedgeline_own", text_digest(F.col(text_col))).join(kept, on, "left_semi")
-    # copies that share even their id are told apart only here
-    twins = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return (out.dropDuplicates([id_col, "__sedgeline_own"]) if twins else out).drop("__sedgeline_own")
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_heavy: int = MAX_HEAVY) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Copies of heavy digests go map-side: the digests and their winners' ids are broadcast.  Of the rest, the list of
+    copies (ids and digests) is anti-joined.  Where copies share even their id, the smallest row of them stays."""
+    own, winner_id, loser_id = "__sedgeline_own", "__sedgeline_winner", "__sedgeline_id"
+    groups = scratch.table(_groups(docs, id_col, text_col, max_heavy).where("n is not null").withColumn("kept", _kept()), "groups")
+    twins = F.col("doc_id").eqNullSafe(F.col("w.doc_id"))
+    out = docs.withColumn(own, text_digest(F.col(text_col)))
+    heavy = groups.where("heavy and kept").select(F.col("text_sha256").alias("__sedgeline_heavy"), F.col("doc_id").alias(winner_id))
+    out = out.join(F.broadcast(heavy), F.col(own) == F.col("__sedgeline_heavy"), "left")  # at most max_heavy rows
+    out = out.where(F.col("__sedgeline_heavy").isNull() | F.col(id_col).eqNullSafe(F.col(winner_id))).drop("__sedgeline_heavy", winner_id)
+    losers = scratch.table(groups.where(~F.col("heavy") & ~F.col("kept") & ~twins).select(F.col("doc_id").alias(loser_id), F.col("text_sha256").alias("__sedgeline_digest")).distinct(), "losers")
+    out = out.join(losers, (F.col(own) == F.col("__sedgeline_digest")) & F.col(id_col).eqNullSafe(F.col(loser_id)), "left_anti")
+    if groups.where(~F.col("kept") & twins).limit(1).count():
+        out = out.groupBy(id_col, own).agg(F.min(F.struct(*docs.columns)).alias("__sedgeline_row")).select("__sedgeline_row.*")
+    return out.select(*docs.columns)

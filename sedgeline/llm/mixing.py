@@ -6,13 +6,15 @@ what the sources still owe, so the shards differ at random and the totals come o
 source is mapped through a keyed pseudorandom permutation of the source's block numbers, one permutation an epoch, and
 slots and blocks are joined by block number.  The last slot of a source is cut to the word.
 
-Nothing but one row per source (size) and per source and shard (slots) is on the driver.  Where a document starts
-within its source comes from sums over hash ranges of the source's documents, so a source with a third of all rows is
-spread over ``RANGES`` groups and more where rows ask for it.
+Nothing but one row per source (at most ``MOST_SOURCES``) and one per source and shard is on the driver.  Shards grow with the
+mix up to ``MOST_SHARDS``; the slots of a shard and source are numbered in runs of ``RUN_SLOTS``.  Where a document starts within its source comes from
+sums over hash ranges of the source's rows, so a source with a third of all rows is spread over ``RANGES`` groups and
+more where rows ask for it; rows that share an id (or have none) are spread by their texts.
 
 Defined results: a null text has no words; a null source is a source of its own, last in order; sources are ordered by
-code point and weigh 3, 1, 2, repeating.  Null ids and repeated rows are rows of their own.  An empty table gives an
-empty mix.  Extra columns are ignored, whatever their names.
+code point and weigh 3, 1, 2, repeating.  Null ids and repeated rows are rows of their own, in the report and in the
+mix.  An empty table gives an empty mix.  Extra columns are ignored, or kept with the pieces, whatever their names.
+More sources than ``MOST_SOURCES`` are an error: their shares would not be weights but single documents.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sedgeline.llm import scratch
 
@@ -32,7 +35,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_REPEATS = 2
 BLOCK_WORDS = 512
-SHARDS = 64
+SHARDS, MOST_SHARDS, SHARD_SLOTS = 64, 4096, 1 << 16  # shards of about that many slots, at least and at most
+RUN_SLOTS = 1 << 16
+MOST_SOURCES = 100_000
 SEED = 17
 RANGES = 256
 RANGE_ROWS = 50_000
@@ -135,19 +140,20 @@ def shard_draws(slots: list[int], shards: int = SHARDS, seed: int = SEED) -> np.
     return out
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    return scratch.table(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, rid: Column) -> DataFrame:
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text).alias("size"), F.xxhash64(F.col(id_col), text).alias("place"), rid.alias("rid"))
+    return scratch.table(rows, "sizes")
 
 
 def _starts(sized: DataFrame, rows: int) -> DataFrame:
-    """Adds ``start``: the words of the source before the document, in an order by hash range and id."""
+    """Adds ``start``: the words of the source before the row, in an order by hash range, id and text."""
     n = max(RANGES, -(-rows // RANGE_ROWS))
-    ranged = sized.withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    ranged = sized.withColumn("range", F.pmod("place", F.lit(n)))
     sums = ranged.groupBy("source_no", "range").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("source_no", "range", F.coalesce(before, F.lit(0)).alias("base"))
-    within = F.sum("size").over(Window.partitionBy("source_no", "range").orderBy("doc_id", "rid").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("size").over(Window.partitionBy("source_no", "range").orderBy("doc_id", "place", "rid").rowsBetween(Window.unboundedPreceding, -1))
     return ranged.withColumn("within", F.coalesce(within, F.lit(0))).join(sums, ["source_no", "range"]).withColumn("start", F.col("base") + F.col("within"))
 
 
@@ -172,27 +178,33 @@ def _slots(spark: SparkSession, quotas: list[Quota], blocks: list[int], shards:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, source, slot, number, words)], names=["shard", "source_no", "slot", "block_no", "words"])
 
     planned = spark.createDataFrame(plan, "shard int, source_no int, first long, n long").repartition(shards, "shard")
-    slots = planned.selectExpr("shard", "source_no", "explode(sequence(first, first + n - 1)) AS slot")
+    runs = planned.selectExpr("shard", "source_no", "first", "n", f"explode(sequence(0L, (n - 1) div {RUN_SLOTS})) AS run")
+    slots = runs.selectExpr("shard", "source_no", f"explode(sequence(first + run * {RUN_SLOTS}, first + least(n, (run + 1) * {RUN_SLOTS}) - 1)) AS slot")
     return slots.mapInArrow(permuted, "shard int, source_no int, slot long, block_no long, words long")
 
 
 @dataclass(frozen=True)
 class Mix:
     """``sized``: one row per input row with its source's size and target.  ``pieces``: what the mix takes, as rows
-    ``rid, doc_id, shard, source_no, slot, from_word, to_word`` (word numbers within the document, end exclusive)."""
+    ``rid, doc_id, shard, source_no, slot, from_word, to_word, in_block`` (word numbers within the document, end exclusive,
+    and the first one's within the block)."""
 
     sized: DataFrame
     pieces: DataFrame
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
-        share: float = SHARE, most: float = MOST_REPEATS, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> Mix:
-    spark, sized = docs.sparkSession, _sized(docs, id_col, text_col, source_col)
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()  # a row for each source
+        share: float = SHARE, most: float = MOST_REPEATS, block: int = BLOCK_WORDS, shards: int | None = None, seed: int = SEED, rid: Column | None = None) -> Mix:
+    """``rid``: what tells the rows apart; by default their place in the table."""
+    spark, sized = docs.sparkSession, _sized(docs, id_col, text_col, source_col, F.monotonically_increasing_id() if rid is None else rid)
+    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     want = targets({r["source"]: r["size"] for r in found}, weights, share, most)
     quotas = [quota(r["size"], min(round(want[r["source"]]), math.floor(most * r["size"])), i, block, seed) for i, r in enumerate(found)]
     blocks = [max(1, -(-r["size"] // block)) for r in found]
+    shards = shards or max(SHARDS, min(MOST_SHARDS, sum(q.slots for q in quotas) // SHARD_SLOTS))
     table = [(r["source"], i, r["size"], float(want[r["source"]])) for i, r in enumerate(found)]
     sources = spark.createDataFrame(table, "source string, source_no int, source_size long, target double")
     sized = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
@@ -202,7 +214,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = _slots(spark, quotas, blocks, shards, block, seed)
     pieces = parts.join(slots.hint("merge"), ["source_no", "block_no"]).selectExpr(
         "rid", "doc_id", "shard", "source_no", "slot", f"greatest(block_no * {block}, start) - start AS from_word",
-        f"least(block_no * {block} + words, start + size) - start AS to_word",
+        f"least(block_no * {block} + words, start + size) - start AS to_word", f"greatest(block_no * {block}, start) - block_no * {block} AS in_block",
     ).where("from_word < to_word")
     return Mix(sized, pieces)
 
@@ -214,34 +226,42 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     return m.sized.join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars",
+                    placed: bool = False, **options) -> DataFrame:
     """The mix itself: a row for each piece that it takes, with the columns of ``docs`` and the piece as text.
 
-    Pieces keep the white space within them.  Ids must tell rows apart here: of rows that share an id each gets the
-    pieces of all that fit its length, and rows without an id are left out.
-    """
-    m = mix(docs, id_col, text_col, source_col, **options)
-    spans = m.pieces.where("doc_id is not null").groupBy(F.col("doc_id").alias("__sedgeline_id")).agg(F.array_sort(F.collect_list(F.struct("slot", "from_word", "to_word"))).alias("__sedgeline_spans"))
-    joined = docs.join(spans, F.col(id_col) == F.col("__sedgeline_id"))
-    schema, cut = docs.schema, r"[^\x20\x09-\x0D]+"
+    Pieces keep the white space within them.  If ``placed``, columns ``mix_shard, mix_slot, mix_offset`` say where a
+    piece goes: the pieces of a shard in the order of slot and offset are its fixed-length blocks.  Rows are numbered
+    once, in a written table, so rows without an id or with another row's are mixed like any other."""
+    mark, at = "__sedgeline_rid", "__sedgeline_spans"
+    docs = scratch.numbered(docs, mark, "mix-rows")
+    m = mix(docs, id_col, text_col, source_col, rid=F.col(mark), **options)
+    spans = m.pieces.groupBy(F.col("rid").alias(mark)).agg(F.array_sort(F.collect_list(F.struct("slot", "from_word", "to_word", "shard", "in_block"))).alias(at))  # of one row
+    joined = docs.join(spans, mark)
+    schema = docs.drop(mark).schema
+    names, extra = schema.names, ("mix_shard", "mix_slot", "mix_offset") if placed else ()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        word, names = re.compile(cut), schema.names
+        word = re.compile(WORD)
         for b in scratch.small_batches(batches):
-            rows, texts = [], []
-            for i, (text, spans) in enumerate(zip(b.column(names.index(text_col)), b.column(b.schema.names.index("__sedgeline_spans")), strict=True)):
-                at = [w.span() for w in word.finditer(text.as_py())]
+            rows, texts, places = [], [], []
+            for i, (text, spans) in enumerate(zip(b.column(names.index(text_col)), b.column(len(names)), strict=True)):
+                text = text.as_py()
+                cuts = [w.span() for w in word.finditer(text)]
                 for s in spans.as_py():
-                    if s["to_word"] > len(at):
-                        continue
                     rows.append(i)
-                    texts.append(text.as_py()[at[s["from_word"]][0] : at[s["to_word"] - 1][1]])
+                    texts.append(text[cuts[s["from_word"]][0] : cuts[s["to_word"] - 1][1]])
+                    places.append((s["shard"], s["slot"], s["in_block"]))
             picked = b.take(pa.array(rows, pa.int64()))
             columns = {n: picked.column(k) for k, n in enumerate(names)} | {text_col: pa.array(texts, pa.string())}
             if chars_col in names:
                 columns[chars_col] = pa.array([len(t) for t in texts], b.schema.field(chars_col).type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+            more = [pa.array(list(c), pa.int64()) for c in zip(*places, strict=True)] if placed and places else [pa.array([], pa.int64())] * len(extra)
+            yield pa.RecordBatch.from_arrays([*(columns[n] for n in names), *more], names=[*names, *extra])
 
-    return joined.select(*schema.names, "__sedgeline_spans").mapInArrow(take, schema)
+    out = schema
+    for c in extra:
+        out = StructType([*out.fields, StructField(c, LongType())])
+    return joined.select(*names, at).mapInArrow(take, out)

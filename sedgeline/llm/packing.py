@@ -1,12 +1,14 @@
 """Packing token sequences: first-fit decreasing over a tournament tree of bin capacities.
 
-Documents are tokenized, cut into pieces of at most ``LENGTH`` tokens where they are longer, and dealt at random (by a
-keyed hash of the id) into groups of about ``GROUP_DOCS`` documents.  Each group is packed on its own: pieces by falling
-length, each into the first sequence with room, which the tree finds in the logarithm of the number of sequences.  A
-group's size is bounded by the parameter whatever the table holds, and only the pieces' lengths move to it.
-
-Defined results: a null text is empty and still has its end token.  Null ids are packed like any other, each row on
-its own.  Rows that repeat are packed each.  Extra columns are ignored.
+Documents are tokenized once, into a written table of pieces of at most ``LENGTH`` tokens.  A full piece is a sequence by
+itself and is not moved again.  What is left is one shorter piece a document at most; these are dealt at random (by a
+keyed hash of row and id) into groups of about ``GROUP_DOCS`` documents.  Each group is packed on its own: pieces by
+falling length, each into the first sequence with room, which the tree finds in the logarithm of the number of
+sequences.  So a group is bounded by the parameters, ``GROUP_DOCS`` pieces of less than ``LENGTH`` tokens, however long the
+documents are and whatever ids they share.
+
+Defined results: a null text is empty and still has its end token.  Null ids and rows that repeat or share an id are
+packed each on its own.  An empty table gives an empty table.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgeline.llm import tokens
+from sedgeline.llm import scratch, tokens
 from sedgeline.llm.scratch import small_batches
 
 LENGTH = 2048
@@ -77,18 +80,25 @@ def pack_group(pieces: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
     return pieces
 
 
+_PIECE = {"doc_id": pa.int64(), "rid": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "full": pa.int64(), "ids": pa.binary()}
+
+
 def _pieces(path: str, style: str, end_id: int, length: int, keep_ids: bool):
+    """Rows to pieces; ``full`` numbers the task's full pieces and is null for others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path, style)
+        enc, full = tokens.encoder(path, style), TaskContext.get().partitionId() << 33
         for b in small_batches(batches):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "rid", "start", "length", "ids_crc32", "doc_tokens", "ids")}
+            out: dict[str, list] = {k: [] for k in _PIECE}
             for doc, rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 ids = np.append(enc.ids(text.as_py()).astype("<u4"), np.uint32(end_id))
                 for start in range(0, len(ids), length):
                     raw = ids[start : start + length].tobytes()
-                    for k, v in zip(out, (doc, rid, start, len(raw) // 4, zlib.crc32(raw), len(ids), raw), strict=True):
-                        out[k].append(v if k != "ids" or keep_ids else None)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()], names=list(out))
+                    whole = len(raw) == 4 * length
+                    for k, v in zip(out, (doc, rid, start, len(raw) // 4, zlib.crc32(raw), len(ids), full if whole else None, raw if keep_ids else None), strict=True):
+                        out[k].append(v)
+                    full += whole
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), _PIECE.values(), strict=True)], names=list(out))
 
     return run
 
@@ -97,15 +107,21 @@ def packed_pieces(docs: DataFrame, tokenizer: str, style: str = "spaced", id_col
                   end_id: int = END_ID, group_docs: int = GROUP_DOCS, seed: int = SEED, keep_ids: bool = True) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked, ``ids``
     (little-endian unsigned 32-bit), which in the order of ``sequence_id, offset`` are the packed sequences."""
-    groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
-    cut = rows.mapInArrow(_pieces(tokenizer, style, end_id, length, keep_ids), "doc_id long, rid long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.coalesce("doc_id", "rid"), F.lit(seed)), F.lit(groups)))
+    schema = "doc_id long, rid long, start long, length long, ids_crc32 long, doc_tokens long, full long, ids binary"
+    cut = scratch.table(rows.mapInArrow(_pieces(tokenizer, style, end_id, length, keep_ids), schema), "pieces")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+    # full pieces: numbers from 2 ** 62 on, which no group reaches
+    alone = cut.where("full is not null").withColumn("sequence_id", F.col("full") + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long")).select(*names)
+    rest = cut.where("full is null").drop("full")
+    groups = max(1, -(-rest.count() // group_docs))
+    dealt = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "rid", F.lit(seed)), F.lit(groups)))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pack_group(pdf, length)
-        pdf["sequence_id"] = pdf["group"] * (1 << 38) + pdf["bin"]
-        return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]]
+        pdf["sequence_id"] = pdf["group"] * (1 << 24) + pdf["bin"]
+        return pdf[names]
 
     packed = dealt.groupBy("group").applyInPandas(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
-    return packed if keep_ids else packed.drop("ids")
+    both = packed.unionByName(alone)
+    return both if keep_ids else both.drop("ids")

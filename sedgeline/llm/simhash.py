@@ -1,26 +1,32 @@
 """SimHash near-dedup by segment-popcount embedding.
 
-A 64-bit fingerprint is embedded as the bit counts of its 32 two-bit segments.  The Manhattan distance of two such
-vectors never exceeds the Hamming distance of the fingerprints.  Two fingerprints at distance 2 or less differ by at
-most one in one of the two halves of the vector, so in at most one of its 16 axes: a grid whose cell is a half with one
-axis left open holds both.  Each distinct fingerprint therefore goes to 32 cells, and
-
-* cells of up to ``PAIR_CELL`` fingerprints are joined with themselves under the Manhattan bound, then verified by the
-  exact bit distance;
-* larger cells (thousands of near copies) would give pairs by the square.  Their fingerprints are verified through
-  centres instead: two of them link, directly or through others of the same centre, if both lie within one bit of the
-  centre, and any two within two bits share one.  65 rows a fingerprint, at most 65 fingerprints a centre, no link lost
-  between components.
+A fingerprint is embedded as the bit counts of its two-bit segments, the axes.  The Manhattan distance of two such vectors
+never exceeds the Hamming distance of the fingerprints.  Counts are written in unary (00, 01, 11), so that the Manhattan
+distance of two vectors is the number of bits in which their codes differ.
+
+*Two bits apart* (:func:`near_components`).  Fingerprints of 64 bits at distance 2 or less differ on at most two of the
+32 axes, so in at most two of eight blocks of four axes.  A grid has one of the 28 pairs of blocks left open; its cells
+are vectors that agree on the other 24 axes (34 bits of selectivity, so that cells of unlike fingerprints hold less than
+one on average up to some billion of them).  Each distinct fingerprint lies in a cell of each grid; cells are joined with themselves under
+the Manhattan bound, and what is left is verified by the exact bit distance.  Cells that hold more than ``CELL``
+fingerprints are thousands of near copies and would give pairs by the square: they are split by the finest grid, of
+one-bit segments, whose cells have one axis left open around a centre.  Any two fingerprints within two bits share
+such a cell; it has at most 65 fingerprints, all within two bits of each other, so a star links them.
+
+*Of a given similarity* (:func:`similar_classes`, :func:`drop_similar_copies`).  Shingle and similarity are parameters.
+Similarity 0.8 is about 19 of 128 bits, which no grid holds for sure.  So there are several grids, each of a bit
+permutation of its own; their number follows from the similarity, the wanted recall and, by its logarithm, the number of
+texts.  In the order of a grid's axes a cell is a run; each fingerprint meets its ``WINDOW`` neighbours on either side, so
+cells of up to that size are joined whole, and larger ones by parts that agree on further axes.  Pairs under the Manhattan
+bound and then within the bits are verified by the Jaccard similarity of the texts' own shingles.
 
 Equal fingerprints are collapsed first, so a group of copies of any size is one node.
 Defined results: words are runs of anything but ASCII white space; A-Z are lower-cased; a null text is empty; no word
 gives fingerprint zero, which links like any other.  A row without an id takes the component of the rows with its
 fingerprint; a fingerprint that only such rows have is no node, and its component is null.  Rows that repeat are all
-returned.  Extra columns are ignored.
-
-:func:`drop_similar_copies` takes shingle and similarity as parameters.  The grid holds no radius that finds similarity
-0.8 (about 19 of 128 bits apart), so it looks for candidates in sorted orders of a wide fingerprint and verifies each
-pair's Jaccard similarity on the texts.
+returned by :func:`near_components`; :func:`drop_similar_copies` tells rows apart by place, not by id, and of a class
+keeps the row with the smallest id, none being largest, then the smallest text.  An empty table gives an empty table.
+Extra columns are ignored, or kept with the rows that stay.
 """
 
 from __future__ import annotations
@@ -40,9 +46,9 @@ from sedgeline.llm.components import components
 SHINGLE = 3
 SEED = 42
 BITS_APART = 2
-PAIR_CELL = 8
+CELL = 64
 WINDOW = 16
-RECALL = 0.99
+RECALL = 0.97
 _CHUNK = 1 << 16
 
 
@@ -75,41 +81,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _bit_counts(fp: str) -> str:
-    """The 32 segment counts, packed in two bits each."""
-    low, high = f"{fp} & 6148914691236517205L", f"shiftrightunsigned({fp}, 1) & 6148914691236517205L"
-    return f"((({low}) ^ ({high})) | shiftleft(({low}) & ({high}), 1))"
+def _axes(fp: str) -> str:
+    """SQL of the vector: counts of the 32 two-bit segments in unary code, two bits each."""
+    low = "6148914691236517205L"  # the lower bit of each segment
+    return f"((({fp} | shiftrightunsigned({fp}, 1)) & {low}) | shiftleft({fp} & shiftrightunsigned({fp}, 1) & {low}, 1))"
 
 
 def _cells(prints: DataFrame) -> DataFrame:
-    """32 rows ``(cell, fp)`` for each fingerprint; a cell is a half of the vector with one axis left open."""
-    half = "(CASE WHEN axis < 16 THEN vec & 4294967295L ELSE shiftrightunsigned(vec, 32) END)"
-    open_axis = "shiftleft(3L, int(2 * (axis % 16)))"
-    return (
-        prints.selectExpr("fp", f"{_bit_counts('fp')} AS vec")
-        .selectExpr("fp", "vec", "explode(sequence(0, 31)) AS axis")
-        .selectExpr(f"({half} & ~{open_axis}) | shiftleft(CAST(axis AS bigint), 32) AS cell", "fp")
-    )
+    """28 rows ``(grid, cell, fp)`` for each fingerprint: a cell is the vector without two of its eight blocks."""
+    masks = [~(255 << 8 * i | 255 << 8 * j) & (1 << 64) - 1 for i in range(8) for j in range(i)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    grids = F.array(*[F.struct(F.lit(k).alias("grid"), F.col("vec").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(signed)])
+    return prints.selectExpr("fp", f"{_axes('fp')} AS vec").select("fp", F.inline(grids))
 
 
-def near_links(prints: DataFrame) -> DataFrame:
+def near_links(prints: DataFrame, cell: int = CELL) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``fp`` whose components are those of all pairs at 2 bits or less."""
-    cells = _cells(prints).repartition("cell")
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = scratch.table(cells.join(sizes, "cell").select("cell", "fp", "n"), "cells")
-    small = shared.where(F.col("n") <= PAIR_CELL).select("cell", "fp")
-    manhattan = "aggregate(sequence(0, 62, 2), 0L, (s, i) -> s + abs((shiftrightunsigned(va, i) & 3) - (shiftrightunsigned(vb, i) & 3)))"
+    cells = _cells(prints).repartition("grid", "cell")
+    sizes = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = scratch.table(cells.join(sizes, ["grid", "cell"]).select("grid", "cell", "fp", "n"), "cells")
+    sparse = shared.where(F.col("n") <= cell).drop("n")
     pairs = (
-        small.select("cell", F.col("fp").alias("a"))
-        .join(small.select("cell", F.col("fp").alias("b")), "cell")
-        .where("a < b")
-        .selectExpr("a", "b", f"{_bit_counts('a')} AS va", f"{_bit_counts('b')} AS vb")
-        .where(f"{manhattan} <= {BITS_APART} AND bit_count(a ^ b) <= {BITS_APART}")
+        sparse.withColumnRenamed("fp", "a")
+        .join(sparse.withColumnRenamed("fp", "b"), ["grid", "cell"])
+        .where(f"a < b AND bit_count({_axes('a')} ^ {_axes('b')}) <= {BITS_APART} AND bit_count(a ^ b) <= {BITS_APART}")
         .select("a", "b")
     )
-    large = shared.where(F.col("n") > PAIR_CELL).select("fp").distinct()
-    centres = large.selectExpr("fp", "explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))) AS centre")
-    stars = centres.groupBy("centre").agg(F.collect_set("fp").alias("near")).where("size(near) > 1")  # 65 at most
+    dense = shared.where(F.col("n") > cell).select("fp").distinct()
+    finest = dense.selectExpr("fp", "explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))) AS centre")
+    stars = finest.groupBy("centre").agg(F.collect_set("fp").alias("near")).where("size(near) > 1")  # 65 at most
     return pairs.unionByName(stars.selectExpr("array_min(near) AS a", "explode(near) AS b").where("a <> b")).distinct()
 
 
@@ -123,15 +123,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id; rows without an id stay."""
-    found = near_components(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__sedgeline_id")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__sedgeline_id"), "left_anti")
-    twins = docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).limit(1).count()
-    return kept.dropDuplicates([id_col]) if twins else kept
-
-
 # --- copies of a given similarity
 
 
@@ -160,60 +151,95 @@ def apart(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def orders_needed(n: int, similarity: float, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Orders in which pairs of ``similarity`` are neighbours at least once with probability ``recall``, among ``n`` random others."""
-    near = (1 - apart(similarity)) ** max(1.0, math.log2(max(2, n) / window))
+def _axis_agrees(similarity: float) -> float:
+    """Chance that two texts of a similarity have the same count in a two-bit segment."""
+    p = apart(similarity)
+    return (1 - p) ** 2 + p * p / 2
+
+
+def grids_needed(n: int, similarity: float, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Grids in which pairs of ``similarity`` are neighbours at least once with probability ``recall``, among ``n`` random
+    others, of which 3 in 8 agree on an axis."""
+    near = _axis_agrees(similarity) ** max(1.0, math.log(max(2, n) / window) / math.log(8 / 3))
     return math.ceil(math.log(1 - recall) / math.log(1 - near))
 
 
-def candidate_pairs(texts: DataFrame, shingle: int, similarity: float, radius: int | None = None, window: int = WINDOW) -> DataFrame:
-    """From ``rid, text``: pairs ``(a, b)`` whose wide fingerprints are at most ``radius`` bits apart and that are within
-    ``window`` places of each other in one of several orders, each by 64 of the bits in a sequence of its own.
+def _unary(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits to the counts of their two-bit segments in unary code, packed."""
+    a, b = bits[:, 0::2], bits[:, 1::2]
+    code = np.empty(bits.shape, np.uint8)
+    code[:, 0::2], code[:, 1::2] = a | b, a & b
+    return np.packbits(code, axis=1)
 
-    A text has at most ``2 * window`` neighbours in an order, however many copies it has.  Orders grow with the table, so
-    that recall does not fall.  Neighbours on both sides of a partition's border are not seen in that order."""
-    if radius is None:
-        radius = round(128 * apart(similarity) + 2.6 * math.sqrt(128 * apart(similarity) * (1 - apart(similarity))))
+
+def _prints(texts: DataFrame, shingle: int) -> DataFrame:
+    """From ``rid, text``: ``rid, high, low``."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scratch.small_batches(batches):
             both = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["rid", "high", "low"])
 
-    marked = scratch.table(texts.select("rid", "text").mapInArrow(prints, "rid long, high long, low long"), "wide-prints")
-    orders = orders_needed(marked.count(), similarity, window)
-    picks = [np.random.default_rng([SEED, k]).permutation(128)[:64] for k in range(orders)]
+    return scratch.table(texts.select("rid", "text").mapInArrow(prints, "rid long, high long, low long"), "wide-prints")
+
+
+def candidate_pairs(texts: DataFrame, shingle: int, similarity: float, radius: int | None = None, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
+    """From ``rid, text``: pairs ``(a, b)``, ``a < b``, whose wide fingerprints are at most ``radius`` bits apart, with
+    these ``bits``, found in one of several grids; texts with equal fingerprints are paired with the first of them.
+
+    A fingerprint has at most ``2 * window`` neighbours in a grid, however many near copies it has, and there are more
+    grids the more texts there are, so that recall does not fall.  Neighbours on both sides of a partition's border are
+    not seen in that grid."""
+    if radius is None:
+        radius = round(128 * apart(similarity) + 2.6 * math.sqrt(128 * apart(similarity) * (1 - apart(similarity))))
+    marked = _prints(texts, shingle)
+    firsts = marked.groupBy("high", "low").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"))
+    nodes = scratch.table(firsts, "wide-nodes")
+    copies = marked.join(nodes.where("n > 1").select("high", "low", F.col("rid").alias("a")), ["high", "low"]).where("rid <> a").select("a", F.col("rid").alias("b"), F.lit(0).alias("bits"))
+    grids = grids_needed(nodes.count(), similarity, window, recall)
+    picks = [np.random.default_rng([SEED, k]).permutation(128) for k in range(grids)]
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = np.unpackbits(np.stack([c.to_numpy() for c in b.columns[1:]], axis=1).astype(">i8").view(np.uint8).reshape(-1, 16), axis=1)
             for k, pick in enumerate(picks):
-                key = np.ascontiguousarray(np.packbits(bits[:, pick], axis=1)).view(">i8").ravel().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), *b.columns], names=["ord", "key", "rid", "high", "low"])
+                key = _unary(bits[:, pick[:64]]).view(">i8").ravel().astype(np.int64)  # half of the axes: enough to order by
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), *b.columns], names=["grid", "key", "rid", "high", "low"])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
             new = [c.to_numpy() for c in (b.column(0), b.column(2), b.column(3), b.column(4))]
             old = 0 if held is None else len(held[0])
-            at, rid, high, low = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            grid, rid, high, low = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            words = (high.view(np.uint64), low.view(np.uint64))
+            axes = [_axes_of(w) for w in words]
             found = []
-            for k in range(1, min(window, len(at) - 1) + 1):
-                i = np.arange(max(0, old - k), len(at) - k)
-                bits = np.bitwise_count((high[i] ^ high[i + k]).view(np.uint64)).astype(int) + np.bitwise_count((low[i] ^ low[i + k]).view(np.uint64))
-                i = i[(at[i] == at[i + k]) & (bits <= radius)]
-                found.append(np.stack([np.minimum(rid[i], rid[i + k]), np.maximum(rid[i], rid[i + k])], axis=1))
-            held = [x[-window:] for x in (at, rid, high, low)]
+            for k in range(1, min(window, len(grid) - 1) + 1):
+                i = np.arange(max(0, old - k), len(grid) - k)
+                i = i[grid[i] == grid[i + k]]
+                bound = sum(np.bitwise_count(v[i] ^ v[i + k]).astype(np.int32) for v in axes)  # Manhattan distance
+                i = i[bound <= radius]
+                bits = sum(np.bitwise_count(w[i] ^ w[i + k]).astype(np.int32) for w in words)
+                i, bits = i[bits <= radius], bits[bits <= radius]
+                found.append(np.stack([np.minimum(rid[i], rid[i + k]), np.maximum(rid[i], rid[i + k]), bits], axis=1))
+            held = [x[-window:] for x in (grid, rid, high, low)]
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], names=["a", "b", "bits"])
 
-    rows = marked.mapInArrow(ordered, "ord int, key long, rid long, high long, low long").repartitionByRange("ord", "key").sortWithinPartitions("ord", "key", "rid")
-    return rows.mapInArrow(neighbours, "a long, b long").distinct()
+    rows = nodes.select("rid", "high", "low").mapInArrow(ordered, "grid int, key long, rid long, high long, low long").repartitionByRange("grid", "key").sortWithinPartitions("grid", "key", "rid")
+    return rows.mapInArrow(neighbours, "a long, b long, bits int").distinct().unionByName(copies)
 
 
-def similar_pairs(texts: DataFrame, shingle: int, similarity: float, **options) -> DataFrame:
-    """Candidate pairs of ``rid, text`` whose distinct shingles have this Jaccard similarity or more: ``a, b``, each verified."""
+def _axes_of(words: np.ndarray) -> np.ndarray:
+    """Unary segment counts of 64-bit words."""
+    lower, one = np.uint64(0x5555555555555555), np.uint64(1)
+    return ((words | words >> one) & lower) | ((words & words >> one & lower) << one)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose texts' distinct shingles have this Jaccard similarity or more."""
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scratch.small_batches(batches):
@@ -224,18 +250,37 @@ def similar_pairs(texts: DataFrame, shingle: int, similarity: float, **options)
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = scratch.table(candidate_pairs(texts, shingle, similarity, **options), "near-candidates")
     sides = [texts.select(F.col("rid").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_text", "b_text").mapInArrow(verified, "a long, b long")
+    return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_text", "b_text").mapInArrow(verified, "a long, b long")
+
+
+def similar_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, **options) -> DataFrame:
+    """Candidate pairs of ``rid, text`` whose distinct shingles have this Jaccard similarity or more: ``a, b``, each verified."""
+    return _verified(scratch.table(candidate_pairs(texts, shingle, similarity, **options), "near-candidates"), texts, shingle, similarity)
+
+
+def similar_classes(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, **options) -> DataFrame:
+    """``node, component`` of the rows ``rid, text`` that verified pairs connect.
+
+    First every text is verified against its nearest candidate only, which joins most of a group of any size by as many
+    comparisons as it has texts; then the pairs between what is still apart are."""
+    pairs = scratch.table(candidate_pairs(texts, shingle, similarity, **options), "near-candidates")
+    nearest = pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
+    links = scratch.table(_verified(nearest, texts, shingle, similarity), "near-links")
+    found = components(links.toDF("u", "v"))
+    at = {c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in "ab"}
+    apart_ = pairs.join(at["a"], "a", "left").join(at["b"], "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b"))
+    tried = nearest.select("a", "b")
+    more = scratch.table(_verified(apart_.select("a", "b").join(tried, ["a", "b"], "left_anti"), texts, shingle, similarity), "near-links")
+    return components(links.unionByName(more).toDF("u", "v"))
 
 
 def drop_similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: of rows that verified pairs connect the one with the smallest id (none is largest)."""
     mark = "__sedgeline_rid"
-    rows = scratch.table(docs.withColumn(mark, F.monotonically_increasing_id()), "near-rows")
-    links = similar_pairs(rows.select(F.col(mark).alias("rid"), F.col(text_col).alias("text")), shingle, similarity, **options)
-    found = components(links.toDF("u", "v"))
-    named = found.join(rows.select(F.col(mark).alias("node"), F.col(id_col).alias("id")), "node")
-    stays = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).getField("node").alias("stays"))
+    rows = scratch.numbered(docs, mark, "near-rows")
+    found = similar_classes(rows.select(F.col(mark).alias("rid"), F.col(text_col).alias("text")), shingle, similarity, **options)
+    named = found.join(rows.select(F.col(mark).alias("node"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("h")), "node")
+    stays = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "h", "node")).getField("node").alias("stays"))
     gone = named.join(stays, "component").where("node <> stays").select(F.col("node").alias(mark))
     return rows.join(gone, mark, "left_anti").select(*docs.columns)

@@ -28,3 +28,12 @@ def test_null_ids_twins_and_empty_table(spark):
     assert sorted((r.doc_id or 0, r.text) for r in drop_exact_copies(df).collect()) == [(0, "b"), (1, "a")]
     assert exact_groups(df.limit(0)).count() == 0
     assert drop_exact_copies(df.limit(0)).count() == 0
+
+
+def test_same_ids_of_different_texts_and_clashing_columns(spark):
+    rows = [(1, "a", "x"), (1, "b", "y"), (1, "A", "z"), (None, "b", "w"), (None, "c", "v"), (2, "c", "u")] + [(5, "Hot", str(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string").selectExpr("*", "1 AS n", "2 AS rid", "3 AS w", "4 AS heavy", "5 AS text_sha256")
+    for most in (1, 512):  # every split of the digests gives the same rows
+        got = drop_exact_copies(df.repartition(4), max_heavy=most)
+        assert got.columns == df.columns
+        assert sorted((r.doc_id, r.text, r.kept) for r in got.collect()) == [(1, "A", "z"), (1, "b", "y"), (2, "c", "u"), (5, "Hot", "0")]

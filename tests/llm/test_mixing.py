@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sedgeline.llm import mixing as M
 
@@ -86,3 +87,38 @@ def test_nulls_twins_and_empty_table(spark):
     assert sum(r.taken for r in M.taken_words(df).collect()) == 12
     assert M.taken_words(df.limit(0)).count() == 0
     assert M.taken_words(df.select("doc_id", "source", "text").where("doc_id = 1").selectExpr("doc_id", "source", "'' AS text")).count() == 2
+
+
+def test_mix_of_missing_and_repeated_ids_counts_every_word_once(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"x{rng.randint(0, 9**6)}" for _ in range(n))
+    rows = [(None, text(40), "a"), (None, text(700), "a"), (1, text(3), "a"), (1, text(900), "b"), (1, "same text", "b"), (1, "same text", "b"), (None, None, "b"), (2, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS slot", "2 AS rid", "'s' AS shard", "3 AS mix_slot", "4 AS n_chars")
+    for twice in (df, df.limit(0)):
+        out = M.mixed_documents(twice)
+        assert out.columns == df.columns
+        got, want = Counter(), Counter()
+        for r in out.collect():
+            got[r.source] += len(words(r.text))
+        for _, t, s in rows if twice is df else []:
+            want[s] += len(words(t))
+        assert got == Counter({s: round(t) for s, t in M.targets(dict(want)).items() if t})
+    every = Counter(w for r in M.mixed_documents(df.where("source = 'b'"), share=1.0).collect() for w in words(r.text))
+    assert every == Counter(w for _, t, s in rows if s == "b" for w in words(t))
+
+
+def test_placed_pieces_fill_fixed_blocks(spark):
+    _, df = docs(spark)
+    out = M.mixed_documents(df, placed=True, block=64, shards=5).toPandas().sort_values(["source", "mix_slot", "mix_offset"])
+    assert set(out["mix_shard"]) <= set(range(5))
+    for _, g in out.groupby(["mix_shard", "source", "mix_slot"], dropna=False):
+        ends = g["mix_offset"].to_numpy() + np.array([len(words(t)) for t in g["text"]])
+        assert g["mix_offset"].iloc[0] == 0 and (g["mix_offset"].to_numpy()[1:] == ends[:-1]).all() and ends[-1] <= 64
+
+
+def test_one_id_on_most_rows_is_spread(spark):
+    df = spark.range(3000).selectExpr("if(id % 2 = 0, null, 7) AS doc_id", "concat_ws(' ', repeat('w ', int(id % 50)), id) AS text", "'s' AS source")
+    sized = M._sized(df, "doc_id", "text", "source", F.monotonically_increasing_id()).withColumn("source_no", F.lit(0))
+    ranges = M._starts(sized, 3000).groupBy("range").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert ranges[0] < 60 and ranges[1] == M.RANGES
+    assert sum(r.taken for r in M.taken_words(df).collect()) == round(1.5 * sum(r.size for r in sized.collect()))

@@ -1,6 +1,9 @@
 import random
 
-from sedgeline.llm.simhash import drop_near_copies, drop_similar_copies
+import numpy as np
+
+from sedgeline.llm import simhash
+from sedgeline.llm.simhash import drop_similar_copies
 
 
 def shingles(text, n=5):
@@ -30,4 +33,39 @@ def test_planted_copies_from_similarity_08_to_095_go(spark):
     assert set(range(300)) | far <= set(stays) and stays.count(None) == 1
     assert len(near.keys() & set(stays)) <= 0.02 * len(near)
     assert drop_similar_copies(df.limit(0)).count() == 0
-    assert drop_near_copies(df).count() > len(stays)  # two bits find fewer
+
+
+def test_manhattan_distance_of_unary_counts_bounds_the_bits():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = rng.getrandbits(64), rng.getrandbits(64)
+        count = lambda x: [(x >> i & 3).bit_count() for i in range(0, 64, 2)]
+        want = sum(abs(x - y) for x, y in zip(count(a), count(b), strict=True))
+        codes = simhash._axes_of(np.array([a, b], np.uint64))
+        assert int(np.bitwise_count(codes[0] ^ codes[1])) == want <= (a ^ b).bit_count()
+
+
+def test_repeated_and_missing_ids_and_clashing_columns(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120))
+    a, b = text(), text()
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a, "x"), (1, b, "y"), (None, near, "z"), (1, near.upper(), "w"), (None, None, "n"), (None, "", "e"), (2, text(), "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid string").selectExpr("*", "1 AS node", "2 AS bits", "3 AS component")
+    got = drop_similar_copies(df)
+    assert got.columns == df.columns
+    left = [(r.doc_id, r.rid) for r in got.collect()]
+    assert len(left) == 4 and {(1, "y"), (2, "q")} < set(left) and sum(i is None for i, _ in left) == 1
+
+
+def test_large_group_of_near_copies_is_one(spark):
+    rng = random.Random(10)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+    rows = []
+    for i in range(1500):
+        copy = list(base)
+        for at in rng.sample(range(200), 2):
+            copy[at] = "".join(rng.choice("abcdefghij") for _ in range(6))
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert drop_similar_copies(df).count() <= 3

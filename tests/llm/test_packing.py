@@ -55,3 +55,14 @@ def test_pieces_hold_every_id_once(spark, keep):
 
 def test_empty_table(spark):
     assert P.packed_pieces(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_one_id_on_half_the_rows_and_long_texts_stay_in_bounded_groups(spark):
+    df = spark.range(600).selectExpr("if(id % 2 = 0, 7, if(id % 4 = 1, null, id)) AS doc_id", "repeat('word ', if(id % 50 = 3, 30000, int(id % 300))) AS text")
+    out = P.packed_pieces(df.repartition(3), PATH, group_docs=50, keep_ids=False).toPandas()
+    want = sum(-(-(n + 1) // 2048) for n in (30000 if i % 50 == 3 else i % 300 for i in range(600)))
+    full = out[out.length == 2048]
+    assert abs(len(out) - want) <= 12 and full.sequence_id.is_unique and (full.offset == 0).all()
+    groups = out[out.length < 2048].sequence_id // (1 << 24)
+    assert groups.nunique() == 12 and groups.value_counts().max() < 100
+    assert out.groupby("sequence_id").length.sum().max() <= 2048

@@ -12,7 +12,7 @@ import corpus_pipeline
 from sedgeline.llm import mixing, quality, scratch
 from tests.llm.test_exact_dedup import low
 from tests.llm.test_mixing import words
-from tests.llm.test_simhash import brute_components
+from tests.llm.test_near_copies import shingles
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +33,23 @@ def folder(spark, tmp_path_factory):
     return at
 
 
+def brute_classes(rows, least=0.8):
+    """Smallest ids of the components of pairs of five-word similarity ``least`` or more."""
+    sets, parent = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                parent[y] = x
+    return sorted({top(i) for i in sets})
+
+
 def test_stages_match_brute_force(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = []
@@ -50,8 +67,7 @@ def test_stages_match_brute_force(spark, folder):
     last = {low(r.text): r.doc_id for r in sorted(before)}
     assert {r.doc_id for r in after} == set(last.values()) and len(after) == len(last) < len(before)
     before, after = kept[2]
-    found = brute_components([(r.doc_id, r.text) for r in before])
-    assert sorted(r.doc_id for r in after) == sorted({c for _, c in found.values()})
+    assert sorted(r.doc_id for r in after) == brute_classes([(r.doc_id, r.text) for r in before]) and len(after) < len(before)
     before, after = kept[3]
     sizes, taken = Counter(), Counter()
     for r in before:
@@ -76,3 +92,28 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_missing_and_repeated_ids_lose_and_invent_nothing(spark, folder, tmp_path):
+    """Ids tell nothing apart here: half are null, the others are one number; a column clashes with the stages' own."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("if(doc_id % 2 = 0, null, 1L) AS doc_id", "text", "lang", "source", "n_chars", "doc_id AS rid", "text AS __sedgeline_own")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs, want = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = docs.collect()
+        docs = scratch.table(stage(spark, docs, folder), name)
+        after = docs.collect()
+        if name == "exact_dedup":
+            assert sorted(low(r.text) for r in after) == sorted({low(r.text) for r in before})
+        if name == "simhash":
+            n = len(brute_classes(list(enumerate(sorted(r.text for r in before)))))
+            assert len(after) == n and {r.text for r in after} <= {r.text for r in before}
+        if name == "mixing":
+            sizes, taken = Counter(), Counter()
+            for r in before:
+                sizes[r.source] += len(words(r.text))
+            for r in after:
+                taken[r.source] += len(words(r.text))
+            want = {s: round(t) for s, t in mixing.targets(dict(sizes)).items()}
+            assert taken == want and sum(sizes.values()) > 0
+    assert corpus_pipeline.STAGES[4][1](spark, docs, folder).count() >= docs.count()

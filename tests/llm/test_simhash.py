@@ -1,11 +1,12 @@
 import random
 from collections import defaultdict
 
+import pytest
 import xxhash
 from pyspark.sql import Row
 
 from sedgeline.llm.components import components
-from sedgeline.llm.simhash import drop_near_copies, fingerprint, near_components, near_links
+from sedgeline.llm.simhash import fingerprint, near_components, near_links
 
 
 def brute_fingerprint(text):
@@ -58,11 +59,12 @@ def test_components_of_texts(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got.collect()} == brute_components(rows)
 
 
-def test_large_cells_lose_no_link(spark):
+@pytest.mark.parametrize("cell", [1, 8, 64])
+def test_cells_of_any_size_lose_no_link(spark, cell):
     rng = random.Random(5)
     centre = rng.getrandbits(63)
     prints = {centre ^ sum({1 << rng.randrange(63) for _ in range(rng.randrange(6))}) for _ in range(150)} | {rng.getrandbits(63) for _ in range(40)}
-    links = near_links(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    links = near_links(spark.createDataFrame([(p,) for p in prints], "fp long"), cell)
     got = {r.node: r.component for r in components(links.toDF("u", "v")).collect()}
     parent = {p: p for p in prints}
 
@@ -93,4 +95,3 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id or -1, r.component_id) for r in near_components(df).collect() if r.fingerprint == f"{brute_fingerprint('a b c d'):016x}")
     assert got == [(-1, 3), (3, 3), (3, 3)]
     assert near_components(df.limit(0)).count() == 0
-    assert drop_near_copies(df.where("doc_id = 3")).count() == 1
