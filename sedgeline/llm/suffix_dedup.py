@@ -15,18 +15,22 @@ that can be told without them:
    of equal strings, whose earliest place stays.
 4. *Hot anchors.*  A frequent passage has as many different borders as places.  Anchors that a Misra-Gries sketch finds
    frequent are spread over the shuffle by content.  Those that then still have more contents than a group may hold
-   are not gathered: their strings are compared by 128-bit hashes with map-side partial aggregation.
+   are sorted in two steps: suffix arrays over chunks of their slices find what repeats within a chunk, and of each
+   chunk the first places of its different strings are dealt by a further bucket, the string's own bytes, to groups of
+   bounded size with a suffix array each.  So equal strings meet however frequent they are, a string comes but once from
+   each chunk, and every size goes through suffix arrays.
 5. The repeats' ranges are joined to the documents and cut out.
 
 Defined results: bytes are those of UTF-8; a null text is empty; order is by id, then place; a null id is smaller than
 any other; among rows with the same id, or none, a hash of the text decides, and rows with the same id and text count as
-one document, each getting its result.  An empty table gives an empty table.  Extra columns are ignored.
+one document (they repeat nothing of each other), each getting its result.  An empty table gives an empty table.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,7 +47,8 @@ ANCHOR = 24
 SEGMENT = 1 << 20  # bytes of a document that are scanned at a time
 TASK_SLICES = 1 << 19  # slices among which a task looks for copies at a time
 HOT_SLICES, HOT_SHARE, HOT_MOST = 500, 1 << 13, 10_000_000  # an anchor is split from this share of all slices on, within these bounds
-GROUP_SLICES, ANCHOR_MOST = 5_000, 20_000  # slices of a suffix array (about 130 bytes each) by design; of one anchor at most
+GROUP_SLICES, GROUP_MOST = 5_000, 20_000  # slices of a suffix array (about 130 bytes each) by design; anchors with more are spread
+TASK_ROWS, TASK_GROUPS = 500_000, 200  # slices and suffix arrays for each task of the shuffles
 SKETCH_ITEMS, MAX_HOT = 1 << 16, 4096
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -86,6 +91,9 @@ def _slices(hot: frozenset[int]):
         a, c = anchor[order], content[order]
         copy = np.zeros(len(order), bool)
         copy[order[1:]] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
+        again = np.zeros(len(order), bool)  # the same place of a repeated row
+        again[order[1:]] = copy[order[1:]] & np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (doc, tag, start, null)])
+        copy &= ~again
         # neighbouring copies of a document become one range
         i = np.flatnonzero(copy)
         i = i[np.lexsort((start[i], tag[i], doc[i], ~null[i]))]
@@ -93,9 +101,10 @@ def _slices(hot: frozenset[int]):
         joins[1:] = (doc[i[1:]] == doc[i[:-1]]) & (tag[i[1:]] == tag[i[:-1]]) & (null[i[1:]] == null[i[:-1]]) & (start[i[1:]] == start[i[:-1]] + n[i[:-1]])
         heads = np.flatnonzero(~joins)
         n[i[heads]] = np.add.reduceat(n[i], heads) if len(i) else n[i]
-        rows = np.concatenate((np.flatnonzero(~copy), i[heads]))
+        alone = np.flatnonzero(~copy & ~again)
+        rows = np.concatenate((alone, i[heads]))
         kind = np.where(np.isin(anchor[rows], hot_anchors), SPLIT, OPEN).astype(np.int32)
-        kind[len(order) - len(i) :] = REPEAT
+        kind[len(alone) :] = REPEAT
         key = np.where(kind == OPEN, anchor[rows], content[rows])
         columns = [pa.array(key), *(pa.array(x[rows]) for x in (anchor, content)), pa.array(doc[rows], mask=null[rows]), *(pa.array(x[rows]) for x in (tag, start, n)), pa.array(kind)]
         return pa.RecordBatch.from_arrays(columns, names=_NAMES)
@@ -125,19 +134,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key, kind, anchor, content and place, to what is known of them.
 
     Only the first slice of each content is still open, and of an anchor with one content not even that."""
-    last = None  # key, kind, anchor, content of the row before
+    last = None  # key, kind, anchor, content and place of the row before
     waiting = None  # first slice of the current anchor, as long as it has one content
     for b in batches:
         if not b.num_rows:
             continue
-        key, anchor, content, kind = (b.column(_NAMES.index(c)).to_numpy(zero_copy_only=False) for c in ("key", "anchor", "content", "kind"))
+        key, anchor, content, kind, tag, start = (b.column(_NAMES.index(c)).to_numpy(zero_copy_only=False) for c in ("key", "anchor", "content", "kind", "tag", "start"))
+        ids = b.column(_NAMES.index("doc_id"))
+        doc, null = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
         same_anchor, same = np.zeros(len(key), bool), np.zeros(len(key), bool)
         same_anchor[1:] = (key[1:] == key[:-1]) & (kind[1:] == kind[:-1]) & (anchor[1:] == anchor[:-1])
         same_anchor[0] = last is not None and last[:3] == (key[0], kind[0], anchor[0])
         same[1:] = content[1:] == content[:-1]
         same[0] = last is not None and last[3] == content[0]
         same &= same_anchor & (kind != REPEAT)
-        last = (key[-1], kind[-1], anchor[-1], content[-1])
+        again = same.copy()  # the same place of a repeated row
+        for k, x in enumerate((doc, tag, start, null)):
+            again[1:] &= x[1:] == x[:-1]
+            again[0] &= last is not None and last[4 + k] == x[0]
+        last = tuple(x[-1] for x in (key, kind, anchor, content, doc, tag, start, null))
         out = np.where(same, REPEAT, kind)
         group = np.cumsum(~same_anchor)  # 0: the anchor of the batch before goes on
         heads = np.flatnonzero(~same & (kind == OPEN))
@@ -149,7 +164,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if goes_on.any() and waiting is not None and waiting is not True:
             yield waiting
             waiting = True
-        drop = np.zeros(len(key), bool)
+        drop = again
         alone = heads[(counts[group[heads]] == 1) & ~goes_on]
         drop[alone] = True
         end = group[-1]
@@ -200,55 +215,95 @@ def _ranges(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _suffix_group(pdf: pd.DataFrame) -> pd.DataFrame:
+def _in_order(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[bytes], np.ndarray]:
+    """Slices by place, their bytes, and where each begins in the bytes joined by single separators."""
     pdf = pdf.sort_values(["doc_id", "tag", "start"], na_position="first", ignore_index=True)
     slices = [bytes(x) for x in pdf["bytes"]]
-    starts, stops = _ranges(repeated_strings(slices))
-    base = np.cumsum([0] + [len(s) + 1 for s in slices])[:-1]
+    return pdf, slices, np.cumsum([0] + [len(s) + 1 for s in slices])[:-1]
+
+
+def _places(pdf: pd.DataFrame, base: np.ndarray, starts: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """Places in the joined bytes as ``doc_id, tag, start, n``."""
     row = np.searchsorted(base, starts, side="right") - 1
     out = pdf.loc[row, ["doc_id", "tag", "start"]].reset_index(drop=True)
     out["start"] += starts - base[row]
-    out["n"] = stops - starts
+    out["n"] = n
     return out
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices to their strings' hashes: ``g1, g2, doc_id, tag, start``."""
-    for b in scratch.small_batches(batches, 4096):
-        rows: list[tuple] = []
-        for doc, tag, start, data in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tag", "start", "bytes")), strict=True):
-            for i in range(len(data) - LENGTH + 1):
-                g = xxhash.xxh3_128_digest(data[i : i + LENGTH])
-                rows.append((int.from_bytes(g[:8], "big", signed=True), int.from_bytes(g[8:], "big", signed=True), doc, tag, start + i))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 5)], names=["g1", "g2", "doc_id", "tag", "start"])
-
-
-def repeat_ranges(docs: DataFrame) -> DataFrame:
-    """From ``doc_id, tag, text``, places of repeated strings: ``doc_id, tag, start, n`` (``n`` strings from byte ``start``)."""
-    place = "doc_id long, tag long, start long, n long"
+def _suffix_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf, slices, base = _in_order(pdf)
+    starts, stops = _ranges(repeated_strings(slices))
+    return _places(pdf, base, starts, stops - starts)
+
+
+SPREAD = "bucket long, doc_id long, tag long, start long, n long, bytes binary"
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of slices (``doc_id, tag, start, bytes``) to ``SPREAD``: what repeats within a chunk (bucket and bytes null)
+    and the first places of its different strings, each with the bucket that its bytes lead to."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+    def flush(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+        pdf, slices, base = _in_order(pd.concat(held, ignore_index=True))
+        hit = repeated_strings(slices)
+        starts, stops = _ranges(hit)
+        known = _places(pdf, base, starts, stops - starts)
+        joined = b"\0".join([*slices, b""])
+        first = np.concatenate([np.arange(b, b + max(0, len(x) - LENGTH + 1)) for b, x in zip(base, slices, strict=True)])
+        first = first[~hit[first]]
+        fresh = _places(pdf, base, first, np.ones(len(first), np.int64))
+        fresh["bytes"] = [joined[p : p + LENGTH] for p in first.tolist()]
+        fresh["bucket"] = np.array([xxhash.xxh3_64_intdigest(x) for x in fresh["bytes"]], np.uint64).view(np.int64)
+        for part in (known.assign(bucket=None, bytes=None), fresh):
+            if len(part):
+                yield pa.RecordBatch.from_arrays([pa.array(part[c], t, from_pandas=True) for c, t in zip(("bucket", "doc_id", "tag", "start", "n", "bytes"), types, strict=True)], names=["bucket", "doc_id", "tag", "start", "n", "bytes"])
+
+    held, n = [], 0
+    for b in scratch.small_batches(batches, GROUP_SLICES):
+        if b.num_rows:
+            held.append(b.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get))
+            n += b.num_rows
+        if n >= GROUP_SLICES:
+            yield from flush(held)
+            held, n = [], 0
+    if held:
+        yield from flush(held)
+
+
+def _in_groups(slices: DataFrame, groups: int) -> DataFrame:
+    """Repeats by a suffix array for each ``group``, in as many tasks as the number of groups asks for."""
+    tasks = max(int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // TASK_GROUPS))
+    return slices.repartition(tasks, "group").groupBy("group").applyInPandas(_suffix_group, "doc_id long, tag long, start long, n long")
+
+
+def repeat_ranges(docs: DataFrame, twins: bool) -> DataFrame:
+    """From ``doc_id, tag, text``, places of repeated strings: ``doc_id, tag, start, n`` (``n`` strings from byte ``start``).
+    ``twins``: whether rows may share id and text."""
     sketch = docs.mapInArrow(_slices(frozenset()), SLICE).where(F.col("kind") == OPEN).agg(F.expr(f"approx_top_k(anchor, {MAX_HOT}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("slices")).first()
     often = min(max(HOT_SLICES, sketch["slices"] // HOT_SHARE), HOT_MOST)
     hot = frozenset(r["item"] for r in (sketch["top"] or []) if r["count"] >= often)  # at most MAX_HOT numbers
-    found = docs.mapInArrow(_slices(hot), SLICE).repartition("key").sortWithinPartitions("key", "kind", "anchor", "content", "doc_id", "tag", "start")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sketch["slices"] // TASK_ROWS))
+    found = docs.mapInArrow(_slices(hot), SLICE).repartition(tasks, "key").sortWithinPartitions("key", "kind", "anchor", "content", "doc_id", "tag", "start")
     found = scratch.table(found.mapInArrow(_compare, SLICE), "slices")
     repeats = found.where(F.col("kind") == REPEAT).select("doc_id", "tag", "start", "n")
-    # what is still open is dealt by anchor to groups of about GROUP_SLICES; only larger anchors are split further
+    # what is still open is dealt by anchor to groups of about GROUP_SLICES; only larger anchors are spread
     rest = found.where(F.col("kind") != REPEAT)
     sizes = rest.groupBy("kind", "anchor").agg(F.count(F.lit(1)).alias("slices")).where("slices > 1")
     groups = max(1, -(-rest.count() // GROUP_SLICES))
     hot_sizes = F.broadcast(sizes.where(F.col("kind") == SPLIT).drop("kind"))  # at most MAX_HOT rows
     open_ = rest.where(F.col("kind") == SPLIT).join(hot_sizes, "anchor").unionByName(rest.where(F.col("kind") == OPEN).join(sizes.where(F.col("kind") == OPEN).drop("kind"), "anchor"))
-    open_ = open_.withColumn("group", F.when(F.col("slices") > ANCHOR_MOST, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(groups))))
+    open_ = open_.withColumn("group", F.when(F.col("slices") > GROUP_MOST, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(groups))))
     wanted = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("group", "start", "n")).alias("wanted"))  # a document's own
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["tag"] == wanted["tag"])
     fetched = docs.join(wanted, same).select(docs["doc_id"], docs["tag"], "text", "wanted").mapInArrow(_fetch, "group long, doc_id long, tag long, start long, bytes binary")
-    fetched = scratch.table(fetched.distinct() if _has_twins(docs) else fetched, "borders")
-    arrays = fetched.where("group >= 0").groupBy("group").applyInPandas(_suffix_group, place)
-    strings = fetched.where("group < 0").mapInArrow(_strings, "g1 long, g2 long, doc_id long, tag long, start long")
-    firsts = strings.groupBy("g1", "g2").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "tag", "start")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1")
-    here = F.struct(F.col("doc_id").isNotNull(), "doc_id", "tag", "start")
-    copies = strings.join(firsts, ["g1", "g2"]).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "tag", "start", F.lit(1).cast("long").alias("n"))
-    return repeats.unionByName(arrays).unionByName(copies)
+    fetched = scratch.table(fetched.distinct() if twins else fetched, "borders")
+    arrays = _in_groups(fetched.where("group >= 0"), groups)
+    spread = scratch.table(fetched.where("group < 0").select("doc_id", "tag", "start", "bytes").mapInArrow(_spread, SPREAD), "spread")
+    buckets = max(1, -(-spread.where("bucket is not null").count() // GROUP_SLICES))
+    strings = spread.where("bucket is not null").select(F.pmod("bucket", F.lit(buckets)).alias("group"), "doc_id", "tag", "start", "bytes")
+    return reduce(DataFrame.unionByName, [repeats, arrays, spread.where("bucket is null").select("doc_id", "tag", "start", "n"), _in_groups(strings, buckets)])
 
 
 def _has_twins(docs: DataFrame) -> bool:
@@ -287,8 +342,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.select("doc_id", (F.xxhash64("text") if _has_twins(docs) else F.lit(0).cast("long")).alias("tag"), "text")
-    ranges = repeat_ranges(docs).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))  # a document's own
+    twins = _has_twins(docs)
+    docs = docs.select("doc_id", (F.xxhash64("text") if twins else F.lit(0).cast("long")).alias("tag"), "text")
+    ranges = repeat_ranges(docs, twins).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))  # a document's own
     same = docs["doc_id"].eqNullSafe(ranges["doc_id"]) & (docs["tag"] == ranges["tag"])
     joined = docs.join(ranges, same, "left").select(docs["doc_id"], "text", "ranges")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

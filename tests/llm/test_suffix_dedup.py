@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sedgeline.llm import suffix_dedup as S
 from sedgeline.llm.suffix_sort import suffix_array
@@ -59,13 +60,14 @@ def test_removes_what_brute_force_removes(spark, monkeypatch):
     assert got == brute(rows)
 
 
-def test_hot_anchors_are_split_without_loss(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 4, 20])
+def test_hot_anchors_are_spread_over_suffix_arrays_without_loss(spark, monkeypatch, most):
     rng = random.Random(8)
     rows = list(enumerate(corpus(rng, 40)))
     monkeypatch.setattr(S, "HOT_SLICES", 3)
     monkeypatch.setattr(S, "HOT_SHARE", 1 << 30)
     monkeypatch.setattr(S, "GROUP_SLICES", 4)
-    monkeypatch.setattr(S, "ANCHOR_MOST", 4)
+    monkeypatch.setattr(S, "GROUP_MOST", most)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == brute(rows)
 
@@ -98,4 +100,9 @@ def test_null_ids_twins_and_empty_table(spark):
     df = spark.createDataFrame([(None, t), (5, t), (5, t), (5, "short")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_removed > 0) for r in S.remove_repeats(df).collect())
     assert got == [(-1, False), (5, False), (5, True), (5, True)]
+    for rows in ([(5, t), (5, t), (5, t)], [(None, t), (None, t)]):  # one document, which repeats nothing
+        for parts in (1, 3):
+            alone = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+            assert [r.n_removed for r in alone] == [0] * len(rows)
+    assert [r.n_removed for r in S.remove_repeats(spark.createDataFrame([(5, t + t), (5, t + t)], "doc_id long, text string")).collect()] == [len(t)] * 2
     assert S.remove_repeats(df.limit(0)).count() == 0
