@@ -4,14 +4,16 @@
 come from splitting a text at the pattern: the pieces between matches and the matches alternate, so running sums of
 their lengths (a window over the matches of one document) are the offsets, in code points.
 
-*Patterns.*  Words before and after a seed are its lexical patterns: the two words before, the two after, and one of
-each.  *Candidates* are other tokens that look like identifiers (a digit or @, six characters or more, outside every
-seed) and groups of digits with spaces, brackets or other separators between them.
-Patterns and values form a bipartite graph.  Round by round a pattern's score is the share of the weight of its values
-that is known to be of a kind, damped by ``PRIOR`` unknown values, and a value's score is the noisy-or of its patterns'
-scores; only patterns with ``SUPPORT`` different seeds or sure values and a score of ``SURE`` or more pass anything on.
-Values of score ``SURE`` or more that may be of the kind by ``FITS`` and ``DIGITS`` are new identifiers wherever they
-stand in such a context; from the next round on they count for patterns as seeds do.
+*Patterns.*  Words (runs of letters) before and after a seed are its lexical patterns: the two words before, the two
+after, and one of each, however long they or what lies between are.  *Candidates* are other tokens that look like
+identifiers (a digit or @, six characters or more, outside every seed), groups of digits with spaces, brackets or other
+separators between them, and addresses whose signs are spelled out ("name (at) host dot org").
+Patterns and values form a bipartite graph.  Round by round a pattern's score for a kind is the weight of its values known
+to be of the kind, against ``PRIOR`` more, all known ones of other kinds, those candidates that can't be of the kind, and ``DOUBT`` of those
+that might be and aren't known yet.  A value's score is the noisy-or of its patterns' scores; only patterns with ``SUPPORT``
+different seeds or sure values and a score of ``SURE`` or more pass anything on, and only to candidates that may be of
+the kind by ``FITS`` and ``DIGITS``.  Values of score ``SURE`` or more are new identifiers wherever they stand in such a
+context; from the next round on they count for patterns as seeds do.  Rounds go on until none adds a value.
 
 All scoring is grouping with map-side aggregation and joins of score tables; a hot pattern ("the") is one more key for
 the aggregation, and its low score keeps it out of the join.
@@ -33,8 +35,7 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 5
 SURE = 0.9
 PRIOR = 0.25
-ROUNDS = 2
-CONTEXT = 64  # characters on each side in which context words are looked for
+DOUBT = 0.02
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: A sign that no text keeps; it stands for one space or hyphen between digits, see ``_prepared``.
@@ -51,9 +52,11 @@ PATTERNS = {
 MAY_HOLD = {"email": "@[A-Za-z0-9-]+\\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 _TOKEN = r"\-A-Za-z0-9._%+@/=:"
 _GROUPS = rf"(?<![{_TOKEN}(])\(?[0-9]++(?:[ ()/.-]{{1,3}}[0-9]++){{1,18}}(?![{_TOKEN}])"
-CANDIDATE = rf"{_GROUPS}|(?<![{_TOKEN}])(?=[{_TOKEN}&&[^0-9@]]*+[0-9@])[{_TOKEN}]{{6,}}+"
+_DOT = r"(?: ?[\[({<]? ?(?:dot|DOT) ?[\])}>]? ?|\.)"
+_SPELLED = rf"(?<![{_LOCAL}])[{_LOCAL}]++(?: ?[\[({{<] ?(?:at|AT|@) ?[\])}}>] ?| at | AT )[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*{_DOT}[A-Za-z]{{2,}}+(?![{_TOKEN}])"
+CANDIDATE = rf"{_SPELLED}|{_GROUPS}|(?<![{_TOKEN}])(?=[{_TOKEN}&&[^0-9@]]*+[0-9@])[{_TOKEN}]{{6,}}+"
 #: What a learned value of a kind may look like, and how many digits it may have.
-FITS = {"email": "^[^@]+@[^@]+$", "ip": "^[0-9a-f]*(?:[.:][0-9a-f]*){3,7}$", "card": "^[0-9][0-9 -]*$", "phone": "^[+(]?[0-9][0-9 ()./-]*$"}
+FITS = {"email": "^[^@]+@[^@]+$|^[^ ]+ ?.?(?:at|@).? ?[^ ]+", "ip": "^[0-9a-f]*(?:[.:][0-9a-f]*){3,7}$", "card": "^[0-9][0-9 -]*$", "phone": "^[+(]?[0-9][0-9 ()./-]*$"}
 DIGITS = {"card": (12, 19), "phone": (9, 15)}
 
 
@@ -87,20 +90,26 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _two_words(text: Column) -> Column:
+    """The first two runs of letters, empty where there is none."""
+    return F.array(*[F.regexp_extract(text, r"^[^\p{L}]*+(\p{L}*+)[^\p{L}]*+(\p{L}*+)", k) for k in (1, 2)])
+
+
 def matches(texts: DataFrame) -> DataFrame:
     """From ``rid, text``: one row per seed, and per token (kind null) that looks like an identifier:
-    ``rid, kind, start, end, value, before, after`` (text next to it, up to the next match of the same pattern).
+    ``rid, kind, start, end, value, before, after`` (the two words next to it on either side, nearest first, up to the next match of the same pattern).
 
     One scan: a text's gaps and matches for all patterns that it may hold.  Offsets are running sums over the document's
     own matches of a pattern."""
     held = []
     for kind in (*KINDS, None):
-        may, pattern, text = (MAY_HOLD[kind], PATTERNS[kind], _prepared(kind, F.col("text"))) if kind else ("[0-9@]", CANDIDATE, F.col("text"))
-        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).cast("long").alias("size"), F.right(g, F.lit(CONTEXT)).alias("tail"), F.left(g, F.lit(CONTEXT)).alias("head")))
+        may, pattern, text = (MAY_HOLD[kind], PATTERNS[kind], _prepared(kind, F.col("text"))) if kind else (CANDIDATE, CANDIDATE, F.col("text"))
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).cast("long").alias("size"), F.transform(_two_words(F.reverse(g)), F.reverse).alias("tail"), _two_words(g).alias("head")))
         held.append(F.when(F.col("text").rlike(may), F.struct(F.lit(kind).cast("string").alias("kind"), gaps.alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))))
     rows = texts.select("rid", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())).alias("x")).where("size(x.found) > 0")
     parts = F.arrays_zip(F.col("x.found").alias("value"), F.col("x.gaps").alias("gap"), F.slice("x.gaps", 2, F.size("x.gaps")).alias("next"))
-    rows = rows.select("rid", F.col("x.kind").alias("kind"), F.posexplode(parts).alias("i", "m")).where("m.value is not null")
+    # the arrays are a column of their own below the explosion, or each of its rows would carry all of them
+    rows = rows.select("rid", F.col("x.kind").alias("kind"), parts.alias("parts")).select("rid", "kind", F.posexplode("parts").alias("i", "m")).where("m.value is not null")
     end = F.sum(F.col("m.gap.size") + F.length("m.value")).over(Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.select("rid", "kind", F.col("m.value").alias("value"), F.col("m.gap.tail").alias("before"), F.col("m.next.head").alias("after"), end.alias("end"))
     valid = F.coalesce(*[F.when(F.col("kind") == k, _valid(k, F.col("value"))) for k in KINDS], F.lit(True))
@@ -118,10 +127,8 @@ def without_overlaps(found: DataFrame) -> DataFrame:
 
 def _patterns(places: DataFrame) -> DataFrame:
     """``pattern, value, kind``: the lexical patterns of places, each combination once."""
-    word = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}]+", "")
-    side = lambda c: F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)), word), lambda w: w != "")
-    at = lambda a, i: F.coalesce(F.get(a, F.lit(i)), F.lit(""))
-    rows = places.select("kind", F.lower("value").alias("value"), F.reverse(side(F.col("before"))).alias("l"), side(F.col("after")).alias("r"))
+    at = lambda side, i: F.lower(F.get(F.col(side), F.lit(i)))
+    rows = places.select("kind", F.lower("value").alias("value"), F.col("before").alias("l"), F.col("after").alias("r"))
     forms = F.array(
         F.concat(at("l", 1), F.lit(" "), at("l", 0), F.lit(" _")),
         F.concat(F.lit("_ "), at("r", 0), F.lit(" "), at("r", 1)),
@@ -136,22 +143,29 @@ def _fits(kind: Column, value: Column) -> Column:
     return F.coalesce(*tests, F.lit(False))
 
 
-def learned_values(base: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def learned_values(base: DataFrame, candidates: DataFrame) -> DataFrame:
     """``value, kind, score`` of the candidates that the patterns of seeds lead to."""
     graph = scratch.table(_patterns(base).unionByName(_patterns(candidates)), "pii-graph")
-    sizes = graph.groupBy("pattern").agg(F.count_distinct("value").alias("values"))
     unknown = graph.where("kind is null").select("pattern", "value")
-    known = graph.where("kind is not null").select("pattern", "value", "kind", F.lit(1.0).alias("score"), F.lit(1).alias("seed"))
-    learned = None
-    for _ in range(rounds):
-        weights = known.groupBy("pattern", "kind").agg(F.sum("score").alias("weight"), F.sum("seed").alias("support")).where(F.col("support") >= SUPPORT)
-        scores = weights.join(sizes, "pattern").select("pattern", "kind", (F.col("weight") / (F.col("values") + PRIOR)).alias("p")).where(F.col("p") >= SURE)
+    seeds = graph.where("kind is not null").select("pattern", "value", "kind", F.lit(1.0).alias("score"))
+    fits = [F.count_if(_fits(F.lit(k), F.col("value"))).alias(f"fits_{k}") for k in KINDS]
+    others = unknown.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), *fits)
+    known, count, learned = seeds, -1, None
+    while True:
+        weights = known.groupBy("pattern", "kind").agg(F.sum("score").alias("weight"), F.count(F.lit(1)).alias("support"))
+        totals = known.groupBy("pattern").agg(F.sum("score").alias("total"))
+        may = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"fits_{k}")) for k in KINDS], F.lit(0))
+        against = F.col("total") + PRIOR + DOUBT * may + F.coalesce(F.col("values") - may, F.lit(0))
+        scores = weights.where(F.col("support") >= SUPPORT).join(totals, "pattern").join(others, "pattern", "left")
+        scores = scores.select("pattern", "kind", (F.col("weight") / against).alias("p")).where(F.col("p") >= SURE)
         reached = unknown.join(scores, "pattern").where(_fits(F.col("kind"), F.col("value")))
         learned = reached.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.999)))))).alias("score")).where(F.col("score") >= SURE)
         learned = scratch.table(learned, "pii-learned")
-        passed = unknown.join(learned, "value").select("pattern", "value", "kind", "score", F.lit(1).alias("seed"))
-        known = graph.where("kind is not null").select("pattern", "value", "kind", F.lit(1.0).alias("score"), F.lit(1).alias("seed")).unionByName(passed)
-    return learned
+        before, count = count, learned.count()
+        if count == 0 or count <= before:
+            return learned
+        passed = unknown.join(learned, "value").select("pattern", "value", "kind", "score")
+        known = seeds.unionByName(passed)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
