@@ -91,11 +91,12 @@ def _pieces(path: str, style: str, end_id: int, length: int, keep_ids: bool):
         for b in small_batches(batches):
             out: dict[str, list] = {k: [] for k in _PIECE}
             for doc, rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                ids = np.append(enc.ids(text.as_py()).astype("<u4"), np.uint32(end_id))
+                narrow = np.append(enc.ids(text.as_py()), enc.dtype.type(end_id))
+                ids = narrow.astype("<u4")
                 for start in range(0, len(ids), length):
-                    raw = ids[start : start + length].tobytes()
-                    whole = len(raw) == 4 * length
-                    for k, v in zip(out, (doc, rid, start, len(raw) // 4, zlib.crc32(raw), len(ids), full if whole else None, raw if keep_ids else None), strict=True):
+                    piece = ids[start : start + length]
+                    whole, raw = len(piece) == length, narrow[start : start + length].tobytes() if keep_ids else None
+                    for k, v in zip(out, (doc, rid, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), full if whole else None, raw), strict=True):
                         out[k].append(v)
                     full += whole
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), _PIECE.values(), strict=True)], names=list(out))
@@ -105,8 +106,9 @@ def _pieces(path: str, style: str, end_id: int, length: int, keep_ids: bool):
 
 def packed_pieces(docs: DataFrame, tokenizer: str, style: str = "spaced", id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                   end_id: int = END_ID, group_docs: int = GROUP_DOCS, seed: int = SEED, keep_ids: bool = True) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked, ``ids``
-    (little-endian unsigned 32-bit), which in the order of ``sequence_id, offset`` are the packed sequences."""
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked, ``ids``,
+    which in the order of ``sequence_id, offset`` are the packed sequences: little-endian unsigned numbers of 16 bits, or
+    of 32 if the vocabulary has more than 65536 entries (checksums are always those of 32)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
     schema = "doc_id long, rid long, start long, length long, ids_crc32 long, doc_tokens long, full long, ids binary"
     cut = scratch.table(rows.mapInArrow(_pieces(tokenizer, style, end_id, length, keep_ids), schema), "pieces")

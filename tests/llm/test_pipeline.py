@@ -79,7 +79,7 @@ def test_stages_match_brute_force(spark, folder):
     before, after = kept[4]
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = Counter(np.array(tok.encode(r.text, add_special_tokens=False).ids + [1], "<u4").tobytes() for r in before)
-    whole = Counter(bytes(r.ids) for r in after if r.length == r.doc_tokens)
+    whole = Counter(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes() for r in after if r.length == r.doc_tokens)
     assert all(want[k] == n for k, n in whole.items()) and sum(r.length for r in after) == sum(len(k) // 4 * n for k, n in want.items())
 
 
