@@ -2,13 +2,16 @@
 
 A text's lines are a chain with two labels.  Each line has ``FEATURES``; the Viterbi path of the field's weights gives
 the labels, and the share of a text's characters on content lines decides whether it is kept.  The weights are fitted
-by gradient ascent on the conditional likelihood, from a sample of at most ``SAMPLE_DOCS`` labelled documents, whose
-lines take the document's quality as a weak label; where there are no labels of both kinds, ``DEFAULT`` serves.
+by gradient ascent on the conditional likelihood, from a sample of at most ``SAMPLE_DOCS`` labelled documents of up to
+``SAMPLE_CHARS`` characters, whose lines take the document's quality as a weak label; where there are no labels of both
+kinds, ``DEFAULT`` serves.  Texts that are judged are whole, whatever their length.
 
 Before the field's verdict come fixed rules (``base_failed``): fewer than ``MIN_WORDS`` words, or more than half of the
 words in repeated three-word windows.
 
-All counts are vectorised over the characters of a batch of documents.  Defined results: a null or empty text has no
+All counts are vectorised over the characters of a batch of documents, which is bounded by bytes; lines that only one
+document of the batch still has are labelled in one plain loop.  An id that occurs in several rows or labels gives one
+sample, the smallest by text digest and label.  Defined results: a null or empty text has no
 words and fails; lines are split at line feeds only; repeated rows and null ids are judged like any other; an empty
 table gives an empty table.  Extra columns are ignored.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sedgeline.llm.scratch import small_batches
 
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS, SAMPLE_CHARS = 1500, 200_000
 MIN_WORDS = 50
 MIN_CONTENT = 0.5
 BATCH_DOCS = 256
@@ -109,22 +112,34 @@ class Lines:
                 seen.add(line)
         return np.array(out, bool)
 
-    def chains(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each line number: the chains that are that long, and their lines."""
+    def chains(self, shared: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each line number: the chains that are that long, and their lines; if asked, only as far as two are."""
         first = np.cumsum(self.per_doc) - self.per_doc
         order = np.argsort(-self.per_doc, kind="stable")
         sizes = -self.per_doc[order]
-        for k in range(int(self.per_doc.max(initial=0))):
+        most = -int(sizes[1]) if shared and len(sizes) > 1 else int(self.per_doc.max(initial=0)) if not shared else min(1, len(sizes))
+        for k in range(most):
             alive = order[: np.searchsorted(sizes, -k, side="left")]
             yield alive, first[alive] + k
 
 
+def _viterbi_alone(score: np.ndarray, stay: float, best: tuple[float, float]) -> tuple[np.ndarray, tuple[float, float]]:
+    """Back pointers of one chain's further lines, and the scores of its paths at the end."""
+    junk, content = best
+    back = np.zeros((len(score), 2), np.int8)
+    for k, s in enumerate(score.tolist()):
+        from_junk, from_content = junk + stay >= content, content + stay >= junk
+        back[k, 0], back[k, 1] = 0 if from_junk else 1, 1 if from_content else 0
+        junk, content = (junk + stay if from_junk else content), (content + stay if from_content else junk) + s
+    return back, (junk, content)
+
+
 def viterbi(lines: Lines, weights: np.ndarray) -> np.ndarray:
     """Best labels of all lines: true for content."""
     score, stay = lines.features @ weights[:-1], weights[-1]
     best = np.zeros((len(lines.per_doc), 2))  # of paths that end in boilerplate, in content
     back = np.zeros((len(score), 2), np.int8)
-    steps = list(lines.chains())
+    steps = list(lines.chains(shared=True))
     for k, (docs, at) in enumerate(steps):
         if k:
             from_other = best[docs][:, ::-1]
@@ -133,7 +148,19 @@ def viterbi(lines: Lines, weights: np.ndarray) -> np.ndarray:
             best[docs] = np.maximum(same, from_other)
         best[docs, 1] += score[at]
     label = np.zeros(len(score), bool)
+    longest = int(np.argmax(lines.per_doc)) if len(lines.per_doc) else 0
+    first = int(lines.per_doc[:longest].sum())
+    a, b = first + len(steps), first + int(lines.per_doc[longest]) if len(lines.per_doc) else 0
+    if a < b:
+        back[a:b], best[longest] = _viterbi_alone(score[a:b], float(stay), tuple(best[longest].tolist()))
     now = np.argmax(best + [0, 1e-12], axis=1)  # a tie is content
+    if a < b:
+        state, pointers = int(now[longest]), back[a:b].tolist()
+        path = [0] * (b - a)
+        for k in range(b - a - 1, -1, -1):
+            path[k] = state
+            state = pointers[k][state]
+        label[a:b], now[longest] = np.array(path, bool), state
     for k in range(len(steps) - 1, -1, -1):
         docs, at = steps[k]
         state = now[docs]
@@ -182,15 +209,16 @@ def fit(texts: list[str], quality: list[int], steps: int = 150, rate: float = 0.
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """At most ``sample_docs`` labelled documents, half of each quality, chosen by a hash of the id."""
+    """At most ``sample_docs`` labelled documents of at most ``SAMPLE_CHARS``, half of each quality, chosen by a hash of the id."""
     usable = labels.select(F.col("doc_id").alias("__sedgeline_id"), F.col("quality").alias("__sedgeline_q")).where("__sedgeline_id is not null and __sedgeline_q in (0, 1)")
     picked = None
     for q in (0, 1):
         some = usable.where(F.col("__sedgeline_q") == q).orderBy(F.xxhash64("__sedgeline_id"), "__sedgeline_id").limit(sample_docs // 2)
         picked = some if picked is None else picked.unionByName(some)
     # at most sample_docs rows are broadcast, and come back with their texts
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__sedgeline_id")).where(F.col(text_col).isNotNull()).select("__sedgeline_id", text_col, "__sedgeline_q").dropDuplicates(["__sedgeline_id"])
-    rows = sorted(rows.collect())
+    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__sedgeline_id")).where(F.length(text_col) <= SAMPLE_CHARS)
+    rows = rows.groupBy("__sedgeline_id").agg(F.min(F.struct(F.sha2(F.col(text_col), 256).alias("h"), F.col("__sedgeline_q").alias("q"), F.col(text_col).alias("t"))).alias("r"))
+    rows = sorted(rows.select("__sedgeline_id", "r.t", "r.q").collect())
     return [r[1] for r in rows], [int(r[2]) for r in rows]
 
 

@@ -7,11 +7,14 @@ memo of pieces saves most of the work.  Three ways of cutting, all exact:
 * plain texts (ASCII without apostrophes, Latin letters, single white space) are cut into pre-tokens,
 * other texts of usual white space are cut before each run of white space,
 * texts with unusual white space are not cut.
+
+A vocabulary file whose normalizer or splitter is not the one that a style stands for is used without cutting at all.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import sys
@@ -33,6 +36,27 @@ _PRETOKEN = {
 }
 
 
+#: What the files of a style say of normalizing and splitting.
+_SETTINGS = {
+    "spaced": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None),
+    "bare": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+        "</w>",
+    ),
+}
+
+
+def cuts_as(settings: dict, style: str) -> bool:
+    """Whether a vocabulary file normalizes, splits and merges as the style says."""
+    model = settings["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    return plain and (settings["normalizer"], settings["pre_tokenizer"], model.get("end_of_word_suffix")) == _SETTINGS[style]
+
+
 def _byte_signs() -> dict[int, str]:
     """The vocabulary's spelling of characters: one printable sign for each UTF-8 byte, others moved up past 255."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -70,6 +94,7 @@ class Encoder:
         self.vocab = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
         self.style, self.memo_size = style, memo_size
+        self.cuts = cuts_as(json.loads(self.tok.to_str()), style)
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -91,10 +116,10 @@ class Encoder:
         """Ids of one text; null counts as empty."""
         if not text:
             return b""
-        plain = is_plain(text)
+        plain = self.cuts and is_plain(text)
         if plain:
             pieces = _PRETOKEN[self.style].findall(text)
-        elif _ODD_SPACE.search(text):
+        elif not self.cuts or _ODD_SPACE.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         else:
             pieces = _COARSE.findall(text)

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -74,3 +75,14 @@ def test_null_ids_twins_and_empty_table(spark):
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in I.read_id_files(I.write_id_files(df, scratch.new_path(spark, "t"), PATH, "bare", 2)).collect())
     assert got == [(0, None, 3), (3, 3, 2), (5, 3, 2)]
     assert I.read_id_files(I.write_id_files(df.limit(0), scratch.new_path(spark, "t"), PATH, "bare", 2)).count() == 0
+
+
+def test_other_settings_are_not_cut(tmp_path):
+    settings = json.load(open(STYLES["bare"]))
+    assert all(ENCODERS[s].cuts for s in STYLES)
+    settings["normalizer"]["normalizers"].pop()  # no lower case
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(settings))
+    e = Encoder(str(path), "bare")
+    text = "Some WORDS in Upper case, don't they"
+    assert not e.cuts and e.ids(text).tolist() == e.tok.encode(text, add_special_tokens=False).ids != ENCODERS["bare"].ids(text).tolist()

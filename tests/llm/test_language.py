@@ -24,12 +24,21 @@ def grams(t):
 
 def test_kernel_matches_sets():
     texts = [r[1] for r in corpus(30)]
-    m = L.Model(texts, [["x", "y"][i % 2] for i in range(30)], landmarks=5)
+    m = L.Model([L.distinct_grams(t) for t in texts], [["x", "y"][i % 2] for i in range(30)], landmarks=5)
     marks = texts[0:10:2] + texts[1:10:2]
     want = [[len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b))) for b in marks] for a in texts]
     assert np.allclose(m.kernel(texts), want, atol=1e-5)
 
 
+def test_numbers_of_grams_and_of_texts_agree():
+    far = "".join(chr(c) for c in range(0x10000, 0x1E000, 3)) + "".join(chr(c) for c in range(0x4E00, 0x9FFF))
+    for marks in ([L.distinct_grams("ab ä")], [L.distinct_grams(far)]):
+        a = L.Alphabet(marks)
+        for t in ("", "Ab  \n\tx", "aä b日" * 9, far[:5000] + " a"):
+            assert a.grams(t).tolist() == a.coded(L.distinct_grams(t)).tolist()
+    assert len(np.unique(L.Alphabet([L.distinct_grams(far)]).grams(far))) == len(grams(far))
+
+
 def test_held_out_accuracy_and_edges(spark):
     rows = corpus()
     extra = [(900, None, "aa"), (901, "12 !!", "aa"), (902, "", None), (None, rows[1][1], "bb"), (903, "日本", "aa"), (904, "ka mo " * 50_000, None)]

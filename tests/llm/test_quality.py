@@ -53,6 +53,26 @@ def test_viterbi_matches_all_paths():
             at += n
 
 
+def test_lone_long_chains_match_shared_ones():
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choice(["the", "cat", "SAT!!", "###", "| x |", "9"]) for _ in range(rng.randint(0, 6)))
+    long, other = ["\n".join(line() for _ in range(n)) for n in (700, 650)]
+    for w in (Q.DEFAULT, np.linspace(-1, 1, len(Q.DEFAULT))):
+        alone = Q.viterbi(Q.Lines([long]), w)
+        assert (Q.viterbi(Q.Lines(["x", long, "y\nz"]), w)[1:701] == alone).all()
+        assert (Q.viterbi(Q.Lines([long, long]), w) == np.concatenate([alone, alone])).all()
+        assert (Q.viterbi(Q.Lines([other, long]), w)[650:] == alone).all()
+    assert Q.judge(["\n" * 300_000 + "word " * 100], Q.DEFAULT)[0][0] == 100
+
+
+def test_sample_is_the_same_whatever_the_order(spark):
+    rows = [(i % 7, f"text {i}") for i in range(40)] + [(3, None), (5, "z" * (Q.SAMPLE_CHARS + 1))]
+    labels = spark.createDataFrame([(i % 7, i % 2) for i in range(20)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = Q.labelled_sample(df, labels)
+    assert len(first[0]) == 7 and all(Q.labelled_sample(df.repartition(n, "text"), labels.repartition(n)) == first for n in (1, 3))
+
+
 def test_fitted_field_tells_junk_from_prose():
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
