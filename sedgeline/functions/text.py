@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,16 +76,26 @@ def contains_any(c: Column, terms: list[str]) -> Column:
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
+MARKS = r"\p{Mn}+"
+
+
+@cache
 def _fold_map() -> tuple[str, str]:
-    """Latin letters whose decomposition starts with a base letter, and those letters."""
-    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250))]
-    pairs = [(a, b) for a, b in pairs if a != b]
+    """All characters that decompose to a base letter and combining marks, and those letters."""
+    parts = ((c, unicodedata.normalize("NFD", c)) for c in map(chr, range(0xC0, 0x20000)))
+    pairs = [(c, d[0]) for c, d in parts if d[0] != c and all(unicodedata.category(m) == "Mn" for m in d[1:])]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(c), *_fold_map())
+    """Lower case without accents, whether composed or written as combining marks."""
+    return F.regexp_replace(F.translate(F.lower(c), *_fold_map()), MARKS, "")
+
+
+def fold_text(raw: str) -> str:
+    """The same of a plain string."""
+    folded = raw.lower().translate(str.maketrans(*_fold_map()))
+    return "".join(c for c in folded if unicodedata.category(c) != "Mn")
 
 
 def tokens(c: Column) -> Column:

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 DONE = ("completed", "failed", "cancelled")
 
@@ -113,15 +121,45 @@ def log_tail(lines: DataFrame, job_id: int, after_id: int) -> DataFrame:
 def debounce(events: DataFrame, key: str, at: str, seconds: int = 120) -> DataFrame:
     """Batches opened by a key's first event and closed after a fixed time: ``key, opened, events``.
 
-    The next event after that opens another, so batches follow from each other; they are folded over the key's own
-    sorted times."""
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_seconds(F.col(at).cast("timestamp")))).alias("t"))
-    start = F.array().cast("array<struct<opened:bigint,events:bigint>>")
-
-    def step(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (t < F.try_element_at(acc, F.lit(-1))["opened"] + seconds)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["opened"].alias("opened"), (last["events"] + 1).alias("events"))))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(F.struct(t.alias("opened"), F.lit(1).cast("long").alias("events")))))
-
-    return times.select(key, F.explode(F.aggregate("t", start, step)).alias("b")).select(key, F.timestamp_seconds("b.opened").alias("opened"), "b.events")
+    The next event after that opens another, so batches follow from each other.  Times are sorted by key within
+    partitions and streamed; what is kept is the open batch of the current key, however many events it has."""
+    schema = events.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("opened"), F.lit(1).cast("long").alias("events")).schema
+    rows = events.select(F.col(key).alias("key"), F.unix_seconds(F.col(at).cast("timestamp")).alias("t")).where("t is not null")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        opened: list[int] = []
+        counts: list[int] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key_column, t = b.column(0), b.column(1).to_numpy()
+            new = pa.compute.not_equal(key_column[1:], key_column[:-1]).fill_null(True).to_numpy(zero_copy_only=False)
+            null = key_column.is_null().to_numpy(zero_copy_only=False)
+            borders = np.flatnonzero(new & ~(null[1:] & null[:-1])) + 1
+            for i, j in itertools.pairwise([0, *borders.tolist(), len(t)]):
+                k = key_column[i].as_py()
+                if keys and keys[-1] == k and opened:  # the open batch of the batch before
+                    end = i + int(np.searchsorted(t[i:j], opened[-1] + seconds))
+                    counts[-1] += end - i
+                    i = end
+                while i < j:
+                    end = i + int(np.searchsorted(t[i:j], t[i] + seconds))
+                    keys.append(k)
+                    opened.append(int(t[i]))
+                    counts.append(end - i)
+                    i = end
+            if len(keys) > 10_000:
+                yield _debounced(keys[:-1], opened[:-1], counts[:-1], schema)
+                keys, opened, counts = keys[-1:], opened[-1:], counts[-1:]
+        if keys:
+            yield _debounced(keys, opened, counts, schema)
+
+    sorted_ = rows.repartition("key").sortWithinPartitions("key", "t")
+    return sorted_.mapInArrow(fold, schema).withColumnRenamed("key", key)
+
+
+def _debounced(keys: list, opened: list[int], counts: list[int], schema: StructType) -> pa.RecordBatch:
+    types = to_arrow_schema(schema)
+    times = pa.array([t * 1_000_000 for t in opened], pa.int64()).cast(pa.timestamp("us", "UTC"))
+    return pa.RecordBatch.from_arrays([pa.array(keys, types.field(0).type), times, pa.array(counts, pa.int64())], names=["key", "opened", "events"])

@@ -88,9 +88,12 @@ def article_page(articles: DataFrame, feeds: DataFrame, user_id: int, params: Li
 
 
 def page_with_total(df: DataFrame, params: ListParams, order: Sequence[Column]) -> DataFrame:
-    """Page and total in one pass over the filtered rows; sorts all of them, unlike top-k and count."""
-    n = Window.orderBy(*order)
-    return df.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy())).withColumn("rank", F.row_number().over(n)).where(F.col("rank").between(params.offset + 1, params.offset + params.page_size))
+    """A page's rows with their ranks and the total: a top-k that each task cuts, and a map-side count.
+
+    Only the rows up to the page's end, which the top-k leaves, are ranked."""
+    top = df.orderBy(*order).limit(params.offset + params.page_size)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") > params.offset)
+    return ranked.join(F.broadcast(total(df)))  # one row
 
 
 def recent_unread(articles: DataFrame, feeds: DataFrame, user_id: int, n: int = 6) -> DataFrame:

@@ -261,20 +261,24 @@ def stored_blocks(block_rows: DataFrame) -> DataFrame:
     return own.unionByName(heads).withColumn("position", at).select(*TREE.split(", "))
 
 
-def rebuilt_tree(rows: DataFrame, max_depth: int = 32) -> DataFrame:
+def rebuilt_tree(rows: DataFrame) -> DataFrame:
     """Rows that hang together from a root down, with ``depth`` and ``path`` of positions; orphans are left out.
 
-    A level a step: each joins the children of the last, and stops when there are none."""
+    Each round doubles the distance to the ancestor that a row knows, so a tree of any depth takes its depth's logarithm
+    of rounds.  Rows that are each other's ancestors are an error."""
     rows = scratch.table(rows, "tree")
-    level = rows.where("parent_id is null").select("*", F.lit(0).alias("depth"), F.array("position").alias("path"))
-    found = [level]
-    for depth in range(1, max_depth):
-        up = level.select(F.col("block_id").alias("__up"), F.col("path").alias("__path"))
-        level = rows.join(up, F.col("parent_id") == F.col("__up")).select(*rows.columns, F.lit(depth).alias("depth"), F.concat("__path", F.array("position")).alias("path"))
-        if level.isEmpty():
+    state = rows.select("block_id", F.col("parent_id").alias("up"), F.lit(0).alias("depth"), F.array("position").alias("path"))
+    most = rows.count().bit_length() + 1
+    for n in range(most + 1):
+        open_ = state.where("up is not null")
+        if open_.isEmpty():
             break
-        found.append(level)
-    return reduce(DataFrame.unionByName, found)
+        if n == most:
+            raise ValueError("blocks that are their own ancestors")
+        above = state.select(F.col("block_id").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("path").alias("__path"))
+        joined = open_.join(above, "up").select("block_id", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth") + 1).alias("depth"), F.concat("__path", "path").alias("path"))
+        state = scratch.table(state.where("up is null").unionByName(joined), "tree-state")
+    return rows.join(state.drop("up"), "block_id").select(*rows.columns, "depth", "path")
 
 
 def wire_document(rows: DataFrame) -> DataFrame:

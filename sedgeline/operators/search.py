@@ -1,22 +1,24 @@
 """Full-text search: folded tokens, phrases that are ANDed, the last token as a prefix.
 
-Two forms with the same result: a filter over folded text for one pass, and a token table (an inverted index, written
-once, partitioned by token) for repeated searches, whose lookups are semi-joins.
+Two forms with the same result: a filter over folded text for one pass, and a token table (an inverted index) for
+repeated searches.  :func:`stored` writes it once, partitioned by the token's first letter and sorted by token, so that a
+lookup reads the partitions and row groups of its own tokens.  A lookup scans the table once, however many tokens it has.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedgeline import scratch
 from sedgeline.functions import text
 
 COLUMNS = ("name", "plain_text")
+BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -26,13 +28,14 @@ class Phrase:
 
 
 def _tokens(raw: str) -> tuple[str, ...]:
-    folded = "".join(c for c in unicodedata.normalize("NFD", raw.lower()) if not unicodedata.combining(c))
-    return tuple(t for t in re.split(r"[\W_]+", folded) if t)
+    return tuple(t for t in re.split(r"[\W_]+", text.fold_text(raw)) if t)
 
 
 def compile_term(term: str) -> list[Phrase] | None:
-    """Words between white space, each a phrase of its tokens; null if nothing is left to search for."""
-    words = [_tokens(w) for w in re.sub(r"[\x00-\x1f\x7f]", " ", term).split()]
+    """Words between white space, each a phrase of its tokens; null if nothing is left to search for.
+
+    Control characters are deleted, so they don't part a word."""
+    words = [_tokens(re.sub(r"[\x00-\x1f\x7f]", "", w)) for w in re.split(r"[\s\ufeff]+", term)]
     words = [w for w in words if w]
     return [Phrase(w, i == len(words) - 1) for i, w in enumerate(words)] or None
 
@@ -67,15 +70,34 @@ def refreshed(old: DataFrame, before: DataFrame, now: DataFrame, key: str, colum
     return old.join(same, key, "left_semi").unionByName(index(changed, key, columns))
 
 
+def _bucket(token: Column) -> Column:
+    """Partition of a token: by its first letter, which a prefix has too."""
+    return F.pmod(F.xxhash64(F.left(token, F.lit(1))), F.lit(BUCKETS)).cast("int")
+
+
+def stored(tokens: DataFrame, label: str = "search-index") -> DataFrame:
+    """The token table, written to the shared folder with its ``bucket`` as partition."""
+    path = scratch.new_path(tokens.sparkSession, label)
+    rows = tokens.withColumn("bucket", _bucket(F.col("token"))).repartition("bucket", "token").sortWithinPartitions("bucket", "token")
+    rows.write.partitionBy("bucket").parquet(path)
+    return tokens.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def lookup(tokens: DataFrame, key: str, term: str) -> DataFrame:
-    """Keys that match, from the token table: a position join for each phrase, then an intersection."""
-    found = None
-    for p in compile_term(term) or []:
-        hits = None
-        for k, t in enumerate(p.tokens):
-            is_last = k == len(p.tokens) - 1
-            some = tokens.where(F.col("token").startswith(t) if is_last and p.prefix else F.col("token") == t).select(key, "column", (F.col("pos") - k).alias("at"))
-            hits = some if hits is None else hits.join(some, [key, "column", "at"], "left_semi")
-        keys = hits.select(key).distinct()
-        found = keys if found is None else found.join(keys, key, "left_semi")
-    return tokens.select(key).distinct() if found is None else found
+    """Keys that match, from the token table.
+
+    One scan keeps the rows of the wanted tokens, each with the phrase and place that it serves; a phrase is where all
+    places of one start are there, a match is a key with all phrases."""
+    phrases = compile_term(term)
+    if phrases is None:
+        return tokens.select(key).distinct()
+    wanted = [(n, i, t, p.prefix and i == len(p.tokens) - 1) for n, p in enumerate(phrases) for i, t in enumerate(p.tokens)]
+    hit = lambda t, prefix: F.col("token").startswith(t) if prefix else F.col("token") == t
+    if "bucket" in tokens.columns:  # literals, so that partitions are pruned
+        tokens = tokens.where(F.col("bucket").isin([_bucket(F.lit(t)) for t in sorted({t[0] for _, _, t, _ in wanted})]))
+    uses = F.array_compact(F.array(*[F.when(hit(t, prefix), F.struct(F.lit(n).alias("phrase"), F.lit(i).alias("i"))) for n, i, t, prefix in wanted]))
+    rows = tokens.where(reduce(Column.__or__, [hit(t, prefix) for _, _, t, prefix in wanted])).select(key, "column", "pos", F.explode(uses).alias("use"))
+    rows = rows.select(key, "column", "use.phrase", "use.i", (F.col("pos") - F.col("use.i")).alias("at"))
+    size = reduce(lambda c, np: c.when(F.col("phrase") == np[0], len(np[1].tokens)), enumerate(phrases), F.when(F.lit(False), 0))
+    whole = rows.groupBy(key, "column", "phrase", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size)
+    return whole.groupBy(key).agg(F.count_distinct("phrase").alias("n")).where(F.col("n") == len(phrases)).select(key)

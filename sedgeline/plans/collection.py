@@ -14,7 +14,7 @@ from sedgeline.sources import sites
 
 def _feeds(c: Catalog) -> DataFrame:
     """One RSS or Atom document for each conversation, an entry a turn; every tenth has none."""
-    esc = lambda n: text.escape_html(F.substring(F.translate(n, "\n", " "), 1, 200))
+    esc = lambda n: text.escape_html(F.translate(n, "\n", " "))
     k, turn = F.col("conv_id"), F.col("turn")
     rss = F.format_string(
         '<item><title>Turn %s</title><link>http://h/%s/%s</link><content:encoded>%s</content:encoded><description>short</description><pubDate>Mon, 01 Jan 2024 0%s:00:00 +0000</pubDate><dc:creator>%s</dc:creator><enclosure url="http://h/a.%s" type="%s" length="7"/></item>',
@@ -26,7 +26,7 @@ def _feeds(c: Catalog) -> DataFrame:
     return of.select(F.col("conv_id").alias("feed_id"), F.when(F.col("conv_id") % 10 == 7, F.lit("<rss><channel/></rss>")).otherwise(F.concat(F.lit("<rss><channel>"), "b", F.lit("</channel></rss>"))).alias("xml"))
 
 
-BODY = "trim(substr(replace(text, chr(10), ' '), 1, 200))"
+BODY = "trim(replace(text, chr(10), ' '))"
 
 
 @query("feed_entries", f"""
@@ -96,12 +96,12 @@ def listing_posts(c: Catalog) -> DataFrame:
 
 @query("channel_ids", """
     SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'UC' || lpad(CAST(c_custkey AS VARCHAR), 22, 'a') WHEN 1 THEN 'UC' || lpad(CAST(n.n_nationkey AS VARCHAR), 22, 'b') WHEN 2 THEN (SELECT min('UC' || lpad(CAST(o.n_nationkey AS VARCHAR), 22, 'b')) FROM nation o WHERE contains(o.n_name, n.n_name)) END AS channel_id
-    FROM customer JOIN nation n ON c_nationkey = n.n_nationkey WHERE c_custkey < 400""", views=False)
+    FROM customer JOIN nation n ON c_nationkey = n.n_nationkey""", views=False)
 def channel_ids(c: Catalog) -> DataFrame:
     nation = c.table("nation")
     channels = nation.select(F.concat(F.lit("UC"), F.lpad(F.col("n_nationkey").cast("string"), 22, "b")).alias("channel_id"), F.concat(F.lit("h"), F.lower("n_name")).alias("handle"), F.concat(F.lit("The channel of "), "n_name").alias("title"))
     k = F.col("c_custkey")
-    rows = c.table("customer").where("c_custkey < 400").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    rows = c.table("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
     said = F.when(k % 4 == 0, F.concat(F.lit("https://y/channel/UC"), F.lpad(k.cast("string"), 22, "a"))).when(k % 4 == 1, F.concat(F.lit("https://y/@H"), "n_name")).when(k % 4 == 2, F.concat(F.lit("channel of "), "n_name")).otherwise("nobody")
     return src.channel_id(rows.select("c_custkey", said.alias("identifier")), channels).select("c_custkey", "channel_id")
 

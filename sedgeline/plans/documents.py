@@ -109,9 +109,9 @@ def wire_round_trip(c: Catalog) -> DataFrame:
     SELECT conv_id, turn, '<p>' || x || '</p>
 <ul><li>' || x || '</li><li><strong>' || turn || '</strong></li></ul>
 <h2>' || role || '</h2>' AS html
-    FROM (SELECT conv_id, turn, role, regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', 'e', 'g') || 'e' AS y, trim(regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', 'e', 'g') || 'e') AS x FROM conversations)""", views=False)
+    FROM (SELECT conv_id, turn, role, trim(regexp_replace(text, '[^A-Za-z ]', 'e', 'g') || 'e') AS x FROM conversations)""", views=False)
 def post_html(c: Catalog) -> DataFrame:
-    plain = F.trim(F.concat(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "e"), F.lit("e")))
+    plain = F.trim(F.concat(F.regexp_replace("text", "[^A-Za-z ]", "e"), F.lit("e")))
     body = F.concat(plain, F.lit("\n\n- "), plain, F.lit("\n- **"), F.col("turn").cast("string"), F.lit("**\n## "), F.col("role"))
     posts = c.table("conversations").select(F.struct("conv_id", "turn").alias("key"), body.alias("body"))
     return markdown.to_html(posts, "key", "body").select("key.conv_id", "key.turn", "html")

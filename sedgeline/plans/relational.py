@@ -197,14 +197,14 @@ def longest_prefix(c: Catalog) -> DataFrame:
 
 
 @query("image_ownership", """
-    , blocks AS (SELECT article_id, md5(CAST(article_id % 300 AS VARCHAR)) AS image_ref, md5(CAST(article_id % 500 + 300 AS VARCHAR)) AS thumbnail_ref FROM articles WHERE article_id % 10 = 0)
+    , blocks AS (SELECT article_id, md5(CAST(article_id % 300 AS VARCHAR)) AS image_ref, md5(CAST(article_id % 500 + 300 AS VARCHAR)) AS thumbnail_ref FROM articles)
     SELECT hash FROM (SELECT md5(CAST(i AS VARCHAR)) AS hash FROM range(0, 1000) t(i)) WHERE hash IN (
         SELECT image_ref FROM blocks JOIN articles USING (article_id) JOIN mine USING (feed_id) UNION SELECT thumbnail_ref FROM blocks JOIN articles USING (article_id) JOIN mine USING (feed_id)
         UNION SELECT md5(CAST(feed_id % 1000 AS VARCHAR)) FROM mine)""")
 def image_ownership(c: Catalog) -> DataFrame:
     md5 = lambda x: F.md5(x.cast("string"))
     k = F.col("article_id")
-    blocks = c.articles.where(k % 10 == 0).select("article_id", md5(k % 300).alias("image_ref"), md5(k % 500 + 300).alias("thumbnail_ref"))
+    blocks = c.articles.select("article_id", md5(k % 300).alias("image_ref"), md5(k % 500 + 300).alias("thumbnail_ref"))
     feeds = c.feeds.withColumn("logo", md5(F.col("feed_id") % 1000))
     return lists.image_owned(c.spark.range(1000).select(md5(F.col("id")).alias("hash")), blocks, c.articles, feeds, OWNER)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,9 @@ from sedgeline.plans.relational import query
 @query("fn_escape", """
     SELECT page_id, replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
            replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS attr, x AS back
-    FROM (SELECT page_id, substr(html, 1, 300) AS x FROM pages)""", views=False)
+    FROM (SELECT page_id, html AS x FROM pages)""", views=False)
 def fn_escape(c: Catalog) -> DataFrame:
-    x = F.substring("html", 1, 300)
+    x = F.col("html")
     return c.table("pages").select("page_id", t.escape_html(x).alias("html"), t.escape_attr(x).alias("attr"), t.unescape_basic(t.escape_html(x)).alias("back"))
 
 
@@ -65,7 +67,7 @@ ADDRESSES = [
 
 
 @query("fn_embed_ids", """
-    WITH a AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {'NULL' if u is None else repr(u)})" for i, u in ADDRESSES) + """) t(id, u))
+    WITH a AS (SELECT c_custkey AS id, replace(u, 'abc', c_custkey || 'abc') AS u FROM customer JOIN (VALUES """ + ", ".join(f"({i}, {'NULL' if u is None else repr(u)})" for i, u in ADDRESSES) + """) t(id, u) ON c_custkey % 18 + 1 = t.id)
     SELECT id, trim(coalesce(u, '')) <> '' AND lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) IN ('', 'http', 'https', 'mailto') AS safe,
            coalesce(nullif(regexp_extract(u, 'youtu\\.be/([A-Za-z0-9_-]{6,})', 1), ''), nullif(regexp_extract(u, '[?&]v=([A-Za-z0-9_-]{6,})', 1), ''), nullif(regexp_extract(u, 'youtube(?:-nocookie)?\\.com/(?:embed|v|shorts|live)/([A-Za-z0-9_-]{6,})', 1), '')) AS video,
            coalesce(nullif(regexp_extract(u, 'dailymotion\\.com/(?:embed/)?video/([A-Za-z0-9]+)', 1), ''), nullif(regexp_extract(u, 'dai\\.ly/([A-Za-z0-9]+)', 1), '')) AS clip,
@@ -73,8 +75,9 @@ ADDRESSES = [
            nullif(regexp_extract(u, '(?:reddit\\.com/|^/?)r/([A-Za-z0-9_]{2,21})', 1), '') AS subreddit,
            CASE WHEN regexp_matches(lower(u), '^[^?#]*\\.(gifv?|mp4|webm)([?#]|$)') THEN 'video' WHEN regexp_matches(lower(u), '^[^?#]*\\.(jpe?g|png|webp|avif)([?#]|$)') THEN 'image' END AS media FROM a""", views=False)
 def fn_embed_ids(c: Catalog) -> DataFrame:
+    kinds = F.broadcast(c.spark.createDataFrame(ADDRESSES, "k int, a string"))  # 18 rows
+    rows = c.table("customer").join(kinds, F.col("c_custkey") % 18 + 1 == F.col("k")).select(F.col("c_custkey").alias("id"), F.replace("a", F.lit("abc"), F.concat(F.col("c_custkey").cast("string"), F.lit("abc"))).alias("u"))
     u = F.col("u")
-    rows = c.spark.createDataFrame(ADDRESSES, "id int, u string")
     return rows.select("id", t.is_safe_url(u).alias("safe"), t.video_id(u).alias("video"), t.clip_id(u).alias("clip"), t.status_id(u).alias("status"), t.actor_and_post(u)["post"].alias("post"), t.subreddit(u).alias("subreddit"), t.media_kind(u).alias("media"))
 
 
@@ -190,3 +193,24 @@ def search_refresh(c: Catalog) -> DataFrame:
     now = before.withColumn("plain_text", F.when(F.col("doc_id") % 5 == 0, F.lit("Changed")).otherwise(F.col("plain_text")))
     fresh = search.refreshed(search.index(before, "doc_id", ("plain_text",)), before, now, "doc_id", ("plain_text",))
     return fresh.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
+
+
+@query("search_index_stored", f"""
+    WITH {DOCS} SELECT doc_id FROM d WHERE (contains(' ' || array_to_string(p, ' ') || ' ', ' de ') OR contains(' ' || array_to_string(n, ' ') || ' ', ' de ')) AND len(list_filter(p || n, lambda x: starts_with(x, 'le'))) > 0""", views=False)
+def search_index_stored(c: Catalog) -> DataFrame:
+    return search.lookup(search.stored(search.index(c.documents, "doc_id")), "doc_id", "DE le")
+
+
+#: Words in several scripts, composed and with combining marks, and how a search asks for them.
+WORDS = [("Tiếng Việt", "tieng viet"), ("τὸ ἔργο", "εργ"), ("ΈΡΓΟ", "έργο"), ("nai\u0308ve cafe\u0301", "naïve café"), ("Ёлка", "елк"), ("straße", "straße"), ("한국어", "한국"), ("plain", "pla\x00in")]
+
+
+@query("search_unicode", "SELECT c_custkey, c_custkey % 8 AS word FROM customer", views=False)
+def search_unicode(c: Catalog) -> DataFrame:
+    """Each of these words is found by its own search, and by no other one."""
+    texts = F.broadcast(c.spark.createDataFrame([(k, w) for k, (w, _) in enumerate(WORDS)], "word int, w string"))  # 8 rows
+    rows = c.table("customer").join(texts, F.col("c_custkey") % 8 == F.col("word")).select("c_custkey", F.concat(F.col("w"), F.lit(" "), "c_name").alias("name"))
+    found = [search.search(rows, asked, ("name",)).select("c_custkey", F.lit(k).cast("long").alias("word")) for k, (_, asked) in enumerate(WORDS) if k != 2]
+    # the second word's search finds the third one too, which is the same in capitals
+    both = reduce(DataFrame.unionByName, found).withColumn("word", F.when((F.col("word") == 1) & (F.col("c_custkey") % 8 == 2), F.lit(2).cast("long")).otherwise(F.col("word")))
+    return both.unionByName(search.search(rows, WORDS[2][1], ("name",)).select("c_custkey", (F.col("c_custkey") % 8).alias("word"))).distinct()

@@ -129,9 +129,15 @@ def channel_id(identifiers: DataFrame, channels: DataFrame, column: str = "ident
     wanted = F.lower(F.regexp_replace(F.coalesce(text.first_match(c, [r"/@([^/?#]+)", r"/(?:c|user)/([^/?#]+)"]), c), "^@", ""))
     rows = identifiers.withColumn("__id", literal).withColumn("__wanted", wanted)
     handle = rows.join(channels.select(F.lower("handle").alias("__wanted"), F.col("channel_id").alias("__handle")), "__wanted", "left")
-    # channel lists are autocomplete caches: title containment has no key, and runs only for what is still open
-    open_ = handle.where("__id is null and __handle is null").select("__wanted").distinct()
-    titles = open_.join(channels.select("channel_id", "title"), F.contains(F.lower("title"), F.col("__wanted"))).groupBy("__wanted").agg(F.min("channel_id").alias("__title"))
+    # containment by key: a title that holds a text holds all of its three-letter parts, so also the one that the fewest
+    # titles have, and only titles with that part are compared
+    open_ = handle.where("__id is null and __handle is null and __wanted <> ''").select("__wanted").distinct()
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+    short = F.transform(F.sequence(F.lit(1), F.greatest(F.length("__t"), F.lit(1))), lambda i: F.array(F.substring(F.col("__t"), i, F.lit(1)), F.substring(F.col("__t"), i, F.lit(2))))
+    parts = channels.select("channel_id", F.lower("title").alias("__t")).withColumn("__g", F.explode(F.array_distinct(F.concat(grams(F.col("__t")), F.flatten(short)))))
+    counts = parts.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = open_.withColumn("__g", F.explode(grams(F.col("__wanted")))).join(counts, "__g", "left").groupBy("__wanted").agg(F.min_by("__g", F.struct(F.coalesce("__n", F.lit(0)), "__g")).alias("__g"))
+    titles = rarest.join(parts, "__g").where(F.contains("__t", F.col("__wanted"))).groupBy("__wanted").agg(F.min("channel_id").alias("__title"))
     return handle.join(titles, "__wanted", "left").select(*identifiers.columns, F.coalesce("__id", "__handle", "__title").alias("channel_id"))
 
 
