@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache, reduce
 
@@ -263,10 +264,35 @@ def options_from_base64(c: Column) -> Column:
     return F.when(F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT"), raw)
 
 
+def image_refs(c: Column, scheme: str = "image") -> Column:
+    """Content hashes that a text refers to as ``<scheme>://<hash>``, each once, in order."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"{re.escape(scheme)}://([0-9a-f]{{64}})"), F.lit(1)))
+
+
+def options(raw: Column, defaults: dict[str, Column], able: dict[str, Column] | None = None) -> Column:
+    """Options of a JSON object as strings: known ones alone, with defaults where they are missing; null for those that
+    are bound to a capability which isn't there."""
+    parts = []
+    for name, default in defaults.items():
+        value = F.coalesce(F.get_json_object(raw, f"$.{name}"), default.cast("string"))
+        parts.append((F.when(able[name], value) if able and name in able else value).alias(name))
+    return F.struct(*parts)
+
+
 # --- decoding
 
+#: Charsets whose bytes Spark decodes under the same name, and the two that share one table.
+CHARSETS = {"utf-16": "UTF-16", "utf-16be": "UTF-16BE", "utf-16le": "UTF-16LE", "us-ascii": "US-ASCII"}
+#: What windows-1252 has where latin-1 has control codes 128 to 159.
+WINDOWS_1252 = "\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178"
+
 
 def decode_text(body: Column, charset: Column) -> Column:
-    """Bytes by declared charset unless that is latin-1 or unknown, else UTF-8 if valid, else latin-1."""
-    cs = F.lower(F.coalesce(charset, F.lit("")))
-    return F.when(cs.isin("utf-16", "utf-16be", "utf-16le"), F.decode(body, "UTF-16")).when(cs == "us-ascii", F.decode(body, "US-ASCII")).when(F.is_valid_utf8(body.cast("string")), F.decode(body, "UTF-8")).otherwise(F.decode(body, "ISO-8859-1"))
+    """Bytes by declared charset unless that is latin-1 or unknown, else UTF-8 if valid, else latin-1 as browsers read it,
+    which is windows-1252."""
+    cs = F.lower(F.trim(F.coalesce(charset, F.lit(""))))
+    western = F.translate(F.decode(body, "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), WINDOWS_1252)
+    out = F.when(cs == "windows-1252", western)
+    for name, known in CHARSETS.items():
+        out = out.when(cs == name, F.decode(body, known))
+    return out.when(F.is_valid_utf8(body.cast("string")), F.decode(body, "UTF-8")).otherwise(western)

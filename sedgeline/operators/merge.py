@@ -149,3 +149,75 @@ def stop_or_delete(jobs: DataFrame, ids: DataFrame) -> DataFrame:
 def fan_out(mine: DataFrame, key: str, kind: str, now: Column, priority: int = 0) -> DataFrame:
     """One pending job for each owned row."""
     return mine.select("user_id", F.lit(kind).alias("kind"), F.to_json(F.struct(F.col(key))).alias("payload"), F.lit("pending").alias("status"), now.alias("run_at"), F.lit(priority).alias("priority"))
+
+
+def reloaded(articles: DataFrame, fetched: DataFrame, now: Column) -> DataFrame:
+    """Articles after a reload: ``fetched`` has ``article_id, name, raw_content, plain_text, error``.
+
+    What was fetched replaces the content; a failed fetch leaves a notice as text and the raw page as it was.  The hash is
+    cleared either way, so that the next collection writes again."""
+    new = ["name", "raw_content", "plain_text"]
+    f = fetched.select("article_id", *[F.col(c).alias(f"f_{c}") for c in (*new, "error")], F.lit(True).alias("__hit"))
+    joined = articles.join(f, "article_id", "left")
+    hit, failed = F.col("__hit").isNotNull(), F.col("f_error").isNotNull()
+    values = {
+        "name": F.when(hit & ~failed, F.coalesce(F.nullif("f_name", F.lit("")), "name")).otherwise(F.col("name")),
+        "raw_content": F.when(hit & ~failed, F.col("f_raw_content")).otherwise(F.col("raw_content")),
+        "plain_text": F.when(failed, F.concat(F.lit("This article could not be reloaded: "), "f_error")).when(hit, F.col("f_plain_text")).otherwise(F.col("plain_text")),
+        "content_hash": F.when(~hit, F.col("content_hash")),
+        "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
+    }
+    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in articles.columns])
+
+
+def restored(articles: DataFrame, feeds: DataFrame, feed_ids: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Feeds to be collected anew: the articles that are left, tombstones of the others, and a job for each feed."""
+    wanted = feeds.join(feed_ids, "feed_id", "left_semi")
+    gone = articles.join(wanted.select("feed_id", "user_id"), "feed_id")
+    return articles.join(feed_ids, "feed_id", "left_anti"), tombstones(gone, now), fan_out(wanted, "feed_id", "aggregate", now)
+
+
+def created_feeds(wanted: DataFrame, tags: DataFrame, now: Column, first_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From ``position, user_id, name, tag_ids``: new feeds, their pairs with tags of the same owner, and a logo job each.
+
+    Ids count on from ``first_id`` by position: positions are the caller's own and unique."""
+    feeds = wanted.withColumn("feed_id", F.lit(first_id) + F.col("position"))
+    pairs = feeds.select("feed_id", "user_id", F.explode(F.array_distinct("tag_ids")).alias("tag_id")).join(tags.select("tag_id", "user_id"), ["tag_id", "user_id"], "left_semi").select("feed_id", "tag_id")
+    return feeds.drop("tag_ids", "position"), pairs, fan_out(feeds, "feed_id", "feed.logo", now)
+
+
+def retagged(feed_tags: DataFrame, changes: DataFrame, tags: DataFrame) -> DataFrame:
+    """Pairs after feed edits ``feed_id, user_id, tag_ids``: omitted (null) lists keep, empty ones clear, others replace."""
+    given = changes.where("tag_ids is not null")
+    new = given.select("feed_id", "user_id", F.explode(F.array_distinct("tag_ids")).alias("tag_id")).join(tags.select("tag_id", "user_id"), ["tag_id", "user_id"], "left_semi")
+    return feed_tags.join(given.select("feed_id"), "feed_id", "left_anti").select("feed_id", "tag_id").unionByName(new.select("feed_id", "tag_id"))
+
+
+def tags_for(names: DataFrame, tags: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
+    """Tags by name (``user_id, name``), found or created: all wanted with their ids, and those that are new.
+
+    Names are compared without case within an owner; of equal wanted ones the smallest spelling is created."""
+    wanted = names.groupBy("user_id", F.lower("name").alias("__low")).agg(F.min("name").alias("name"))
+    had = tags.select("user_id", F.lower("name").alias("__low"), "tag_id")
+    new = wanted.join(had, ["user_id", "__low"], "left_anti")
+    # numbers within an owner, then after the owners before: no window over all rows
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("__low"))
+    sizes = new.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("user_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each owner
+    created = new.withColumn("__at", at).join(sizes.withColumn("__before", before), "user_id").select("user_id", "__low", "name", (F.lit(first_id - 1) + F.col("__before") + F.col("__at")).alias("tag_id"))
+    found = wanted.join(had, ["user_id", "__low"]).select("user_id", "__low", "tag_id")
+    return found.unionByName(created.select("user_id", "__low", "tag_id")).withColumnRenamed("__low", "name"), created.drop("__low")
+
+
+def appended_lines(lines: DataFrame, new: DataFrame) -> DataFrame:
+    """Log lines with more behind: ``job_id, position, line``; a job's lines count on from its last one."""
+    last = lines.groupBy("job_id").agg(F.max("position").alias("__last"))
+    at = F.row_number().over(Window.partitionBy("job_id").orderBy("position"))
+    rows = new.withColumn("__at", at).join(last, "job_id", "left").withColumn("position", F.coalesce("__last", F.lit(-1)) + F.col("__at"))
+    return lines.unionByName(rows.select(*lines.columns))
+
+
+def with_logos(feeds: DataFrame, logos: DataFrame, stored: DataFrame) -> DataFrame:
+    """Feeds whose new logo (``feed_id, hash``) has been stored refer to it; others keep theirs."""
+    known = logos.join(stored.select("hash"), "hash", "left_semi").select("feed_id", F.col("hash").alias("__hash"))
+    return feeds.join(known, "feed_id", "left").select(*[F.coalesce("__hash", "logo").alias(c) if c == "logo" else F.col(c) for c in feeds.columns])

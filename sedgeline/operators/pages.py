@@ -123,6 +123,43 @@ def clean_attributes(tree: DataFrame, keep_data: tuple[str, ...] = ()) -> DataFr
     return without(tree, dropped).where("tag <> '#comment'").withColumn("attrs", safe)
 
 
+def unsanitized(tree: DataFrame) -> DataFrame:
+    """Without the attributes that cleaning has renamed."""
+    return tree.withColumn("attrs", F.map_filter("attrs", lambda k, v: ~k.startswith("data-sanitized-")))
+
+
+def clean_notes(tree: DataFrame) -> DataFrame:
+    """Comments and show notes: cleaned, without renamed attributes, unsafe links and images of unsafe addresses."""
+    unsafe = tree.where((F.col("tag") == "img") & (attr("src") != "") & ~text.is_safe_url(attr("src")))
+    cleaned = unsanitized(clean_attributes(without(tree, unsafe)))
+    return cleaned.withColumn("attrs", F.when(F.col("tag") == "a", F.map_filter("attrs", lambda k, v: (k != "href") | (v != ""))).otherwise(F.col("attrs")))
+
+
+def discussion_link(tree: DataFrame, bases: DataFrame) -> DataFrame:
+    """``page_id, url`` of a page's discussion: the first one that structured data tells, else the first forum link."""
+    scripts = tree.where((F.col("tag") == "script") & (attr("type") == "application/ld+json")).select("page_id", F.col("pos").alias("parent"))
+    texts = tree.where("tag = '#text'").select("page_id", "parent", "pos", "text").join(scripts, ["page_id", "parent"])
+    told = texts.select("page_id", "pos", F.posexplode(F.from_json("text", "array<struct<discussionUrl:string>>")).alias("i", "x")).where("x.discussionUrl is not null")
+    told = told.select("page_id", F.struct(F.lit(0).alias("rank"), "pos", "i").alias("at"), F.col("x.discussionUrl").alias("href"))
+    forum = F.contains(attr("href"), F.lit("/forum/")) & (F.contains(attr("href"), F.lit("comment")) | F.array_contains("tags", "footer"))
+    linked = tree.where((F.col("tag") == "a") & forum).select("page_id", F.struct(F.lit(1).alias("rank"), "pos", F.lit(0).alias("i")).alias("at"), attr("href").alias("href"))
+    best = told.unionByName(linked).groupBy("page_id").agg(F.min_by("href", "at").alias("href"))
+    return best.join(bases, "page_id").select("page_id", resolve(F.col("href"), F.col("base")).alias("url"))
+
+
+def header_html(image: Column, title: Column, caption: Column | None = None, facade: Column | None = None) -> Column:
+    """HTML of an article's lead picture or video; null without any."""
+    picture = F.when(F.coalesce(image, F.lit("")) != "", F.format_string('<img src="%s" alt="%s">', text.escape_html(image), text.escape_html(F.coalesce(title, F.lit("")))))
+    body = F.coalesce(facade, picture) if facade is not None else picture
+    return F.when(body.isNotNull(), F.concat_ws("\n", F.lit('<header class="media-header">'), body, F.nullif(caption, F.lit("")) if caption is not None else F.lit(None), F.lit("</header>")))
+
+
+def article_html(content: Column, header: Column, comments: Column) -> Column:
+    """An article's parts, those that there are: header, content section, comment section."""
+    section = lambda kind, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f'<section data-sanitized-class="article-{kind}">'), c, F.lit("</section>")))
+    return F.concat_ws("\n\n", header, F.coalesce(section("content", content), F.lit('<section data-sanitized-class="article-content"></section>')), section("comments", comments))
+
+
 def empty_elements(tree: DataFrame) -> DataFrame:
     """Elements without text and media below them."""
     full = tree.where(((F.col("tag") == "#text") & (text.strip(F.col("text")) != "")) | F.col("tag").isin("img", "iframe", "video"))

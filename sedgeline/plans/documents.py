@@ -39,57 +39,11 @@ def page_element_counts(c: Catalog) -> DataFrame:
     return tree(c).groupBy("page_id").agg(F.count_if(F.col("tag") == "article").alias("articles"), F.count_if(F.col("tag") == "li").alias("items"), F.count_if(ads).alias("ads"))
 
 
-@query("page_resolved_links")
-def page_resolved_links(c: Catalog) -> DataFrame:
-    return pages.links(tree(c), bases(c))
-
-
-@query("page_main_text")
-def page_main_text(c: Catalog) -> DataFrame:
-    return pages.generic_content(pages.plain_text(pages.blocks(pages.main_content(tree(c), ignore=(".ad", "nav", "footer")))))
-
-
 @query("page_blocks")
 def page_blocks(c: Catalog) -> DataFrame:
     return pages.blocks(pages.main_content(tree(c), ignore=(".ad",)))
 
 
-@query("page_runs")
-def page_runs(c: Catalog) -> DataFrame:
-    return pages.runs(pages.main_content(tree(c))).drop("quotes")
-
-
-@query("page_cleaned")
-def page_cleaned(c: Catalog) -> DataFrame:
-    cleaned = pages.clean_attributes(tree(c))
-    return cleaned.select("page_id", "pos", "tag", F.array_join(F.array_sort(F.map_keys("attrs")), " ").alias("attributes"), "text")
-
-
-@query("page_empty_elements")
-def page_empty_elements(c: Catalog) -> DataFrame:
-    return pages.empty_elements(tree(c)).select("page_id", "pos", "tag")
-
-
-@query("page_header_image")
-def page_header_image(c: Catalog) -> DataFrame:
-    return pages.header_image(tree(c), bases(c))
-
-
-@query("page_feed_link")
-def page_feed_link(c: Catalog) -> DataFrame:
-    return pages.feed_link(tree(c), bases(c))
-
-
-@query("page_icon")
-def page_icon(c: Catalog) -> DataFrame:
-    return pages.best_icon(tree(c))
-
-
-@query("page_embeds")
-def page_embeds(c: Catalog) -> DataFrame:
-    return pages.embeds(tree(c))
-
-
 @query("tree_rebuild")
 def tree_rebuild(c: Catalog) -> DataFrame:
     return pages.rebuilt_tree(pages.stored_blocks(page_blocks(c))).select("article_id", "kind", "depth", "path", "text")
