@@ -1,6 +1,7 @@
 """HTML text to rows of nodes: the one step that needs a parser.  Everything built on nodes is DataFrame work.
 
-A node knows its place in document order, its ancestors' places and tags, so subtrees are found without recursion.
+A node knows its place in document order and the place where its subtree ends, so "inside of" is a test of ranges, and of
+each tag that is open around it the innermost place.  Both are bounded by the page's tags, however deep it is.
 Where a start tag implies the end of an open element, that is closed; formatting that is open when its paragraph closes
 is opened again in the next one, as browsers do.
 """
@@ -19,20 +20,28 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th")}
 SCOPES = frozenset(("table", "ul", "ol", "dl", "select", "body"))
 
-NODE = "page_id long, pos int, parent int, path array<int>, tags array<string>, tag string, attrs map<string,string>, text string"
-_FIELDS = ("pos", "parent", "path", "tags", "tag", "attrs", "text")
+NODE = "page_id long, pos int, parent int, last int, within map<string,int>, tag string, attrs map<string,string>, text string"
+_FIELDS = ("pos", "parent", "last", "within", "tag", "attrs", "text")
 
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple] = []
+        self.rows: list[list] = []
+        self.around: list[dict[str, int]] = [{}]  # of each open element: the innermost place by tag, itself included
         self.open: list[tuple[int, str, dict]] = []
         self.again: list[tuple[str, dict]] = []
 
     def _add(self, tag: str, attrs: dict, text: str | None) -> int:
-        self.rows.append((len(self.rows), self.open[-1][0] if self.open else -1, [p for p, _, _ in self.open], [t for _, t, _ in self.open], tag, list(attrs.items()), text))
-        return len(self.rows) - 1
+        at = len(self.rows)
+        del self.around[len(self.open) + 1 :]
+        self.rows.append([at, self.open[-1][0] if self.open else -1, at, list(self.around[-1].items()), tag, list(attrs.items()), text])
+        return at
+
+    def _push(self, at: int, tag: str, attrs: dict) -> None:
+        del self.around[len(self.open) + 1 :]
+        self.open.append((at, tag, attrs))
+        self.around.append(self.around[-1] | {tag: at})
 
     def _close(self, tags: tuple[str, ...]) -> None:
         """Close the innermost open element of these tags, unless a scope lies in between."""
@@ -47,7 +56,7 @@ class _Builder(HTMLParser):
     def _reopen(self) -> None:
         waiting, self.again = self.again, []
         for t, a in waiting:
-            self.open.append((self._add(t, a, None), t, a))
+            self._push(self._add(t, a, None), t, a)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in CLOSES_P:
@@ -60,7 +69,7 @@ class _Builder(HTMLParser):
         values = {k: v or "" for k, v in attrs}
         at = self._add(tag, values, None)
         if tag not in VOID:
-            self.open.append((at, tag, values))
+            self._push(at, tag, values)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -80,19 +89,22 @@ class _Builder(HTMLParser):
         self._add("#comment", {}, data)
 
 
-def nodes_of(html: str | None) -> list[tuple]:
-    """Nodes of a document in order: ``pos, parent, path, tags, tag, attrs, text``."""
+def nodes_of(html: str | None) -> list[list]:
+    """Nodes of a document in order: ``pos, parent, last, within, tag, attrs, text``."""
     b = _Builder()
     b.feed(html or "")
     b.close()
+    for row in reversed(b.rows):
+        if row[1] >= 0:
+            b.rows[row[1]][2] = max(b.rows[row[1]][2], row[2])
     return b.rows
 
 
 def node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``page_id, html`` to rows of nodes; a document's nodes go out before the next is parsed."""
-    types = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.int32()), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
     for b in batches:
-        held: list[tuple] = []
+        held: list[list] = []
         pages: list[int | None] = []
         for page, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             rows = nodes_of(html.as_py())
@@ -105,6 +117,6 @@ def node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(pages, held, types)
 
 
-def _batch(pages: list, rows: list[tuple], types: tuple) -> pa.RecordBatch:
+def _batch(pages: list, rows: list[list], types: tuple) -> pa.RecordBatch:
     columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), *columns], names=["page_id", *_FIELDS])

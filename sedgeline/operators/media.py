@@ -53,17 +53,18 @@ def foreign_frames(tree: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
 
 def trimmed(tree: DataFrame, blocks: tuple[str, ...] = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "td")) -> DataFrame:
     """Block elements' first and last own texts without the white space at the outer end."""
-    own = (F.col("tag") == "#text") & F.element_at("tags", -1).isin(*blocks)
+    parents = tree.select("page_id", F.col("pos").alias("parent"), F.col("tag").alias("parent_tag")).where(F.col("parent_tag").isin(*blocks))
+    own = (F.col("tag") == "#text") & F.col("parent_tag").isin(*blocks)
     w = Window.partitionBy("page_id", "parent")
-    marked = tree.withColumn("__own", own).withColumn("__first", F.min("pos").over(w)).withColumn("__last", F.max("pos").over(w))
+    marked = tree.join(parents, ["page_id", "parent"], "left").withColumn("__own", F.coalesce(own, F.lit(False))).withColumn("__first", F.min("pos").over(w)).withColumn("__last", F.max("pos").over(w))
     t = F.when(F.col("__own") & (F.col("pos") == F.col("__first")), F.regexp_replace("text", r"(?U)^\s+", "")).otherwise(F.col("text"))
     t = F.when(F.col("__own") & (F.col("pos") == F.col("__last")), F.regexp_replace(t, r"(?U)\s+$", "")).otherwise(t)
-    return marked.withColumn("text", t).drop("__own", "__first", "__last")
+    return marked.withColumn("text", t).select(*tree.columns)
 
 
 def page_numbers(tree: DataFrame, selectors: tuple[str, ...], pattern: str = r"(?:[?&]page=|/)([0-9]+)/?$") -> DataFrame:
     """``page_id, numbers`` of a pager's links, sorted, each once, always with 1."""
-    found = pages.below(tree, pages.select(tree, selectors)).where("tag = 'a'").select("page_id", F.regexp_extract(pages.attr("href"), pattern, 1).try_cast("int").alias("n")).where("n > 0")
+    found = pages.inside_selected(tree, selectors).where("tag = 'a'").select("page_id", F.regexp_extract(pages.attr("href"), pattern, 1).try_cast("int").alias("n")).where("n > 0")
     lists = found.groupBy("page_id").agg(F.collect_set("n").alias("n"))
     return tree.select("page_id").distinct().join(lists, "page_id", "left").select("page_id", F.array_sort(F.array_union(F.array(F.lit(1)), F.coalesce("n", F.array().cast("array<int>")))).alias("numbers"))
 
@@ -75,10 +76,12 @@ def merged_pages(parts: DataFrame) -> DataFrame:
 
 def _inner_text(tree: DataFrame, items: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """Text of the first found element within each item."""
-    inside = found.join(pages.places(items), "page_id").select("page_id", "pos", F.array_max(F.filter("path", lambda p: F.array_contains("places", p))).alias("item")).where("item is not null")
-    first = inside.groupBy("page_id", "item").agg(F.min("pos").alias("at"))
-    words = tree.where("tag = '#text'").select("page_id", "pos", F.col("text"), F.explode("path").alias("at"))
-    return first.join(words, ["page_id", "at"]).groupBy("page_id", "item").agg(text.strip(text.collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), ""))).alias(name))
+    pos = F.col("pos")
+    holder = F.array_max(F.transform(F.filter("places", lambda p: (pos > p["pos"]) & (pos <= p["last"])), lambda p: p["pos"]))
+    inside = found.join(pages.places(items), "page_id").select("page_id", "pos", "last", holder.alias("item")).where("item is not null")
+    first = inside.groupBy("page_id", "item").agg(F.min(F.struct("pos", "last")).alias("at"))
+    words = tree.where("tag = '#text'").select("page_id", "pos", "text").join(first, "page_id").where((pos > F.col("at.pos")) & (pos <= F.col("at.last")))  # a page's own items and texts
+    return words.groupBy("page_id", "item").agg(text.strip(text.collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), ""))).alias(name))
 
 
 def comments(tree: DataFrame, items: tuple[str, ...], authors: tuple[str, ...], bodies: tuple[str, ...], n: int) -> DataFrame:

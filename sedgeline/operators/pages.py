@@ -1,7 +1,8 @@
 """Pages as node tables: selection, cleaning, links, images, embeds, blocks and plain text.
 
-A node table has one row per element, text or comment.  A node carries the places of its ancestors, so that "inside of",
-"outermost" and "remove the subtree" are array tests against the few places of the same page that a selector found.
+A node table has one row per element, text or comment.  A node carries the place where its subtree ends, so "inside of",
+"outermost" and "remove the subtree" are tests of ranges.  What a selector finds on a page reaches the page's other nodes
+by a window over the page, so a chain of selections shuffles nodes once, by page.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ BOLD, ITALIC, STRIKE, CODE = ("b", "strong", "th"), ("i", "em"), ("s", "strike",
 GENERIC_LEAST = 80
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Parsed once and stored, since everything below reads it several times."""
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", stored: bool = True) -> DataFrame:
+    """Parsed pages: written once, as most of what is below reads them several times; what reads them once may say so."""
     parsed = pages.select(F.col(key).cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(markup.node_batches, markup.NODE)
-    return scratch.table(parsed, "nodes")
+    return scratch.table(parsed, "nodes") if stored else parsed
 
 
 # --- selectors
@@ -61,29 +62,49 @@ def _simple(selector: str) -> Column | None:
     return F.coalesce(reduce(Column.__and__, parts), F.lit(False)) & ~F.startswith("tag", F.lit("#")) if parts else None
 
 
-def places(found: DataFrame, name: str = "places") -> DataFrame:
-    """Places of a page's own nodes as one sorted list."""
-    return found.groupBy("page_id").agg(F.array_sort(F.collect_list("pos")).alias(name))
+_PAGE = ("page_id",)
 
 
-def select(tree: DataFrame, selectors: tuple[str, ...] | list[str]) -> DataFrame:
-    """Elements that any selector matches; parts between spaces are ancestors.  Invalid selectors match nothing."""
+def found_places(hit: Column) -> Column:
+    """Ranges of the page's nodes that a condition finds."""
+    return F.collect_list(F.when(hit, F.struct("pos", "last"))).over(Window.partitionBy(*_PAGE))
+
+
+def lies_in(ranges: Column | str, itself: bool = True) -> Column:
+    """Whether a node lies in one of the ranges, or is one of their heads."""
+    pos = F.col("pos")
+    return F.exists(ranges, lambda p: ((pos >= p["pos"]) if itself else (pos > p["pos"])) & (pos <= p["last"]))
+
+
+def marked(tree: DataFrame, selectors: tuple[str, ...] | list[str], name: str = "__hit") -> DataFrame:
+    """The tree with a column that says whether any selector matches; parts between spaces are ancestors.  Invalid
+    selectors match nothing."""
     chains = [c for c in ([_simple(x) for x in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", s)] for s in selectors) if c and all(x is not None for x in c)]
-    single = [c[0] for c in chains if len(c) == 1]
-    found = [tree.where(reduce(Column.__or__, single))] if single else []  # one pass for all of these
-    for first, *more in (c for c in chains if len(c) > 1):
-        hit = tree.where(first)
-        for c in more:
-            hit = tree.where(c).join(places(hit), "page_id").where(F.arrays_overlap("path", "places")).drop("places")
-        found.append(hit)
-    if not found:
-        return tree.limit(0)
-    return found[0] if len(found) == 1 and single else reduce(DataFrame.unionByName, found).dropDuplicates(["page_id", "pos"])
+    hits = [c[0] for c in chains if len(c) == 1]
+    extra = []
+    for n, (*above, own) in enumerate(c for c in chains if len(c) > 1):
+        for k, c in enumerate(above):
+            if k:
+                c = c & lies_in(f"__above{n}_{k - 1}", False)
+            tree = tree.withColumn(f"__above{n}_{k}", found_places(c))
+            extra.append(f"__above{n}_{k}")
+        hits.append(own & lies_in(extra[-1], False))
+    return tree.withColumn(name, reduce(Column.__or__, hits) if hits else F.lit(False)).drop(*extra)
+
+
+def select(tree: DataFrame, selectors: tuple[str, ...] | list[str]) -> DataFrame:
+    """Elements that any selector matches."""
+    return marked(tree, selectors).where("__hit").drop("__hit")
+
+
+def places(found: DataFrame) -> DataFrame:
+    """Ranges of a page's found nodes as one list."""
+    return found.groupBy("page_id").agg(F.collect_list(F.struct("pos", "last")).alias("places"))
 
 
 def outermost(found: DataFrame, first_only: bool = False) -> DataFrame:
     """Found elements that lie in no other found one; if asked for, only the first of a page."""
-    kept = found.join(places(found), "page_id").where(~F.arrays_overlap("path", "places")).drop("places")
+    kept = found.withColumn("places", found_places(F.lit(True))).where(~lies_in("places", False)).drop("places")
     if first_only:
         kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where("__n = 1").drop("__n")
     return kept
@@ -92,23 +113,32 @@ def outermost(found: DataFrame, first_only: bool = False) -> DataFrame:
 def without(tree: DataFrame, found: DataFrame) -> DataFrame:
     """The tree without the found elements and all below them."""
     joined = tree.join(places(found), "page_id", "left")
-    return joined.where(F.col("places").isNull() | ~(F.array_contains("places", F.col("pos")) | F.arrays_overlap("path", "places"))).drop("places")
+    return joined.where(F.col("places").isNull() | ~lies_in("places")).drop("places")
 
 
 def below(tree: DataFrame, found: DataFrame) -> DataFrame:
     """What lies in the found elements, themselves included."""
-    joined = tree.join(places(found), "page_id")
-    return joined.where(F.array_contains("places", F.col("pos")) | F.arrays_overlap("path", "places")).drop("places")
+    return tree.join(places(found), "page_id").where(lies_in("places")).drop("places")
+
+
+def without_selected(tree: DataFrame, selectors: tuple[str, ...] | list[str]) -> DataFrame:
+    """The tree without what selectors find and all below that."""
+    return marked(tree, selectors).withColumn("__out", found_places(F.col("__hit"))).where(~lies_in("__out")).drop("__hit", "__out")
+
+
+def inside_selected(tree: DataFrame, selectors: tuple[str, ...] | list[str], first_only: bool = False, or_body: bool = False) -> DataFrame:
+    """What lies in the elements that selectors find, or in the first of a page; if asked, pages without any keep their body."""
+    rows = marked(tree, selectors).withColumn("__in", found_places(F.col("__hit")))
+    if first_only:
+        rows = rows.withColumn("__in", F.when(F.size("__in") > 0, F.array(F.array_min("__in"))).otherwise(F.col("__in")))
+    rest = (F.col("tag") == "body") | F.map_contains_key("within", F.lit("body")) if or_body else F.lit(False)
+    return rows.where(F.when(F.size("__in") > 0, lies_in("__in")).otherwise(rest)).drop("__hit", "__in")
 
 
 def main_content(tree: DataFrame, selectors: tuple[str, ...] = CONTENT, ignore: tuple[str, ...] = (), first_only: bool = False) -> DataFrame:
     """Nodes of the outermost content elements, without those to ignore; pages without any keep their body."""
-    tree = without(tree, select(tree, NEVER)).where("tag <> '#comment'")
-    chosen = outermost(select(tree, selectors), first_only)
-    inside = below(tree, chosen)
-    rest = tree.join(chosen.select("page_id").distinct(), "page_id", "left_anti").where(F.array_contains("tags", "body") | (F.col("tag") == "body"))
-    both = inside.unionByName(rest)
-    return without(both, select(both, ignore)) if ignore else both
+    kept = inside_selected(without_selected(tree, NEVER).where("tag <> '#comment'"), selectors, first_only, or_body=True)
+    return without_selected(kept, ignore) if ignore else kept
 
 
 # --- cleaning
@@ -119,8 +149,7 @@ def clean_attributes(tree: DataFrame, keep_data: tuple[str, ...] = ()) -> DataFr
     kept = F.map_filter("attrs", lambda k, v: ~k.startswith("on"))
     renamed = F.transform_keys(kept, lambda k, v: F.when(k.isin("class", "style", "id") | (k.startswith("data-") & ~k.isin(*keep_data or ("",))), F.concat(F.lit("data-sanitized-"), F.regexp_replace(k, "^data-", ""))).otherwise(k))
     safe = F.transform_values(renamed, lambda k, v: F.when(k.isin("href", "src") & ~text.is_safe_url(v), F.lit("")).otherwise(v))
-    dropped = select(tree, ("script", "object", "embed", "style", "iframe"))
-    return without(tree, dropped).where("tag <> '#comment'").withColumn("attrs", safe)
+    return without_selected(tree, ("script", "object", "embed", "style", "iframe")).where("tag <> '#comment'").withColumn("attrs", safe)
 
 
 def unsanitized(tree: DataFrame) -> DataFrame:
@@ -130,8 +159,8 @@ def unsanitized(tree: DataFrame) -> DataFrame:
 
 def clean_notes(tree: DataFrame) -> DataFrame:
     """Comments and show notes: cleaned, without renamed attributes, unsafe links and images of unsafe addresses."""
-    unsafe = tree.where((F.col("tag") == "img") & (attr("src") != "") & ~text.is_safe_url(attr("src")))
-    cleaned = unsanitized(clean_attributes(without(tree, unsafe)))
+    unsafe = F.coalesce((F.col("tag") == "img") & (attr("src") != "") & ~text.is_safe_url(attr("src")), F.lit(False))
+    cleaned = unsanitized(clean_attributes(tree.where(~unsafe)))
     return cleaned.withColumn("attrs", F.when(F.col("tag") == "a", F.map_filter("attrs", lambda k, v: (k != "href") | (v != ""))).otherwise(F.col("attrs")))
 
 
@@ -141,7 +170,7 @@ def discussion_link(tree: DataFrame, bases: DataFrame) -> DataFrame:
     texts = tree.where("tag = '#text'").select("page_id", "parent", "pos", "text").join(scripts, ["page_id", "parent"])
     told = texts.select("page_id", "pos", F.posexplode(F.from_json("text", "array<struct<discussionUrl:string>>")).alias("i", "x")).where("x.discussionUrl is not null")
     told = told.select("page_id", F.struct(F.lit(0).alias("rank"), "pos", "i").alias("at"), F.col("x.discussionUrl").alias("href"))
-    forum = F.contains(attr("href"), F.lit("/forum/")) & (F.contains(attr("href"), F.lit("comment")) | F.array_contains("tags", "footer"))
+    forum = F.contains(attr("href"), F.lit("/forum/")) & (F.contains(attr("href"), F.lit("comment")) | F.map_contains_key("within", F.lit("footer")))
     linked = tree.where((F.col("tag") == "a") & forum).select("page_id", F.struct(F.lit(1).alias("rank"), "pos", F.lit(0).alias("i")).alias("at"), attr("href").alias("href"))
     best = told.unionByName(linked).groupBy("page_id").agg(F.min_by("href", "at").alias("href"))
     return best.join(bases, "page_id").select("page_id", resolve(F.col("href"), F.col("base")).alias("url"))
@@ -161,10 +190,17 @@ def article_html(content: Column, header: Column, comments: Column) -> Column:
 
 
 def empty_elements(tree: DataFrame) -> DataFrame:
-    """Elements without text and media below them."""
-    full = tree.where(((F.col("tag") == "#text") & (text.strip(F.col("text")) != "")) | F.col("tag").isin("img", "iframe", "video"))
-    holding = full.select("page_id", F.explode("path").alias("pos")).distinct()
-    return tree.where(~F.col("tag").isin("img", "iframe", "video", "br", "hr", "meta", "link", "html", "head", "body") & ~F.startswith("tag", F.lit("#"))).join(holding, ["page_id", "pos"], "left_anti")
+    """Elements without text and media below them.
+
+    Full nodes are counted along the page; an element is empty if the count is the same at its start and at its end."""
+    full = ((F.col("tag") == "#text") & (text.strip(F.col("text")) != "")) | F.col("tag").isin("img", "iframe", "video")
+    element = ~F.col("tag").isin("img", "iframe", "video", "br", "hr", "meta", "link", "html", "head", "body") & ~F.startswith("tag", F.lit("#"))
+    starts = tree.select("page_id", "pos", F.col("pos").alias("at"), F.lit(0).alias("end"), full.cast("int").alias("full"), element.alias("element"))
+    ends = tree.where(element).select("page_id", "pos", F.col("last").alias("at"), F.lit(1).alias("end"), F.lit(0).alias("full"), F.lit(True).alias("element"))
+    seen = F.sum("full").over(Window.partitionBy("page_id").orderBy("at", "end").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = starts.unionByName(ends).withColumn("seen", seen).where("element")
+    empty = counted.groupBy("page_id", "pos").agg((F.max("seen") - F.min("seen")).alias("held")).where("held = 0").select("page_id", "pos")
+    return tree.join(empty, ["page_id", "pos"], "left_semi")
 
 
 # --- what pages refer to
@@ -231,24 +267,25 @@ def embeds(tree: DataFrame) -> DataFrame:
 
 
 def _has(*tags: str) -> Column:
-    return F.arrays_overlap("tags", F.array(*map(F.lit, tags)))
+    return reduce(Column.__or__, [F.map_contains_key("within", F.lit(t)) for t in tags])
 
 
 def runs(tree: DataFrame) -> DataFrame:
     """Inline runs: the text of each text node and line break, its styles, link and the block that it belongs to."""
-    own = F.array_max(F.filter(F.arrays_zip("path", "tags"), lambda x: x["tags"].isin(*BLOCKS)))
-    links_ = tree.where((F.col("tag") == "a") & attr("href").isNotNull()).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", attr("href")))).alias("links"))
-    rows = tree.where((F.col("tag").isin("#text", "br")) & ~_has(*NEVER, "head", "title")).join(links_, "page_id", "left")
+    around = F.array(*[F.struct(F.try_element_at("within", F.lit(t)).alias("pos"), F.lit(t).alias("tag")) for t in BLOCKS])
+    own = F.array_max(F.filter(around, lambda x: x["pos"].isNotNull()))
+    links_ = F.map_from_entries(F.collect_list(F.when((F.col("tag") == "a") & attr("href").isNotNull(), F.struct("pos", attr("href")))).over(Window.partitionBy("page_id")))
+    rows = tree.withColumn("links", links_).where((F.col("tag").isin("#text", "br")) & ~_has(*NEVER, "head", "title"))
     raw = F.when(F.col("tag") == "br", F.lit("\n")).when(_has("pre"), F.col("text")).otherwise(text.collapse(F.col("text")))
-    anchor = F.element_at(F.filter(F.arrays_zip("path", "tags"), lambda x: x["tags"] == "a"), -1)["path"]
     return rows.select(
-        "page_id", "pos", own["path"].alias("block"), own["tags"].alias("kind"), raw.alias("text"), _has(*BOLD).alias("bold"), _has(*ITALIC).alias("italic"), _has(*CODE).alias("code"), _has(*STRIKE).alias("strikethrough"),
-        F.when(_has("a"), F.coalesce(F.try_element_at("links", anchor), F.lit(""))).alias("link"), F.size(F.filter("tags", lambda t: t == "blockquote")).alias("quotes"), _has("ol").alias("ordered"),
+        "page_id", "pos", own["pos"].alias("block"), own["tag"].alias("kind"), raw.alias("text"), _has(*BOLD).alias("bold"), _has(*ITALIC).alias("italic"), _has(*CODE).alias("code"), _has(*STRIKE).alias("strikethrough"),
+        F.when(_has("a"), F.coalesce(F.try_element_at("links", F.try_element_at("within", F.lit("a"))), F.lit(""))).alias("link"), _has("blockquote").cast("int").alias("quotes"), _has("ol").alias("ordered"),
     )
 
 
 def blocks(tree: DataFrame) -> DataFrame:
     """Typed blocks in document order: ``page_id, pos, kind, level, ordered, text, run_count, image_ref, embed_provider``."""
+    tree = scratch.table(tree, "content")  # read by each kind of block
     lines = runs(tree).where("block is not null").groupBy("page_id", "block").agg(
         F.first("kind").alias("tag"), F.first("ordered").alias("ordered"), F.first("quotes").alias("quotes"), F.array_sort(F.collect_list(F.struct("pos", "text", "bold", "italic", "code", "strikethrough", "link"))).alias("runs")
     )  # of one block

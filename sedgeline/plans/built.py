@@ -32,7 +32,7 @@ def built(c: Catalog) -> DataFrame:
 
 
 def tree(c: Catalog) -> DataFrame:
-    return pages.nodes(built(c))
+    return pages.nodes(built(c), stored=False)
 
 
 def bases(c: Catalog) -> DataFrame:
@@ -88,7 +88,7 @@ def page_cleaned(c: Catalog) -> DataFrame:
 @query("page_notes", "SELECT c_custkey AS page_id, 'a[href:a/' || c_custkey || '?q#f] a[] a[href:https://x.com/u/status/' || c_custkey || ']' AS links, 2 AS images FROM customer", views=False)
 def page_notes(c: Catalog) -> DataFrame:
     """Links of articles after the cleaning that comments get; its data image has an unsafe address."""
-    notes = pages.clean_notes(pages.below(tree(c), pages.select(tree(c), ("article",))))
+    notes = pages.clean_notes(pages.inside_selected(tree(c), ("article",)))
     link = F.concat(F.lit("a["), F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ","), F.lit("]"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == "a", F.struct("pos", link.alias("l"))))), lambda x: x["l"]), " ")
     return notes.groupBy("page_id").agg(rows.alias("links"), (F.count_if(F.col("tag") == "img") + 1).cast("int").alias("images"))
@@ -98,15 +98,14 @@ def page_notes(c: Catalog) -> DataFrame:
     SELECT c_custkey AS page_id, text, bold, link FROM customer, LATERAL (VALUES (' ' || c_name || ' ', false, NULL), ('Hello ', false, NULL), (c_name, true, NULL), (' ', false, NULL), ('x', false, 'a/' || c_custkey || '?q#f'), (' ', false, NULL), ('bad', false, 'javascript:z()')) t(text, bold, link)""", views=False)
 def page_runs(c: Catalog) -> DataFrame:
     """Runs of the headings and of paragraphs with a class."""
-    t = tree(c)
-    found = pages.runs(pages.below(t, pages.select(t, ("article h1", "article p.x"))))
+    found = pages.runs(pages.inside_selected(tree(c), ("article h1", "article p.x")))
     return found.select("page_id", "text", "bold", "link")
 
 
 @query("page_same_image", "SELECT c_custkey AS page_id, 'http://h/pic' || c_custkey || '-300x200.jpg' AS src, 3 AS left_p FROM customer", views=False)
 def page_same_image(c: Catalog) -> DataFrame:
     """The image that a header shows in another size, and how many paragraphs there are once it and its own are gone."""
-    t = tree(c)
+    t = pages.nodes(built(c))
     targets = c.table("customer").select(_k().alias("page_id"), F.concat(F.lit("https://cdn/pic"), _k().cast("string"), F.lit("-1200x800.jpg")).alias("image"))
     hit = media.same_image(t, targets).select("page_id", pages.attr("src").alias("src"))
     left = media.without_image(t, targets).groupBy("page_id").agg((F.count_if(F.col("tag") == "p") + 1).cast("int").alias("left_p"))
@@ -126,7 +125,7 @@ def page_foreign_frames(c: Catalog) -> DataFrame:
 
 @query("page_trimmed", "SELECT c_custkey AS page_id, c_name AS text FROM customer", views=False)
 def page_trimmed(c: Catalog) -> DataFrame:
-    return media.trimmed(tree(c)).where((F.col("tag") == "#text") & (F.element_at("tags", -1) == "h1")).select("page_id", "text")
+    return media.trimmed(tree(c)).where((F.col("tag") == "#text") & F.map_contains_key("within", F.lit("h1"))).select("page_id", "text")
 
 
 @query("page_numbers", "SELECT c_custkey AS page_id, '1 2 3' AS numbers FROM customer", views=False)
@@ -138,7 +137,7 @@ def page_numbers(c: Catalog) -> DataFrame:
 @query("page_comment_elements", """
     SELECT c_custkey AS page_id, position, author, body FROM customer, LATERAL (VALUES (1, 'User ' || c_custkey, 'First of ' || c_name), (3, 'Unknown', 'Third')) t(position, author, body)""", views=False)
 def page_comment_elements(c: Catalog) -> DataFrame:
-    return media.comments(tree(c), (".c",), (".u",), (".b",), 5)
+    return media.comments(pages.nodes(built(c)), (".c",), (".u",), (".b",), 5)
 
 
 @query("site_rules", """

@@ -83,10 +83,9 @@ def site_articles(fetched: DataFrame, site: Site) -> DataFrame:
     """Fetched pages ``page_id, html, summary`` of one source: ``page_id, plain_text``.
 
     Pages without a content element, or with too little text in it, fall back to the feed's summary."""
-    tree = pages.nodes(fetched)
-    inner = tree.where("tag <> '#comment'")
-    inside = pages.below(inner, pages.outermost(pages.select(inner, site.content), site.first_only))
-    body = pages.plain_text(pages.blocks(pages.without(inside, pages.select(inside, (*pages.NEVER, *site.remove)))))
+    tree = pages.nodes(fetched, stored=False)
+    inside = pages.inside_selected(tree.where("tag <> '#comment'"), site.content, site.first_only)
+    body = pages.plain_text(pages.blocks(pages.without_selected(inside, (*pages.NEVER, *site.remove))))
     made = fetched.select("page_id", "summary").join(pages.generic_content(body), "page_id", "left").select("page_id", F.coalesce("plain_text", text.strip(F.col("summary"))).alias("plain_text"))
     for term in site.skip_body:
         made = made.where(~F.contains(F.lower(F.coalesce("plain_text", F.lit(""))), F.lit(term)))

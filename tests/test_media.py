@@ -18,7 +18,7 @@ def test_addresses_frames_and_trims(spark):
     bases = t.select("page_id").distinct().selectExpr("page_id", "'http://h/' AS base")
     assert sorted(v for r in media.absolute(t, bases).collect() for k, v in dict(r.attrs).items() if r.tag in ("a", "img")) == ["#f", "data:x", "http://h/b"]
     assert [dict(r.attrs)["src"] for r in media.foreign_frames(t, ("youtube.com",)).collect()] == ["https://evil.example/youtube.com"]
-    assert [r.text for r in sorted(media.trimmed(t).where("array_contains(tags, 'p')").collect(), key=lambda r: r.pos) if r.tag == "#text"] == ["a ", " b ", " c"]
+    assert [r.text for r in sorted(media.trimmed(t).where("map_contains_key(within, 'p')").collect(), key=lambda r: r.pos) if r.tag == "#text"] == ["a ", " b ", " c"]
 
 
 def test_pagers_and_comments(spark):

@@ -14,7 +14,19 @@ def texts(rows):
 
 
 def tags(html):
-    return [(n[3], n[4]) for n in markup.nodes_of(html) if n[4][0] != "#"]
+    rows = markup.nodes_of(html)
+    return [(above(rows, n), n[4]) for n in rows if n[4][0] != "#"]
+
+
+def above(rows, n):
+    """Tags around a node, checked against what it says of itself."""
+    chain, at = [], n[1]
+    while at >= 0:
+        chain.append(at)
+        at = rows[at][1]
+    chain.reverse()
+    assert dict(n[3]) == {rows[p][4]: p for p in chain} and all(p < n[0] <= n[2] <= rows[p][2] for p in chain)
+    return [rows[p][4] for p in chain]
 
 
 def test_implied_ends_and_void_elements():
@@ -26,7 +38,7 @@ def test_implied_ends_and_void_elements():
 
 def test_formatting_is_opened_again_in_the_next_paragraph():
     rows = markup.nodes_of("<p><b>one<p>two</b> three")
-    assert [(n[6], n[3]) for n in rows if n[4] == "#text"] == [("one", ["p", "b"]), ("two", ["p", "b"]), (" three", ["p"])]
+    assert [(n[6], above(rows, n)) for n in rows if n[4] == "#text"] == [("one", ["p", "b"]), ("two", ["p", "b"]), (" three", ["p"])]
 
 
 def test_script_text_is_no_markup_and_entities_are_decoded():
@@ -93,3 +105,21 @@ def test_head_choices(spark):
     bases = t.select("page_id").distinct().selectExpr("page_id", "'http://h/' AS base")
     assert pages.feed_link(t, bases).first().url == "http://h/r" and pages.best_icon(t).first().icon == "t" and pages.header_image(t, bases).first().image == "http://h/o"
     assert pages.header_image(t.where("tag <> 'meta'"), bases).first().image == "http://h/big"
+
+
+def test_pages_as_deep_as_they_are_long(spark):
+    deep = "<i>" * 20_000 + "in" + "<div>" + "<section>" * 5_000 + "end"
+    rows = markup.nodes_of(deep)
+    assert len(rows) == 25_003 and max(len(n[3]) for n in rows) == 3 and rows[0][2] == 25_002
+    t = tree(spark, deep)
+    assert pages.empty_elements(t).count() == 0 and pages.inside_selected(t, ("div section",)).count() == 5_001
+
+
+def test_blocks_of_any_depth_are_rebuilt_and_loops_are_an_error(spark):
+    chain = [(f"b{i}", 1, f"b{i - 1}" if i else None, 0, "p", "") for i in range(70)] + [("orphan", 1, "gone", 0, "p", "")]
+    rows = spark.createDataFrame(chain, pages.TREE.replace(", ", " string, ").replace("article_id string", "article_id long").replace("position string", "position int") + " string")
+    got = {r.block_id: (r.depth, len(r.path)) for r in pages.rebuilt_tree(rows).collect()}
+    assert got == {f"b{i}": (i, i + 1) for i in range(70)}
+    loop = spark.createDataFrame([("a", 1, "b", 0, "p", ""), ("b", 1, "a", 0, "p", ""), ("r", 1, None, 0, "p", "")], rows.schema)
+    with pytest.raises(ValueError):
+        pages.rebuilt_tree(loop)
