@@ -14,7 +14,7 @@ one-bit segments, whose cells have one axis left open around a centre.  Any two
 such a cell; it has at most 65 fingerprints, all within two bits of each other, so a star links them.
 
 *Of a given similarity* (:func:`similar_classes`, :func:`drop_similar_copies`).  Shingle and similarity are parameters.
-Similarity 0.8 is about 19 of 128 bits, which no grid holds for sure.  So there are several grids, each of a bit
+Fingerprints have ``WIDE`` bits here; similarity 0.8 is about 15 in 100 of them, which no grid holds for sure.  So there are several grids, each of a bit
 permutation of its own; their number follows from the similarity, the wanted recall and, by its logarithm, the number of
 texts.  In the order of a grid's axes a cell is a run; each fingerprint meets its ``WINDOW`` neighbours on either side, so
 cells of up to that size are joined whole, and larger ones by parts that agree on further axes.  Pairs under the Manhattan
@@ -47,8 +47,10 @@ SHINGLE = 3
 SEED = 42
 BITS_APART = 2
 CELL = 64
+WIDE = 512
 WINDOW = 16
 RECALL = 0.97
+NEAR_ROUNDS, NEAR_GRIDS = 3, 8
 _CHUNK = 1 << 16
 
 
@@ -133,17 +135,19 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64, len(runs))
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
-    """SimHash of 128 bits over distinct shingles, as two signed longs."""
+def wide_fingerprint(text: str | None, shingle: int) -> bytes:
+    """SimHash of ``WIDE`` bits over distinct shingles."""
     h = shingle_hashes(text, shingle)
-    more = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    more = (more ^ (more >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    ones = np.zeros(128, np.int64)
+    ones = np.zeros(WIDE, np.int64)
     for i in range(0, len(h), _CHUNK):
-        both = np.stack([h[i : i + _CHUNK], more[i : i + _CHUNK] ^ (more[i : i + _CHUNK] >> np.uint64(32))], axis=1).astype(">u8")
-        ones += np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
-    a, b = np.packbits(2 * ones > len(h)).view(">i8").tolist()
-    return a, b
+        words = []
+        for k in range(WIDE // 64):  # further words of hash by mixing
+            x = h[i : i + _CHUNK] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            words.append(x ^ (x >> np.uint64(31)))
+        ones += np.unpackbits(np.stack(words, axis=1).view(np.uint8).reshape(-1, WIDE // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h)).tobytes()
 
 
 def apart(similarity: float) -> float:
@@ -172,64 +176,87 @@ def _unary(bits: np.ndarray) -> np.ndarray:
     return np.packbits(code, axis=1)
 
 
-def _prints(texts: DataFrame, shingle: int) -> DataFrame:
-    """From ``rid, text``: ``rid, high, low``."""
+def bits_within(similarity: float) -> int:
+    """Bits that texts of a similarity are apart at most, but for one in about 200."""
+    return round(WIDE * apart(similarity) + 2.6 * math.sqrt(WIDE * apart(similarity) * (1 - apart(similarity))))
+
+
+def _nodes(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct wide fingerprints ``rid, fp`` (the first text that has each), and pairs ``a, b`` of these and the others."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scratch.small_batches(batches):
-            both = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["rid", "high", "low"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.binary())], names=["rid", "fp"])
 
-    return scratch.table(texts.select("rid", "text").mapInArrow(prints, "rid long, high long, low long"), "wide-prints")
+    marked = scratch.table(texts.select("rid", "text").mapInArrow(prints, "rid long, fp binary"), "wide-prints")
+    nodes = scratch.table(marked.groupBy("fp").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n")), "wide-nodes")
+    copies = marked.join(nodes.where("n > 1").select("fp", F.col("rid").alias("a")), "fp").where("rid <> a").select("a", F.col("rid").alias("b"))
+    return nodes.select("rid", "fp"), copies
 
 
-def candidate_pairs(texts: DataFrame, shingle: int, similarity: float, radius: int | None = None, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
-    """From ``rid, text``: pairs ``(a, b)``, ``a < b``, whose wide fingerprints are at most ``radius`` bits apart, with
-    these ``bits``, found in one of several grids; texts with equal fingerprints are paired with the first of them.
+def _bytes(column: pa.Array) -> np.ndarray:
+    """Fingerprints as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE // 8)
 
-    A fingerprint has at most ``2 * window`` neighbours in a grid, however many near copies it has, and there are more
-    grids the more texts there are, so that recall does not fall.  Neighbours on both sides of a partition's border are
-    not seen in that grid."""
-    if radius is None:
-        radius = round(128 * apart(similarity) + 2.6 * math.sqrt(128 * apart(similarity) * (1 - apart(similarity))))
-    marked = _prints(texts, shingle)
-    firsts = marked.groupBy("high", "low").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"))
-    nodes = scratch.table(firsts, "wide-nodes")
-    copies = marked.join(nodes.where("n > 1").select("high", "low", F.col("rid").alias("a")), ["high", "low"]).where("rid <> a").select("a", F.col("rid").alias("b"), F.lit(0).alias("bits"))
-    grids = grids_needed(nodes.count(), similarity, window, recall)
-    picks = [np.random.default_rng([SEED, k]).permutation(128) for k in range(grids)]
+
+def _neighbours(nodes: DataFrame, grids: range, radius: int, window: int, nearest: bool) -> DataFrame:
+    """From ``rid, comp, fp``: pairs ``(a, b)`` of different ``comp`` that are within the window in one of the grids and
+    within the radius; if ``nearest``, of each fingerprint only the nearest."""
+    picks = [(k, np.random.default_rng([SEED, k]).permutation(WIDE)[:64]) for k in grids]  # so many axes order any number of texts
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = np.unpackbits(np.stack([c.to_numpy() for c in b.columns[1:]], axis=1).astype(">i8").view(np.uint8).reshape(-1, 16), axis=1)
-            for k, pick in enumerate(picks):
-                key = _unary(bits[:, pick[:64]]).view(">i8").ravel().astype(np.int64)  # half of the axes: enough to order by
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), *b.columns], names=["grid", "key", "rid", "high", "low"])
+            bits = np.unpackbits(_bytes(b.column(2)), axis=1)
+            for k, pick in picks:
+                key = _unary(bits[:, pick]).view(">i8").ravel().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), *b.columns], names=["grid", "key", "rid", "comp", "fp"])
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            new = [c.to_numpy() for c in (b.column(0), b.column(2), b.column(3), b.column(4))]
+            if not b.num_rows:
+                continue
+            new = [*(b.column(c).to_numpy() for c in (0, 2, 3)), _bytes(b.column(4)).view(np.uint64)]
             old = 0 if held is None else len(held[0])
-            grid, rid, high, low = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            words = (high.view(np.uint64), low.view(np.uint64))
-            axes = [_axes_of(w) for w in words]
-            found = []
+            grid, rid, comp, words = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            axes, found = _axes_of(words), []
             for k in range(1, min(window, len(grid) - 1) + 1):
                 i = np.arange(max(0, old - k), len(grid) - k)
-                i = i[grid[i] == grid[i + k]]
-                bound = sum(np.bitwise_count(v[i] ^ v[i + k]).astype(np.int32) for v in axes)  # Manhattan distance
+                i = i[(grid[i] == grid[i + k]) & (comp[i] != comp[i + k])]
+                bound = np.bitwise_count(axes[i] ^ axes[i + k]).sum(axis=1, dtype=np.int32)  # Manhattan distance
                 i = i[bound <= radius]
-                bits = sum(np.bitwise_count(w[i] ^ w[i + k]).astype(np.int32) for w in words)
+                bits = np.bitwise_count(words[i] ^ words[i + k]).sum(axis=1, dtype=np.int32)
                 i, bits = i[bits <= radius], bits[bits <= radius]
-                found.append(np.stack([np.minimum(rid[i], rid[i + k]), np.maximum(rid[i], rid[i + k]), bits], axis=1))
-            held = [x[-window:] for x in (grid, rid, high, low)]
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], names=["a", "b", "bits"])
+                found.append(np.stack([i, i + k, bits], axis=1))
+            held = [x[-window:] for x in (grid, rid, comp, words)]
+            pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            if nearest and len(pairs):
+                both = np.concatenate([pairs, pairs[:, [1, 0, 2]]])
+                both = both[np.lexsort((both[:, 1], both[:, 2], both[:, 0]))]
+                pairs = both[np.concatenate(([True], both[1:, 0] != both[:-1, 0]))]
+            if len(pairs):
+                x, y = rid[pairs[:, 0]], rid[pairs[:, 1]]
+                out = (x, y) if nearest else (np.minimum(x, y), np.maximum(x, y))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(pairs[:, 2].astype(np.int32))], names=["a", "b", "bits"])
+
+    schema = "grid int, key long, rid long, comp long, fp binary"
+    rows = nodes.select("rid", "comp", "fp").mapInArrow(ordered, schema).repartitionByRange("grid", "key").sortWithinPartitions("grid", "key", "rid")
+    pairs = rows.mapInArrow(joined, "a long, b long, bits int")
+    if nearest:
+        return pairs.groupBy("a").agg(F.min_by(F.struct("b", "bits"), F.struct("bits", "b")).alias("n")).select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b")).distinct()
+    return pairs.select("a", "b").distinct()
+
+
+def candidate_pairs(texts: DataFrame, shingle: int, similarity: float, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
+    """From ``rid, text``: pairs ``(a, b)``, ``a < b``, whose wide fingerprints may be of this similarity, found in one of
+    several grids; texts with equal fingerprints are paired with the first of them.
 
-    rows = nodes.select("rid", "high", "low").mapInArrow(ordered, "grid int, key long, rid long, high long, low long").repartitionByRange("grid", "key").sortWithinPartitions("grid", "key", "rid")
-    return rows.mapInArrow(neighbours, "a long, b long, bits int").distinct().unionByName(copies)
+    A fingerprint has at most ``2 * window`` neighbours in a grid, however many near copies it has, and there are more
+    grids the more texts there are, so that recall does not fall.  Neighbours on both sides of a partition's border are
+    not seen in that grid."""
+    nodes, copies = _nodes(texts, shingle)
+    grids = range(grids_needed(nodes.count(), similarity, window, recall))
+    return _neighbours(nodes.withColumn("comp", F.col("rid")), grids, bits_within(similarity), window, False).unionByName(copies)
 
 
 def _axes_of(words: np.ndarray) -> np.ndarray:
@@ -259,20 +286,23 @@ def similar_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, *
     return _verified(scratch.table(candidate_pairs(texts, shingle, similarity, **options), "near-candidates"), texts, shingle, similarity)
 
 
-def similar_classes(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, **options) -> DataFrame:
+def similar_classes(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
     """``node, component`` of the rows ``rid, text`` that verified pairs connect.
 
-    First every text is verified against its nearest candidate only, which joins most of a group of any size by as many
-    comparisons as it has texts; then the pairs between what is still apart are."""
-    pairs = scratch.table(candidate_pairs(texts, shingle, similarity, **options), "near-candidates")
-    nearest = pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
-    links = scratch.table(_verified(nearest, texts, shingle, similarity), "near-links")
-    found = components(links.toDF("u", "v"))
-    at = {c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in "ab"}
-    apart_ = pairs.join(at["a"], "a", "left").join(at["b"], "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b"))
-    tried = nearest.select("a", "b")
-    more = scratch.table(_verified(apart_.select("a", "b").join(tried, ["a", "b"], "left_anti"), texts, shingle, similarity), "near-links")
-    return components(links.unionByName(more).toDF("u", "v"))
+    First, for ``NEAR_ROUNDS`` rounds, each fingerprint is held against its nearest one outside its component alone, in a
+    few grids.  This joins most of a group of any size by some comparisons a text instead of pairs by the square.  Then
+    all grids' pairs between what is still apart are verified."""
+    nodes, copies = _nodes(texts, shingle)
+    grids, radius = grids_needed(nodes.count(), similarity, window, recall), bits_within(similarity)
+    links = scratch.table(_verified(copies, texts, shingle, similarity), "near-links")
+    now = nodes.withColumn("comp", F.col("rid"))
+    for r in range(NEAR_ROUNDS):
+        pairs = _neighbours(now, range(r * NEAR_GRIDS, (r + 1) * NEAR_GRIDS), radius, window, True)
+        links = links.unionByName(scratch.table(_verified(scratch.table(pairs, "near-pairs"), texts, shingle, similarity), "near-links"))
+        found = components(links.toDF("u", "v")).withColumnRenamed("node", "rid")
+        now = scratch.table(nodes.join(found, "rid", "left").select("rid", "fp", F.coalesce("component", "rid").alias("comp")), "near-nodes")
+    rest = scratch.table(_neighbours(now, range(grids), radius, window, False), "near-pairs")
+    return components(links.unionByName(scratch.table(_verified(rest, texts, shingle, similarity), "near-links")).toDF("u", "v"))
 
 
 def drop_similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -69,3 +69,17 @@ def test_large_group_of_near_copies_is_one(spark):
         rows.append((i, " ".join(copy)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert drop_similar_copies(df).count() <= 3
+
+
+def test_wide_fingerprints_tell_similarity():
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    for edits in (0, 5, 20):
+        copy = list(base)
+        for at in range(7, 7 + 15 * edits, 15):
+            copy[at] = "edit"
+        a, b = (np.unpackbits(np.frombuffer(simhash.wide_fingerprint(" ".join(t), 5), np.uint8)) for t in (base, copy))
+        x, y = shingles(" ".join(base)), shingles(" ".join(copy))
+        want = simhash.apart(len(x & y) / len(x | y)) * simhash.WIDE
+        assert len(a) == simhash.WIDE and abs(int((a != b).sum()) - want) <= 4 * want**0.5
+    assert simhash.wide_fingerprint(None, 5) == bytes(simhash.WIDE // 8)
