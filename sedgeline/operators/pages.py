@@ -283,24 +283,92 @@ def runs(tree: DataFrame) -> DataFrame:
     )
 
 
+#: Between a table row's cells, hosts of quoted posts, marks of a lead header and of players to be clicked.
+CELLS, POST_HOSTS, LEAD = " — ", ("twitter.com", "x.com", "fxtwitter.com"), "media-header"
+FACADES = {"youtube-embed": ("youtube", text.video_id, "https://www.youtube.com/watch?v="), "dailymotion-embed": ("dailymotion", text.clip_id, "https://www.dailymotion.com/video/")}
+BLOCK = "page_id long, pos int, kind string, level int, ordered boolean, text string, run_count int, image_ref string, embed_provider string, language string, caption string"
+
+
+def _classes() -> Column:
+    return F.split(F.coalesce(attr("data-sanitized-class"), attr("class"), F.lit("")), r"\s+")
+
+
+def _in_page(value: Column) -> Column:
+    """The page's values of a condition's rows, each with its place; nulls are left out."""
+    return F.collect_list(F.when(value.isNotNull(), F.struct("pos", value.alias("v")))).over(Window.partitionBy("page_id"))
+
+
+def _first_inside(values: str) -> Column:
+    """Of a page's placed values the first one within the row's own subtree."""
+    return F.array_min(F.filter(values, lambda x: (x["pos"] >= F.col("pos")) & (x["pos"] <= F.col("last"))))["v"]
+
+
+def _row(rows: DataFrame, kind: Column | str, **columns: Column) -> DataFrame:
+    """Rows of ``BLOCK``; what isn't given is null, texts empty."""
+    given = {"page_id": F.col("page_id"), "pos": F.col("pos"), "kind": F.lit(kind) if isinstance(kind, str) else kind, "text": F.lit(""), "run_count": F.lit(0)} | columns
+    return rows.select(*[given.get(c.split()[0], F.lit(None)).cast(c.split()[1]).alias(c.split()[0]) for c in BLOCK.split(", ")])
+
+
+def players(tree: DataFrame) -> DataFrame:
+    """The tree with what stands for a post or player found: ``provider`` and ``url`` of quotes that link to a post and of
+    facades (null for other nodes), their ``thumbnail``, and ``gone`` for nodes within them."""
+    href, every = attr("href"), F.concat_ws(" ", F.map_values("attrs"))
+    post = F.when((F.col("tag") == "a") & text.is_safe_url(href) & reduce(Column.__or__, [text.host_is(href, h) for h in POST_HOSTS]), href)
+    rows = tree.withColumn("__posts", _in_page(post)).withColumn("__images", _in_page(F.when(F.col("tag") == "img", attr("src"))))
+    url, provider = F.when(F.col("tag") == "blockquote", _first_inside("__posts")), F.when(F.col("tag") == "blockquote", F.lit("tweet"))
+    for mark, (name, identify, page) in FACADES.items():
+        rows = rows.withColumn(f"__{name}", _in_page(identify(every)))
+        here = F.array_contains(_classes(), mark)
+        url, provider = F.coalesce(url, F.when(here, F.concat(F.lit(page), _first_inside(f"__{name}")))), F.coalesce(provider, F.when(here, F.lit(name)))
+    rows = rows.withColumn("url", url).withColumn("provider", F.when(F.col("url").isNotNull(), provider)).withColumn("thumbnail", F.when(F.col("url").isNotNull(), _first_inside("__images")))
+    rows = rows.withColumn("__held", found_places(F.col("url").isNotNull()))
+    outer = F.col("url").isNotNull() & ~lies_in("__held", False)
+    return rows.withColumn("gone", lies_in("__held")).select(*tree.columns, *[F.when(outer, F.col(c)).alias(c) for c in ("provider", "url", "thumbnail")], "gone")
+
+
 def blocks(tree: DataFrame) -> DataFrame:
-    """Typed blocks in document order: ``page_id, pos, kind, level, ordered, text, run_count, image_ref, embed_provider``."""
-    tree = scratch.table(tree, "content")  # read by each kind of block
-    lines = runs(tree).where("block is not null").groupBy("page_id", "block").agg(
-        F.first("kind").alias("tag"), F.first("ordered").alias("ordered"), F.first("quotes").alias("quotes"), F.array_sort(F.collect_list(F.struct("pos", "text", "bold", "italic", "code", "strikethrough", "link"))).alias("runs")
+    """Typed blocks in document order, as ``BLOCK``.
+
+    A figure's caption goes to its first image, or is a paragraph if it has none.  A table row is one paragraph, its cells
+    joined.  Images of headers are dropped but for the lead's.  A quote that links to a post is an embed, and so are
+    facades, frames, audio and video (``image_ref`` is the address, ``caption`` its thumbnail or poster)."""
+    own = tree.columns
+    tree = scratch.table(players(tree), "content")  # read by each kind of block
+    embedded = _row(tree.where("url is not null"), "embed", image_ref=F.col("url"), embed_provider=F.col("provider"), caption=F.col("thumbnail"))
+    rest = tree.where("NOT gone").select(*own)
+    cell = F.greatest(F.try_element_at("within", F.lit("td")), F.try_element_at("within", F.lit("th")))
+    figure = F.try_element_at("within", F.lit("figure"))
+    placed = rest.select("page_id", "pos", cell.alias("cell"), figure.alias("figure"))
+    lines = runs(rest).where("block is not null").join(placed, ["page_id", "pos"]).groupBy("page_id", "block").agg(
+        F.first("kind").alias("tag"), F.first("ordered").alias("ordered"), F.first("quotes").alias("quotes"), F.max("figure").alias("figure"), F.array_sort(F.collect_list(F.struct("pos", "text", "bold", "italic", "code", "strikethrough", "link", "cell"))).alias("runs")
     )  # of one block
     joined = F.array_join(F.transform("runs", lambda r: r["text"]), "")
-    body = F.when(F.col("tag") == "pre", joined).otherwise(text.strip(joined))
+    cells = F.array_distinct(F.transform("runs", lambda r: r["cell"]))
+    by_cell = F.transform(cells, lambda c: text.strip(F.array_join(F.transform(F.filter("runs", lambda r: r["cell"].eqNullSafe(c)), lambda r: r["text"]), "")))
+    body = F.when(F.col("tag") == "pre", joined).when(F.col("tag") == "tr", F.array_join(F.filter(by_cell, lambda t: t != ""), CELLS)).otherwise(text.strip(joined))
     kind = F.when(F.col("tag").isin(*HEADINGS), "heading").when(F.col("tag") == "pre", "code").when(F.col("tag") == "li", "list_item").when(F.col("quotes") > 0, "quote").otherwise("paragraph")
-    texts = lines.select(
-        "page_id", F.col("block").alias("pos"), kind.alias("kind"), F.when(F.col("tag").isin(*HEADINGS), F.substring("tag", 2, 1).cast("int")).alias("level"), F.when(F.col("tag") == "li", F.col("ordered")).alias("ordered"), body.alias("text"),
-        F.size(F.filter("runs", lambda r: text.strip(r["text"]) != "")).alias("run_count"), F.lit(None).cast("string").alias("image_ref"), F.lit(None).cast("string").alias("embed_provider"),
-    ).where("text <> ''")
-    none, zero = F.lit(None), F.lit(0)
-    images = tree.where((F.col("tag") == "img") & text.is_safe_url(attr("src"))).select("page_id", "pos", F.lit("image").alias("kind"), none.cast("int").alias("level"), none.cast("boolean").alias("ordered"), F.coalesce(attr("alt"), F.lit("")).alias("text"), zero.alias("run_count"), attr("src").alias("image_ref"), none.cast("string").alias("embed_provider"))
-    framed = embeds(tree.where("tag = 'iframe'")).select("page_id", "pos", F.lit("embed").alias("kind"), none.cast("int").alias("level"), none.cast("boolean").alias("ordered"), F.lit("").alias("text"), zero.alias("run_count"), F.col("url").alias("image_ref"), F.col("provider").alias("embed_provider"))
-    rules = tree.where("tag = 'hr'").select("page_id", "pos", F.lit("divider").alias("kind"), none.cast("int").alias("level"), none.cast("boolean").alias("ordered"), F.lit("").alias("text"), zero.alias("run_count"), none.cast("string").alias("image_ref"), none.cast("string").alias("embed_provider"))
-    return scratch.table(reduce(DataFrame.unionByName, [texts, images, framed, rules]), "blocks")
+    lines = lines.withColumn("pos", F.col("block")).withColumn("text", body).where("text <> ''")
+    # a code block's language is told by its own class or that of the code within it
+    named = rest.where(F.col("tag").isin("pre", "code")).select("page_id", F.when(F.col("tag") == "pre", F.col("pos")).otherwise(F.try_element_at("within", F.lit("pre"))).alias("pos"), F.nullif(F.regexp_extract(F.coalesce(attr("class"), F.lit("")), r"(?:^|\s)lang(?:uage)?-(\S+)", 1), F.lit("")).alias("language"))
+    languages = named.where("language is not null and pos is not null").groupBy("page_id", "pos").agg(F.max("language").alias("language"))
+    lines = lines.join(languages, ["page_id", "pos"], "left")
+    texts = _row(lines, kind, level=F.when(F.col("tag").isin(*HEADINGS), F.substring("tag", 2, 1)), ordered=F.when(F.col("tag") == "li", F.col("ordered")), text=F.col("text"), run_count=F.size(F.filter("runs", lambda r: text.strip(r["text"]) != "")), language=F.when(F.col("tag") == "pre", F.col("language")))
+    # headers' images, and captions: both by windows over the page and its figures
+    lead = rest.withColumn("__lead", found_places((F.col("tag") == "header") & F.array_contains(_classes(), LEAD)))
+    shown = lead.where((F.col("tag") == "img") & text.is_safe_url(attr("src")) & (~F.map_contains_key("within", F.lit("header")) | lies_in("__lead")))
+    shown = shown.select("page_id", "pos", attr("src").alias("src"), attr("alt").alias("alt"), figure.alias("figure"))
+    first = shown.where("figure is not null").groupBy("page_id", "figure").agg(F.min("pos").alias("pos"))
+    captions = lines.where("tag = 'figcaption' and figure is not null").groupBy("page_id", "figure").agg(F.min_by("text", "pos").alias("caption"), F.min("pos").alias("told"))
+    claimed = first.join(captions, ["page_id", "figure"])
+    images = _row(shown.join(claimed.select("page_id", "pos", "caption"), ["page_id", "pos"], "left"), "image", text=F.coalesce("alt", F.lit("")), image_ref=F.col("src"), caption=F.col("caption"))
+    texts = texts.join(claimed.select("page_id", F.col("told").alias("pos")), ["page_id", "pos"], "left_anti").select(*[c.split()[0] for c in BLOCK.split(", ")])
+    sources = rest.where((F.col("tag") == "source") & text.is_safe_url(attr("src"))).groupBy("page_id", "parent").agg(F.min_by(attr("src"), "pos").alias("source")).withColumnRenamed("parent", "pos")
+    heard = rest.where(F.col("tag").isin("audio", "video")).join(sources, ["page_id", "pos"], "left").withColumn("src", F.coalesce(F.when(text.is_safe_url(attr("src")), attr("src")), F.col("source"))).where("src is not null")
+    media = _row(heard, "embed", image_ref=F.col("src"), embed_provider=F.col("tag"), caption=attr("poster"))
+    framed = embeds(rest.where("tag = 'iframe'"))
+    framed = _row(framed, "embed", image_ref=F.col("url"), embed_provider=F.col("provider"))
+    rules = _row(rest.where("tag = 'hr'"), "divider")
+    return scratch.table(reduce(DataFrame.unionByName, [texts, images, embedded, media, framed, rules]), "blocks")
 
 
 def plain_text(block_rows: DataFrame) -> DataFrame:

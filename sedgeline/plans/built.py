@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgeline.catalog import Catalog
@@ -190,3 +190,26 @@ def page_main_text(c: Catalog) -> DataFrame:
     """Main texts long enough to count, by the heading that they start with."""
     found = pages.generic_content(pages.plain_text(pages.blocks(pages.main_content(tree(c), ignore=(".c", "nav", "a[href*=status]")))).withColumn("plain_text", F.concat("plain_text", F.lit(" " * 80))))
     return found.select("page_id", text.strip(F.substring_index("plain_text", "\n\n", 1)).alias("name"))
+
+
+PARTS = """<body><article><header class="top"><img src="/logo.png"></header><header class="media-header"><img src="/lead{k}.jpg"></header>
+<figure><img src="/a{k}.jpg"><img src="/b{k}.jpg"><figcaption>Caption of {n}</figcaption></figure><figure><p>No image</p><figcaption>Only words</figcaption></figure>
+<table><tr><th>Name</th><td></td><td>{n}</td></tr><tr><td>{k}</td><td><table><tr><td>in</td><td>ner</td></tr></table></td></tr></table>
+<blockquote><p>Said</p><a href="https://x.com/u/status/{k}">there</a></blockquote><blockquote><p>Quote of {n}</p></blockquote>
+<div class="youtube-embed big"><img src="/t{k}.jpg"><a href="https://www.youtube.com/watch?v=video{k}abc">Play</a></div>
+<video poster="/p{k}.jpg"><source src="/v{k}.webm"><source src="/v{k}.mp4"></video><audio src="/s{k}.mp3"></audio><pre><code class="hl language-sql">SELECT {k}
+</code></pre><hr></article></body>"""
+
+
+@query("page_block_kinds", """
+    SELECT c_custkey AS page_id, row_number() OVER (PARTITION BY c_custkey ORDER BY n) AS position, kind, text, image_ref, embed_provider, language, caption FROM customer, LATERAL (VALUES
+        (1, 'image', '', '/lead' || c_custkey || '.jpg', NULL, NULL, NULL), (2, 'image', '', '/a' || c_custkey || '.jpg', NULL, NULL, 'Caption of ' || c_name), (3, 'image', '', '/b' || c_custkey || '.jpg', NULL, NULL, NULL),
+        (4, 'paragraph', 'No image', NULL, NULL, NULL, NULL), (5, 'paragraph', 'Only words', NULL, NULL, NULL, NULL), (6, 'paragraph', 'Name — ' || c_name, NULL, NULL, NULL, NULL), (7, 'paragraph', c_custkey::VARCHAR, NULL, NULL, NULL, NULL),
+        (8, 'paragraph', 'in — ner', NULL, NULL, NULL, NULL), (9, 'embed', '', 'https://x.com/u/status/' || c_custkey, 'tweet', NULL, NULL), (10, 'quote', 'Quote of ' || c_name, NULL, NULL, NULL, NULL),
+        (11, 'embed', '', 'https://www.youtube.com/watch?v=video' || c_custkey || 'abc', 'youtube', NULL, '/t' || c_custkey || '.jpg'), (12, 'embed', '', '/v' || c_custkey || '.webm', 'video', NULL, '/p' || c_custkey || '.jpg'),
+        (13, 'embed', '', '/s' || c_custkey || '.mp3', 'audio', NULL, NULL), (14, 'code', 'SELECT ' || c_custkey || chr(10), NULL, NULL, 'sql', NULL), (15, 'divider', '', NULL, NULL, NULL, NULL)) t(n, kind, text, image_ref, embed_provider, language, caption)""", views=False)
+def page_block_kinds(c: Catalog) -> DataFrame:
+    html = F.replace(F.replace(F.lit(PARTS), F.lit("{k}"), _k().cast("string")), F.lit("{n}"), F.col("c_name"))
+    found = pages.blocks(pages.main_content(pages.nodes(c.table("customer").select(_k().alias("page_id"), html.alias("html")), stored=False)))
+    at = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    return found.select("page_id", at.cast("long").alias("position"), "kind", "text", "image_ref", "embed_provider", "language", "caption")
