@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sedgeline.llm.archives import archive_pages
+from sedgeline.llm.centroids import clustered_vectors
 from sedgeline.llm.exact_dedup import exact_groups
 from sedgeline.llm.idfiles import read_id_files, write_id_files
 from sedgeline.llm.language import languages
@@ -15,8 +16,11 @@ from sedgeline.llm.packing import packed_pieces
 from sedgeline.llm.pii import span_report
 from sedgeline.llm.quality import quality_report
 from sedgeline.llm.scratch import new_path
+from sedgeline.llm.sharding import sharded
 from sedgeline.llm.simhash import near_components
 from sedgeline.llm.suffix_dedup import remove_repeats
+from sedgeline.llm.vector_codes import coded_vectors
+from sedgeline.llm.vector_sql import CENTROID_SQL, CODE_SQL
 
 #: Where the vocabularies are: a package that ships them, see ``tokenizer``.
 BYTE_BPE, WORD_BPE, WORD_BPE_END = "byte_bpe_50k.json", "word_bpe_49k.json", 2
@@ -75,6 +79,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(pages, new_path(spark, "archives")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_centroids": op12_centroids,
+    "op13_sharding": op13_sharding,
     "pipeline": pipeline,
 }
 
@@ -114,4 +133,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM d""",
+    "op11_vector_codes": CODE_SQL,
+    "op12_centroids": CENTROID_SQL,
 }
