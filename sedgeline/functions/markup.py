@@ -2,8 +2,10 @@
 
 A node knows its place in document order and the place where its subtree ends, so "inside of" is a test of ranges, and of
 each tag that is open around it the innermost place.  Both are bounded by the page's tags, however deep it is.
-Where a start tag implies the end of an open element, that is closed; formatting that is open when its paragraph closes
-is opened again in the next one, as browsers do.
+Where a start tag implies the end of an open element, that is closed.  Formatting that is open when its paragraph closes
+is opened again in the next one, as browsers do it by their list of active formatting: at most three equal entries, none
+across the border of a cell, and ``MOST_ACTIVE`` in all, so there are at most so many nodes a tag.  What stands in a table
+but in no cell is moved before it.  Work and nodes grow with the page, whatever is left open in it.
 """
 
 from __future__ import annotations
@@ -15,70 +17,140 @@ import pyarrow as pa
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-FORMATTING = ("b", "strong", "i", "em", "u", "s", "strike", "del", "code", "small", "a")
+FORMATTING = frozenset(("b", "strong", "i", "em", "u", "s", "strike", "del", "code", "small"))
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th")}
 SCOPES = frozenset(("table", "ul", "ol", "dl", "select", "body"))
+MARKERS = frozenset(("td", "th", "caption", "object"))
+#: Elements of a table that hold no content themselves, and what may stand in them.
+STRUCTURE = frozenset(("table", "thead", "tbody", "tfoot", "tr"))
+IN_TABLE = frozenset("caption col colgroup thead tbody tfoot tr td th script style template form".split())
+EQUAL_ENTRIES, MOST_ACTIVE = 3, 32
 
 NODE = "page_id long, pos int, parent int, last int, within map<string,int>, tag string, attrs map<string,string>, text string"
 _FIELDS = ("pos", "parent", "last", "within", "tag", "attrs", "text")
 
 
+class _Node:
+    __slots__ = ("attrs", "children", "pos", "tag", "text", "within")
+
+    def __init__(self, tag: str, attrs: dict[str, str], text: str | None, within: dict[str, _Node]) -> None:
+        self.tag, self.attrs, self.text, self.within = tag, attrs, text, within
+        self.children: list[_Node] = []
+        self.pos = -1
+
+
+class _Open:
+    """An open element: ``around`` has the innermost element by tag, itself included, ``depth`` the innermost place on the
+    stack by tag that no scope separates from it."""
+
+    __slots__ = ("around", "depth", "node")
+
+    def __init__(self, node: _Node, around: dict[str, _Node], depth: dict[str, int]) -> None:
+        self.node, self.around, self.depth = node, around, depth
+
+
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
-        self.around: list[dict[str, int]] = [{}]  # of each open element: the innermost place by tag, itself included
-        self.open: list[tuple[int, str, dict]] = []
-        self.again: list[tuple[str, dict]] = []
-
-    def _add(self, tag: str, attrs: dict, text: str | None) -> int:
-        at = len(self.rows)
-        del self.around[len(self.open) + 1 :]
-        self.rows.append([at, self.open[-1][0] if self.open else -1, at, list(self.around[-1].items()), tag, list(attrs.items()), text])
-        return at
-
-    def _push(self, at: int, tag: str, attrs: dict) -> None:
-        del self.around[len(self.open) + 1 :]
-        self.open.append((at, tag, attrs))
-        self.around.append(self.around[-1] | {tag: at})
+        self.root = _Node("", {}, None, {})
+        self.open = [_Open(self.root, {}, {})]
+        self.active: list[tuple[str, dict[str, str], _Node | None] | None] = []  # formatting by age, None being a marker
+        self.live: set[int] = set()  # open formatting
+
+    def _add(self, tag: str, attrs: dict, text: str | None) -> tuple[_Node, dict[str, _Node]]:
+        """A new node below the innermost open element, or before its table; and what is around it."""
+        above = self.open[-1]
+        if above.node.tag in STRUCTURE and tag not in IN_TABLE and (text is None or text.strip()) and not tag.startswith("#comment"):
+            at = above.depth.get("table", 0)
+            if at:
+                holder = self.open[at - 1]
+                node = _Node(tag, attrs, text, holder.around)
+                holder.node.children.insert(len(holder.node.children) - 1, node)
+                return node, holder.around
+        node = _Node(tag, attrs, text, above.around)
+        above.node.children.append(node)
+        return node, above.around
+
+    def _push(self, node: _Node, around: dict[str, _Node]) -> None:
+        tag = node.tag
+        depth = {} if tag in SCOPES else self.open[-1].depth
+        self.open.append(_Open(node, around | {tag: node}, depth | {tag: len(self.open)}))
+        if tag in FORMATTING:
+            self.live.add(id(node))
+        if tag in MARKERS:
+            self.active.append(None)
+
+    def _pop_to(self, depth: int) -> None:
+        for x in self.open[depth:]:
+            self.live.discard(id(x.node))
+            if x.node.tag in MARKERS:
+                while self.active and self.active.pop() is not None:
+                    pass
+        del self.open[depth:]
 
     def _close(self, tags: tuple[str, ...]) -> None:
         """Close the innermost open element of these tags, unless a scope lies in between."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][1] in tags:
-                self.again += [(t, a) for _, t, a in self.open[i + 1 :] if t in FORMATTING and t != "a"]
-                del self.open[i:]
-                return
-            if self.open[i][1] in SCOPES:
-                return
+        at = max(self.open[-1].depth.get(t, 0) for t in tags)
+        if at:
+            self._pop_to(at)
+
+    def _since_marker(self) -> int:
+        n = len(self.active)
+        while n and self.active[n - 1] is not None:
+            n -= 1
+        return n
+
+    def _note(self, tag: str, attrs: dict, node: _Node) -> None:
+        """Enter formatting into the list; of three equal entries the oldest goes."""
+        first = self._since_marker()
+        equal = [i for i in range(first, len(self.active)) if self.active[i][:2] == (tag, attrs)]
+        if len(equal) >= EQUAL_ENTRIES:
+            del self.active[equal[0]]
+        elif len(self.active) - first >= MOST_ACTIVE:
+            del self.active[first]
+        self.active.append((tag, attrs, node))
 
     def _reopen(self) -> None:
-        waiting, self.again = self.again, []
-        for t, a in waiting:
-            self._push(self._add(t, a, None), t, a)
+        """Open again what is in the list but not open, up to the newest marker."""
+        for i in range(self._since_marker(), len(self.active)):
+            tag, attrs, node = self.active[i]
+            if id(node) not in self.live:
+                node, around = self._add(tag, attrs, None)
+                self._push(node, around)
+                self.active[i] = (tag, attrs, node)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in CLOSES_P:
             self._close(("p",))
-        if tag in IMPLIED:
-            for _ in range(2):
-                self._close(IMPLIED[tag])
+        if tag in IN_TABLE and tag in IMPLIED:
+            inner = max((self.open[-1].depth.get(t, 0), t in STRUCTURE) for t in (*STRUCTURE, "td", "th", "caption"))
+            if inner[0] and inner[1]:  # what was moved out of the table ends where the table goes on
+                self._pop_to(inner[0] + 1)
+        for _ in range(2 if tag in IMPLIED else 0):
+            self._close(IMPLIED[tag])
         if tag in FORMATTING or tag in VOID:
             self._reopen()
         values = {k: v or "" for k, v in attrs}
-        at = self._add(tag, values, None)
+        node, around = self._add(tag, values, None)
         if tag not in VOID:
-            self._push(at, tag, values)
+            self._push(node, around)
+            if tag in FORMATTING:
+                self._note(tag, values, node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.again):
-            self.again = [x for x in self.again if x[0] != tag]
-        if any(t == tag for _, t, _ in self.open):
-            self._close((tag,))
+        if tag in FORMATTING:
+            for i in range(len(self.active) - 1, self._since_marker() - 1, -1):
+                if self.active[i][0] == tag:
+                    waiting = id(self.active[i][2]) not in self.live
+                    del self.active[i]
+                    if waiting:  # closed already, with its paragraph
+                        return
+                    break
+        self._close((tag,))
 
     def handle_data(self, data: str) -> None:
         if data.strip():
@@ -94,10 +166,18 @@ def nodes_of(html: str | None) -> list[list]:
     b = _Builder()
     b.feed(html or "")
     b.close()
-    for row in reversed(b.rows):
+    rows: list[list] = []
+    waiting = [(x, -1) for x in reversed(b.root.children)]
+    while waiting:
+        node, parent = waiting.pop()
+        node.pos = len(rows)
+        within = [(t, x.pos) for t, x in node.within.items()]
+        rows.append([node.pos, parent, node.pos, within, node.tag, list(node.attrs.items()), node.text])
+        waiting += [(x, node.pos) for x in reversed(node.children)]
+    for row in reversed(rows):
         if row[1] >= 0:
-            b.rows[row[1]][2] = max(b.rows[row[1]][2], row[2])
-    return b.rows
+            rows[row[1]][2] = max(rows[row[1]][2], row[2])
+    return rows
 
 
 def node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

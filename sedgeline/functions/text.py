@@ -42,9 +42,16 @@ def unescape_basic(c: Column) -> Column:
 
 
 def base_filename(c: Column) -> Column:
-    """File name without extension, size suffixes (``-300x200``, ``-2``) and one short hash."""
+    """File name without extension, size suffixes (``-300x200``, ``-2``) and one short hash.
+
+    The suffixes are looked for in the run of signs that they may hold, and end where the last other sign is."""
     name = F.regexp_replace(c, r"\.[^.]*$", "")
-    return F.regexp_replace(F.regexp_replace(name, r"(-[0-9]+x[0-9]+|-[0-9]+)+$", ""), "-[a-zA-Z0-9]{3,6}$", "")
+    tail = F.regexp_extract(name, "([-0-9x]*)$", 1)
+    parts = F.split(tail, "-")
+    sized = F.transform(parts, lambda p, i: (i > 0) & p.rlike("^[0-9]+(?:x[0-9]+)?$"))
+    trailing = F.coalesce(F.array_position(F.reverse(sized), F.lit(False)), F.lit(1)) - 1
+    kept = F.array_join(F.slice(parts, 1, (F.size(parts) - trailing).cast("int")), "-")
+    return F.regexp_replace(F.concat(F.left(name, F.length(name) - F.length(tail)), kept), "-[a-zA-Z0-9]{3,6}$", "")
 
 
 def selector_list(c: Column) -> Column:
@@ -279,6 +286,23 @@ def options(raw: Column, defaults: dict[str, Column], able: dict[str, Column] |
     return F.struct(*parts)
 
 
+# --- providers
+
+
+def known_provider(url: Column) -> Column:
+    """The first provider that knows an address of a video or post; null if none does."""
+    return (
+        F.when(host_is(url, "youtube.com") | host_is(url, "youtu.be") | host_is(url, "youtube-nocookie.com"), F.when(video_id(url).isNotNull(), "youtube"))
+        .when(host_is(url, "dailymotion.com") | host_is(url, "dai.ly"), F.when(clip_id(url).isNotNull(), "dailymotion"))
+        .when(host_is(url, "bsky.app"), F.when(actor_and_post(url)["post"].isNotNull(), "bluesky")).when(host_is(url, "twitter.com") | host_is(url, "x.com"), F.when(status_id(url).isNotNull(), "twitter"))
+    )
+
+
+def provider_of(url: Column) -> Column:
+    """The same, ``generic`` for others."""
+    return F.coalesce(known_provider(url), F.lit("generic"))
+
+
 # --- decoding
 
 #: Charsets whose bytes Spark decodes under the same name, and the two that share one table.

@@ -12,9 +12,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from sedgeline import scratch
-from sedgeline.functions import markup, text
+from sedgeline.functions import markup, text, urls
+from sedgeline.operators.blocks import flat_blocks
 
 #: What is read by default, and what never counts as content.
 CONTENT = ("article", ".article-content", ".entry-content", "main")
@@ -62,18 +64,15 @@ def _simple(selector: str) -> Column | None:
     return F.coalesce(reduce(Column.__and__, parts), F.lit(False)) & ~F.startswith("tag", F.lit("#")) if parts else None
 
 
-_PAGE = ("page_id",)
+def _along(upto: int = 0) -> WindowSpec:
+    """The page's nodes from its start to this one, or to the one before."""
+    return Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, upto)
 
 
-def found_places(hit: Column) -> Column:
-    """Ranges of the page's nodes that a condition finds."""
-    return F.collect_list(F.when(hit, F.struct("pos", "last"))).over(Window.partitionBy(*_PAGE))
-
-
-def lies_in(ranges: Column | str, itself: bool = True) -> Column:
-    """Whether a node lies in one of the ranges, or is one of their heads."""
-    pos = F.col("pos")
-    return F.exists(ranges, lambda p: ((pos >= p["pos"]) if itself else (pos > p["pos"])) & (pos <= p["last"]))
+def within_hit(hit: Column, itself: bool = True) -> Column:
+    """Whether a node lies in a subtree whose head a condition finds.  Subtrees never cross, so it does if the farthest end
+    of those that began earlier is not before it."""
+    return F.coalesce(F.max(F.when(hit, F.col("last"))).over(_along(0 if itself else -1)) >= F.col("pos"), F.lit(False))
 
 
 def marked(tree: DataFrame, selectors: tuple[str, ...] | list[str], name: str = "__hit") -> DataFrame:
@@ -85,10 +84,10 @@ def marked(tree: DataFrame, selectors: tuple[str, ...] | list[str], name: str =
     for n, (*above, own) in enumerate(c for c in chains if len(c) > 1):
         for k, c in enumerate(above):
             if k:
-                c = c & lies_in(f"__above{n}_{k - 1}", False)
-            tree = tree.withColumn(f"__above{n}_{k}", found_places(c))
+                c = c & F.col(f"__above{n}_{k - 1}")
+            tree = tree.withColumn(f"__above{n}_{k}", within_hit(c, False))
             extra.append(f"__above{n}_{k}")
-        hits.append(own & lies_in(extra[-1], False))
+        hits.append(own & F.col(extra[-1]))
     return tree.withColumn(name, reduce(Column.__or__, hits) if hits else F.lit(False)).drop(*extra)
 
 
@@ -104,35 +103,49 @@ def places(found: DataFrame) -> DataFrame:
 
 def outermost(found: DataFrame, first_only: bool = False) -> DataFrame:
     """Found elements that lie in no other found one; if asked for, only the first of a page."""
-    kept = found.withColumn("places", found_places(F.lit(True))).where(~lies_in("places", False)).drop("places")
+    kept = found.withColumn("__in", within_hit(F.lit(True), False)).where("NOT __in").drop("__in")
     if first_only:
         kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where("__n = 1").drop("__n")
     return kept
 
 
+def _flagged(tree: DataFrame, found: DataFrame) -> DataFrame:
+    """The tree with ``__in``: whether a node lies in one of the found ones or is one.  These go along as rows of their own,
+    each just before its node."""
+    heads = found.select("page_id", "pos", "last", F.lit(True).alias("__head"))
+    both = tree.withColumn("__head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    order = Window.partitionBy("page_id").orderBy("pos", F.desc("__head")).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("__head"), F.col("last"))).over(order)
+    return both.withColumn("__in", F.coalesce(reach >= F.col("pos"), F.lit(False))).where("NOT __head").drop("__head")
+
+
 def without(tree: DataFrame, found: DataFrame) -> DataFrame:
     """The tree without the found elements and all below them."""
-    joined = tree.join(places(found), "page_id", "left")
-    return joined.where(F.col("places").isNull() | ~lies_in("places")).drop("places")
+    return _flagged(tree, found).where("NOT __in").drop("__in")
 
 
 def below(tree: DataFrame, found: DataFrame) -> DataFrame:
     """What lies in the found elements, themselves included."""
-    return tree.join(places(found), "page_id").where(lies_in("places")).drop("places")
+    return _flagged(tree, found).where("__in").drop("__in")
 
 
 def without_selected(tree: DataFrame, selectors: tuple[str, ...] | list[str]) -> DataFrame:
     """The tree without what selectors find and all below that."""
-    return marked(tree, selectors).withColumn("__out", found_places(F.col("__hit"))).where(~lies_in("__out")).drop("__hit", "__out")
+    return marked(tree, selectors).withColumn("__out", within_hit(F.col("__hit"))).where("NOT __out").drop("__hit", "__out")
 
 
 def inside_selected(tree: DataFrame, selectors: tuple[str, ...] | list[str], first_only: bool = False, or_body: bool = False) -> DataFrame:
     """What lies in the elements that selectors find, or in the first of a page; if asked, pages without any keep their body."""
-    rows = marked(tree, selectors).withColumn("__in", found_places(F.col("__hit")))
+    rows = marked(tree, selectors)
     if first_only:
-        rows = rows.withColumn("__in", F.when(F.size("__in") > 0, F.array(F.array_min("__in"))).otherwise(F.col("__in")))
-    rest = (F.col("tag") == "body") | F.map_contains_key("within", F.lit("body")) if or_body else F.lit(False)
-    return rows.where(F.when(F.size("__in") > 0, lies_in("__in")).otherwise(rest)).drop("__hit", "__in")
+        inside = F.coalesce(F.first(F.when(F.col("__hit"), F.col("last")), ignorenulls=True).over(_along()) >= F.col("pos"), F.lit(False))
+    else:
+        inside = within_hit(F.col("__hit"))
+    rows = rows.withColumn("__in", inside)
+    if not or_body:
+        return rows.where("__in").drop("__hit", "__in")
+    rows = rows.withColumn("__any", F.max("__hit").over(Window.partitionBy("page_id")))
+    return rows.where(F.when(F.col("__any"), F.col("__in")).otherwise((F.col("tag") == "body") | F.map_contains_key("within", F.lit("body")))).drop("__hit", "__in", "__any")
 
 
 def main_content(tree: DataFrame, selectors: tuple[str, ...] = CONTENT, ignore: tuple[str, ...] = (), first_only: bool = False) -> DataFrame:
@@ -206,17 +219,7 @@ def empty_elements(tree: DataFrame) -> DataFrame:
 # --- what pages refer to
 
 
-def resolve(url: Column, base: Column) -> Column:
-    """Absolute address; unsafe ones are empty."""
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)", 1)
-    folder = F.when(F.length(folder) > F.length(text.url_scheme(base)) + 3, folder).otherwise(F.concat(origin, F.lit("/")))
-    u = F.trim(url)
-    absolute = (
-        F.when(u == "", "").when(text.url_scheme(u) != "", F.when(text.is_safe_url(u), u).otherwise(F.lit(""))).when(u.startswith("//"), F.concat(text.url_scheme(base), F.lit(":"), u))
-        .when(u.startswith("/"), F.concat(origin, u)).when(u.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), u)).when(u.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), u)).otherwise(F.concat(folder, u))
-    )
-    return absolute
+resolve = urls.resolve
 
 
 def links(tree: DataFrame, bases: DataFrame) -> DataFrame:
@@ -254,13 +257,7 @@ def embeds(tree: DataFrame) -> DataFrame:
     """Embedded posts and videos: the first provider that knows the address."""
     url = F.coalesce(attr("src"), attr("href"))
     found = tree.where(F.col("tag").isin("iframe", "a") & url.isNotNull()).select("page_id", "pos", "tag", url.alias("url"))
-    provider = (
-        F.when(text.host_is(F.col("url"), "youtube.com") | text.host_is(F.col("url"), "youtu.be") | text.host_is(F.col("url"), "youtube-nocookie.com"), F.when(text.video_id(F.col("url")).isNotNull(), "youtube"))
-        .when(text.host_is(F.col("url"), "dailymotion.com") | text.host_is(F.col("url"), "dai.ly"), F.when(text.clip_id(F.col("url")).isNotNull(), "dailymotion"))
-        .when(text.host_is(F.col("url"), "bsky.app"), F.when(text.actor_and_post(F.col("url"))["post"].isNotNull(), "bluesky"))
-        .when(text.host_is(F.col("url"), "twitter.com") | text.host_is(F.col("url"), "x.com"), F.when(text.status_id(F.col("url")).isNotNull(), "twitter"))
-    )
-    return found.withColumn("provider", F.coalesce(provider, F.when(F.col("tag") == "iframe", "generic"))).where("provider is not null").drop("tag")
+    return found.withColumn("provider", F.coalesce(text.known_provider(F.col("url")), F.when(F.col("tag") == "iframe", "generic"))).where("provider is not null").drop("tag")
 
 
 # --- blocks
@@ -274,101 +271,18 @@ def runs(tree: DataFrame) -> DataFrame:
     """Inline runs: the text of each text node and line break, its styles, link and the block that it belongs to."""
     around = F.array(*[F.struct(F.try_element_at("within", F.lit(t)).alias("pos"), F.lit(t).alias("tag")) for t in BLOCKS])
     own = F.array_max(F.filter(around, lambda x: x["pos"].isNotNull()))
-    links_ = F.map_from_entries(F.collect_list(F.when((F.col("tag") == "a") & attr("href").isNotNull(), F.struct("pos", attr("href")))).over(Window.partitionBy("page_id")))
-    rows = tree.withColumn("links", links_).where((F.col("tag").isin("#text", "br")) & ~_has(*NEVER, "head", "title"))
+    link = F.last(F.when((F.col("tag") == "a") & attr("href").isNotNull(), F.struct("pos", attr("href").alias("href"))), ignorenulls=True).over(_along())
+    rows = tree.withColumn("link", link).where((F.col("tag").isin("#text", "br")) & ~_has(*NEVER, "head", "title"))
     raw = F.when(F.col("tag") == "br", F.lit("\n")).when(_has("pre"), F.col("text")).otherwise(text.collapse(F.col("text")))
     return rows.select(
         "page_id", "pos", own["pos"].alias("block"), own["tag"].alias("kind"), raw.alias("text"), _has(*BOLD).alias("bold"), _has(*ITALIC).alias("italic"), _has(*CODE).alias("code"), _has(*STRIKE).alias("strikethrough"),
-        F.when(_has("a"), F.coalesce(F.try_element_at("links", F.try_element_at("within", F.lit("a"))), F.lit(""))).alias("link"), _has("blockquote").cast("int").alias("quotes"), _has("ol").alias("ordered"),
+        F.when(_has("a"), F.coalesce(F.when(F.col("link.pos") == F.try_element_at("within", F.lit("a")), F.col("link.href")), F.lit(""))).alias("link"), _has("blockquote").cast("int").alias("quotes"), _has("ol").alias("ordered"),
     )
 
 
-#: Between a table row's cells, hosts of quoted posts, marks of a lead header and of players to be clicked.
-CELLS, POST_HOSTS, LEAD = " — ", ("twitter.com", "x.com", "fxtwitter.com"), "media-header"
-FACADES = {"youtube-embed": ("youtube", text.video_id, "https://www.youtube.com/watch?v="), "dailymotion-embed": ("dailymotion", text.clip_id, "https://www.dailymotion.com/video/")}
-BLOCK = "page_id long, pos int, kind string, level int, ordered boolean, text string, run_count int, image_ref string, embed_provider string, language string, caption string"
-
-
-def _classes() -> Column:
-    return F.split(F.coalesce(attr("data-sanitized-class"), attr("class"), F.lit("")), r"\s+")
-
-
-def _in_page(value: Column) -> Column:
-    """The page's values of a condition's rows, each with its place; nulls are left out."""
-    return F.collect_list(F.when(value.isNotNull(), F.struct("pos", value.alias("v")))).over(Window.partitionBy("page_id"))
-
-
-def _first_inside(values: str) -> Column:
-    """Of a page's placed values the first one within the row's own subtree."""
-    return F.array_min(F.filter(values, lambda x: (x["pos"] >= F.col("pos")) & (x["pos"] <= F.col("last"))))["v"]
-
-
-def _row(rows: DataFrame, kind: Column | str, **columns: Column) -> DataFrame:
-    """Rows of ``BLOCK``; what isn't given is null, texts empty."""
-    given = {"page_id": F.col("page_id"), "pos": F.col("pos"), "kind": F.lit(kind) if isinstance(kind, str) else kind, "text": F.lit(""), "run_count": F.lit(0)} | columns
-    return rows.select(*[given.get(c.split()[0], F.lit(None)).cast(c.split()[1]).alias(c.split()[0]) for c in BLOCK.split(", ")])
-
-
-def players(tree: DataFrame) -> DataFrame:
-    """The tree with what stands for a post or player found: ``provider`` and ``url`` of quotes that link to a post and of
-    facades (null for other nodes), their ``thumbnail``, and ``gone`` for nodes within them."""
-    href, every = attr("href"), F.concat_ws(" ", F.map_values("attrs"))
-    post = F.when((F.col("tag") == "a") & text.is_safe_url(href) & reduce(Column.__or__, [text.host_is(href, h) for h in POST_HOSTS]), href)
-    rows = tree.withColumn("__posts", _in_page(post)).withColumn("__images", _in_page(F.when(F.col("tag") == "img", attr("src"))))
-    url, provider = F.when(F.col("tag") == "blockquote", _first_inside("__posts")), F.when(F.col("tag") == "blockquote", F.lit("tweet"))
-    for mark, (name, identify, page) in FACADES.items():
-        rows = rows.withColumn(f"__{name}", _in_page(identify(every)))
-        here = F.array_contains(_classes(), mark)
-        url, provider = F.coalesce(url, F.when(here, F.concat(F.lit(page), _first_inside(f"__{name}")))), F.coalesce(provider, F.when(here, F.lit(name)))
-    rows = rows.withColumn("url", url).withColumn("provider", F.when(F.col("url").isNotNull(), provider)).withColumn("thumbnail", F.when(F.col("url").isNotNull(), _first_inside("__images")))
-    rows = rows.withColumn("__held", found_places(F.col("url").isNotNull()))
-    outer = F.col("url").isNotNull() & ~lies_in("__held", False)
-    return rows.withColumn("gone", lies_in("__held")).select(*tree.columns, *[F.when(outer, F.col(c)).alias(c) for c in ("provider", "url", "thumbnail")], "gone")
-
-
 def blocks(tree: DataFrame) -> DataFrame:
-    """Typed blocks in document order, as ``BLOCK``.
-
-    A figure's caption goes to its first image, or is a paragraph if it has none.  A table row is one paragraph, its cells
-    joined.  Images of headers are dropped but for the lead's.  A quote that links to a post is an embed, and so are
-    facades, frames, audio and video (``image_ref`` is the address, ``caption`` its thumbnail or poster)."""
-    own = tree.columns
-    tree = scratch.table(players(tree), "content")  # read by each kind of block
-    embedded = _row(tree.where("url is not null"), "embed", image_ref=F.col("url"), embed_provider=F.col("provider"), caption=F.col("thumbnail"))
-    rest = tree.where("NOT gone").select(*own)
-    cell = F.greatest(F.try_element_at("within", F.lit("td")), F.try_element_at("within", F.lit("th")))
-    figure = F.try_element_at("within", F.lit("figure"))
-    placed = rest.select("page_id", "pos", cell.alias("cell"), figure.alias("figure"))
-    lines = runs(rest).where("block is not null").join(placed, ["page_id", "pos"]).groupBy("page_id", "block").agg(
-        F.first("kind").alias("tag"), F.first("ordered").alias("ordered"), F.first("quotes").alias("quotes"), F.max("figure").alias("figure"), F.array_sort(F.collect_list(F.struct("pos", "text", "bold", "italic", "code", "strikethrough", "link", "cell"))).alias("runs")
-    )  # of one block
-    joined = F.array_join(F.transform("runs", lambda r: r["text"]), "")
-    cells = F.array_distinct(F.transform("runs", lambda r: r["cell"]))
-    by_cell = F.transform(cells, lambda c: text.strip(F.array_join(F.transform(F.filter("runs", lambda r: r["cell"].eqNullSafe(c)), lambda r: r["text"]), "")))
-    body = F.when(F.col("tag") == "pre", joined).when(F.col("tag") == "tr", F.array_join(F.filter(by_cell, lambda t: t != ""), CELLS)).otherwise(text.strip(joined))
-    kind = F.when(F.col("tag").isin(*HEADINGS), "heading").when(F.col("tag") == "pre", "code").when(F.col("tag") == "li", "list_item").when(F.col("quotes") > 0, "quote").otherwise("paragraph")
-    lines = lines.withColumn("pos", F.col("block")).withColumn("text", body).where("text <> ''")
-    # a code block's language is told by its own class or that of the code within it
-    named = rest.where(F.col("tag").isin("pre", "code")).select("page_id", F.when(F.col("tag") == "pre", F.col("pos")).otherwise(F.try_element_at("within", F.lit("pre"))).alias("pos"), F.nullif(F.regexp_extract(F.coalesce(attr("class"), F.lit("")), r"(?:^|\s)lang(?:uage)?-(\S+)", 1), F.lit("")).alias("language"))
-    languages = named.where("language is not null and pos is not null").groupBy("page_id", "pos").agg(F.max("language").alias("language"))
-    lines = lines.join(languages, ["page_id", "pos"], "left")
-    texts = _row(lines, kind, level=F.when(F.col("tag").isin(*HEADINGS), F.substring("tag", 2, 1)), ordered=F.when(F.col("tag") == "li", F.col("ordered")), text=F.col("text"), run_count=F.size(F.filter("runs", lambda r: text.strip(r["text"]) != "")), language=F.when(F.col("tag") == "pre", F.col("language")))
-    # headers' images, and captions: both by windows over the page and its figures
-    lead = rest.withColumn("__lead", found_places((F.col("tag") == "header") & F.array_contains(_classes(), LEAD)))
-    shown = lead.where((F.col("tag") == "img") & text.is_safe_url(attr("src")) & (~F.map_contains_key("within", F.lit("header")) | lies_in("__lead")))
-    shown = shown.select("page_id", "pos", attr("src").alias("src"), attr("alt").alias("alt"), figure.alias("figure"))
-    first = shown.where("figure is not null").groupBy("page_id", "figure").agg(F.min("pos").alias("pos"))
-    captions = lines.where("tag = 'figcaption' and figure is not null").groupBy("page_id", "figure").agg(F.min_by("text", "pos").alias("caption"), F.min("pos").alias("told"))
-    claimed = first.join(captions, ["page_id", "figure"])
-    images = _row(shown.join(claimed.select("page_id", "pos", "caption"), ["page_id", "pos"], "left"), "image", text=F.coalesce("alt", F.lit("")), image_ref=F.col("src"), caption=F.col("caption"))
-    texts = texts.join(claimed.select("page_id", F.col("told").alias("pos")), ["page_id", "pos"], "left_anti").select(*[c.split()[0] for c in BLOCK.split(", ")])
-    sources = rest.where((F.col("tag") == "source") & text.is_safe_url(attr("src"))).groupBy("page_id", "parent").agg(F.min_by(attr("src"), "pos").alias("source")).withColumnRenamed("parent", "pos")
-    heard = rest.where(F.col("tag").isin("audio", "video")).join(sources, ["page_id", "pos"], "left").withColumn("src", F.coalesce(F.when(text.is_safe_url(attr("src")), attr("src")), F.col("source"))).where("src is not null")
-    media = _row(heard, "embed", image_ref=F.col("src"), embed_provider=F.col("tag"), caption=attr("poster"))
-    framed = embeds(rest.where("tag = 'iframe'"))
-    framed = _row(framed, "embed", image_ref=F.col("url"), embed_provider=F.col("provider"))
-    rules = _row(rest.where("tag = 'hr'"), "divider")
-    return scratch.table(reduce(DataFrame.unionByName, [texts, images, embedded, media, framed, rules]), "blocks")
+    """Typed blocks in document order, flat, see :func:`sedgeline.operators.blocks.flat_blocks`."""
+    return flat_blocks(tree)
 
 
 def plain_text(block_rows: DataFrame) -> DataFrame:
