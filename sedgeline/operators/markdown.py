@@ -45,10 +45,10 @@ def lines(posts: DataFrame, key: str, body: str) -> DataFrame:
     fence = F.col("line").rlike(r"^\s*```")
     fences = F.sum(fence.cast("int")).over(upto)
     inside = (F.col("fences") % 2 == 1) | F.col("fence")
-    quotes = F.regexp_extract("line", r"^((?:\s*>(?!!))+)", 1)
+    quotes = F.regexp_extract("line", r"^((?:\s*+>(?!!))++)", 1)
     kind = (
         F.when(inside, "code").when(F.trim("line") == "", "blank").when(F.col("line").rlike(r"^#{1,6}\s*[^#\s]"), "heading").when(quotes != "", "quote").when(F.col("line").rlike(r"^\s*[-*+]\s+\S"), "ul")
-        .when(F.col("line").rlike(r"^\s*[0-9]+[.)]\s+\S"), "ol").when(F.col("line").rlike(r"^\s*([-*_])\s*(\1\s*){2,}$"), "hr").when(F.col("line").rlike(r"^[^|]*\|.*$") & F.col("line").rlike(r"\|"), "table").otherwise("p")
+        .when(F.col("line").rlike(r"^\s*[0-9]+[.)]\s+\S"), "ol").when(F.col("line").rlike(r"^\s*+(?:(?:-\s*+){3,}+|(?:\*\s*+){3,}+|(?:_\s*+){3,}+)$"), "hr").when(F.col("line").rlike(r"^[^|]*\|.*$") & F.col("line").rlike(r"\|"), "table").otherwise("p")
     )
     rows = rows.withColumn("fence", fence).withColumn("fences", fences).withColumn("kind", kind).withColumn("depth", F.least(F.length(F.regexp_replace(quotes, r"[^>]", "")), F.lit(MOST_QUOTES)))
     starts = F.coalesce((F.lag("kind").over(order) != F.col("kind")) | F.col("kind").isin("heading", "hr"), F.lit(True)) | (F.col("fence") & (F.col("fences") % 2 == 1))
@@ -68,7 +68,7 @@ def to_html(posts: DataFrame, key: str, body: str) -> DataFrame:
     joined = lambda f, sep="": F.array_join(F.transform("x", f), sep)
     level = F.length(F.regexp_extract("one", "^(#+)", 1)).cast("string")
     item = lambda x: F.concat(F.lit("<li>"), inline(F.regexp_replace(x["line"], r"^\s*([-*+]|[0-9]+[.)])\s+", "")), F.lit("</li>"))
-    quote = lambda x: F.concat(F.repeat(F.lit("<blockquote>"), x["depth"]), F.lit("<p>"), inline(F.trim(F.regexp_replace(x["line"], r"^(\s*>)+", ""))), F.lit("</p>"), F.repeat(F.lit("</blockquote>"), x["depth"]))
+    quote = lambda x: F.concat(F.repeat(F.lit("<blockquote>"), x["depth"]), F.lit("<p>"), inline(F.trim(F.regexp_replace(x["line"], r"^(?:\s*+>)++", ""))), F.lit("</p>"), F.repeat(F.lit("</blockquote>"), x["depth"]))
     is_table = F.get("x", F.lit(1))["line"].rlike(r"^[\s|:-]*-[\s|:-]*$")
     table = F.concat(F.lit("<table>"), _cells(F.col("one"), "th"), F.array_join(F.transform(F.slice("x", 3, F.greatest(F.size("x") - 2, F.lit(0))), lambda x: _cells(x["line"], "td")), ""), F.lit("</table>"))
     paragraph = F.concat(F.lit("<p>"), joined(lambda x: inline(F.trim(x["line"])), " "), F.lit("</p>"))

@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_now = threading.local()
+
 
 @functools.cache
 def _own_folder(app_id: str) -> str:
@@ -31,7 +36,31 @@ def root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path that no other call gets."""
-    return f"{root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{root(spark)}/{getattr(_now, 'step', '')}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def step(spark: SparkSession, name: str) -> Iterator[str]:
+    """What is written within goes below a folder of its own, whose path this gives: see :func:`drop`."""
+    before = getattr(_now, "step", "")
+    _now.step = f"{before}{name}-{uuid.uuid4().hex}/"
+    try:
+        yield f"{root(spark)}/{_now.step}"
+    finally:
+        _now.step = before
+
+
+def drop(spark: SparkSession, path: str, needed: DataFrame | None = None) -> bool:
+    """Delete a folder of scratch tables, unless ``needed`` reads files in it."""
+    if needed is not None and any(f.startswith(path) or path.removeprefix("file://") in f for f in needed.inputFiles()):
+        return False
+    _delete(spark, path)
+    return True
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
@@ -43,5 +72,4 @@ def table(df: DataFrame, label: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch files.  Call it when all results have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, root(spark))

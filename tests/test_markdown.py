@@ -26,3 +26,12 @@ def test_entities(spark):
     df = spark.createDataFrame(rows, "c string, want string")
     got = df.select(M.decode_entities(df.c).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_lines_of_one_very_long_match(spark):
+    """No pattern enters a group once more for each sign of a line."""
+    n = 200_000
+    lines = [">" * n + " a", "-" * n, "*" + " *" * n, "_ " * n + "x", "> " * n + "b", "#" * n, "|" * n, "1" * n + ". c"]
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, body string").repartition(2)
+    kinds = {r.id: r.kind for r in M.lines(df, "id", "body").collect()}
+    assert [kinds[i] for i in (0, 1, 2, 4, 7)] == ["quote", "hr", "hr", "quote", "ol"]
