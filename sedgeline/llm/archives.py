@@ -237,8 +237,13 @@ def write_arcs(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> D
 
 
 def _records(folder: str, name: str) -> Iterator[ArcRecord]:
-    with scratch.opened(f"{folder}/{name}") as raw, gzip.GzipFile(fileobj=raw) as packed, io.BufferedReader(packed, 1 << 20) as source:
-        yield from read_arc(source)
+    """An archive's records, packed or plain: its first two bytes tell."""
+    with scratch.opened(f"{folder}/{name}") as raw, io.BufferedReader(raw, 1 << 20) as plain:
+        if plain.peek(2)[:2] == b"\x1f\x8b":
+            with gzip.GzipFile(fileobj=plain) as packed, io.BufferedReader(packed, 1 << 20) as source:
+                yield from read_arc(source)
+        else:
+            yield from read_arc(plain)
 
 
 def arc_digests(names: DataFrame, folder: str) -> DataFrame:

@@ -20,6 +20,7 @@ import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from sedgeline.llm import scratch
 
@@ -55,6 +56,13 @@ def _kept() -> Column:
     return F.col("n").isNull() | (F.col("w.rid") == F.col("rid"))
 
 
+def _orderable(field: StructField) -> Column:
+    """A column by which rows can be ordered: itself, or its JSON where a map or variant in it has no order."""
+    kind = field.dataType.simpleString()
+    c = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(c.alias("c"))) if "map<" in kind or "variant" in kind else c
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_heavy: int = MAX_HEAVY) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.  ``keep_id`` is the group's largest id."""
     return _groups(docs, id_col, text_col, max_heavy).select(
@@ -70,7 +78,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that stay, with all their columns.
 
     Copies of heavy digests go map-side: the digests and their winners' ids are broadcast.  Of the rest, the list of
-    copies (ids and digests) is anti-joined.  Where copies share even their id, the smallest row of them stays."""
+    copies (ids and digests) is anti-joined.  Where copies share even their id, the smallest row of them stays (maps count by
+    their JSON); only then rows are grouped as a whole."""
     own, winner_id, loser_id = "__sedgeline_own", "__sedgeline_winner", "__sedgeline_id"
     groups = scratch.table(_groups(docs, id_col, text_col, max_heavy).where("n is not null").withColumn("kept", _kept()), "groups")
     twins = F.col("doc_id").eqNullSafe(F.col("w.doc_id"))
@@ -81,5 +90,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     losers = scratch.table(groups.where(~F.col("heavy") & ~F.col("kept") & ~twins).select(F.col("doc_id").alias(loser_id), F.col("text_sha256").alias("__sedgeline_digest")).distinct(), "losers")
     out = out.join(losers, (F.col(own) == F.col("__sedgeline_digest")) & F.col(id_col).eqNullSafe(F.col(loser_id)), "left_anti")
     if groups.where(~F.col("kept") & twins).limit(1).count():
-        out = out.groupBy(id_col, own).agg(F.min(F.struct(*docs.columns)).alias("__sedgeline_row")).select("__sedgeline_row.*")
+        order = F.struct(*[_orderable(f).alias(f"c{i}") for i, f in enumerate(docs.schema.fields)])
+        out = out.groupBy(id_col, own).agg(F.min_by(F.struct(*docs.columns), order).alias("__sedgeline_row")).select("__sedgeline_row.*")
     return out.select(*docs.columns)

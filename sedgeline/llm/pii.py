@@ -41,9 +41,10 @@ _LOCAL = "A-Za-z0-9._%+-"
 #: A sign that no text keeps; it stands for one space or hyphen between digits, see ``_prepared``.
 _JOINT = "\ue000"
 #: Java patterns with the matches of the plain ones.  A match may start at the end of the one before or where no run
-#: of its characters is cut; runs are possessive.  So scanning is linear in the text, whatever it holds.
+#: of its characters is cut; runs are possessive, and so are groups that repeat, which Java else enters once more for each
+#: turn, as deep as the text is long.  So scanning is linear in the text and flat, whatever it holds.
 PATTERNS = {
-    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": f"[0-9][0-9{_JOINT}]+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
@@ -52,8 +53,10 @@ PATTERNS = {
 MAY_HOLD = {"email": "@[A-Za-z0-9-]+\\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 _TOKEN = r"\-A-Za-z0-9._%+@/=:"
 _GROUPS = rf"(?<![{_TOKEN}(])\(?[0-9]++(?:[ ()/.-]{{1,3}}[0-9]++){{1,18}}(?![{_TOKEN}])"
-_DOT = r"(?: ?[\[({<]? ?(?:dot|DOT) ?[\])}>]? ?|\.)"
-_SPELLED = rf"(?<![{_LOCAL}])[{_LOCAL}]++(?: ?[\[({{<] ?(?:at|AT|@) ?[\])}}>] ?| at | AT )[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*{_DOT}[A-Za-z]{{2,}}+(?![{_TOKEN}])"
+#: A host name has at most 127 labels.
+_LABELS = 125
+_DOT = r"(?> ?[\[({<]? ?(?:dot|DOT) ?[\])}>]? ?|\.)"
+_SPELLED = rf"(?<![{_LOCAL}])[{_LOCAL}]++(?: ?[\[({{<] ?(?:at|AT|@) ?[\])}}>] ?| at | AT )[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++){{0,{_LABELS}}}{_DOT}[A-Za-z]{{2,}}+(?![{_TOKEN}])"
 CANDIDATE = rf"{_SPELLED}|{_GROUPS}|(?<![{_TOKEN}])(?=[{_TOKEN}&&[^0-9@]]*+[0-9@])[{_TOKEN}]{{6,}}+"
 #: What a learned value of a kind may look like, and how many digits it may have.
 FITS = {"email": "^[^@]+@[^@]+$|^[^ ]+ ?.?(?:at|@).? ?[^ ]+", "ip": "^[0-9a-f]*(?:[.:][0-9a-f]*){3,7}$", "card": "^[0-9][0-9 -]*$", "phone": "^[+(]?[0-9][0-9 ()./-]*$"}

@@ -11,9 +11,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgeline.scratch import new_path, release, root, table
+from sedgeline.scratch import drop, new_path, release, root, step, table
 
-__all__ = ["file_count", "get", "new_path", "numbered", "opened", "put", "release", "root", "small_batches", "spread", "table", "writing"]
+__all__ = ["drop", "file_count", "get", "new_path", "numbered", "opened", "put", "release", "root", "small_batches", "spread", "step", "table", "writing"]
 
 MOST_TASKS = 20_000  # among which a list of files is dealt
 BATCH_CHARS = 8 << 20

@@ -92,3 +92,12 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "x"), (1, "u", "x")], "page_id long, url string, html string")
     assert sorted(r.record_type for r in A.archive_pages(df, scratch.new_path(spark, "t")).collect()) == ["response", "revisit"]
     assert A.archive_pages(df.limit(0), scratch.new_path(spark, "t")).count() == 0
+
+
+def test_archives_that_are_not_packed(spark):
+    folder = scratch.new_path(spark, "plain")
+    scratch.put(f"{folder}/p.arc", b"http://h/x 1.1.1.1 20010203040506 text/html 4\nbody\n")
+    scratch.put(f"{folder}/none.arc", b"")
+    warcs = A.convert_arcs(spark.createDataFrame([("p.arc",), ("none.arc",)], "name string"), folder)
+    assert sorted(r.name for r in warcs.collect()) == ["none.warc.gz", "p.warc.gz"]
+    assert [(r.url, bytes(r.payload)) for r in A.read_warcs(warcs, folder).collect()] == [("http://h/x", b"body")]

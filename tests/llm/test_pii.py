@@ -75,3 +75,12 @@ def test_texts_with_very_many_matches_are_linear(spark):
     rows = [(1, "a@b.co " * 40_000), (2, "a" * 2_000_000), (3, "1." * 500_000), (4, "1.2.3.4 " * 40_000)]
     got = {r.doc_id: r for r in report(spark, rows)}
     assert (got[1].n_email, got[2].spans, got[3].n_ip, got[4].n_ip) == (40_000, "", 125_000, 40_000)
+
+
+def test_one_very_long_match(spark):
+    """Java enters a repeated group anew for each turn unless it is possessive; a text as long as these would end the executor."""
+    host = "b." * 500_000 + "cd"
+    rows = [(1, f"mail a@{host} now"), (2, "at x" + ".b" * 500_000), (3, "name at host" + " dot b" * 200_000), (4, "1 " * 500_000), (5, "4" + "-4" * 500_000), (6, "+1" + " 2" * 500_000), (7, "x@" * 500_000 + "y.z"), (8, "1." * 500_000 + "1")]
+    got = {r.doc_id: r for r in report(spark, rows)}
+    assert got[1].spans == f"email:5:{7 + len(host)}" and got[7].spans == "email:999998:1000003"
+    assert [got[i].n_email for i in (2, 3)] == [0, 0] and [got[i].n_card for i in (4, 5)] == [0, 0] and got[6].n_phone == 0 and got[8].n_ip == 125_000
