@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedgeline.plans import accounts, built, collection, documents, maintenance, relational, scalar, streams
+from sedgeline.plans import accounts, built, collection, documents, maintenance, nested, relational, scalar, streams
 
 FLAGSHIP = "list_articles"
-MODULES = (relational, maintenance, scalar, documents, collection, streams, accounts, built)  # importing a module registers its queries
+MODULES = (relational, maintenance, scalar, documents, collection, streams, accounts, built, nested)  # importing a module registers its queries
 QUERIES = relational.QUERIES
 ORACLE_SQL = relational.ORACLE_SQL
