@@ -92,7 +92,7 @@ def _roles(tree: DataFrame, frames: bool) -> DataFrame:
     tag, pos = F.col("tag"), F.col("pos")
     lead = (tag == "header") & F.array_contains(F.split(F.coalesce(attr("class"), F.lit("")), r"\s+"), LEAD)
     upto = lambda c: F.coalesce(F.max(F.when(c, F.col("last"))).over(along) >= pos, F.lit(False))
-    rows = _ahead(tree).withColumns({"in_lead": upto(lead), "in_header": upto((tag == "header") & ~lead)})
+    rows = _ahead(tree).withColumns({"in_lead": upto(lead), "plain_header": (tag == "header") & ~lead})
     plays = F.lit(True) if frames else F.col("in_lead")
     # a player of the media itself, a quoted post, a facade
     own = F.coalesce(_filled(_next("source")), _filled(attr("src")))
@@ -109,12 +109,13 @@ def _roles(tree: DataFrame, frames: bool) -> DataFrame:
     rows = rows.withColumn("embed", F.when(provider.isNotNull(), F.struct(provider.alias("provider"), url.alias("url"), thumb.alias("thumbnail"))))
     parent_is = lambda *tags: _any(*[F.coalesce(F.try_element_at("within", F.lit(t)) == F.col("parent"), F.lit(False)) for t in tags])
     role = (
-        F.when(tag == "#comment", "none").when((tag == "li") & parent_is("ul", "ol"), "item").when(parent_is("ul", "ol"), "gone").when(tag == "#text", "text").when(tag == "br", "text")
+        F.when(tag == "#comment", "none").when((tag == "li") & parent_is("ul", "ol"), "item").when(tag == "#text", "text").when(tag == "br", "text")
         .when(tag.isin("audio", "iframe") & plays, "player").when(tag.isin(*DROPPED, *UNSEEN), "gone").when(tag.isin(*INLINE), "inline").when(tag == "p", "p").when(tag.isin(*HEADINGS), "heading")
         .when(tag.isin("ul", "ol"), "list").when(quoted, "post").when(tag == "blockquote", "quote").when(tag == "pre", "pre").when(tag == "img", "img").when(tag == "video", "player").when(tag == "hr", "hr").when(tag == "tr", "tr")
         .when((tag == "figcaption") & parent_is("figure"), "caption").when(F.col("embed").isNotNull(), "facade").otherwise("wrapper")
     )
-    return rows.withColumn("role", role).drop(*[c for c in rows.columns if c.startswith("n_") and c != "n_code"]).withColumn("n_code", _next("code"))
+    rows = rows.withColumns({"role": role, "stray": parent_is("ul", "ol") & (tag != "li")})
+    return rows.drop(*[c for c in rows.columns if c.startswith("n_") and c != "n_code"]).withColumn("n_code", _next("code"))
 
 
 #: Roles whose elements are read as one thing, whatever they hold.
@@ -127,17 +128,19 @@ def _owned(rows: DataFrame) -> DataFrame:
     along = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     pos, role = F.col("pos"), F.col("role")
-    opaque = role.isin(*OPAQUE)
+    opaque = role.isin(*OPAQUE) | F.col("stray")  # a list's other children go, unless they are read with something around
     rows = rows.withColumn("free", pos > F.coalesce(F.max(F.when(opaque, F.col("last"))).over(before), F.lit(-1)))
     lists = _inner("ul", "ol")
     item = F.when((lists >= 0) & (_inner("li") > lists), _inner("li")).otherwise(F.lit(-1))
     held = F.when(role == "item", F.col("parent")).otherwise(F.greatest(item, _inner("blockquote"))).cast("long")
-    head = F.when(opaque & F.col("free"), F.struct("pos", "last", "role", "parent", held.alias("held")))
+    head = F.when(opaque & F.col("free"), F.struct("pos", "last", F.when(F.col("stray"), "gone").otherwise(role).alias("role"), "parent", held.alias("held")))
     link = F.when((F.col("tag") == "a") & (F.coalesce(attr("href"), F.lit("")) != ""), F.struct("pos", "last", attr("href").alias("href")))
-    starts = F.col("free") & ~role.isin("text", "inline", "gone", "none")
+    starts = F.col("free") & ~F.col("stray") & ~role.isin("text", "inline", "gone", "none")
     figure = F.when(F.col("tag") == "figure", F.struct("pos", "last"))
     rows = rows.withColumns({"figure_of": F.last(figure, ignorenulls=True).over(along), "owner": F.last(head, ignorenulls=True).over(along), "link": F.last(link, ignorenulls=True).over(along), "cut": F.sum(starts.cast("int")).over(along)})
     rows = rows.withColumn("owner", F.when(F.col("owner.last") >= pos, F.col("owner"))).withColumn("link", F.when(F.col("link.last") >= pos, F.col("link.href")))
+    hidden = F.max(F.when(F.col("plain_header") & F.col("free"), F.col("last"))).over(along)
+    rows = rows.withColumn("in_header", F.coalesce(hidden >= pos, F.lit(False)))
     # of a paragraph: whether it lies right in an item (and of which list), and whether in a quote
     within_item = F.when((item >= 0) & (item >= _inner("blockquote")), _inner("ol") > _inner("ul"))
     return rows.withColumns({"held": F.coalesce("owner.held", held), "listed": within_item, "quoted": _inner("blockquote") >= 0})
@@ -148,7 +151,7 @@ def _run_of() -> Column:
     raw = F.when(tag == "br", F.lit("\n")).when(F.col("owner.role") == "pre", F.col("text")).otherwise(text.collapse(F.col("text")))
     has = lambda *tags: _inner(*tags) >= 0
     link = F.coalesce(F.when(text.is_safe_url(F.col("link")), F.col("link")), F.lit(""))
-    return F.struct(F.col("pos"), raw.alias("text"), (has(*BOLD) | (F.col("cell_tag") == "th")).alias("bold"), has(*ITALIC).alias("italic"), has(*CODE).alias("code"), has(*STRIKE).alias("strikethrough"), link.alias("link"))
+    return F.struct(F.col("pos"), raw.alias("text"), (has(*BOLD) | F.coalesce(F.col("cell_tag") == "th", F.lit(False))).alias("bold"), has(*ITALIC).alias("italic"), has(*CODE).alias("code"), has(*STRIKE).alias("strikethrough"), link.alias("link"))
 
 
 def _trimmed(runs: Column) -> Column:
@@ -168,12 +171,13 @@ def _said(rows: DataFrame) -> DataFrame:
     cell = F.when(in_row & (tag != "tr") & (_inner("td", "th") > row), _inner("td", "th"))
     rows = rows.withColumns({"row": row.cast("long"), "cell": cell.cast("long"), "cell_tag": F.when(cell.isNotNull(), F.when(_inner("th") == cell, "th").otherwise("td"))})
     gone = F.arrays_overlap(F.map_keys("within"), F.array(*[F.lit(t) for t in (*[d for d in DROPPED if d not in ("iframe", "audio")], *UNSEEN)]))
-    says = (role == "text") & ~gone & ~of.isin("gone", "player", "facade") & (~in_row | F.col("cell").isNotNull()) & (_inner("video", "audio", "iframe") < 0)
-    loose = says & of.isin("", "inline") | (mine & (role == "inline"))
+    kept = ~gone & ~of.isin("gone", "player", "facade") & (~in_row | F.col("cell").isNotNull()) & (_inner("video", "audio", "iframe") < 0)
+    says = (role == "text") & F.when(of.isin("pre", "post"), tag == "#text").otherwise(kept)  # code and quoted posts are told as they are
+    loose = says & of.isin("", "inline") | (mine & (of == "inline"))
     picture = (role == "img") & ~gone & of.isin("", "p", "inline", "tr") & ~F.col("in_header") & (~in_row | F.col("cell").isNotNull())
     player = (role == "player") & ~gone & of.isin("player", "p", "inline", "tr") & F.col("embed").isNotNull()
     source = F.coalesce(*[_filled(attr(a)) for a in SOURCES])
-    box = (F.col("free") & role.isin("list", "item", "quote", "hr")) | (mine & role.isin("p", "heading", "post", "pre", "facade", "caption")) | (in_row & (tag == "tr"))
+    box = (F.col("free") & ~F.col("stray") & role.isin("list", "item", "quote", "hr")) | (mine & of.isin("p", "heading", "post", "pre", "facade", "caption")) | (in_row & (tag == "tr"))
     head = box | (picture & text.is_safe_url(source)) | player
     kind = (
         F.when(role == "item", "list_item").when(role == "quote", "blockquote").when(role.isin("list", "heading", "caption"), role).when(role == "pre", "code_block").when(role == "hr", "divider").when(role == "img", "image")
