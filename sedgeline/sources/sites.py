@@ -11,8 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedgeline import scratch
 from sedgeline.functions import text
-from sedgeline.operators import pages
+from sedgeline.operators import headers as header_pictures
+from sedgeline.operators import pages, threads
 
 
 @dataclass(frozen=True)
@@ -90,3 +92,43 @@ def site_articles(fetched: DataFrame, site: Site) -> DataFrame:
     for term in site.skip_body:
         made = made.where(~F.contains(F.lower(F.coalesce("plain_text", F.lit(""))), F.lit(term)))
     return made
+
+
+def content_html(tree: DataFrame, site: Site) -> DataFrame:
+    """``page_id, html``: a source's content elements without what it removes, cleaned, as HTML; pages without any have no row."""
+    kept = pages.without_selected(tree.where("tag <> '#comment'"), (*pages.NEVER, *site.remove))
+    heads = pages.outermost(pages.select(kept, site.content), site.first_only).select("page_id", "pos", "last")
+    parts = threads.inner_html(pages.unsanitized(pages.clean_attributes(kept, ("data-embed",))), heads)
+    return parts.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("head", "html"))), lambda x: x["html"]), "").alias("html"))  # one page's
+
+
+def site_documents(fetched: DataFrame, site: Site, forums: DataFrame | None = None, dialects: tuple[threads.Dialect, ...] = (), most: int = 10, headers: DataFrame | None = None) -> DataFrame:
+    """From fetch to HTML: ``page_id, html`` of fetched pages ``page_id, url, title, html, summary`` of one source.
+
+    Content, or the feed's summary where a page has none; its lead picture of ``headers`` (``page_id, image``), of which
+    copies leave the content; the first ``most`` comments in the first dialect that finds any, on the page itself or, if
+    given, on the forum page (``url, html``) that it leads to, each such page being read once."""
+    tree = pages.nodes(fetched)
+    bases = fetched.select("page_id", F.col("url").alias("base"))
+    shown = header_pictures.without_copies(tree, headers) if headers is not None else tree
+    body = content_html(shown, site)
+    if forums is not None:
+        leads = scratch.table(pages.discussion_link(tree, bases), "discussions")
+        linked = leads.join(forums.withColumnRenamed("html", "forum"), "url").select("page_id", F.col("url").alias("forum_url"), "forum")
+        talk, titles = pages.nodes(linked, html="forum"), linked.select("page_id", "forum_url")
+    else:
+        talk, titles = tree, bases.select("page_id", F.concat("base", F.lit("#comments")).alias("forum_url"))
+    said = None
+    for d in dialects:
+        found = threads.comments(talk, d, bases, most)
+        if said is None:
+            said = found
+        else:
+            said = scratch.table(said, "comments")
+            said = said.unionByName(found.join(said.select("page_id").distinct(), "page_id", "left_anti"))
+    out = fetched.select("page_id", "title", "summary").join(body.withColumnRenamed("html", "content"), "page_id", "left")
+    told = threads.quoted(said.join(titles, "page_id"), F.col("forum_url")).withColumnRenamed("html", "comments") if said is not None else fetched.select("page_id", F.lit(None).cast("string").alias("comments")).limit(0)
+    out = out.join(told, "page_id", "left")
+    out = out.join(headers, "page_id", "left") if headers is not None else out.withColumn("image", F.lit(None).cast("string"))
+    content = F.when(text.strip(F.coalesce("content", F.lit(""))) != "", F.col("content")).otherwise(F.col("summary"))
+    return out.select("page_id", pages.article_html(content, pages.header_html(F.col("image"), F.col("title")), F.col("comments")).alias("html"))
