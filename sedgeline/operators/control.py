@@ -104,8 +104,25 @@ def usage(requests: DataFrame, now: Column) -> DataFrame:
     return month.groupBy("user_id").agg(F.count(F.lit(1)).alias("this_month"), F.count_if(F.date_trunc("day", "created_at") == F.date_trunc("day", now)).alias("today"))
 
 
-def collected_today(articles: DataFrame, now: Column) -> DataFrame:
-    return articles.where((F.col("created_at") >= F.date_trunc("day", now).cast("timestamp_ntz")) & (F.col("created_at") <= now)).groupBy("feed_id").agg(F.count(F.lit(1)).alias("collected"))
+def day_start(now: Column, zone: Column) -> Column:
+    """The start, in UTC, of the calendar day that it is at ``now`` (UTC) in a zone; days of a clock change have 23 or 25 hours."""
+    local = F.convert_timezone(F.lit("UTC"), zone, now)
+    return F.convert_timezone(zone, F.lit("UTC"), F.to_date(local).cast("timestamp_ntz"))
+
+
+def seconds_of_day(now: Column, zone: Column) -> Column:
+    """Seconds since the day began in a zone."""
+    return F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(day_start(now, zone).cast("timestamp"))
+
+
+def collected_today(articles: DataFrame, now: Column, zones: DataFrame | None = None) -> DataFrame:
+    """``feed_id, collected`` of the day of ``now``: in UTC, or in each feed's zone (``feed_id, zone``, and ``now`` may name
+    a column of it); feeds without a zone are in UTC."""
+    if zones is None:
+        return articles.where((F.col("created_at") >= F.date_trunc("day", now).cast("timestamp_ntz")) & (F.col("created_at") <= now)).groupBy("feed_id").agg(F.count(F.lit(1)).alias("collected"))
+    since = zones.select("feed_id", day_start(now, F.coalesce("zone", F.lit("UTC"))).alias("__since"), now.alias("__now"))
+    joined = articles.join(since, "feed_id").where((F.col("created_at") >= F.col("__since")) & (F.col("created_at") <= F.col("__now")))
+    return joined.groupBy("feed_id").agg(F.count(F.lit(1)).alias("collected"))
 
 
 def changes_only(progress: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -148,3 +148,53 @@ def top_comments(threads: DataFrame, n: int) -> DataFrame:
     kept = threads.where((F.col("body") != "") & ~F.col("body").isin(*WITHDRAWN))
     ranked = kept.withColumn("__n", F.row_number().over(Window.partitionBy("video_id").orderBy("position", "body")))
     return ranked.where(F.col("__n") <= n).drop("__n")
+
+
+# --- players described by JSON
+
+#: Fields that may name a player's picture, in order; the site that relative addresses belong to.
+PICTURES = ("poster", "image", "thumbnail", "preview", "cover")
+PLAYER_SITE = "https://www.tagesschau.de"
+_FIELDS = ",".join(f"{f}:string" for f in PICTURES)
+PLAYER = f"mc struct<{_FIELDS},streams:array<struct<isAudioOnly:boolean,{_FIELDS},media:array<struct<url:string,mimeType:string>>>>>, pluginData map<string,struct<embedCode:string>>"
+
+
+def _sited(url: Column) -> Column:
+    return F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).when(url.startswith("/"), F.concat(F.lit(PLAYER_SITE), url)).otherwise(url)
+
+
+def player_headers(tree: DataFrame) -> DataFrame:
+    """``page_id, html, image``: a lead header of a page's first player that its JSON attribute describes well enough.
+
+    Players of the page's top go before all others.  Shared embed code goes before sources; of those the first of the wanted
+    kind: sound if all streams are sound only, else video.  The picture is the player's, a stream's, or the first one of what
+    holds the player.  Attributes that are no JSON describe nothing."""
+    classes = F.lower(F.coalesce(pages.attr("class"), F.lit("")))
+    back = Window.partitionBy("page_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    near = tree.withColumn("img", F.last(F.when((F.col("tag") == "img") & (pages.attr("src") != ""), F.struct("pos", pages.attr("src").alias("src"))), ignorenulls=True).over(back))
+    near = near.where(F.col("img.pos") <= F.col("last")).select("page_id", F.col("pos").alias("parent"), F.col("img.src").alias("near"))
+    found = tree.where((F.col("tag") == "div") & (pages.attr("data-v-type") == "MediaPlayer") & F.contains(classes, F.lit("mediaplayer")))
+    found = found.select("page_id", "pos", "parent", F.contains(classes, F.lit("teaser-top")).alias("top"), F.from_json(text.unescape_basic(pages.attr("data-v")), PLAYER).alias("d")).join(near, ["page_id", "parent"], "left")
+    found = found.withColumn("any_top", F.max("top").over(Window.partitionBy("page_id"))).where(F.col("top") == F.col("any_top"))
+    streams = F.coalesce(F.col("d.mc.streams"), F.array().cast("array<struct<isAudioOnly:boolean," + _FIELDS + ",media:array<struct<url:string,mimeType:string>>>>"))
+    sound = (F.size(streams) > 0) & F.forall(streams, lambda s: F.coalesce(s["isAudioOnly"], F.lit(False)))
+    filled = lambda c: F.nullif(c, F.lit(""))
+    of_streams = F.get(F.filter(F.transform(streams, lambda s: F.coalesce(*[filled(s[f]) for f in PICTURES])), lambda x: x.isNotNull()), F.lit(0))
+    image = _sited(F.coalesce(*[filled(F.col(f"d.mc.{f}")) for f in PICTURES], of_streams, F.col("near")))
+    rows = found.withColumns({"sound": sound, "image": F.when(text.is_safe_url(image) | image.startswith("yana-img://"), image)})
+    code = text.unescape_basic(F.try_element_at("d.pluginData", F.lit("sharing@web"))["embedCode"])
+    frame = _sited(F.replace(filled(F.regexp_extract(code, r"(?i)<iframe\b[^>]*?\ssrc\s*=\s*[\"']?([^\"'\s>]*)", 1)), F.lit("$params$"), F.lit("")))
+    kind = F.when(F.col("sound"), "audio").otherwise("video")
+    media = F.flatten(F.transform(streams, lambda s: F.coalesce(s["media"], F.array().cast("array<struct<url:string,mimeType:string>>"))))
+    source = F.get(F.filter(media, lambda m: F.coalesce(F.contains(F.lower(m["mimeType"]), F.col("kind")) & text.is_safe_url(m["url"]), F.lit(False))), F.lit(0))
+    rows = rows.withColumn("kind", kind).withColumns({"frame": F.when(text.is_safe_url(frame), frame), "source": source})
+    poster = F.when(F.col("image").isNotNull(), F.concat(F.lit(' poster="'), text.escape_html(F.col("image")), F.lit('"'))).otherwise("")
+    framed = F.concat(F.lit('<iframe src="'), text.escape_html(F.col("frame")), F.lit('"'), poster, F.lit(' width="100%" height="'), F.when(F.col("sound"), "200").otherwise("315"), F.lit('" frameborder="0" allowfullscreen scrolling="no"></iframe>'))
+    played = F.concat(
+        F.lit("<"), F.col("kind"), F.lit(' controls preload="auto"'), poster, F.lit(' style="width: 100%;"><source src="'), text.escape_html(F.col("source.url")), F.lit('" type="'), text.escape_html(F.col("source.mimeType")),
+        F.lit('">Your browser does not support the '), F.col("kind"), F.lit(" element.</"), F.col("kind"), F.lit(">"),
+    )
+    player = F.coalesce(framed, played)
+    html = F.concat(F.lit('<header class="media-header"><div class="media-player" style="width: 100%;">'), player, F.lit("</div></header>"))
+    best = rows.select("page_id", "pos", html.alias("html"), F.when(~F.coalesce(F.startswith("image", F.lit("yana-img://")), F.lit(False)), F.col("image")).alias("image")).where("html is not null")
+    return best.groupBy("page_id").agg(F.min_by(F.struct("html", "image"), "pos").alias("x")).select("page_id", "x.html", "x.image")

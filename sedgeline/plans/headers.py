@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.catalog import Catalog
-from sedgeline.operators import blocks, headers, pages
+from sedgeline.operators import blocks, headers, media, pages
 from sedgeline.plans.relational import query
 
 
@@ -97,3 +97,26 @@ def leading_image(c: Catalog) -> DataFrame:
     )
     tree = pages.nodes(c.table("customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")), stored=False)
     return _texts(headers.without_leading_image(tree, c.table("customer").where("c_custkey % 6 <> 4").select(F.col("c_custkey").alias("page_id"))))
+
+
+@query("player_headers", """
+    SELECT k AS page_id, '<header class="media-header"><div class="media-player" style="width: 100%;">' || CASE
+            WHEN k % 5 = 0 THEN '<iframe src="https://www.tagesschau.de/play/' || k || '" poster="https://www.tagesschau.de/p' || k || '.jpg" width="100%" height="' || CASE WHEN k % 2 = 0 THEN '200' ELSE '315' END || '" frameborder="0" allowfullscreen scrolling="no"></iframe>'
+            WHEN k % 2 = 0 THEN '<audio controls preload="auto"' || poster || ' style="width: 100%;"><source src="https://m/' || k || '.mp3" type="audio/mpeg">Your browser does not support the audio element.</audio>'
+            ELSE '<video controls preload="auto"' || poster || ' style="width: 100%;"><source src="https://m/' || k || '.mp4?a&amp;b" type="video/mp4">Your browser does not support the video element.</video>' END || '</div></header>' AS html, image
+    FROM (SELECT *, coalesce(' poster="' || image || '"', '') AS poster FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'https://www.tagesschau.de/p' || c_custkey || '.jpg' ELSE CASE c_custkey % 3 WHEN 0 THEN 'https://s/' || c_custkey WHEN 1 THEN 'https://near/' || c_custkey END END AS image FROM customer))
+    WHERE k % 7 <> 3""", views=False)
+def player_headers(c: Catalog) -> DataFrame:
+    """Players with shared code, of sound only, of both; pictures of their own, of a stream, near them, or none; some are no JSON."""
+    k, n = _k("c_custkey"), F.col("c_custkey")
+    at = lambda before, after="": F.concat(F.lit(before), k, F.lit(after))
+    code = F.when(n % 5 == 0, at('"poster":"/p', '.jpg",')).otherwise("")
+    plugin = F.when(n % 5 == 0, at(',"pluginData":{"sharing@web":{"embedCode":"&lt;iframe width=1 src=\\"/play/', '$params$\\"&gt;&lt;/iframe&gt;"}}')).otherwise("")
+    own = F.when(n % 3 == 0, at('"thumbnail":"https://s/', '",')).otherwise("")
+    video = F.when(n % 2 == 0, "").otherwise(at(',{"isAudioOnly":false,"media":[{"url":"javascript:x","mimeType":"video/mp4"},{"url":"https://m/', '.mp4?a&b","mimeType":"video/mp4"}]}'))
+    described = F.concat(F.lit('{"mc":{'), code, F.lit('"streams":[{'), own, F.lit('"isAudioOnly":true,"media":[{"url":"https://m/'), k, F.lit('.mp3","mimeType":"audio/mpeg"}]}'), video, F.lit("]}"), plugin, F.lit("}"))
+    coded = F.replace(F.replace(F.when(n % 7 == 3, "{no json").otherwise(described), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    near = F.when(n % 3 == 1, at('<img src="https://near/', '">')).otherwise("")
+    other = '<div class="mediaplayer" data-v-type="MediaPlayer" data-v="{&quot;mc&quot;:{&quot;streams&quot;:[{&quot;media&quot;:[{&quot;url&quot;:&quot;https://late&quot;,&quot;mimeType&quot;:&quot;video/x&quot;}]}]}}"></div>'
+    html = F.concat(F.lit(f"<body>{other}<div>"), near, F.lit('<div class="x MediaPlayer teaser-top__player" data-v-type="MediaPlayer" data-v="'), coded, F.lit('"></div></div></body>'))
+    return media.player_headers(pages.nodes(c.table("customer").select(n.alias("page_id"), html.alias("html"))))

@@ -255,6 +255,40 @@ def run_limit(c: Catalog) -> DataFrame:
     return c.feeds.select("feed_id", control.run_limit(F.col("daily_limit"), k % 37, k * 7919 % 86_400).alias("run_limit"))
 
 
+#: Hours around clock changes of two hemispheres, and zones, by a feed's number.
+_ZONES = ("UTC", "Europe/Berlin", "America/New_York", "Australia/Sydney")
+_ZONED = """
+    z AS (SELECT c_custkey AS feed_id, ['UTC', 'Europe/Berlin', 'America/New_York', 'Australia/Sydney'][CAST(c_custkey % 4 + 1 AS BIGINT)] AS zone, TIMESTAMP '1997-03-29 00:00:00' + to_hours(CAST(c_custkey % 53 AS BIGINT)) + to_days(CAST(c_custkey % 3 * 210 AS INTEGER)) AS now FROM customer),
+    d AS (SELECT *, timezone('UTC', timezone(zone, date_trunc('day', timezone(zone, timezone('UTC', now))))) AS since FROM z)"""
+
+
+def _zoned(c: Catalog) -> DataFrame:
+    k = F.col("c_custkey")
+    now = at("1997-03-29 00:00:00") + F.make_dt_interval(days=(k % 3 * 210).cast("int"), hours=(k % 53).cast("int"))
+    return c.table("customer").select(k.alias("feed_id"), F.element_at(F.array(*[F.lit(z) for z in _ZONES]), (k % 4 + 1).cast("int")).alias("zone"), now.cast("timestamp_ntz").alias("now"))
+
+
+@query("collected_local", f"""
+    WITH {_ZONED}, a AS (SELECT o_custkey % 300 AS feed_id, TIMESTAMP '1997-03-28 00:00:00' + to_hours(CAST(o_orderkey % 100 AS BIGINT)) + to_days(CAST(o_orderkey % 3 * 210 AS INTEGER)) AS created_at FROM orders)
+    SELECT feed_id, count(*) AS collected FROM a JOIN d USING (feed_id) WHERE created_at >= since AND created_at <= now GROUP BY feed_id""", views=False)
+def collected_local(c: Catalog) -> DataFrame:
+    """Articles of each feed's own day, at hours around changes of the clock."""
+    k = F.col("o_orderkey")
+    made = at("1997-03-28 00:00:00") + F.make_dt_interval(days=(k % 3 * 210).cast("int"), hours=(k % 100).cast("int"))
+    articles = c.table("orders").select((F.col("o_custkey") % 300).alias("feed_id"), made.cast("timestamp_ntz").alias("created_at"))
+    return control.collected_today(articles, F.col("now"), _zoned(c))
+
+
+@query("run_limit_local", f"""
+    WITH {_ZONED}, x AS (SELECT feed_id, feed_id % 100 AS l, feed_id % 37 AS c, epoch(now) - epoch(since) AS s FROM d),
+    y AS (SELECT *, greatest(greatest(1, floor(l / 48.0)), greatest(ceil(l * s / 86400.0) - c, 0), floor((l - c) * 0.2)) AS w FROM x)
+    SELECT feed_id, CAST(s AS BIGINT) AS seconds, CAST(CASE WHEN c >= l THEN 0 ELSE least(CASE WHEN s < 36000 THEN greatest(w, floor((l - c) * 0.4)) ELSE w END, l - c) END AS BIGINT) AS run_limit FROM y""", views=False)
+def run_limit_local(c: Catalog) -> DataFrame:
+    k = F.col("feed_id")
+    rows = _zoned(c).withColumn("seconds", control.seconds_of_day(F.col("now"), F.col("zone")))
+    return rows.select("feed_id", "seconds", control.run_limit(k % 100, k % 37, F.col("seconds")).alias("run_limit"))
+
+
 @query("debounced_batches", """
     WITH RECURSIVE t AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     w AS (SELECT user_id, i, s, s AS opened FROM t WHERE i = 1 UNION ALL SELECT t.user_id, t.i, t.s, CASE WHEN t.s < w.opened + 86400 THEN w.opened ELSE t.s END FROM w JOIN t ON t.user_id = w.user_id AND t.i = w.i + 1)
