@@ -6,8 +6,10 @@ import re
 import unicodedata
 from functools import cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- strings
 
@@ -311,12 +313,39 @@ CHARSETS = {"utf-16": "UTF-16", "utf-16be": "UTF-16BE", "utf-16le": "UTF-16LE",
 WINDOWS_1252 = "\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178"
 
 
+#: Names that pages declare for charsets of one byte a sign, by Python's name of each.
+SINGLE = {
+    "cp1250": ("windows-1250", "cp1250"), "cp1251": ("windows-1251", "cp1251"), "cp1253": ("windows-1253", "cp1253"), "cp1254": ("windows-1254", "iso-8859-9", "latin5"), "cp1255": ("windows-1255", "cp1255"), "cp1256": ("windows-1256", "cp1256"), "cp1257": ("windows-1257", "cp1257"),
+    "cp1258": ("windows-1258", "cp1258"), "iso8859-2": ("iso-8859-2", "latin2"), "iso8859-3": ("iso-8859-3",), "iso8859-4": ("iso-8859-4",), "iso8859-5": ("iso-8859-5",), "iso8859-6": ("iso-8859-6",), "iso8859-7": ("iso-8859-7",), "iso8859-8": ("iso-8859-8",), "iso8859-10": ("iso-8859-10",),
+    "iso8859-13": ("iso-8859-13",), "iso8859-14": ("iso-8859-14",), "iso8859-15": ("iso-8859-15", "latin9"), "iso8859-16": ("iso-8859-16",), "koi8-r": ("koi8-r",), "koi8-u": ("koi8-u",), "mac-roman": ("macintosh",), "cp866": ("ibm866", "cp866"),
+}
+#: The same for charsets of several bytes.
+SEVERAL = {"shift_jis": ("shift_jis", "shift-jis", "sjis"), "euc_jp": ("euc-jp",), "iso2022_jp": ("iso-2022-jp",), "euc_kr": ("euc-kr", "ks_c_5601-1987"), "gb18030": ("gb18030", "gbk", "gb2312"), "big5": ("big5", "big5-hkscs")}
+
+
+@cache
+def _upper_half(codec: str) -> str:
+    """The signs of bytes 128 to 255; bytes without one stay control codes, as in browsers."""
+    signs = (bytes([b]).decode(codec, "replace") for b in range(0x80, 0x100))
+    return "".join(chr(0x80 + i) if x == "\ufffd" else x for i, x in enumerate(signs))
+
+
+@F.pandas_udf(StringType())
+def _decoded(bodies: pd.Series, codecs: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None or c is None else bytes(b).decode(c, "replace") for b, c in zip(bodies, codecs, strict=True)])
+
+
 def decode_text(body: Column, charset: Column) -> Column:
     """Bytes by declared charset unless that is latin-1 or unknown, else UTF-8 if valid, else latin-1 as browsers read it,
-    which is windows-1252."""
+    which is windows-1252.  Charsets of one byte a sign are tables; those of several bytes are read by Python."""
     cs = F.lower(F.trim(F.coalesce(charset, F.lit(""))))
-    western = F.translate(F.decode(body, "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), WINDOWS_1252)
+    latin = F.decode(body, "ISO-8859-1")
+    western = F.translate(latin, "".join(map(chr, range(0x80, 0xA0))), WINDOWS_1252)
     out = F.when(cs == "windows-1252", western)
     for name, known in CHARSETS.items():
         out = out.when(cs == name, F.decode(body, known))
+    for codec, names in SINGLE.items():
+        out = out.when(cs.isin(*names), F.translate(latin, "".join(map(chr, range(0x80, 0x100))), _upper_half(codec)))
+    codec = F.coalesce(*[F.when(cs.isin(*names), F.lit(c)) for c, names in SEVERAL.items()])
+    out = out.when(codec.isNotNull(), _decoded(F.when(codec.isNotNull(), body), codec))
     return out.when(F.is_valid_utf8(body.cast("string")), F.decode(body, "UTF-8")).otherwise(western)

@@ -71,6 +71,17 @@ def post_html(c: Catalog) -> DataFrame:
     return markdown.to_html(posts, "key", "body").select("key.conv_id", "key.turn", "html")
 
 
+@query("post_lists", """
+    SELECT conv_id, turn, (SELECT string_agg('<ul><li>l' || i, '' ORDER BY i) FROM range(0, turn % 6 + 1) t(i)) || repeat('</li></ul>', turn % 6 + 1) || chr(10) || repeat('<blockquote>', turn % 11 + 1) || '<p>said</p>' || repeat('</blockquote>', turn % 11) || '<p>back</p></blockquote>' AS html FROM conversations""", views=False)
+def post_lists(c: Catalog) -> DataFrame:
+    """Lists and quotes as deep as the turn says."""
+    turn = F.col("turn")
+    items = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), (turn % 6).cast("long")), lambda i: F.concat(F.repeat(F.lit("  "), i.cast("int")), F.lit("- l"), i.cast("string"))), "\n")
+    body = F.concat(items, F.lit("\n\n"), F.repeat(F.lit(">"), (turn % 11 + 1).cast("int")), F.lit(" said\n> back"))
+    posts = c.table("conversations").select(F.struct("conv_id", "turn").alias("key"), body.alias("body"))
+    return markdown.to_html(posts, "key", "body").select("key.conv_id", "key.turn", "html")
+
+
 @query("fn_entities", "SELECT page_id, html LIKE '%&amp;%' AS coded, replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS decoded FROM pages", views=False)
 def fn_entities(c: Catalog) -> DataFrame:
     return c.table("pages").select("page_id", F.contains("html", F.lit("&amp;")).alias("coded"), markdown.decode_entities(F.col("html")).alias("decoded"))

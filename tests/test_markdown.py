@@ -34,4 +34,24 @@ def test_lines_of_one_very_long_match(spark):
     lines = [">" * n + " a", "-" * n, "*" + " *" * n, "_ " * n + "x", "> " * n + "b", "#" * n, "|" * n, "1" * n + ". c"]
     df = spark.createDataFrame(list(enumerate(lines)), "id int, body string").repartition(2)
     kinds = {r.id: r.kind for r in M.lines(df, "id", "body").collect()}
-    assert [kinds[i] for i in (0, 1, 2, 4, 7)] == ["quote", "hr", "hr", "quote", "ol"]
+    assert [kinds[i] for i in (0, 1, 2, 4, 7)] == ["quote", "hr", "ul", "quote", "ol"]
+
+
+def test_nested_lists_and_quotes(spark):
+    cases = {
+        "- a\n  - b\n    1. c\n    2. d\n  - e\n- f": "<ul><li>a<ul><li>b<ol><li>c</li><li>d</li></ol></li><li>e</li></ul></li><li>f</li></ul>", "1. a\n   * b\n2. c": "<ol><li>a<ul><li>b</li></ul></li><li>c</li></ol>",
+        "  - a\n - b\n- c": "<ul><li>a</li><li>b</li><li>c</li></ul>", "- a\n\t- b\n\n- c": "<ul><li>a<ul><li>b</li></ul></li></ul>\n<ul><li>c</li></ul>", "- a\n    - b\n  - c\n- d": "<ul><li>a<ul><li>b</li><li>c</li></ul></li><li>d</li></ul>",
+        ">>> a\n> b\n>> c": "<blockquote><blockquote><blockquote><p>a</p></blockquote></blockquote><p>b</p><blockquote><p>c</p></blockquote></blockquote>", "> a\n> b": "<blockquote><p>a</p><p>b</p></blockquote>",
+        ">" * 40 + "deep": "<blockquote>" * 40 + "<p>deep</p>" + "</blockquote>" * 40,
+    }
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "id int, body string")
+    got = {r.id: r.html for r in M.to_html(df, "id", "body").collect()}
+    for i, (source, want) in enumerate(cases.items()):
+        assert got[i] == want, (source, got[i])
+
+
+def test_long_lists_are_linear(spark):
+    n = 50_000
+    df = spark.createDataFrame([(1, "\n".join(" " * (2 * (i % 7)) + "- x" for i in range(n)))], "id int, body string")
+    html = M.to_html(df, "id", "body").first().html
+    assert html.count("<li>") == n == html.count("</li>") and html.count("<ul>") == html.count("</ul>")
