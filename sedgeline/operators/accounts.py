@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedgeline.functions import text
 from sedgeline.operators.lists import has_role
 
 #: What stands for the hidden part of a secret, and how much of its end is shown.
@@ -61,3 +62,28 @@ def changed_addresses(users: DataFrame, changes: DataFrame) -> DataFrame:
     good = changes.join(clashes, "user_id", "left_anti").join(twice, "user_id", "left_semi").select("user_id", F.col("email").alias("__new"))
     joined = users.join(good, "user_id", "left")
     return joined.select(*[F.coalesce("__new", "email").alias(c) if c == "email" else F.col(c) for c in users.columns])
+
+
+# --- wire forms
+
+
+def wire_tag(tag_id: Column, name: Column, color: Column) -> Column:
+    """A tag as JSON."""
+    return F.to_json(F.struct(tag_id.alias("id"), name.alias("name"), color.alias("color")), {"ignoreNullFields": "false"})
+
+
+def wire_position(article_id: Column, updated_at: Column) -> Column:
+    """A reading position as JSON; both are null before the first one."""
+    return F.to_json(F.struct(article_id.alias("articleId"), text.iso_millis(updated_at).alias("updatedAt")), {"ignoreNullFields": "false"})
+
+
+def list_address(q: Column, page: Column, page_size: Column, sort: Column, descending: Column, filters: dict[str, Column] | None = None, resets: Column | None = None, usual_size: int = 25) -> Column:
+    """The query string of a list without what is usual, as :func:`sedgeline.params.to_query` writes it; the page is left out
+    where ``resets`` says that what is listed has changed."""
+    coded = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    first = page <= 1 if resets is None else (page <= 1) | resets
+    values = {
+        "q": F.nullif(F.trim(F.coalesce(q, F.lit(""))), F.lit("")), "page": F.when(~first, page.cast("string")), "pageSize": F.when(page_size != usual_size, page_size.cast("string")), "sort": F.nullif(sort, F.lit("")), "dir": F.when(~descending, "asc"),
+        **{k: F.nullif(v, F.lit("")) for k, v in (filters or {}).items()},
+    }
+    return F.concat_ws("&", *[F.concat(F.lit(f"{k}="), coded(v)) for k, v in values.items()])

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sedgeline.catalog import Catalog
 from sedgeline.functions import text
 from sedgeline.operators import accounts, merge
-from sedgeline.params import change, parse, to_query
 from sedgeline.plans.relational import NOW, query
 
 SESSIONS = "SELECT event_id AS session_id, user_id % 30 AS user_id, CASE WHEN event_id % 3 <> 0 THEN 'device ' || event_id END AS device_name, ts AS created_at, ts + INTERVAL 7 DAY AS expires_at FROM events"
@@ -161,11 +160,33 @@ def wire_feeds(c: Catalog) -> DataFrame:
     return c.feeds.join(tags, "feed_id", "left").select("feed_id", F.to_json(row).alias("wire"))
 
 
-@query("list_addresses", "SELECT * FROM (VALUES (1, ''), (2, 'q=a+b'), (3, 'page=3&pageSize=50&sort=name&dir=asc'), (4, 'pageSize=50&sort=name&dir=asc&feed=7')) t(id, address)", views=False)
+@query("wire_tags", """
+    SELECT p_partkey AS tag_id, '{"id":' || p_partkey || ',"name":"' || p_brand || '","color":' || CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE '"#' || p_partkey % 10 || '0"' END || '}' AS wire FROM part""", views=False)
+def wire_tags(c: Catalog) -> DataFrame:
+    k = F.col("p_partkey")
+    color = F.when(k % 3 != 0, F.concat(F.lit("#"), (k % 10).cast("string"), F.lit("0")))
+    return c.table("part").select(k.alias("tag_id"), accounts.wire_tag(k, F.col("p_brand"), color).alias("wire"))
+
+
+@query("wire_positions", """
+    SELECT c_custkey AS user_id, CASE WHEN a IS NULL THEN '{"articleId":null,"updatedAt":null}' ELSE '{"articleId":' || a || ',"updatedAt":"' || strftime(t, '%Y-%m-%dT%H:%M:%S') || '.000Z"}' END AS wire
+    FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS a, max(o_orderdate) AS t FROM orders GROUP BY 1) ON o_custkey = c_custkey""", views=False)
+def wire_positions(c: Catalog) -> DataFrame:
+    """A reader's position: their last order, null for those without any."""
+    last = c.table("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("a"), F.max("o_orderdate").alias("t"))
+    return c.table("customer").select("c_custkey").join(last, "c_custkey", "left").select(F.col("c_custkey").alias("user_id"), accounts.wire_position(F.col("a"), F.col("t")).alias("wire"))
+
+
+@query("list_addresses", """
+    SELECT c_custkey AS id, concat_ws('&', CASE WHEN c_custkey % 3 = 0 THEN 'q=' || replace(replace(c_name, '#', '%23'), ' ', '+') || '+%26+%C3%A9' END, CASE WHEN c_custkey % 5 > 1 AND c_custkey % 7 <> 0 THEN 'page=' || c_custkey % 5 END, CASE WHEN c_custkey % 2 = 0 THEN 'pageSize=50' END, CASE WHEN c_custkey % 4 = 1 THEN 'sort=name' END,
+        CASE WHEN c_custkey % 4 = 3 THEN 'dir=asc' END, CASE WHEN c_custkey % 7 = 0 THEN 'feed=' || c_nationkey END) AS address FROM customer""", views=False)
 def list_addresses(c: Catalog) -> DataFrame:
-    third = parse({"page": "3", "pageSize": "50", "sort": "name", "dir": "asc"})
-    made = [(1, to_query(parse({"page": "0", "pageSize": "x"}))), (2, to_query(parse({"q": " a b "}))), (3, to_query(third)), (4, to_query(change(third, filters={"feed": "7"})))]
-    return c.spark.createDataFrame(made, "id int, address string")
+    """Addresses of lists; those that a feed narrows begin with the first page again."""
+    k = F.col("c_custkey")
+    found = accounts.list_address(
+        F.when(k % 3 == 0, F.concat(F.lit(" "), "c_name", F.lit(" & é "))), k % 5, F.when(k % 2 == 0, 50).otherwise(25), F.when(k % 4 == 1, "name"), k % 4 != 3, {"feed": F.when(k % 7 == 0, F.col("c_nationkey").cast("string"))}, k % 7 == 0
+    )
+    return c.table("customer").select(k.alias("id"), found.alias("address"))
 
 
 @query("fn_options", """
