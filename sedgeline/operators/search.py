@@ -11,14 +11,14 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgeline import scratch
 from sedgeline.functions import text
 
 COLUMNS = ("name", "plain_text")
-BUCKETS = 64
+BUCKETS, SALTS = 64, 8
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,8 @@ def index(rows: DataFrame, key: str, columns: tuple[str, ...] = COLUMNS) -> Data
 
 def refreshed(old: DataFrame, before: DataFrame, now: DataFrame, key: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """The token table after changes: only rows whose text changed are tokenized again."""
-    same = before.select(key, *columns).join(now.select(key, *columns), [key, *columns], "left_semi").select(key)
+    told = F.sha2(F.to_json(F.struct(*columns)), 256).alias("__told")  # texts don't move, their hashes do
+    same = before.select(key, told).join(now.select(key, told), [key, "__told"], "left_semi").select(key)
     changed = now.join(same, key, "left_anti")
     return old.join(same, key, "left_semi").unionByName(index(changed, key, columns))
 
@@ -78,8 +79,9 @@ def _bucket(token: Column) -> Column:
 def stored(tokens: DataFrame, label: str = "search-index") -> DataFrame:
     """The token table, written to the shared folder with its ``bucket`` as partition."""
     path = scratch.new_path(tokens.sparkSession, label)
-    rows = tokens.withColumn("bucket", _bucket(F.col("token"))).repartition("bucket", "token").sortWithinPartitions("bucket", "token")
-    rows.write.partitionBy("bucket").parquet(path)
+    rows = tokens.withColumn("bucket", _bucket(F.col("token")))
+    salt = F.pmod(F.xxhash64(*[c for c in tokens.columns if c != "token"]), F.lit(SALTS))  # a frequent word is dealt to several tasks
+    rows.repartition("bucket", "token", salt).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(path)
     return tokens.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -101,3 +103,35 @@ def lookup(tokens: DataFrame, key: str, term: str) -> DataFrame:
     size = reduce(lambda c, np: c.when(F.col("phrase") == np[0], len(np[1].tokens)), enumerate(phrases), F.when(F.lit(False), 0))
     whole = rows.groupBy(key, "column", "phrase", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size)
     return whole.groupBy(key).agg(F.count_distinct("phrase").alias("n")).where(F.col("n") == len(phrases)).select(key)
+
+
+# --- identifiers
+
+GRAM, LEAST_QUERY, MOST_FOUND = 3, 2, 10
+
+
+def grams(folded: Column) -> Column:
+    """The distinct pieces of ``GRAM`` signs of a folded name, and its first two signs marked as such."""
+    inner = F.transform(F.sequence(F.lit(1), F.greatest(F.length(folded) - GRAM + 1, F.lit(1))), lambda i: F.substring(folded, i, F.lit(GRAM)))
+    inner = F.filter(inner, lambda g: F.length(g) == GRAM)
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("^"), F.left(folded, F.lit(LEAST_QUERY)))), inner))
+
+
+def identifier_index(names: DataFrame) -> DataFrame:
+    """``gram, value, label, folded`` of identifiers ``value, label``, each label once with its smallest value."""
+    rows = names.groupBy("label").agg(F.min("value").alias("value")).withColumn("folded", F.trim(text.fold(F.col("label"))))
+    return rows.select(F.explode(grams(F.col("folded"))).alias("gram"), "value", "label", "folded")
+
+
+def identifier_search(queries: DataFrame, index: DataFrame, most: int = MOST_FOUND) -> DataFrame:
+    """``query_id, position, value, label`` of the best ``most`` identifiers for queries ``query_id, q``.
+
+    An identifier must share at least half of a query's pieces; those that begin with the query go first, then those that
+    share more, then shorter labels, then smaller values.  Queries and identifiers meet by pieces, so no query scans all
+    names.  Queries of less than two signs find nothing."""
+    asked = queries.select("query_id", F.trim(text.fold(F.col("q"))).alias("folded_q")).where(F.length("folded_q") >= LEAST_QUERY).withColumn("pieces", grams(F.col("folded_q")))
+    pieces = asked.select("query_id", "folded_q", F.size("pieces").alias("n"), F.explode("pieces").alias("gram"))
+    shared = pieces.join(index, "gram").groupBy("query_id", "value", "label").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first(F.startswith(F.col("folded"), F.col("folded_q"))).alias("begins"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("begins"), F.desc("shared"), F.length("label"), "value")
+    ranked = shared.where(F.col("shared") * 2 >= F.col("n")).withColumn("position", F.row_number().over(order))
+    return ranked.where(F.col("position") <= most).select("query_id", "position", "value", "label")

@@ -214,3 +214,21 @@ def search_unicode(c: Catalog) -> DataFrame:
     # the second word's search finds the third one too, which is the same in capitals
     both = reduce(DataFrame.unionByName, found).withColumn("word", F.when((F.col("word") == 1) & (F.col("c_custkey") % 8 == 2), F.lit(2).cast("long")).otherwise(F.col("word")))
     return both.unionByName(search.search(rows, WORDS[2][1], ("name",)).select("c_custkey", (F.col("c_custkey") % 8).alias("word"))).distinct()
+
+
+@query("identifier_search", """
+    WITH names AS (SELECT p_name || ' ' || lower(p_brand) AS label, min(p_partkey) AS value FROM part GROUP BY 1),
+    queries AS (SELECT p_partkey AS query_id, lower(trim(CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 1, CAST(p_partkey % 8 AS BIGINT)) WHEN 1 THEN p_name || ' Brand' ELSE substr(p_name, 3, 6) END)) AS q FROM part WHERE p_partkey % 20 = 0),
+    index_ AS (SELECT value, label, unnest(list_distinct(['^' || substr(label, 1, 2)] || [substr(label, i, 3) FOR i IN range(1, length(label) - 1)])) AS gram FROM names),
+    asked AS (SELECT query_id, q, list_distinct(['^' || substr(q, 1, 2)] || [substr(q, i, 3) FOR i IN range(1, length(q) - 1)]) AS pieces FROM queries WHERE length(q) >= 2),
+    pieces AS (SELECT query_id, q, len(pieces) AS n, unnest(pieces) AS gram FROM asked),
+    shared AS (SELECT query_id, value, label, count(*) AS shared, any_value(n) AS n, any_value(starts_with(label, q)) AS begins FROM pieces JOIN index_ USING (gram) GROUP BY ALL HAVING count(*) * 2 >= any_value(n))
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY begins DESC, shared DESC, length(label), value) AS position, value, label FROM shared QUALIFY position <= 10""", views=False)
+def identifier_search(c: Catalog) -> DataFrame:
+    """Names of parts with their brand, for the starts, middles and extensions of every twentieth part's name."""
+    k = F.col("p_partkey")
+    names = c.table("part").select(k.alias("value"), F.concat_ws(" ", "p_name", F.lower("p_brand")).alias("label"))
+    q = F.when(k % 3 == 0, F.substring(F.col("p_name"), F.lit(1), (k % 8).cast("int"))).when(k % 3 == 1, F.concat(F.col("p_name"), F.lit(" Brand"))).otherwise(F.substring("p_name", 3, 6))
+    queries = c.table("part").where(k % 20 == 0).select(k.alias("query_id"), q.alias("q"))
+    return search.identifier_search(queries, search.identifier_index(names)).select("query_id", F.col("position").cast("long").alias("position"), "value", "label")
+
