@@ -193,6 +193,10 @@ def retagged(feed_tags: DataFrame, changes: DataFrame, tags: DataFrame) -> DataF
     return feed_tags.join(given.select("feed_id"), "feed_id", "left_anti").select("feed_id", "tag_id").unionByName(new.select("feed_id", "tag_id"))
 
 
+#: Owners that are numbered by one window.
+OWNERS_A_RANGE = 4096
+
+
 def tags_for(names: DataFrame, tags: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
     """Tags by name (``user_id, name``), found or created: all wanted with their ids, and those that are new.
 
@@ -202,9 +206,11 @@ def tags_for(names: DataFrame, tags: DataFrame, first_id: int) -> tuple[DataFram
     new = wanted.join(had, ["user_id", "__low"], "left_anti")
     # numbers within an owner, then after the owners before: no window over all rows
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("__low"))
-    sizes = new.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("user_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each owner
-    created = new.withColumn("__at", at).join(sizes.withColumn("__before", before), "user_id").select("user_id", "__low", "name", (F.lit(first_id - 1) + F.col("__before") + F.col("__at")).alias("tag_id"))
+    sizes = new.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n")).withColumn("__range", F.floor(F.col("user_id") / OWNERS_A_RANGE))
+    earlier = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("__range").agg(F.sum("__n").alias("__n")).select("__range", earlier(Window.orderBy("__range")).alias("__base"))  # a row for each range
+    sizes = sizes.withColumn("__within", earlier(Window.partitionBy("__range").orderBy("user_id"))).join(ranges, "__range").select("user_id", (F.col("__base") + F.col("__within")).alias("__before"))
+    created = new.withColumn("__at", at).join(sizes, "user_id").select("user_id", "__low", "name", (F.lit(first_id - 1) + F.col("__before") + F.col("__at")).alias("tag_id"))
     found = wanted.join(had, ["user_id", "__low"]).select("user_id", "__low", "tag_id")
     return found.unionByName(created.select("user_id", "__low", "tag_id")).withColumnRenamed("__low", "name"), created.drop("__low")
 

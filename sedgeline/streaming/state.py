@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,11 @@ METER = "user_id long, request_id long, outcome string"
 BATCH = "key long, opened timestamp, events long"
 
 
+def _ordered(rows: Iterator[pd.DataFrame], columns: list[str], by: int) -> pd.DataFrame:
+    """A key's rows of a micro-batch, the needed columns only, sorted by the first ``by`` of them."""
+    return pd.concat([r[columns] for r in rows], ignore_index=True).sort_values(columns[:by], ignore_index=True)
+
+
 class JobMachine(StatefulProcessor):
     """Latest state of each job from its events (``claim``, ``done``, ``error``, ``cancel``), in order of time."""
 
@@ -30,9 +36,10 @@ class JobMachine(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         status, attempts, run_at, events = self.state.get() if self.state.exists() else ("pending", 0, None, 0)
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            status, attempts, run_at = step(status, attempts, run_at, r.action, r.ts.to_pydatetime(), self.max_attempts)
-            events += 1
+        batch = _ordered(rows, ["ts", "event_id", "action"], 2)
+        for at, action in zip(batch["ts"].dt.to_pydatetime(), batch["action"].to_numpy(), strict=True):  # each transition depends on the one before
+            status, attempts, run_at = step(status, attempts, run_at, action, at, self.max_attempts)
+        events += len(batch)
         self.state.update((status, attempts, run_at, events))
         yield pd.DataFrame({"job_key": [key[0]], "status": [status], "attempts": [attempts], "run_at": [run_at], "events": [events]})
 
@@ -66,17 +73,21 @@ class Meter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         day, in_day, month, in_month = self.state.get() if self.state.exists() else ("", 0, "", 0)
-        ids, outcomes = [], []
-        for r in pd.concat(list(rows)).sort_values(["created_at", "request_id"]).itertuples():
-            now_day, now_month = r.created_at.strftime("%Y-%m-%d"), r.created_at.strftime("%Y-%m")
-            in_day, in_month = in_day if now_day == day else 0, in_month if now_month == month else 0
-            day, month = now_day, now_month
-            outcome = "month_limit" if in_month >= self.per_month else "day_limit" if in_day >= self.per_day else "allowed"
-            in_day, in_month = in_day + (outcome == "allowed"), in_month + (outcome == "allowed")
-            ids.append(r.request_id)
-            outcomes.append(outcome)
+        batch = _ordered(rows, ["created_at", "request_id"], 2)
+        days = batch["created_at"].to_numpy().astype("datetime64[D]")
+        outcomes = np.full(len(batch), "day_limit", dtype=object)
+        cuts = np.flatnonzero(np.concatenate(([True], days[1:] != days[:-1]))).tolist()
+        for i, j in zip(cuts, [*cuts[1:], len(batch)], strict=True):  # a turn for each day: its first ones are allowed
+            now_day = str(days[i])
+            in_day, in_month = in_day if now_day == day else 0, in_month if now_day[:7] == month else 0
+            day, month = now_day, now_day[:7]
+            free = max(0, min(self.per_day - in_day, self.per_month - in_month, j - i))
+            outcomes[i : i + free] = "allowed"
+            in_day, in_month = in_day + free, in_month + free
+            if in_month >= self.per_month:
+                outcomes[i + free : j] = "month_limit"
         self.state.update((day, in_day, month, in_month))
-        yield pd.DataFrame({"user_id": key[0], "request_id": ids, "outcome": outcomes})
+        yield pd.DataFrame({"user_id": key[0], "request_id": batch["request_id"].to_numpy(), "outcome": outcomes})
 
     def close(self) -> None:
         pass
@@ -94,14 +105,17 @@ class Debounce(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         opened, events = self.open.get() if self.open.exists() else (None, 0)
-        for t in sorted(int(x.timestamp() * 1000) // 1000 * 1000 for x in pd.concat(list(rows))["at"]):
-            if opened is not None and t >= opened + self.millis:
+        times = np.sort(np.concatenate([r["at"].to_numpy().astype("datetime64[s]").astype(np.int64) for r in rows])) * 1000
+        at = 0
+        while at < len(times):  # a turn for each batch
+            if opened is not None and times[at] >= opened + self.millis:
                 yield self._row(key, opened, events)
                 opened, events = None, 0
             if opened is None:
-                opened = t
+                opened = int(times[at])
                 self.handle.registerTimer(opened + self.millis)
-            events += 1
+            upto = int(np.searchsorted(times, opened + self.millis, side="left"))
+            events, at = events + upto - at, upto
         if opened is not None:
             self.open.update((opened, events))
 
