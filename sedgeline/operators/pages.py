@@ -16,6 +16,7 @@ from pyspark.sql.window import WindowSpec
 
 from sedgeline import scratch
 from sedgeline.functions import markup, text, urls
+from sedgeline.operators import trees
 from sedgeline.operators.blocks import flat_blocks
 
 #: What is read by default, and what never counts as content.
@@ -318,23 +319,9 @@ def stored_blocks(block_rows: DataFrame) -> DataFrame:
 
 
 def rebuilt_tree(rows: DataFrame) -> DataFrame:
-    """Rows that hang together from a root down, with ``depth`` and ``path`` of positions; orphans are left out.
-
-    Each round doubles the distance to the ancestor that a row knows, so a tree of any depth takes its depth's logarithm
-    of rounds.  Rows that are each other's ancestors are an error."""
-    rows = scratch.table(rows, "tree")
-    state = rows.select("block_id", F.col("parent_id").alias("up"), F.lit(0).alias("depth"), F.array("position").alias("path"))
-    most = rows.count().bit_length() + 1
-    for n in range(most + 1):
-        open_ = state.where("up is not null")
-        if open_.isEmpty():
-            break
-        if n == most:
-            raise ValueError("blocks that are their own ancestors")
-        above = state.select(F.col("block_id").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("path").alias("__path"))
-        joined = open_.join(above, "up").select("block_id", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth") + 1).alias("depth"), F.concat("__path", "path").alias("path"))
-        state = scratch.table(state.where("up is null").unionByName(joined), "tree-state")
-    return rows.join(state.drop("up"), "block_id").select(*rows.columns, "depth", "path")
+    """Rows that hang together from a root down, with ``depth`` and ``path`` of positions; orphans are left out, rows that are
+    each other's ancestors are an error."""
+    return trees.with_ways(rows, path=F.col("position")).select(*rows.columns, (F.size("path") - 1).alias("depth"), "path")
 
 
 def wire_document(rows: DataFrame) -> DataFrame:
