@@ -221,7 +221,7 @@ def _captioned(rows: DataFrame) -> DataFrame:
 
 def _blocks(tree: DataFrame, frames: bool) -> DataFrame:
     """One row per block with content or with a block in it."""
-    rows = _captioned(_grouped(_said(_owned(_roles(tree.repartition("page_id"), frames)))))
+    rows = _captioned(_grouped(_said(_owned(_roles(tree, frames)))))
     kind = F.col("kind")
     joined = F.array_join(F.transform("runs", lambda r: r["text"]), "")
     holds = kind.isin("image", "divider", "embed") | F.when(kind == "code_block", text.strip(joined) != "").otherwise(F.size("runs") > 0)
