@@ -99,7 +99,7 @@ def _roles(tree: DataFrame, frames: bool) -> DataFrame:
     poster = F.coalesce(_filled(attr("poster")), F.lit(""))
     media = F.when(tag == "video", F.lit("video")).when((tag == "audio") & plays, F.lit("audio" if frames else "generic")).when((tag == "iframe") & plays, F.lit("generic"))
     address = F.when(tag == "iframe", _filled(attr("src"))).otherwise(own)
-    provider, url, thumb = F.when(text.is_safe_url(address), media), address, F.when(text.is_safe_url(poster) | poster.startswith("yana-img://"), poster).otherwise(F.lit(""))
+    provider, url, thumb = F.when(text.is_safe_url(address), media), address, F.when(text.is_safe_url(poster) | poster.startswith("image://"), poster).otherwise(F.lit(""))
     quoted = (tag == "blockquote") & _next("post").isNotNull()
     provider, url, thumb = F.when(quoted, F.lit("tweet")).otherwise(provider), F.when(quoted, _next("post")).otherwise(url), F.when(quoted, F.lit("")).otherwise(thumb)
     wrapper = ~tag.isin(*INLINE, *DROPPED, *UNSEEN, *HEADINGS, "p", "br", "ul", "ol", "blockquote", "pre", "img", "video", "figure", "hr", "tr", "header") & ~tag.startswith("#")
@@ -248,7 +248,7 @@ def nested_blocks(tree: DataFrame, bases: DataFrame | None = None, frames: bool
 
 def _resolved(tree: DataFrame, bases: DataFrame) -> DataFrame:
     """Addresses of links, pictures and players made absolute; those of stored pictures stay."""
-    moved = F.transform_values("attrs", lambda k, v: F.when(k.isin("href", *SOURCES) & ~v.startswith("yana-img://") & (v != ""), urls.resolve(v, F.col("__base"))).otherwise(v))
+    moved = F.transform_values("attrs", lambda k, v: F.when(k.isin("href", *SOURCES) & ~v.startswith("image://") & (v != ""), urls.resolve(v, F.col("__base"))).otherwise(v))
     return tree.join(bases.select("page_id", F.col("base").alias("__base")), "page_id", "left").withColumn("attrs", F.when(F.col("tag").isin("a", "img") & F.col("__base").isNotNull(), moved).otherwise(F.col("attrs"))).drop("__base")
 
 

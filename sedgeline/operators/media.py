@@ -181,7 +181,7 @@ def player_headers(tree: DataFrame) -> DataFrame:
     filled = lambda c: F.nullif(c, F.lit(""))
     of_streams = F.get(F.filter(F.transform(streams, lambda s: F.coalesce(*[filled(s[f]) for f in PICTURES])), lambda x: x.isNotNull()), F.lit(0))
     image = _sited(F.coalesce(*[filled(F.col(f"d.mc.{f}")) for f in PICTURES], of_streams, F.col("near")))
-    rows = found.withColumns({"sound": sound, "image": F.when(text.is_safe_url(image) | image.startswith("yana-img://"), image)})
+    rows = found.withColumns({"sound": sound, "image": F.when(text.is_safe_url(image) | image.startswith("image://"), image)})
     code = text.unescape_basic(F.try_element_at("d.pluginData", F.lit("sharing@web"))["embedCode"])
     frame = _sited(F.replace(filled(F.regexp_extract(code, r"(?i)<iframe\b[^>]*?\ssrc\s*=\s*[\"']?([^\"'\s>]*)", 1)), F.lit("$params$"), F.lit("")))
     kind = F.when(F.col("sound"), "audio").otherwise("video")
@@ -196,5 +196,5 @@ def player_headers(tree: DataFrame) -> DataFrame:
     )
     player = F.coalesce(framed, played)
     html = F.concat(F.lit('<header class="media-header"><div class="media-player" style="width: 100%;">'), player, F.lit("</div></header>"))
-    best = rows.select("page_id", "pos", html.alias("html"), F.when(~F.coalesce(F.startswith("image", F.lit("yana-img://")), F.lit(False)), F.col("image")).alias("image")).where("html is not null")
+    best = rows.select("page_id", "pos", html.alias("html"), F.when(~F.coalesce(F.startswith("image", F.lit("image://")), F.lit(False)), F.col("image")).alias("image")).where("html is not null")
     return best.groupBy("page_id").agg(F.min_by(F.struct("html", "image"), "pos").alias("x")).select("page_id", "x.html", "x.image")
