@@ -178,7 +178,7 @@ def _said(rows: DataFrame) -> DataFrame:
     player = (role == "player") & ~gone & of.isin("player", "p", "inline", "tr") & F.col("embed").isNotNull()
     source = F.coalesce(*[_filled(attr(a)) for a in SOURCES])
     box = (F.col("free") & ~F.col("stray") & role.isin("list", "item", "quote", "hr")) | (mine & of.isin("p", "heading", "post", "pre", "facade", "caption")) | (in_row & (tag == "tr"))
-    head = box | (picture & text.is_safe_url(source)) | player
+    head = box | (picture & (text.is_safe_url(source) | source.startswith("image://"))) | player
     kind = (
         F.when(role == "item", "list_item").when(role == "quote", "blockquote").when(role.isin("list", "heading", "caption"), role).when(role == "pre", "code_block").when(role == "hr", "divider").when(role == "img", "image")
         .when(role.isin("post", "facade", "player"), "embed").otherwise("paragraph")
