@@ -19,6 +19,12 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table's rows dealt evenly to all cores, for queries that make a page of each: its file is small, so that one task
+        would read it and parse all the pages."""
+        n = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return self.table(name).repartition(n)
+
     @property
     def users(self) -> DataFrame:
         """``user_id, name, role, banned, ban_expires``; roles are comma lists."""

@@ -28,7 +28,7 @@ PAGE = """<html><head><link rel="alternate" type="application/atom+xml" href="/a
 def built(c: Catalog) -> DataFrame:
     """A page for each customer: ``page_id, html``."""
     parts = F.replace(F.replace(F.lit(PAGE), F.lit("{k}"), _k().cast("string")), F.lit("{n}"), F.col("c_name"))
-    return c.table("customer").select(_k().alias("page_id"), parts.alias("html"))
+    return c.spread("customer").select(_k().alias("page_id"), parts.alias("html"))
 
 
 def tree(c: Catalog) -> DataFrame:
@@ -210,6 +210,6 @@ PARTS = """<body><article><header class="top"><img src="/logo.png"></header><hea
         (13, 'embed', '', '/s' || c_custkey || '.mp3', 'audio', NULL, NULL), (14, 'code', 'SELECT ' || c_custkey || chr(10), NULL, NULL, 'sql', NULL), (15, 'divider', '', NULL, NULL, NULL, NULL)) t(n, kind, text, image_ref, embed_provider, language, caption)""", views=False)
 def page_block_kinds(c: Catalog) -> DataFrame:
     html = F.replace(F.replace(F.lit(PARTS), F.lit("{k}"), _k().cast("string")), F.lit("{n}"), F.col("c_name"))
-    found = pages.blocks(pages.main_content(pages.nodes(c.table("customer").select(_k().alias("page_id"), html.alias("html")), stored=False)))
+    found = pages.blocks(pages.main_content(pages.nodes(c.spread("customer").select(_k().alias("page_id"), html.alias("html")), stored=False)))
     at = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
     return found.select("page_id", at.cast("long").alias("position"), "kind", "text", "image_ref", "embed_provider", "language", "caption")

@@ -81,7 +81,7 @@ def _texts(tree: DataFrame) -> DataFrame:
 def header_copies(c: Catalog) -> DataFrame:
     """Two of three pages have a header that shows the picture of another host and size; the rest have another picture."""
     html = '<body><div><p><img src="/img/h.jpg"></p></div><p>with text<img src="https://cdn.example/img/h.jpg?w=300"></p><img src="/img/other.jpg"><p>end</p></body>'
-    tree = pages.nodes(c.table("customer").select(F.col("c_custkey").alias("page_id"), F.lit(html).alias("html")), stored=False)
+    tree = pages.nodes(c.spread("customer").select(F.col("c_custkey").alias("page_id"), F.lit(html).alias("html")), stored=False)
     image = F.when(F.col("c_custkey") % 3 == 0, "/img/none.jpg").otherwise(F.concat(F.lit("https://h.example/x/../img/h.jpg#"), _k("c_custkey")))
     return _texts(headers.without_copies(tree, c.table("customer").select(F.col("c_custkey").alias("page_id"), image.alias("image"))))
 
@@ -95,7 +95,7 @@ def leading_image(c: Catalog) -> DataFrame:
         F.when(n == 0, '<body><div> <img src="/a.jpg"><p>text <img src="/b.jpg"></p></div></body>').when(n == 1, '<body><div><!-- c --><p> <br><img src="/a.jpg"><br> <br>  after</p></div></body>').when(n == 2, '<body><div>first<img src="/a.jpg"></div></body>')
         .when(n == 3, '<body><p><a href="/"><img src="/a.jpg"></a> rest</p><p> </p></body>').when(n == 4, '<body><div><img src="/a.jpg"><p>none</p></div></body>').otherwise('<body><div><p>words<img src="/a.jpg"></p></div></body>')
     )
-    tree = pages.nodes(c.table("customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")), stored=False)
+    tree = pages.nodes(c.spread("customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")), stored=False)
     return _texts(headers.without_leading_image(tree, c.table("customer").where("c_custkey % 6 <> 4").select(F.col("c_custkey").alias("page_id"))))
 
 
@@ -119,4 +119,4 @@ def player_headers(c: Catalog) -> DataFrame:
     near = F.when(n % 3 == 1, at('<img src="https://near/', '">')).otherwise("")
     other = '<div class="mediaplayer" data-v-type="MediaPlayer" data-v="{&quot;mc&quot;:{&quot;streams&quot;:[{&quot;media&quot;:[{&quot;url&quot;:&quot;https://late&quot;,&quot;mimeType&quot;:&quot;video/x&quot;}]}]}}"></div>'
     html = F.concat(F.lit(f"<body>{other}<div>"), near, F.lit('<div class="x MediaPlayer teaser-top__player" data-v-type="MediaPlayer" data-v="'), coded, F.lit('"></div></div></body>'))
-    return media.player_headers(pages.nodes(c.table("customer").select(n.alias("page_id"), html.alias("html"))))
+    return media.player_headers(pages.nodes(c.spread("customer").select(n.alias("page_id"), html.alias("html"))))

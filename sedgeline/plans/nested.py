@@ -25,7 +25,7 @@ def html() -> Column:
 
 
 def nested(c: Catalog) -> DataFrame:
-    found = pages.nodes(c.table("customer").select(F.col("c_custkey").alias("page_id"), html().alias("html")), stored=False)
+    found = pages.nodes(c.spread("customer").select(F.col("c_custkey").alias("page_id"), html().alias("html")), stored=False)
     return blocks.nested_blocks(pages.main_content(found))
 
 

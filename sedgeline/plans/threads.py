@@ -25,7 +25,7 @@ def _each(one: Callable[[Column], Column], most: int = 5) -> Column:
 
 
 def _tree(c: Catalog, html: Column) -> DataFrame:
-    return pages.nodes(c.table("customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")))
+    return pages.nodes(c.spread("customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")))
 
 
 def _bases(c: Catalog) -> DataFrame:
@@ -94,7 +94,7 @@ def site_blocks(c: Catalog) -> DataFrame:
     k, n = _k(), (F.col("c_custkey") % 4).cast("int")
     body = F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.concat(F.lit('<div id="meldung"><div class="ad">buy</div><p>Text of '), F.col("c_name"), F.lit('</p><p><img src="https://cdn.example/../lead'), k, F.lit('.jpg?w=3"></p><aside>more</aside></div>')))
     talk = F.concat(F.lit('<script type="application/ld+json">{"discussionUrl":"/forum/'), k, F.lit('"}</script>'))
-    fetched = c.table("customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://site.example/a/"), k).alias("url"), F.col("c_name").alias("title"), F.concat(talk, F.lit("<body>"), body, F.lit("</body>")).alias("html"), F.concat(F.lit("Summary of "), "c_name").alias("summary"))
+    fetched = c.spread("customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://site.example/a/"), k).alias("url"), F.col("c_name").alias("title"), F.concat(talk, F.lit("<body>"), body, F.lit("</body>")).alias("html"), F.concat(F.lit("Summary of "), "c_name").alias("summary"))
     listed = lambda i: F.concat(F.lit('<li class="posting_element"><span class="pseudonym">user'), i.cast("string"), F.lit('</span><a class="posting_subject" href="/p/'), i.cast("string"), F.lit('"> subject '), i.cast("string"), F.lit("</a></li>"))
     full = lambda i: F.concat(F.lit('<div class="posting"><div class="text"><p>said '), i.cast("string"), F.lit("</p></div></div>"))
     posts = F.when(n == 3, F.concat(F.lit("<ul>"), _each(listed, 4), F.lit("</ul>"))).otherwise(_each(full, 4))
