@@ -128,10 +128,16 @@ def identifier_search(queries: DataFrame, index: DataFrame, most: int = MOST_FOU
 
     An identifier must share at least half of a query's pieces; those that begin with the query go first, then those that
     share more, then shorter labels, then smaller values.  Queries and identifiers meet by pieces, so no query scans all
-    names.  Queries of less than two signs find nothing."""
+    names; only as many of a query's rarest pieces are looked up as one that shares half of them cannot do without, and what
+    meets is counted in full.  Queries of less than two signs find nothing."""
     asked = queries.select("query_id", F.trim(text.fold(F.col("q"))).alias("folded_q")).where(F.length("folded_q") >= LEAST_QUERY).withColumn("pieces", grams(F.col("folded_q")))
-    pieces = asked.select("query_id", "folded_q", F.size("pieces").alias("n"), F.explode("pieces").alias("gram"))
-    shared = pieces.join(index, "gram").groupBy("query_id", "value", "label").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first(F.startswith(F.col("folded"), F.col("folded_q"))).alias("begins"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("begins"), F.desc("shared"), F.length("label"), "value")
-    ranked = shared.where(F.col("shared") * 2 >= F.col("n")).withColumn("position", F.row_number().over(order))
-    return ranked.where(F.col("position") <= most).select("query_id", "position", "value", "label")
+    texts = asked.select("folded_q", "pieces").distinct().withColumn("n", F.size("pieces"))  # equal queries are answered once
+    common = index.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    pieces = texts.select("folded_q", "n", F.explode("pieces").alias("gram")).join(common, "gram", "left")
+    # of n pieces half are shared, so one at least of any n // 2 + 1: the rarest are looked up
+    rarest = pieces.withColumn("__r", F.row_number().over(Window.partitionBy("folded_q").orderBy(F.coalesce("names", F.lit(0)), "gram"))).where("__r <= n div 2 + 1 and names is not null")
+    met = rarest.select("folded_q", "gram").join(index, "gram").select("folded_q", "value", "label", "folded").distinct()
+    both = met.join(texts, "folded_q").withColumn("shared", F.size(F.array_intersect("pieces", grams(F.col("folded"))))).withColumn("begins", F.startswith("folded", "folded_q"))
+    order = Window.partitionBy("folded_q").orderBy(F.desc("begins"), F.desc("shared"), F.length("label"), "value")
+    ranked = both.where(F.col("shared") * 2 >= F.col("n")).withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
+    return asked.select("query_id", "folded_q").join(ranked, "folded_q").select("query_id", "position", "value", "label")
