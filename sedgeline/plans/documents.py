@@ -20,7 +20,7 @@ def bases(c: Catalog) -> DataFrame:
 
 @query("page_title", "SELECT page_id, replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages WHERE contains(html, '<title>')", views=False)
 def page_title(c: Catalog) -> DataFrame:
-    return tree(c).where((F.col("tag") == "#text") & F.map_contains_key("within", F.lit("title"))).groupBy("page_id").agg(F.min_by("text", "pos").alias("title"))
+    return pages.titles(c.table("pages"))
 
 
 @query("page_links", "SELECT page_id, unnest(regexp_extract_all(replace(html, '&amp;', '&'), '<a href=\"([^\"]*)\"', 1)) AS href FROM pages", views=False)

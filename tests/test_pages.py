@@ -123,3 +123,9 @@ def test_blocks_of_any_depth_are_rebuilt_and_loops_are_an_error(spark):
     loop = spark.createDataFrame([("a", 1, "b", 0, "p", ""), ("b", 1, "a", 0, "p", ""), ("r", 1, None, 0, "p", "")], rows.schema)
     with pytest.raises(ValueError):
         pages.rebuilt_tree(loop)
+
+
+def test_titles_decode_three_codes_once_and_in_order(spark):
+    html = ["<title>a &amp;lt; &quot;b&quot; &amp</title>", "<title></title><title>late</title>", "<title>cut", "<p>none</p>", None, "<svg><title>x<b>y</title>"]
+    rows = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    assert {r.page_id: r.title for r in pages.titles(rows).collect()} == {0: "a &lt; &quot;b&quot; &amp", 1: "", 2: "cut", 5: "x"}
