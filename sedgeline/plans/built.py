@@ -31,8 +31,9 @@ def built(c: Catalog) -> DataFrame:
     return c.spread("customer").select(_k().alias("page_id"), parts.alias("html"))
 
 
-def tree(c: Catalog) -> DataFrame:
-    return pages.nodes(built(c), stored=False)
+def tree(c: Catalog, *tags: str) -> DataFrame:
+    """Nodes of the pages, or those of the tags that are read."""
+    return pages.nodes(built(c), stored=False, tags=tags)
 
 
 def bases(c: Catalog) -> DataFrame:
@@ -41,23 +42,23 @@ def bases(c: Catalog) -> DataFrame:
 
 @query("page_feed_link", "SELECT c_custkey AS page_id, 'http://site.example/dir/feed/' || c_custkey AS url FROM customer", views=False)
 def page_feed_link(c: Catalog) -> DataFrame:
-    return pages.feed_link(tree(c), bases(c))
+    return pages.feed_link(tree(c, "link"), bases(c))
 
 
 @query("page_icon", "SELECT c_custkey AS page_id, '/t' || c_custkey || '.png' AS icon FROM customer", views=False)
 def page_icon(c: Catalog) -> DataFrame:
-    return pages.best_icon(tree(c))
+    return pages.best_icon(tree(c, "link"))
 
 
 @query("page_header_image", "SELECT c_custkey AS page_id, 'http://cdn.example/og' || c_custkey || '.jpg' AS image FROM customer", views=False)
 def page_header_image(c: Catalog) -> DataFrame:
-    return pages.header_image(tree(c), bases(c))
+    return pages.header_image(tree(c, "meta", "img"), bases(c))
 
 
 @query("page_embeds", """
     SELECT c_custkey AS page_id, url, provider FROM customer, LATERAL (VALUES ('https://www.youtube.com/embed/video' || c_custkey || 'abc', 'youtube'), ('https://bad.example/x', 'generic'), ('https://x.com/u/status/' || c_custkey, 'twitter')) t(url, provider)""", views=False)
 def page_embeds(c: Catalog) -> DataFrame:
-    return pages.embeds(tree(c)).drop("pos")
+    return pages.embeds(tree(c, "iframe", "a")).drop("pos")
 
 
 @query("page_empty_elements", """
@@ -68,14 +69,14 @@ def page_empty_elements(c: Catalog) -> DataFrame:
 
 @query("page_discussion", "SELECT c_custkey AS page_id, 'http://site.example/talk/' || c_custkey AS url FROM customer", views=False)
 def page_discussion(c: Catalog) -> DataFrame:
-    return pages.discussion_link(tree(c), bases(c))
+    return pages.discussion_link(tree(c, "script", "#text", "a"), bases(c))
 
 
 @query("page_resolved_links", """
     SELECT c_custkey AS page_id, href, url FROM customer, LATERAL (VALUES ('?page=3', 'http://site.example/dir/' || c_custkey || '?page=3'), ('?page=2', 'http://site.example/dir/' || c_custkey || '?page=2'), ('?page=3', 'http://site.example/dir/' || c_custkey || '?page=3'),
         ('a/' || c_custkey || '?q#f', 'http://site.example/dir/a/' || c_custkey || '?q#f'), ('javascript:z()', ''), ('https://x.com/u/status/' || c_custkey, 'https://x.com/u/status/' || c_custkey)) t(href, url)""", views=False)
 def page_resolved_links(c: Catalog) -> DataFrame:
-    return pages.links(tree(c), bases(c)).drop("pos")
+    return pages.links(tree(c, "a"), bases(c)).drop("pos")
 
 
 @query("page_cleaned", """
