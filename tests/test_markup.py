@@ -43,3 +43,9 @@ def test_only_the_tags_that_are_read_are_written(spark):
     made = spark.createDataFrame([(1, '<p>a<a href="x">b</a></p>'), (2, "<p>none</p>"), (3, None)], "page_id long, html string")
     every = pages.nodes(made, stored=False).where("tag IN ('a', '#text')")
     assert sorted(map(str, pages.nodes(made, stored=False, tags=("a", "#text")).collect())) == sorted(map(str, every.collect()))
+
+
+def test_generated_methods_stay_within_what_the_jvm_compiles(spark):
+    spark.conf.set(pages.LIMIT, "65535")
+    pages.nodes(spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string"), stored=False)
+    assert int(spark.conf.get(pages.LIMIT)) <= 8000
