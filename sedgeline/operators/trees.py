@@ -30,6 +30,7 @@ PROVIDERS = ("youtube", "dailymotion", "tweet", "video", "generic")
 STYLES = ("bold", "italic", "code", "strikethrough")
 VERSION = 1
 BUCKETS = 64
+READ_ROWS = 5000  # of many small documents, sent on together
 
 STORED = f"article_id long, block_id string, parent_id string, position int, kind string, level int, ordered boolean, runs array<{RUN}>, text string, image_ref string, embed_provider string, embed_url string, thumbnail string, title string, language string"
 _COLUMNS = [c.split()[0] for c in STORED.replace(f"array<{RUN}>", "x").split(", ")]
@@ -226,8 +227,14 @@ def read_documents(docs: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            held: list[dict] = []
             for article, document in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if document.is_valid:
-                    yield pa.RecordBatch.from_pylist(list(decoded(article, document.as_py())), schema=schema)
+                    held += decoded(article, document.as_py())
+                if len(held) > READ_ROWS:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return docs.select(F.col("article_id").cast("long"), "document").mapInArrow(read, STORED)
