@@ -14,13 +14,15 @@ one-bit segments, whose cells have one axis left open around a centre.  Any two
 such a cell; it has at most 65 fingerprints, all within two bits of each other, so a star links them.
 
 *Of a given similarity* (:func:`similar_classes`, :func:`drop_similar_copies`).  Shingle and similarity are parameters.
-Fingerprints have ``WIDE`` bits here; similarity 0.8 is about 15 in 100 of them, which no grid holds for sure.  So there are several grids, each of a bit
-permutation of its own; their number follows from the similarity, the wanted recall and, by its logarithm, the number of
-texts.  In the order of a grid's axes a cell is a run; each fingerprint meets its ``WINDOW`` neighbours on either side, so
-cells of up to that size are joined whole, and larger ones by parts that agree on further axes.  Pairs under the Manhattan
-bound and then within the bits are verified by the Jaccard similarity of the texts' own shingles.
-
-Equal fingerprints are collapsed first, so a group of copies of any size is one node.
+Fingerprints have ``WIDE`` bits here.  For ``NEAR_ROUNDS`` rounds there are grids, each of a bit permutation of its own.  In
+the order of a grid's axes a cell is a run; each fingerprint meets its ``WINDOW`` neighbours on either side, and the nearest
+one under the Manhattan bound and then within the bits is verified by the Jaccard similarity of the texts' own shingles.
+Similarity 0.8 is about 15 in 100 bits, which no grid holds for sure, so what neighbours miss is found exactly:
+two sets of this similarity share some of the first shingles of both, in any order of all shingles (:func:`_meeting`).  Texts
+of different components that meet in so many, and whose sizes and places allow the similarity, are verified, all of
+them.  Shingles of many components, by a sample of the texts, are last in that order; nothing but the work rests on it.
+
+Equal fingerprints, or equal sets of shingles, are collapsed first, so a group of copies of any size is one node.
 Defined results: words are runs of anything but ASCII white space; A-Z are lower-cased; a null text is empty; no word
 gives fingerprint zero, which links like any other.  A row without an id takes the component of the rows with its
 fingerprint; a fingerprint that only such rows have is no node, and its component is null.  Rows that repeat are all
@@ -49,8 +51,8 @@ BITS_APART = 2
 CELL = 64
 WIDE = 512
 WINDOW = 16
-RECALL = 0.97
-NEAR_ROUNDS, NEAR_GRIDS = 3, 8
+NEAR_ROUNDS, NEAR_GRIDS = 2, 8
+SAMPLED, FREQUENT, MOST_FREQUENT, MEET = 16, 4, 1 << 16, 4
 _CHUNK = 1 << 16
 
 
@@ -137,7 +139,10 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def wide_fingerprint(text: str | None, shingle: int) -> bytes:
     """SimHash of ``WIDE`` bits over distinct shingles."""
-    h = shingle_hashes(text, shingle)
+    return _wide(shingle_hashes(text, shingle))
+
+
+def _wide(h: np.ndarray) -> bytes:
     ones = np.zeros(WIDE, np.int64)
     for i in range(0, len(h), _CHUNK):
         words = []
@@ -155,19 +160,6 @@ def apart(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _axis_agrees(similarity: float) -> float:
-    """Chance that two texts of a similarity have the same count in a two-bit segment."""
-    p = apart(similarity)
-    return (1 - p) ** 2 + p * p / 2
-
-
-def grids_needed(n: int, similarity: float, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Grids in which pairs of ``similarity`` are neighbours at least once with probability ``recall``, among ``n`` random
-    others, of which 3 in 8 agree on an axis."""
-    near = _axis_agrees(similarity) ** max(1.0, math.log(max(2, n) / window) / math.log(8 / 3))
-    return math.ceil(math.log(1 - recall) / math.log(1 - near))
-
-
 def _unary(bits: np.ndarray) -> np.ndarray:
     """Rows of bits to the counts of their two-bit segments in unary code, packed."""
     a, b = bits[:, 0::2], bits[:, 1::2]
@@ -182,15 +174,18 @@ def bits_within(similarity: float) -> int:
 
 
 def _nodes(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct wide fingerprints ``rid, fp`` (the first text that has each), and pairs ``a, b`` of these and the others."""
+    """Distinct sets of shingles ``rid, fp`` (the first text that has each, and its wide fingerprint), and pairs ``a, b`` of
+    these and the others."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scratch.small_batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.binary())], names=["rid", "fp"])
+            sets = [shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
+            marks = [xxhash.xxh64_intdigest(np.sort(h).tobytes(), SEED) for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_wide(h) for h in sets], pa.binary()), pa.array(np.array(marks, np.uint64).view(np.int64))], names=["rid", "fp", "set"])
 
-    marked = scratch.table(texts.select("rid", "text").mapInArrow(prints, "rid long, fp binary"), "wide-prints")
-    nodes = scratch.table(marked.groupBy("fp").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n")), "wide-nodes")
-    copies = marked.join(nodes.where("n > 1").select("fp", F.col("rid").alias("a")), "fp").where("rid <> a").select("a", F.col("rid").alias("b"))
+    marked = scratch.table(texts.select("rid", "text").mapInArrow(prints, "rid long, fp binary, set long"), "wide-prints")
+    nodes = scratch.table(marked.groupBy("fp", "set").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n")), "wide-nodes")
+    copies = marked.join(nodes.where("n > 1").select("fp", "set", F.col("rid").alias("a")), ["fp", "set"]).where("rid <> a").select("a", F.col("rid").alias("b"))
     return nodes.select("rid", "fp"), copies
 
 
@@ -199,9 +194,9 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE // 8)
 
 
-def _neighbours(nodes: DataFrame, grids: range, radius: int, window: int, nearest: bool) -> DataFrame:
-    """From ``rid, comp, fp``: pairs ``(a, b)`` of different ``comp`` that are within the window in one of the grids and
-    within the radius; if ``nearest``, of each fingerprint only the nearest."""
+def _neighbours(nodes: DataFrame, grids: range, radius: int, window: int) -> DataFrame:
+    """From ``rid, comp, fp``: pairs ``(a, b)`` of each fingerprint and the nearest one of a different ``comp`` that is
+    within the window in one of the grids and within the radius."""
     picks = [(k, np.random.default_rng([SEED, k]).permutation(WIDE)[:64]) for k in grids]  # so many axes order any number of texts
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,35 +223,74 @@ def _neighbours(nodes: DataFrame, grids: range, radius: int, window: int, neares
                 bits = np.bitwise_count(words[i] ^ words[i + k]).sum(axis=1, dtype=np.int32)
                 i, bits = i[bits <= radius], bits[bits <= radius]
                 found.append(np.stack([i, i + k, bits], axis=1))
-            held = [x[-window:] for x in (grid, rid, comp, words)]
+            held = [x[max(0, len(x) - window) :] for x in (grid, rid, comp, words)]
             pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-            if nearest and len(pairs):
+            if len(pairs):
                 both = np.concatenate([pairs, pairs[:, [1, 0, 2]]])
                 both = both[np.lexsort((both[:, 1], both[:, 2], both[:, 0]))]
                 pairs = both[np.concatenate(([True], both[1:, 0] != both[:-1, 0]))]
-            if len(pairs):
-                x, y = rid[pairs[:, 0]], rid[pairs[:, 1]]
-                out = (x, y) if nearest else (np.minimum(x, y), np.maximum(x, y))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(pairs[:, 2].astype(np.int32))], names=["a", "b", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid[pairs[:, 0]]), pa.array(rid[pairs[:, 1]]), pa.array(pairs[:, 2].astype(np.int32))], names=["a", "b", "bits"])
 
     schema = "grid int, key long, rid long, comp long, fp binary"
     rows = nodes.select("rid", "comp", "fp").mapInArrow(ordered, schema).repartitionByRange("grid", "key").sortWithinPartitions("grid", "key", "rid")
     pairs = rows.mapInArrow(joined, "a long, b long, bits int")
-    if nearest:
-        return pairs.groupBy("a").agg(F.min_by(F.struct("b", "bits"), F.struct("bits", "b")).alias("n")).select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b")).distinct()
-    return pairs.select("a", "b").distinct()
+    return pairs.groupBy("a").agg(F.min_by(F.struct("b", "bits"), F.struct("bits", "b")).alias("n")).select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b")).distinct()
 
 
-def candidate_pairs(texts: DataFrame, shingle: int, similarity: float, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
-    """From ``rid, text``: pairs ``(a, b)``, ``a < b``, whose wide fingerprints may be of this similarity, found in one of
-    several grids; texts with equal fingerprints are paired with the first of them.
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), np.bool_)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
-    A fingerprint has at most ``2 * window`` neighbours in a grid, however many near copies it has, and there are more
-    grids the more texts there are, so that recall does not fall.  Neighbours on both sides of a partition's border are
-    not seen in that grid."""
-    nodes, copies = _nodes(texts, shingle)
-    grids = range(grids_needed(nodes.count(), similarity, window, recall))
-    return _neighbours(nodes.withColumn("comp", F.col("rid")), grids, bits_within(similarity), window, False).unionByName(copies)
+
+def _first(texts: DataFrame, shingle: int, similarity: float, late: np.ndarray) -> DataFrame:
+    """From ``rid, text``: ``token, rid, size, place`` of the first shingles of each text, those in ``late`` being last in the
+    order: so many that a set of this similarity, which has the same order, has ``MEET`` of these among its own first, or all
+    that both share."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in scratch.small_batches(batches):
+            sets = [shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            taken = np.minimum(sizes, sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + MEET)
+            kept = [h[np.lexsort((h, _among(h, late)))[:n]] for h, n in zip(sets, taken.tolist(), strict=True)]
+            places = [np.arange(n, dtype=np.int32) for n in taken.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([*kept, late[:0]]).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), taken))), pa.array(np.repeat(sizes, taken).astype(np.int32)), pa.array(np.concatenate([*places, np.zeros(0, np.int32)]))],
+                names=["token", "rid", "size", "place"],
+            )
+
+    return texts.select("rid", "text").mapInArrow(first, "token long, rid long, size int, place int")
+
+
+def _late(texts: DataFrame, comps: DataFrame, shingle: int, sampled: int, frequent: int) -> np.ndarray:
+    """Sorted shingles that stand in ``frequent`` components of one in ``sampled`` texts, ``MOST_FREQUENT`` of them at most.
+    They only order the shingles: see :func:`_first`."""
+    tokens = _first(texts.where(F.pmod(F.xxhash64("rid"), F.lit(sampled)) == 0), shingle, 0.0, np.zeros(0, np.uint64))
+    found = tokens.join(comps, "rid").groupBy("token").agg(F.count_distinct("comp").alias("n")).where(F.col("n") >= frequent)
+    return np.sort(found.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _meeting(texts: DataFrame, comps: DataFrame, shingle: int, similarity: float, sampled: int = SAMPLED, frequent: int = FREQUENT) -> DataFrame:
+    """All pairs ``(a, b)`` of the texts ``rid, text`` in different components ``rid, comp`` that may have this similarity:
+    ``MEET`` of their first shingles are the same (or as many as must be), and what follows there is long enough in both for
+    the shared ones needed.  A shingle within one component is left out, however often it stands there, and the others are expanded by pairs of
+    components."""
+    tokens = _first(texts, shingle, similarity, _late(texts, comps, shingle, sampled, frequent)).repartition("token")
+    several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    shared = scratch.table(tokens.join(several, "token").join(comps, "rid"), "near-shared").select("token", "rid", "size", "place", "comp")
+    mixed = shared.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
+    shared = scratch.table(shared.join(mixed, "token"), "near-mixed")
+    groups = shared.select("token", "comp").distinct()
+    met = groups.withColumnRenamed("comp", "a_comp").join(groups.withColumnRenamed("comp", "b_comp"), "token").where("a_comp < b_comp")
+    sides = [shared.select("token", *[F.col(n).alias(f"{c}_{n}") for n in ("comp", "rid", "size", "place")]) for c in "ab"]
+    least = similarity / (1 + similarity)
+    pairs = met.join(sides[0], ["token", "a_comp"]).join(sides[1], ["token", "b_comp"])
+    needed = (F.col("a_size") + F.col("b_size")) * F.lit(least) - 1e-6
+    pairs = pairs.where(F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) >= needed - (MEET - 1))
+    pairs = pairs.groupBy(F.least("a_rid", "b_rid").alias("a"), F.greatest("a_rid", "b_rid").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(needed).alias("needed"))
+    return pairs.where((F.col("n") >= MEET) | (F.col("n") >= F.col("needed"))).select("a", "b")
 
 
 def _axes_of(words: np.ndarray) -> np.ndarray:
@@ -270,10 +304,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scratch.small_batches(batches):
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = shingle_hashes(x.as_py(), shingle), shingle_hashes(y.as_py(), shingle)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            keep, sets = [], {}  # each text of a batch is hashed once
+            for i, j, x, y in zip(*(b.column(c) for c in range(4)), strict=True):
+                i, j = i.as_py(), j.as_py()
+                for k, t in ((i, x), (j, y)):
+                    if k not in sets:
+                        sets[k] = np.sort(shingle_hashes(t.as_py(), shingle))
+                x, y = sets[i], sets[j]
+                both = int(_among(x, y).sum())
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -281,27 +319,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_text", "b_text").mapInArrow(verified, "a long, b long")
 
 
-def similar_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, **options) -> DataFrame:
-    """Candidate pairs of ``rid, text`` whose distinct shingles have this Jaccard similarity or more: ``a, b``, each verified."""
-    return _verified(scratch.table(candidate_pairs(texts, shingle, similarity, **options), "near-candidates"), texts, shingle, similarity)
-
-
-def similar_classes(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
-    """``node, component`` of the rows ``rid, text`` that verified pairs connect.
+def similar_classes(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, window: int = WINDOW, **order: int) -> DataFrame:
+    """``node, component`` of the rows ``rid, text`` that pairs of the similarity connect, none being lost.
 
     First, for ``NEAR_ROUNDS`` rounds, each fingerprint is held against its nearest one outside its component alone, in a
     few grids.  This joins most of a group of any size by some comparisons a text instead of pairs by the square.  Then
-    all grids' pairs between what is still apart are verified."""
+    all pairs that meet between what is still apart are verified (:func:`_meeting`, which ``order`` goes to)."""
     nodes, copies = _nodes(texts, shingle)
-    grids, radius = grids_needed(nodes.count(), similarity, window, recall), bits_within(similarity)
-    links = scratch.table(_verified(copies, texts, shingle, similarity), "near-links")
+    radius, links = bits_within(similarity), scratch.table(copies, "near-links")
     now = nodes.withColumn("comp", F.col("rid"))
     for r in range(NEAR_ROUNDS):
-        pairs = _neighbours(now, range(r * NEAR_GRIDS, (r + 1) * NEAR_GRIDS), radius, window, True)
+        pairs = _neighbours(now, range(r * NEAR_GRIDS, (r + 1) * NEAR_GRIDS), radius, window)
         links = links.unionByName(scratch.table(_verified(scratch.table(pairs, "near-pairs"), texts, shingle, similarity), "near-links"))
         found = components(links.toDF("u", "v")).withColumnRenamed("node", "rid")
         now = scratch.table(nodes.join(found, "rid", "left").select("rid", "fp", F.coalesce("component", "rid").alias("comp")), "near-nodes")
-    rest = scratch.table(_neighbours(now, range(grids), radius, window, False), "near-pairs")
+    rest = scratch.table(_meeting(texts, now.select("rid", "comp"), shingle, similarity, **order), "near-pairs")
     return components(links.unionByName(scratch.table(_verified(rest, texts, shingle, similarity), "near-links")).toDF("u", "v"))
 
 

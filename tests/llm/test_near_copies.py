@@ -83,3 +83,29 @@ def test_wide_fingerprints_tell_similarity():
         want = simhash.apart(len(x & y) / len(x | y)) * simhash.WIDE
         assert len(a) == simhash.WIDE and abs(int((a != b).sum()) - want) <= 4 * want**0.5
     assert simhash.wide_fingerprint(None, 5) == bytes(simhash.WIDE // 8)
+
+
+def test_no_pair_is_lost_whatever_the_window_and_the_order(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    often, rows = [word() for _ in range(30)], []
+    for i in range(150):
+        base = [*often, *(word() for _ in range(70 + i % 50))] if i % 2 else [word() for _ in range(100)]
+        for k in range(3):
+            copy = list(base)
+            for at in range(34, 34 + 6 * (k * (1 + i % 5) // 2), 6):
+                copy[at] = word()
+            rows.append((3 * i + k, " ".join(copy)))
+    sets, top = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for i in sets:
+        for j in range(i):
+            if top[i] != top[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = sorted((top[i], top[j]))
+                top = {k: x if v == y else v for k, v in top.items()}
+    top |= {800: 800, 803: 803}
+    short = [(800, "one two three four five six seven eight nine"), (801, "two three four five six seven eight nine"), (802, "a b"), (803, "a b c")]
+    top[802] = 802
+    df = spark.createDataFrame([*rows, *short, (900, rows[1][1].upper())], "doc_id long, text string").repartition(7)
+    for options in ({}, {"window": 0}, {"window": 1, "sampled": 2, "frequent": 2}):
+        assert sorted(r.doc_id for r in drop_similar_copies(df, **options).collect()) == sorted(set(top.values())), options
+    assert len(rows) // 3 < len(set(top.values())) < len(rows)
