@@ -64,9 +64,10 @@ def trimmed(tree: DataFrame, blocks: tuple[str, ...] = ("p", "li", "h1", "h2", "
 
 def page_numbers(tree: DataFrame, selectors: tuple[str, ...], pattern: str = r"(?:[?&]page=|/)([0-9]+)/?$") -> DataFrame:
     """``page_id, numbers`` of a pager's links, sorted, each once, always with 1."""
-    found = pages.inside_selected(tree, selectors).where("tag = 'a'").select("page_id", F.regexp_extract(pages.attr("href"), pattern, 1).try_cast("int").alias("n")).where("n > 0")
-    lists = found.groupBy("page_id").agg(F.collect_set("n").alias("n"))
-    return tree.select("page_id").distinct().join(lists, "page_id", "left").select("page_id", F.array_sort(F.array_union(F.array(F.lit(1)), F.coalesce("n", F.array().cast("array<int>")))).alias("numbers"))
+    rows = pages.marked(tree, selectors).withColumn("__in", pages.within_hit(F.col("__hit")))
+    n = F.when(F.col("__in") & (F.col("tag") == "a"), F.regexp_extract(pages.attr("href"), pattern, 1).try_cast("int"))
+    lists = rows.select("page_id", n.alias("n")).groupBy("page_id").agg(F.collect_set(F.when(F.col("n") > 0, F.col("n"))).alias("n"))
+    return lists.select("page_id", F.array_sort(F.array_union(F.array(F.lit(1)), "n")).alias("numbers"))
 
 
 def merged_pages(parts: DataFrame) -> DataFrame:

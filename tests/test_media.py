@@ -54,3 +54,10 @@ def test_top_comments(spark):
     df = spark.createDataFrame(rows, "video_id string, position int, body string")
     assert sorted((r.video_id, r.body) for r in media.top_comments(df, 2).collect()) == [("v", "a"), ("v", "c"), ("x", "e")]
     assert media.top_comments(df, 0).count() == 0 and media.top_comments(df.limit(0), 2).count() == 0
+
+
+def test_page_numbers_parse_each_page_once(spark):
+    rows = [(1, '<div class="p"><a href="/3/">3</a><a href="?page=2">2</a><a>no</a><a href="?page=0">0</a></div><a href="/9">9</a>'), (2, "<p>none</p>")]
+    found = media.page_numbers(pages.nodes(spark.createDataFrame(rows, "page_id long, html string"), stored=False), (".p",))
+    assert sorted((r.page_id, r.numbers) for r in found.collect()) == [(1, [1, 2, 3]), (2, [1])]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
