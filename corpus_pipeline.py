@@ -3,7 +3,8 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept, row by row: ids may be missing or
 repeated.  All but the last return the
 columns of ``documents``.  Between stages the rows are written as Parquet to the shared scratch folder and read again.
-As a stage begins, the scratch tables of those before it are deleted, but for any that its own ``docs`` still read.
+As a stage begins, the scratch tables of those before it are deleted, but for any that its own ``docs`` still read, and the
+session's ``BATCH`` is set.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from sedgeline.llm.simhash import drop_similar_copies
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE, SIMILARITY = 5, 0.8
+#: What goes to a Python worker at once, at most: a batch of texts, or of pairs of these, is held by the JVM and by the worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 _done: list[tuple[str, str]] = []  # application and folder of stages whose scratch tables are still there
@@ -34,6 +37,8 @@ def _stage(stage: Stage) -> Stage:
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for name, most in BATCH.items():
+            spark.conf.set(name, most)
         app = spark.sparkContext.applicationId
         _done[:] = [(a, path) for a, path in _done if a == app and not scratch.drop(spark, path, docs)]
         with scratch.step(spark, stage.__name__) as path:
