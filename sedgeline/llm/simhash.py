@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgeline.llm import scratch
@@ -52,7 +52,7 @@ CELL = 64
 WIDE = 512
 WINDOW = 16
 NEAR_ROUNDS, NEAR_GRIDS = 2, 8
-SAMPLED, FREQUENT, MOST_FREQUENT, MEET = 16, 4, 1 << 16, 4
+SAMPLED, FREQUENT, MOST_FREQUENT, MEET, BEFORE = 16, 4, 1 << 16, 4, 8
 _CHUNK = 1 << 16
 
 
@@ -275,22 +275,32 @@ def _late(texts: DataFrame, comps: DataFrame, shingle: int, sampled: int, freque
 def _meeting(texts: DataFrame, comps: DataFrame, shingle: int, similarity: float, sampled: int = SAMPLED, frequent: int = FREQUENT) -> DataFrame:
     """All pairs ``(a, b)`` of the texts ``rid, text`` in different components ``rid, comp`` that may have this similarity:
     ``MEET`` of their first shingles are the same (or as many as must be), and what follows there is long enough in both for
-    the shared ones needed.  A shingle within one component is left out, however often it stands there, and the others are expanded by pairs of
-    components."""
+    the shared ones needed.  A shingle within one component is left out, however often it stands there; the others tell
+    which components meet (:func:`_met`), and the texts of these are compared by their first shingles."""
     tokens = _first(texts, shingle, similarity, _late(texts, comps, shingle, sampled, frequent)).repartition("token")
     several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
     shared = scratch.table(tokens.join(several, "token").join(comps, "rid"), "near-shared").select("token", "rid", "size", "place", "comp")
     mixed = shared.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
     shared = scratch.table(shared.join(mixed, "token"), "near-mixed")
-    groups = shared.select("token", "comp").distinct()
-    met = groups.withColumnRenamed("comp", "a_comp").join(groups.withColumnRenamed("comp", "b_comp"), "token").where("a_comp < b_comp")
-    sides = [shared.select("token", *[F.col(n).alias(f"{c}_{n}") for n in ("comp", "rid", "size", "place")]) for c in "ab"]
-    least = similarity / (1 + similarity)
-    pairs = met.join(sides[0], ["token", "a_comp"]).join(sides[1], ["token", "b_comp"])
-    needed = (F.col("a_size") + F.col("b_size")) * F.lit(least) - 1e-6
-    pairs = pairs.where(F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) >= needed - (MEET - 1))
-    pairs = pairs.groupBy(F.least("a_rid", "b_rid").alias("a"), F.greatest("a_rid", "b_rid").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(needed).alias("needed"))
-    return pairs.where((F.col("n") >= MEET) | (F.col("n") >= F.col("needed"))).select("a", "b")
+    met = _met(shared.select("token", "comp").distinct()).distinct()
+    items = F.array_sort(F.collect_list(F.struct("place", "token")))
+    kept = scratch.table(shared.groupBy("comp", "rid", "size").agg(items.alias("items")), "near-first")
+    sides = [kept.select(*[F.col(n).alias(f"{c}_{n}") for n in ("comp", "rid", "size", "items")]) for c in "ab"]
+    needed = (F.col("a_size") + F.col("b_size")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    early = lambda c: F.transform(F.filter(f"{c}_items", lambda x: F.col(f"{c}_size") - x["place"] >= needed - (MEET - 1)), lambda x: x["token"])
+    n = F.size(F.array_intersect(early("a"), early("b")))
+    far = F.least("a_size", "b_size") < needed  # too unlike in size
+    pairs = met.join(sides[0], "a_comp").join(sides[1], "b_comp").where(~far & (n >= F.least(F.lit(MEET), F.greatest(needed, F.lit(1)))))
+    return pairs.select(F.least("a_rid", "b_rid").alias("a"), F.greatest("a_rid", "b_rid").alias("b"))
+
+
+def _met(groups: DataFrame) -> DataFrame:
+    """Pairs ``(a_comp, b_comp)`` with a common ``token`` in ``token, comp``: the first that two have in common gives their
+    pair, and a later one does only if there is none among the ``BEFORE`` that either has just before it."""
+    before = Window.partitionBy("comp").orderBy("token").rowsBetween(-BEFORE, -1)
+    known = scratch.table(groups.withColumn("before", F.collect_list("token").over(before)), "near-groups")
+    a, b = (known.select("token", F.col("comp").alias(f"{c}_comp"), F.col("before").alias(f"{c}_before")) for c in "ab")
+    return a.join(b, (a["token"] == b["token"]) & (F.col("a_comp") < F.col("b_comp")) & ~F.arrays_overlap("a_before", "b_before")).select("a_comp", "b_comp")
 
 
 def _axes_of(words: np.ndarray) -> np.ndarray:

@@ -109,3 +109,35 @@ def test_no_pair_is_lost_whatever_the_window_and_the_order(spark):
     for options in ({}, {"window": 0}, {"window": 1, "sampled": 2, "frequent": 2}):
         assert sorted(r.doc_id for r in drop_similar_copies(df, **options).collect()) == sorted(set(top.values())), options
     assert len(rows) // 3 < len(set(top.values())) < len(rows)
+
+
+def test_pairs_of_a_large_group_are_made_once_not_by_each_shingle(spark):
+    """Components that share many tokens meet about once; none that share any is left out."""
+    rng, rows = random.Random(13), []
+    for c in range(120):
+        rows += [(t, c) for t in rng.sample(range(50), 40)] + [(1000 + c, c)]
+    rows += [(5000, 200), (5000, 201), (5001, 201), (5001, 202)]
+    groups = spark.createDataFrame(rows, "token long, comp long")
+    made = [tuple(r) for r in simhash._met(groups).collect()]
+    held = {}
+    for t, c in rows:
+        held.setdefault(c, set()).add(t)
+    assert set(made) == {(a, b) for a in held for b in held if a < b and held[a] & held[b]}
+    assert len(made) <= 1.1 * len(set(made))  # by each token it is about 32 times as many
+
+
+def test_meeting_pairs_are_those_that_share_enough_of_their_first_shingles(spark):
+    """Texts that are mostly the same, but not similar enough: each of their pairs that may be is given once."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(80):
+        copy = list(base)
+        for at in rng.sample(range(150), 5 + i % 3):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    texts = spark.createDataFrame(rows, "rid long, text string")
+    made = [tuple(r) for r in simhash._meeting(texts, texts.selectExpr("rid", "rid % 60 AS comp"), 5, 0.8, sampled=2).collect()]
+    sets = {i: shingles(t) for i, t in rows}
+    similar = {(i, j) for j in sets for i in range(j) if i % 60 != j % 60 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(made) == len(set(made)) and similar <= set(made) and all(a < b and a % 60 != b % 60 for a, b in made)
