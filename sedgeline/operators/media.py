@@ -75,22 +75,29 @@ def merged_pages(parts: DataFrame) -> DataFrame:
     return parts.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("number", "plain_text"))).alias("p")).select("article_id", text.join_parts(F.transform("p", lambda x: x["plain_text"])).alias("plain_text"))
 
 
-def _inner_text(tree: DataFrame, items: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """Text of the first found element within each item."""
-    pos = F.col("pos")
-    holder = F.array_max(F.transform(F.filter("places", lambda p: (pos > p["pos"]) & (pos <= p["last"])), lambda p: p["pos"]))
-    inside = found.join(pages.places(items), "page_id").select("page_id", "pos", "last", holder.alias("item")).where("item is not null")
-    first = inside.groupBy("page_id", "item").agg(F.min(F.struct("pos", "last")).alias("at"))
-    words = tree.where("tag = '#text'").select("page_id", "pos", "text").join(first, "page_id").where((pos > F.col("at.pos")) & (pos <= F.col("at.last")))  # a page's own items and texts
-    return words.groupBy("page_id", "item").agg(text.strip(text.collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), ""))).alias(name))
+def _inner_text(at: str, name: str) -> Column:
+    """Of an item's nodes: text of those that lie in the element ``at``; null without any."""
+    inside = (F.col("tag") == "#text") & (F.col("pos") > F.col(f"{at}.pos")) & (F.col("pos") <= F.col(f"{at}.last"))
+    words = F.transform(F.array_sort(F.collect_list(F.when(inside, F.struct("pos", "text")))), lambda x: x["text"])
+    return F.when(F.count_if(inside) > 0, text.strip(text.collapse(F.array_join(words, "")))).alias(name)
 
 
 def comments(tree: DataFrame, items: tuple[str, ...], authors: tuple[str, ...], bodies: tuple[str, ...], n: int) -> DataFrame:
-    """``page_id, position, author, body`` of a page's first ``n`` comment elements; those without a body are dropped after."""
-    found = pages.outermost(pages.select(tree, items)).withColumn("position", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("position") <= n)
-    rows = found.select("page_id", F.col("pos").alias("item"), "position")
-    author, body = (_inner_text(tree, found, pages.select(tree, s), name) for s, name in ((authors, "author"), (bodies, "body")))
-    return rows.join(author, ["page_id", "item"], "left").join(body, ["page_id", "item"], "left").where("body <> ''").select("page_id", "position", F.coalesce("author", F.lit("Unknown")).alias("author"), "body")
+    """``page_id, position, author, body`` of a page's first ``n`` comment elements; those without a body are dropped after.
+
+    Nodes are dealt once, by page, without their attributes: each gets the outermost item around it by a running value, and
+    of each item's nodes the first author and the first body."""
+    rows = pages.marked(pages.marked(pages.marked(tree, items, "__item"), authors, "__author"), bodies, "__body")
+    rows = rows.select("page_id", "pos", "last", "tag", F.when(F.col("tag") == "#text", F.col("text")).alias("text"), "__item", "__author", "__body")
+    along = Window.partitionBy("page_id").orderBy("pos")
+    rows = rows.withColumn("__head", F.col("__item") & ~pages.within_hit(F.col("__item"), False))
+    head = F.last(F.when(F.col("__head"), F.struct("pos", "last")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    place = F.count_if("__head").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"head": head, "position": place.cast("int")}).where((F.col("head.last") >= F.col("pos")) & (F.col("position") <= n))
+    first = lambda hit: F.min(F.when(F.col(hit) & (F.col("pos") > F.col("head.pos")), F.struct("pos", "last"))).over(Window.partitionBy("page_id", "position"))
+    rows = rows.withColumns({"author_at": first("__author"), "body_at": first("__body")})
+    made = rows.groupBy("page_id", "position").agg(_inner_text("author_at", "author"), _inner_text("body_at", "body"))
+    return made.where("body <> ''").select("page_id", "position", F.coalesce("author", F.lit("Unknown")).alias("author"), "body")
 
 
 # --- JSON posts

@@ -138,7 +138,7 @@ def page_numbers(c: Catalog) -> DataFrame:
 @query("page_comment_elements", """
     SELECT c_custkey AS page_id, position, author, body FROM customer, LATERAL (VALUES (1, 'User ' || c_custkey, 'First of ' || c_name), (3, 'Unknown', 'Third')) t(position, author, body)""", views=False)
 def page_comment_elements(c: Catalog) -> DataFrame:
-    return media.comments(pages.nodes(built(c)), (".c",), (".u",), (".b",), 5)
+    return media.comments(pages.nodes(built(c), stored=False, within=False), (".c",), (".u",), (".b",), 5)
 
 
 @query("site_rules", """
