@@ -89,7 +89,9 @@ def page_cleaned(c: Catalog) -> DataFrame:
 @query("page_notes", "SELECT c_custkey AS page_id, 'a[href:a/' || c_custkey || '?q#f] a[] a[href:https://x.com/u/status/' || c_custkey || ']' AS links, 2 AS images FROM customer", views=False)
 def page_notes(c: Catalog) -> DataFrame:
     """Links of articles after the cleaning that comments get; its data image has an unsafe address."""
-    notes = pages.clean_notes(pages.inside_selected(tree(c), ("article",)))
+    tree = pages.nodes(built(c), stored=False, within=False)
+    read = tree.select("page_id", "pos", "last", "tag", F.when(F.col("tag").isin("a", "img"), F.col("attrs")).alias("attrs"))
+    notes = pages.clean_notes(pages.inside_selected(read, ("article",)))
     link = F.concat(F.lit("a["), F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ","), F.lit("]"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == "a", F.struct("pos", link.alias("l"))))), lambda x: x["l"]), " ")
     return notes.groupBy("page_id").agg(rows.alias("links"), (F.count_if(F.col("tag") == "img") + 1).cast("int").alias("images"))

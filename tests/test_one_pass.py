@@ -1,6 +1,7 @@
 """Queries over pages deal out their nodes as seldom as they can."""
 
 from sedgeline.catalog import Catalog
+from sedgeline.functions import markup
 from sedgeline.operators import media, pages
 from sedgeline.plans import built
 
@@ -25,3 +26,10 @@ def test_comment_elements_within_others_before_and_after(spark):
     tree = pages.nodes(spark.createDataFrame([(1, html), (2, None), (3, "<p>no comment</p>")], "page_id long, html string"), stored=False, within=False)
     got = [tuple(r) for r in media.comments(tree, (".c",), (".u",), (".b",), 5).collect()]
     assert sorted(got) == [(1, 1, "", "one x"), (1, 5, "Unknown", "fifth")]
+
+
+def test_notes_need_no_way_around_their_nodes(spark, monkeypatch):
+    asked, real = [], markup.batches_of
+    monkeypatch.setattr(markup, "batches_of", lambda tags, within=True: asked.append(within) or real(tags, within))
+    plan = plan_of(built.page_notes(Catalog(spark, SF)))
+    assert asked == [False] and plan.count("Exchange hashpartitioning(page_id") == 1
