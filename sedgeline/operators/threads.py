@@ -2,7 +2,7 @@
 
 A dialect is a row of selectors.  Along the page each comment finds the next author, time and text element within itself,
 and each text node the element of such a kind that it lies in, by running values; what they say is grouped by element and
-joined to the comments by its place.  Texts are written as HTML again by sorting the starts and ends of their elements.
+joined to the comments by its place.  The comments and the elements found in them are stored, as several steps read them.  Texts are written as HTML again by sorting the starts and ends of their elements.
 
 Defined results: the first ``most`` comment elements count, those without a text are left out after that; an author that is
 absent or blank is ``Unknown``; a comment's text is cleaned as show notes are.  Pages without a thread have no row.
@@ -11,10 +11,12 @@ absent or blank is ``Unknown``; a comment's text is cleaned as show notes are.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedgeline import scratch
 from sedgeline.functions import markup, text
 from sedgeline.operators import markdown, pages
 
@@ -69,19 +71,21 @@ def inner_html(tree: DataFrame, heads: DataFrame, whole: bool = True) -> DataFra
     return every.select("page_id", "head", F.array_join(F.transform("e", lambda e: e["x"]), "").alias("html"))
 
 
-def _first_of(tree: DataFrame, items: DataFrame, selectors: tuple[str, ...], name: str) -> DataFrame:
-    """``page_id, item, name`` (its ``pos, last``, attributes): for each item the first element in it of the first of the
-    selectors that finds any."""
-    back = Window.partitionBy("page_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+def _first_of(tree: DataFrame, items: DataFrame, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``page_id, item`` and, for each name of ``wanted``, the first element in the item (its ``pos, last``, attributes) of
+    the first of the name's selectors that finds any, or null.  One pass over the pages for all of them."""
+    marks = {(name, s): f"__m{i}" for i, (name, s) in enumerate((name, s) for name, selectors in wanted.items() for s in selectors)}
     rows = tree
-    for i, s in enumerate(selectors):
-        rows = pages.marked(rows, (s,), f"__m{i}")
-    marks = items.select("page_id", "pos", F.lit(True).alias("__item"))
-    rows = rows.join(marks, ["page_id", "pos"], "left")
-    found = [F.last(F.when(F.col(f"__m{i}"), F.struct("pos", "last", "attrs")), ignorenulls=True).over(back) for i in range(len(selectors))]
-    rows = rows.withColumns({f"__f{i}": f for i, f in enumerate(found)}).where("__item")
-    hit = F.coalesce(*[F.when((F.col(f"__f{i}.pos") <= F.col("last")) & (F.col(f"__f{i}.pos") >= F.col("pos")), F.col(f"__f{i}")) for i in range(len(selectors))])
-    return rows.select("page_id", F.col("pos").alias("item"), hit.alias(name)).where(F.col(name).isNotNull())
+    for (_, s), m in marks.items():
+        rows = pages.marked(rows, (s,), m)
+    any_ = reduce(Column.__or__, [F.col(m) for m in marks.values()])
+    rows = rows.where(any_).select("page_id", "pos", "last", "attrs", *marks.values(), F.lit(False).alias("__item"))
+    heads = items.select("page_id", "pos", "last", F.lit(True).alias("__item"))
+    both = rows.unionByName(heads, allowMissingColumns=True)
+    back = Window.partitionBy("page_id").orderBy(F.desc("pos"), "__item").rowsBetween(Window.unboundedPreceding, 0)  # an item comes after its own element
+    both = both.withColumns({f"__f{m}": F.last(F.when(F.col(m), F.struct("pos", "last", "attrs")), ignorenulls=True).over(back) for m in marks.values()}).where("__item")
+    hit = lambda name: F.coalesce(*[F.when(F.col(f"__f{m}.pos") <= F.col("last"), F.col(f"__f{m}")) for (n, _), m in marks.items() if n == name])
+    return both.select("page_id", F.col("pos").alias("item"), *[hit(name).alias(name) for name in wanted])
 
 
 def _texts(tree: DataFrame, found: DataFrame, name: str) -> DataFrame:
@@ -104,20 +108,24 @@ def comments(tree: DataFrame, dialect: Dialect, addresses: DataFrame, most: int)
         rank = F.coalesce(rank, F.when(F.col(f"__k{i}"), i))
     items = scope.withColumn("rank", rank).where("rank is not null").withColumn("best", F.min("rank").over(Window.partitionBy("page_id"))).where("rank = best")
     items = items.withColumn("position", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("position") <= most).select("page_id", "pos", "last", "position", "attrs")
-    told = lambda selectors, name: _texts(tree, _first_of(tree, items, selectors, name), name)
+    items = scratch.table(items, "comment-items")
+    wanted = {f"author{i}": (s,) for i, s in enumerate(dialect.author)} | {"time": dialect.time, "body": dialect.body} | {"link": (dialect.link[1],) if dialect.link[0] != "own" else ()}
+    first = scratch.table(_first_of(tree, items, {k: s for k, s in wanted.items() if s}), "comment-parts")
+    of = lambda part, name: first.where(F.col(part).isNotNull()).select("page_id", "item", F.col(part).alias(name))
+    told = lambda part, name: _texts(tree, of(part, name), name)
     rows = items.join(addresses, "page_id").withColumnRenamed("pos", "item").withColumnRenamed("attrs", "own")
     # of several kinds of authors the first that says something short enough
-    names = [told((s,), "author").select("page_id", "item", F.when((F.col("author") != "") & (F.length("author") <= dialect.longest_author), F.col("author")).alias(f"author{i}")) for i, s in enumerate(dialect.author)]
+    names = [told(f"author{i}", "author").select("page_id", "item", F.when((F.col("author") != "") & (F.length("author") <= dialect.longest_author), F.col("author")).alias(f"author{i}")) for i in range(len(dialect.author))]
     for n in names:
         rows = rows.join(n, ["page_id", "item"], "left")
     rows = rows.withColumn("author", F.coalesce(*[F.col(f"author{i}") for i in range(len(names))], F.lit(UNKNOWN))).drop(*[f"author{i}" for i in range(len(names))])
     if dialect.time:
-        times = told(dialect.time, "time")
+        times = told("time", "time")
         given = F.nullif(text.strip(F.col("time_attrs")[dialect.time_attr]), F.lit("")) if dialect.time_attr else F.lit(None)
         rows = rows.join(times.select("page_id", "item", F.coalesce(given, F.col("time")).alias("time")), ["page_id", "item"], "left")
     else:
         rows = rows.withColumn("time", F.lit(None).cast("string"))
-    bodies = _first_of(tree, items, dialect.body, "body")
+    bodies = of("body", "body")
     if dialect.title_only:
         body = _texts(tree, bodies, "body").select("page_id", "item", F.concat(F.lit("<p>"), text.escape_html(F.coalesce("body", F.lit(""))), F.lit("</p>")).alias("body"))
     else:
@@ -125,12 +133,12 @@ def comments(tree: DataFrame, dialect: Dialect, addresses: DataFrame, most: int)
         html = inner_html(pages.clean_notes(tree), at.select("page_id", F.col("head").alias("pos"), "last").distinct(), dialect.whole)
         body = at.join(html, ["page_id", "head"]).where(text.strip(F.col("html")) != "").select("page_id", "item", F.col("html").alias("body"))
     rows = rows.join(body, ["page_id", "item"])
-    kind, selector = dialect.link
+    kind = dialect.link[0]
     if kind == "own":
         named = F.coalesce(F.nullif(F.col("own")["id"], F.lit("")), F.when(F.lit(not dialect.thread), F.concat(F.lit("comment-"), (F.col("position") - 1).cast("string"))).otherwise(F.lit("comments")))
         rows = rows.withColumn("url", F.concat("base", F.lit("#"), named))
     else:
-        linked = _first_of(tree, items, (selector,), "link").select("page_id", "item", F.col("link.attrs").alias("link"))
+        linked = of("link", "link").select("page_id", "item", F.col("link.attrs").alias("link"))
         rows = rows.join(linked, ["page_id", "item"], "left")
         url = pages.resolve(F.coalesce(F.col("link")["href"], F.lit("")), F.lit(dialect.base)) if kind == "href" else F.concat("base", F.lit("#"), F.coalesce(F.nullif(F.col("link")["id"], F.lit("")), F.lit("comments")))
         rows = rows.withColumn("url", url)

@@ -25,7 +25,7 @@ def _each(one: Callable[[Column], Column], most: int = 5) -> Column:
 
 
 def _tree(c: Catalog, html: Column) -> DataFrame:
-    return pages.nodes(c.spread("customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")))
+    return pages.nodes(c.spread("customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")), within=False)
 
 
 def _bases(c: Catalog) -> DataFrame:

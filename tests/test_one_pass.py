@@ -2,7 +2,7 @@
 
 from sedgeline.catalog import Catalog
 from sedgeline.functions import markup
-from sedgeline.operators import media, pages
+from sedgeline.operators import media, pages, threads
 from sedgeline.plans import built
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +33,12 @@ def test_notes_need_no_way_around_their_nodes(spark, monkeypatch):
     monkeypatch.setattr(markup, "batches_of", lambda tags, within=True: asked.append(within) or real(tags, within))
     plan = plan_of(built.page_notes(Catalog(spark, SF)))
     assert asked == [False] and plan.count("Exchange hashpartitioning(page_id") == 1
+
+
+def test_parts_of_comments_are_found_in_one_pass(spark, monkeypatch):
+    calls, real = [], threads._first_of
+    monkeypatch.setattr(threads, "_first_of", lambda *a: calls.append(1) or real(*a))
+    html = '<div class="posting" id="a"><strong>me</strong><p>old</p><div class="text">said</div></div><div class="posting"><p>only</p></div><div class="posting"><i>nothing</i></div><p>after</p>'
+    tree = pages.nodes(spark.createDataFrame([(1, html)], "page_id long, html string"), within=False)
+    got = threads.comments(tree, threads.DIALECTS["heise"], spark.createDataFrame([(1, "http://h/")], "page_id long, base string"), 5).collect()
+    assert sorted((r.position, r.author, r.body) for r in got) == [(1, "me", "<div>said</div>"), (2, "Unknown", "<p>only</p>")] and len(calls) == 1
