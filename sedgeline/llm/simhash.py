@@ -35,11 +35,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgeline.llm import scratch
@@ -269,7 +270,8 @@ def _late(texts: DataFrame, comps: DataFrame, shingle: int, sampled: int, freque
     They only order the shingles: see :func:`_first`."""
     tokens = _first(texts.where(F.pmod(F.xxhash64("rid"), F.lit(sampled)) == 0), shingle, 0.0, np.zeros(0, np.uint64))
     found = tokens.join(comps, "rid").groupBy("token").agg(F.count_distinct("comp").alias("n")).where(F.col("n") >= frequent)
-    return np.sort(found.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column(0).to_numpy().view(np.uint64))
+    most = scratch.table(found.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token"), "near-late")
+    return np.sort(most.toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def _meeting(texts: DataFrame, comps: DataFrame, shingle: int, similarity: float, sampled: int = SAMPLED, frequent: int = FREQUENT) -> DataFrame:
@@ -282,25 +284,40 @@ def _meeting(texts: DataFrame, comps: DataFrame, shingle: int, similarity: float
     shared = scratch.table(tokens.join(several, "token").join(comps, "rid"), "near-shared").select("token", "rid", "size", "place", "comp")
     mixed = shared.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
     shared = scratch.table(shared.join(mixed, "token"), "near-mixed")
-    met = _met(shared.select("token", "comp").distinct()).distinct()
+    groups = shared.groupBy("token", "comp").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    met = scratch.table(_met(groups, similarity).distinct(), "near-met")
     items = F.array_sort(F.collect_list(F.struct("place", "token")))
     kept = scratch.table(shared.groupBy("comp", "rid", "size").agg(items.alias("items")), "near-first")
     sides = [kept.select(*[F.col(n).alias(f"{c}_{n}") for n in ("comp", "rid", "size", "items")]) for c in "ab"]
-    needed = (F.col("a_size") + F.col("b_size")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    needed = _needed("a_size", "b_size", similarity)
     early = lambda c: F.transform(F.filter(f"{c}_items", lambda x: F.col(f"{c}_size") - x["place"] >= needed - (MEET - 1)), lambda x: x["token"])
     n = F.size(F.array_intersect(early("a"), early("b")))
     far = F.least("a_size", "b_size") < needed  # too unlike in size
-    pairs = met.join(sides[0], "a_comp").join(sides[1], "b_comp").where(~far & (n >= F.least(F.lit(MEET), F.greatest(needed, F.lit(1)))))
-    return pairs.select(F.least("a_rid", "b_rid").alias("a"), F.greatest("a_rid", "b_rid").alias("b"))
+    # some pairs at a time, about as many as there are texts, as the texts' first shingles are shuffled along with each
+    parts, found = max(1, -(-met.count() // max(1, kept.count()))), []
+    for i in range(parts):
+        some = met.where(F.pmod(F.xxhash64("a_comp", "b_comp"), F.lit(parts)) == i)
+        pairs = some.join(sides[0], "a_comp").join(sides[1], "b_comp").where(~far & (n >= F.least(F.lit(MEET), F.greatest(needed, F.lit(1)))))
+        found.append(scratch.table(pairs.select(F.least("a_rid", "b_rid").alias("a"), F.greatest("a_rid", "b_rid").alias("b")), "near-pairs"))
+    return reduce(DataFrame.unionByName, found)
 
 
-def _met(groups: DataFrame) -> DataFrame:
+def _needed(a: str, b: str, similarity: float) -> Column:
+    """Shared shingles that sets of these sizes need."""
+    return (F.col(a) + F.col(b)) * F.lit(similarity / (1 + similarity)) - 1e-6
+
+
+def _met(groups: DataFrame, similarity: float = 0.0) -> DataFrame:
     """Pairs ``(a_comp, b_comp)`` with a common ``token`` in ``token, comp``: the first that two have in common gives their
-    pair, and a later one does only if there is none among the ``BEFORE`` that either has just before it."""
-    before = Window.partitionBy("comp").orderBy("token").rowsBetween(-BEFORE, -1)
-    known = scratch.table(groups.withColumn("before", F.collect_list("token").over(before)), "near-groups")
-    a, b = (known.select("token", F.col("comp").alias(f"{c}_comp"), F.col("before").alias(f"{c}_before")) for c in "ab")
-    return a.join(b, (a["token"] == b["token"]) & (F.col("a_comp") < F.col("b_comp")) & ~F.arrays_overlap("a_before", "b_before")).select("a_comp", "b_comp")
+    pair, and a later one does only if there is none among the ``BEFORE`` that either has just before it.  With a similarity,
+    components all of whose sizes (``least`` to ``most``) are too unlike give none."""
+    groups = groups if similarity else groups.withColumns({"least": F.lit(0), "most": F.lit(0)})
+    before, every = Window.partitionBy("comp").orderBy("token").rowsBetween(-BEFORE, -1), Window.partitionBy("comp")
+    sized = groups.select("token", "comp", F.collect_list("token").over(before).alias("before"), F.min("least").over(every).alias("least"), F.max("most").over(every).alias("most"))
+    known = scratch.table(sized, "near-groups")
+    a, b = (known.select("token", *[F.col(n).alias(f"{c}_{n}") for n in ("comp", "before", "least", "most")]) for c in "ab")
+    like = (F.col("a_most") >= _needed("a_most", "b_least", similarity)) & (F.col("b_most") >= _needed("b_most", "a_least", similarity))
+    return a.join(b, (a["token"] == b["token"]) & (F.col("a_comp") < F.col("b_comp")) & like & ~F.arrays_overlap("a_before", "b_before")).select("a_comp", "b_comp")
 
 
 def _axes_of(words: np.ndarray) -> np.ndarray:
@@ -343,7 +360,10 @@ def similar_classes(texts: DataFrame, shingle: int = 5, similarity: float = 0.8,
         links = links.unionByName(scratch.table(_verified(scratch.table(pairs, "near-pairs"), texts, shingle, similarity), "near-links"))
         found = components(links.toDF("u", "v")).withColumnRenamed("node", "rid")
         now = scratch.table(nodes.join(found, "rid", "left").select("rid", "fp", F.coalesce("component", "rid").alias("comp")), "near-nodes")
-    rest = scratch.table(_meeting(texts, now.select("rid", "comp"), shingle, similarity, **order), "near-pairs")
+    with scratch.step(texts.sparkSession, "meeting") as path:
+        found = _meeting(texts, now.select("rid", "comp"), shingle, similarity, **order)
+    rest = scratch.table(found, "near-pairs")
+    scratch.drop(texts.sparkSession, path)
     return components(links.unionByName(scratch.table(_verified(rest, texts, shingle, similarity), "near-links")).toDF("u", "v"))
 
 

@@ -16,6 +16,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _now = threading.local()
 
 
@@ -63,11 +64,24 @@ def _delete(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each query go as it ends, not when the driver happens to collect its plan."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet and read back: computed once, whatever executors are lost later."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet and read back: computed once, whatever executors are lost later.  Its shuffle files go at
+    once, as nothing reads them again."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -141,3 +141,18 @@ def test_meeting_pairs_are_those_that_share_enough_of_their_first_shingles(spark
     sets = {i: shingles(t) for i, t in rows}
     similar = {(i, j) for j in sets for i in range(j) if i % 60 != j % 60 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert len(made) == len(set(made)) and similar <= set(made) and all(a < b and a % 60 != b % 60 for a, b in made)
+
+
+def test_components_of_unlike_sizes_do_not_meet(spark):
+    rng, rows, sizes = random.Random(15), [], {}
+    for c in range(90):
+        least = rng.randrange(10, 200)
+        sizes[c] = (least, least + rng.choice((0, 0, 30)))
+        rows += [(t, c, *sizes[c]) for t in rng.sample(range(40), 20)]
+    held = {}
+    for t, c, *_ in rows:
+        held.setdefault(c, set()).add(t)
+    like = lambda x, y: any(10 * min(i, j) >= 8 * max(i, j) for i in range(x[0], x[1] + 1) for j in range(y[0], y[1] + 1))
+    made = {tuple(r) for r in simhash._met(spark.createDataFrame(rows, "token long, comp long, least int, most int"), 0.8).collect()}
+    common = {(a, b) for a in held for b in held if a < b and held[a] & held[b]}
+    assert made == {(a, b) for a, b in common if like(sizes[a], sizes[b])} != common
