@@ -60,7 +60,7 @@ def inner_html(tree: DataFrame, heads: DataFrame, whole: bool = True) -> DataFra
     rows = pages.below(tree, heads)
     marks = heads.select("page_id", "pos", F.struct("pos", "last").alias("__head"))
     head = F.last("__head", ignorenulls=True).over(_along())
-    rows = rows.join(marks, ["page_id", "pos"], "left").withColumn("head", head).where("head is not null")
+    rows = rows.join(pages.shuffled(marks), ["page_id", "pos"], "left").withColumn("head", head).where("head is not null")
     rows = rows if whole else rows.where(F.col("pos") != F.col("head.pos"))
     element = ~F.startswith("tag", F.lit("#"))
     named = F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), text.escape_attr(e["value"]), F.lit('"'))), "")
@@ -91,12 +91,12 @@ def _first_of(tree: DataFrame, items: DataFrame, wanted: dict[str, tuple[str, ..
 def _texts(tree: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """``page_id, item, name``: trimmed text of the found elements, the parts of a time joined by blanks."""
     heads = found.select("page_id", F.col(f"{name}.pos").alias("pos"), F.col(f"{name}.last").alias("last")).distinct()
-    rows = pages.below(tree, heads).join(heads.select("page_id", "pos", F.lit(True).alias("__is")), ["page_id", "pos"], "left")
+    rows = pages.below(tree, heads).join(pages.shuffled(heads.select("page_id", "pos", F.lit(True).alias("__is"))), ["page_id", "pos"], "left")
     rows = rows.withColumn("head", F.last(F.when(F.col("__is"), F.struct("pos", "last")), ignorenulls=True).over(_along())).where("tag = '#text' AND head.last >= pos")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
     said = F.array_join(F.filter(F.transform(ordered, text.strip), lambda x: x != ""), " ") if name == "time" else text.strip(F.array_join(ordered, ""))
     told = rows.groupBy("page_id", F.col("head.pos").alias("at")).agg(said.alias("said"))  # of one element
-    return found.select("page_id", "item", F.col(f"{name}.pos").alias("at"), F.col(f"{name}.attrs").alias("attrs")).join(told, ["page_id", "at"], "left").select("page_id", "item", F.col("said").alias(name), F.col("attrs").alias(f"{name}_attrs"))
+    return found.select("page_id", "item", F.col(f"{name}.pos").alias("at"), F.col(f"{name}.attrs").alias("attrs")).join(pages.shuffled(told), ["page_id", "at"], "left").select("page_id", "item", F.col("said").alias(name), F.col("attrs").alias(f"{name}_attrs"))
 
 
 def comments(tree: DataFrame, dialect: Dialect, addresses: DataFrame, most: int) -> DataFrame:
@@ -113,16 +113,16 @@ def comments(tree: DataFrame, dialect: Dialect, addresses: DataFrame, most: int)
     first = scratch.table(_first_of(tree, items, {k: s for k, s in wanted.items() if s}), "comment-parts")
     of = lambda part, name: first.where(F.col(part).isNotNull()).select("page_id", "item", F.col(part).alias(name))
     told = lambda part, name: _texts(tree, of(part, name), name)
-    rows = items.join(addresses, "page_id").withColumnRenamed("pos", "item").withColumnRenamed("attrs", "own")
+    rows = items.join(pages.shuffled(addresses), "page_id").withColumnRenamed("pos", "item").withColumnRenamed("attrs", "own")
     # of several kinds of authors the first that says something short enough
     names = [told(f"author{i}", "author").select("page_id", "item", F.when((F.col("author") != "") & (F.length("author") <= dialect.longest_author), F.col("author")).alias(f"author{i}")) for i in range(len(dialect.author))]
     for n in names:
-        rows = rows.join(n, ["page_id", "item"], "left")
+        rows = rows.join(pages.shuffled(n), ["page_id", "item"], "left")
     rows = rows.withColumn("author", F.coalesce(*[F.col(f"author{i}") for i in range(len(names))], F.lit(UNKNOWN))).drop(*[f"author{i}" for i in range(len(names))])
     if dialect.time:
         times = told("time", "time")
         given = F.nullif(text.strip(F.col("time_attrs")[dialect.time_attr]), F.lit("")) if dialect.time_attr else F.lit(None)
-        rows = rows.join(times.select("page_id", "item", F.coalesce(given, F.col("time")).alias("time")), ["page_id", "item"], "left")
+        rows = rows.join(pages.shuffled(times.select("page_id", "item", F.coalesce(given, F.col("time")).alias("time"))), ["page_id", "item"], "left")
     else:
         rows = rows.withColumn("time", F.lit(None).cast("string"))
     bodies = of("body", "body")
@@ -131,15 +131,15 @@ def comments(tree: DataFrame, dialect: Dialect, addresses: DataFrame, most: int)
     else:
         at = bodies.select("page_id", "item", F.col("body.pos").alias("head"), F.col("body.last").alias("last"))
         html = inner_html(pages.clean_notes(tree), at.select("page_id", F.col("head").alias("pos"), "last").distinct(), dialect.whole)
-        body = at.join(html, ["page_id", "head"]).where(text.strip(F.col("html")) != "").select("page_id", "item", F.col("html").alias("body"))
-    rows = rows.join(body, ["page_id", "item"])
+        body = at.join(pages.shuffled(html), ["page_id", "head"]).where(text.strip(F.col("html")) != "").select("page_id", "item", F.col("html").alias("body"))
+    rows = rows.join(pages.shuffled(body), ["page_id", "item"])
     kind = dialect.link[0]
     if kind == "own":
         named = F.coalesce(F.nullif(F.col("own")["id"], F.lit("")), F.when(F.lit(not dialect.thread), F.concat(F.lit("comment-"), (F.col("position") - 1).cast("string"))).otherwise(F.lit("comments")))
         rows = rows.withColumn("url", F.concat("base", F.lit("#"), named))
     else:
         linked = of("link", "link").select("page_id", "item", F.col("link.attrs").alias("link"))
-        rows = rows.join(linked, ["page_id", "item"], "left")
+        rows = rows.join(pages.shuffled(linked), ["page_id", "item"], "left")
         url = pages.resolve(F.coalesce(F.col("link")["href"], F.lit("")), F.lit(dialect.base)) if kind == "href" else F.concat("base", F.lit("#"), F.coalesce(F.nullif(F.col("link")["id"], F.lit("")), F.lit("comments")))
         rows = rows.withColumn("url", url)
     return rows.select("page_id", "position", "author", "time", "url", "body")
@@ -153,7 +153,7 @@ def post_comments(rows: DataFrame, most: int) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("page_id").orderBy(F.coalesce("score", F.lit(0)).desc(), "id"))
     kept = kept.withColumn("position", at).where(F.col("position") <= most)
     html = markdown.to_html(kept.select(F.struct("page_id", "id").alias("key"), "body"), "key", "body").select("key.page_id", "key.id", "html")
-    return kept.drop("body").join(html, ["page_id", "id"]).select("page_id", "position", "author", F.lit(None).cast("string").alias("time"), F.concat(F.lit("https://reddit.com"), "permalink").alias("url"), F.col("html").alias("body"))
+    return kept.drop("body").join(pages.shuffled(html), ["page_id", "id"]).select("page_id", "position", "author", F.lit(None).cast("string").alias("time"), F.concat(F.lit("https://reddit.com"), "permalink").alias("url"), F.col("html").alias("body"))
 
 
 def quoted(found: DataFrame, heading: Column | None = None) -> DataFrame:

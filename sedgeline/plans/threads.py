@@ -50,7 +50,7 @@ def comments_scroll(c: Catalog) -> DataFrame:
     )
     html = F.concat(F.lit('<body><div class="MtnComment"><div class="MtnCommentText">outside</div></div><div class="MtnCommentScroll">'), _each(one), F.lit("</div></body>"))
     found = threads.comments(_tree(c, html), threads.DIALECTS["mactechnews"], _bases(c), 3)
-    return threads.quoted(found.join(_bases(c), "page_id"), F.concat("base", F.lit("#comments")))
+    return threads.quoted(found.join(pages.shuffled(_bases(c)), "page_id"), F.concat("base", F.lit("#comments")))
 
 
 @query("comments_nested", _sql(_QUOTE.format(author="'Name ' || i", time="' (' || CASE WHEN i = 2 THEN 'yesterday' ELSE 'day ' || i END || ')'", url="'https://site.example/' || k || '#r' || i", body="'<p>Reply ' || i || '</p>'"), "NOT (i = 3 AND k % 2 = 0)"), views=False)
@@ -62,7 +62,7 @@ def comments_nested(c: Catalog) -> DataFrame:
     )
     ends = F.repeat(F.lit("</div></div>"), (F.col("c_custkey") % 5).cast("int"))
     found = threads.comments(_tree(c, F.concat(F.lit('<div class="wpd-thread-list">'), _each(one), ends, F.lit("</div>"))), threads.DIALECTS["mein_mmo"], _bases(c), 3)
-    return threads.quoted(found.join(_bases(c), "page_id"), F.concat("base", F.lit("#comments")))
+    return threads.quoted(found.join(pages.shuffled(_bases(c)), "page_id"), F.concat("base", F.lit("#comments")))
 
 
 @query("comments_posts", """

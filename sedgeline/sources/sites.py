@@ -88,7 +88,7 @@ def site_articles(fetched: DataFrame, site: Site) -> DataFrame:
     tree = pages.nodes(fetched, stored=False)
     inside = pages.inside_selected(tree.where("tag <> '#comment'"), site.content, site.first_only)
     body = pages.plain_text(pages.blocks(pages.without_selected(inside, (*pages.NEVER, *site.remove))))
-    made = fetched.select("page_id", "summary").join(pages.generic_content(body), "page_id", "left").select("page_id", F.coalesce("plain_text", text.strip(F.col("summary"))).alias("plain_text"))
+    made = fetched.select("page_id", "summary").join(pages.shuffled(pages.generic_content(body)), "page_id", "left").select("page_id", F.coalesce("plain_text", text.strip(F.col("summary"))).alias("plain_text"))
     for term in site.skip_body:
         made = made.where(~F.contains(F.lower(F.coalesce("plain_text", F.lit(""))), F.lit(term)))
     return made
@@ -114,7 +114,7 @@ def site_documents(fetched: DataFrame, site: Site, forums: DataFrame | None = No
     body = content_html(shown, site)
     if forums is not None:
         leads = scratch.table(pages.discussion_link(tree, bases), "discussions")
-        linked = leads.join(forums.withColumnRenamed("html", "forum"), "url").select("page_id", F.col("url").alias("forum_url"), "forum")
+        linked = leads.join(pages.shuffled(forums.withColumnRenamed("html", "forum")), "url").select("page_id", F.col("url").alias("forum_url"), "forum")
         talk, titles = pages.nodes(linked, html="forum"), linked.select("page_id", "forum_url")
     else:
         talk, titles = tree, bases.select("page_id", F.concat("base", F.lit("#comments")).alias("forum_url"))
@@ -125,10 +125,10 @@ def site_documents(fetched: DataFrame, site: Site, forums: DataFrame | None = No
             said = found
         else:
             said = scratch.table(said, "comments")
-            said = said.unionByName(found.join(said.select("page_id").distinct(), "page_id", "left_anti"))
-    out = fetched.select("page_id", "title", "summary").join(body.withColumnRenamed("html", "content"), "page_id", "left")
-    told = threads.quoted(said.join(titles, "page_id"), F.col("forum_url")).withColumnRenamed("html", "comments") if said is not None else fetched.select("page_id", F.lit(None).cast("string").alias("comments")).limit(0)
-    out = out.join(told, "page_id", "left")
-    out = out.join(headers, "page_id", "left") if headers is not None else out.withColumn("image", F.lit(None).cast("string"))
+            said = said.unionByName(found.join(pages.shuffled(said.select("page_id").distinct()), "page_id", "left_anti"))
+    out = fetched.select("page_id", "title", "summary").join(pages.shuffled(body.withColumnRenamed("html", "content")), "page_id", "left")
+    told = threads.quoted(said.join(pages.shuffled(titles), "page_id"), F.col("forum_url")).withColumnRenamed("html", "comments") if said is not None else fetched.select("page_id", F.lit(None).cast("string").alias("comments")).limit(0)
+    out = out.join(pages.shuffled(told), "page_id", "left")
+    out = out.join(pages.shuffled(headers), "page_id", "left") if headers is not None else out.withColumn("image", F.lit(None).cast("string"))
     content = F.when(text.strip(F.coalesce("content", F.lit(""))) != "", F.col("content")).otherwise(F.col("summary"))
     return out.select("page_id", pages.article_html(content, pages.header_html(F.col("image"), F.col("title")), F.col("comments")).alias("html"))
