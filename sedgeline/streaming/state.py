@@ -1,6 +1,7 @@
 """Keyed state over event streams.
 
-Each processor keeps a few values for a key, so state grows with keys and not with events.  The batch functions of
+Each processor keeps a few values for a key (of many keys at once where they are dealt to buckets), so state grows with keys
+and not with events.  The batch functions of
 :mod:`sedgeline.operators.control` give the same results over a finished table.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 JOB = "job_key long, status string, attempts int, run_at timestamp, events long"
 METER = "user_id long, request_id long, outcome string"
 BATCH = "key long, opened timestamp, events long"
+BUCKETS = 256  # of keys whose open batches are one row of state
 
 
 def _ordered(rows: Iterator[pd.DataFrame], columns: list[str], by: int) -> pd.DataFrame:
@@ -94,45 +96,70 @@ class Meter(StatefulProcessor):
 
 
 class Debounce(StatefulProcessor):
-    """Batches that a key's first event opens and that close after a fixed time, by event-time timer."""
+    """Batches that a key's first event opens and that close after a fixed time, by event-time timer.
+
+    Keys are dealt to buckets, and a bucket has one row of state with its open batches and one timer, for the first that
+    ends: a call for each bucket instead of one for each key and batch, whose cost would be most of the work."""
 
     def __init__(self, seconds: int):
         self.millis = seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "opened long, events long")
+        self.open = handle.getValueState("open", "keys array<long>, opened array<long>, events array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        opened, events = self.open.get() if self.open.exists() else (None, 0)
-        times = np.sort(np.concatenate([r["at"].to_numpy().astype("datetime64[s]").astype(np.int64) for r in rows])) * 1000
-        at = 0
-        while at < len(times):  # a turn for each batch
-            if opened is not None and times[at] >= opened + self.millis:
-                yield self._row(key, opened, events)
-                opened, events = None, 0
-            if opened is None:
-                opened = int(times[at])
-                self.handle.registerTimer(opened + self.millis)
-            upto = int(np.searchsorted(times, opened + self.millis, side="left"))
-            events, at = events + upto - at, upto
-        if opened is not None:
-            self.open.update((opened, events))
+        still = self._still_open()
+        parts = [(r["none"].to_numpy(np.bool_), r["key"].to_numpy(np.int64), r["at"].to_numpy().astype("datetime64[s]").astype(np.int64)) for r in rows]
+        none, keys, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((times, keys, none))
+        none, keys, times = none[order], keys[order], times[order] * 1000
+        cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (none[1:] != none[:-1])))).tolist()
+        closed = []
+        for i, j in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            k = None if none[i] else int(keys[i])
+            opened, events = still.get(k, (None, 0))
+            own, at = times[i:j], 0
+            while at < len(own):  # a turn for each batch
+                if opened is not None and own[at] >= opened + self.millis:
+                    closed.append((k, opened, events))
+                    opened, events = None, 0
+                if opened is None:
+                    opened = int(own[at])
+                upto = int(np.searchsorted(own, opened + self.millis, side="left"))
+                events, at = events + upto - at, upto
+            still[k] = (opened, events)
+        self._keep(still)
+        if closed:
+            yield _batches(closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if self.open.exists():
-            opened, events = self.open.get()
-            if opened + self.millis <= expiredTimerInfo.getExpiryTimeInMs():
-                self.open.clear()
-                yield self._row(key, opened, events)
-
-    def _row(self, key, opened: int, events: int) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "opened": [pd.Timestamp(opened, unit="ms")], "events": [events]})
+        still, now = self._still_open(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        closed = [(k, *batch) for k, batch in still.items() if batch[0] + self.millis <= now]
+        if closed:
+            self._keep({k: batch for k, batch in still.items() if batch[0] + self.millis > now})
+            yield _batches(closed)
+
+    def _still_open(self) -> dict[int | None, tuple[int, int]]:
+        keys, opened, events = self.open.get() if self.open.exists() else ((), (), ())
+        return {k: (o, n) for k, o, n in zip(keys, opened, events, strict=True)}
+
+    def _keep(self, still: dict[int | None, tuple[int, int]]) -> None:
+        if not still:
+            self.open.clear()
+            return
+        self.open.update((list(still), [o for o, _ in still.values()], [n for _, n in still.values()]))
+        self.handle.registerTimer(min(o for o, _ in still.values()) + self.millis)
 
     def close(self) -> None:
         pass
 
 
+def _batches(closed: list[tuple[int | None, int, int]]) -> pd.DataFrame:
+    keys, opened, events = zip(*closed, strict=True)
+    return pd.DataFrame({"key": pd.array(keys, "Int64"), "opened": pd.to_datetime(opened, unit="ms"), "events": events})
+
+
 def _keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
     return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode=time_mode)
 
@@ -146,9 +173,13 @@ def metered(requests: DataFrame, per_day: int, per_month: int) -> DataFrame:
     return _keyed(requests, "user_id", Meter(per_day, per_month), METER)
 
 
-def debounced(events: DataFrame, seconds: int, delay: str = "1 hour") -> DataFrame:
-    """From ``key, at``: closed batches.  Batches close when the watermark passes their end."""
-    return _keyed(events.withWatermark("at", delay), "key", Debounce(seconds), BATCH, "EventTime")
+def debounced(events: DataFrame, seconds: int, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
+    """From ``key, at``: closed batches.  Batches close when the watermark passes their end.  Events without a time count
+    in none."""
+    rows = events.withWatermark("at", delay).where("at IS NOT NULL")
+    key = F.col("key").cast("long")
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), key.isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("key"), "at")
+    return _keyed(dealt, "bucket", Debounce(seconds), BATCH, "EventTime")
 
 
 def windowed(events: DataFrame, key: str, at: str, size: str, late: str, slide: str | None = None) -> DataFrame:
