@@ -1,8 +1,7 @@
 """Trees of blocks: stored rows with parents, typed rebuild, replacement of an article's tree, and the wire document.
 
-A row learns its way from the root by doubling: in each round it takes over what the ancestor that it knows has learned, so
-a tree takes the logarithm of its depth in rounds, and only rows that aren't done yet are written again.  Sorted by these
-ways, an article's rows are in the order of its document, so the nested JSON is one pass: a row opens itself, and closes
+A row learns its way from the root among the rows of its article, level by level; where a parent is in another article, by
+doubling: in each round it takes over what the ancestor that it knows has learned.  Sorted by these ways, an article's rows are in the order of its document, so the nested JSON is one pass: a row opens itself, and closes
 those of its ancestors that the next row no longer lies in.
 
 Defined results: orphans, rows of unknown kinds and rows below a block that holds none are left out with all below them, and
@@ -17,9 +16,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from sedgeline import scratch
 from sedgeline.operators.blocks import RUN
@@ -49,7 +50,85 @@ def stored(blocks: DataFrame) -> DataFrame:
 
 def with_ways(rows: DataFrame, **learned: Column) -> DataFrame:
     """Rows that hang together from a root (no ``parent_id``) down, with an array for each of ``learned``: its values from
-    the root to the row itself."""
+    the root to the row itself.
+
+    Rows are dealt by ``article_id``, so that a row's ancestors are at hand, and written once.  Only if a parent is in
+    another article than its row, or an article has two rows of one id, ways are learned by joins."""
+    told = rows.where("block_id is not null").select(*rows.columns, *[c.alias(n) for n, c in learned.items()])
+    fields = [StructField(f.name, ArrayType(f.dataType), True) if f.name in learned else f for f in told.schema.fields]
+    schema = StructType([StructField(f.name, f.dataType, True) for f in fields] + [StructField("__state", IntegerType(), True)])
+    names, spark = list(learned), rows.sparkSession
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_articles(batches):
+            yield from _walked(table, names).to_batches()
+
+    with scratch.step(spark, "ways") as path:
+        out = scratch.table(told.repartition("article_id").sortWithinPartitions("article_id").mapInArrow(walked, schema), "tree")
+    states = {r["__state"] for r in out.select("__state").distinct().collect()}
+    lost = out.where(F.col("__state") == LOST).select(F.col("parent_id").alias("block_id"))
+    if TWICE in states or (LOST in states and not out.select("block_id").join(lost.hint("merge"), "block_id", "left_semi").isEmpty()):
+        scratch.drop(spark, path)
+        return _ways_by_joins(rows, **learned)
+    if CIRCLE in states:
+        raise ValueError("blocks that are their own ancestors")
+    return out.where(F.col("__state") == ROOTED).drop("__state")
+
+
+#: What becomes of a row: it hangs from a root, has no parent, hangs from such a row, from itself, or its id is not its own.
+ROOTED, LOST, BELOW_LOST, CIRCLE, TWICE = range(5)
+
+
+def _whole_articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by article, those of one article together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        first, last = held[0]["article_id"][0] if held else b["article_id"][0], b["article_id"][-1]
+        if first.equals(last) and first.is_valid == last.is_valid:
+            held.append(b)
+            continue
+        codes = b["article_id"].dictionary_encode(null_encoding="encode").indices.to_numpy()
+        start = int(np.argmax(codes == codes[-1]))
+        yield pa.Table.from_batches([*held, b.slice(0, start)])
+        held = [b.slice(start)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _walked(table: pa.Table, learned: list[str]) -> pa.Table:
+    """Whole articles with the arrays of ``learned`` and ``__state``."""
+    m, coded = table.num_rows, lambda c: c.dictionary_encode(null_encoding="encode").combine_chunks().indices.to_numpy().astype(np.int64)
+    names = coded(pa.chunked_array([*table["block_id"].chunks, *table["parent_id"].chunks], table["block_id"].type))
+    article, root = coded(table["article_id"]) * (len(names) + 1), table["parent_id"].is_null().to_numpy()
+    ids, ups = article + names[:m], article + names[m:]
+    order = np.argsort(ids, kind="stable")
+    at = np.minimum(np.searchsorted(ids[order], ups), m - 1)
+    found = ~root & (ids[order][at] == ups)
+    up = np.concatenate((np.where(found, order[at], np.where(root, m, m + 1)), [m, m + 1]))  # all end in one of the last two
+    steps, end = np.concatenate((np.ones(m, np.int64), [0, 0])), up.copy()
+    for _ in range(m.bit_length() + 1):
+        steps, end = steps + steps[end], end[end]
+    state = np.select([end[:m] == m, (end[:m] == m + 1) & ~found, end[:m] == m + 1], [ROOTED, LOST, BELOW_LOST], CIRCLE).astype(np.int32)
+    twice = ids[order][1:] == ids[order][:-1]
+    state[order[1:][twice]] = TWICE
+    lengths = np.where(end[:m] == m, steps[:m], 0)
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    flat, now = np.zeros(offsets[-1], np.int64), np.flatnonzero(lengths)
+    place = offsets[1:][now] - 1
+    while len(now):  # a turn for each level
+        flat[place] = now
+        now, place = up[now], place - 1
+        now, place = now[now < m], place[now < m]
+    for name in learned:
+        values = table[name].combine_chunks().take(pa.array(flat))
+        table = table.set_column(table.column_names.index(name), name, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
+    return table.append_column("__state", pa.array(state))
+
+
+def _ways_by_joins(rows: DataFrame, **learned: Column) -> DataFrame:
+    """:func:`with_ways`, wherever a row's parent is: in each round a row takes over what the ancestor that it knows has learned."""
     rows = scratch.table(rows, "tree")
     last = rows.count().bit_length() + 1
     state = rows.select("block_id", F.col("parent_id").alias("up"), *[F.array(c).alias(n) for n, c in learned.items()])
@@ -72,7 +151,7 @@ def typed(rows: DataFrame) -> DataFrame:
     kind, holder = F.col("kind"), F.col("__above")
     block, item = kind.isin(*NAMES), kind == "list_item"
     fits = F.when(F.col("parent_id").isNull(), block).when(holder == "list", block | item).when(holder.isin("list_item", "blockquote"), block).otherwise(F.lit(False))
-    kept = rows.join(above, "parent_id", "left").where(fits).withColumn("stray", F.coalesce((holder == "list") & block, F.lit(False)))
+    kept = rows.join(above.hint("merge"), "parent_id", "left").where(fits).withColumn("stray", F.coalesce((holder == "list") & block, F.lit(False)))
     wrapped = _id(F.col("block_id"), F.lit("item"))
     own = kept.withColumns({"parent_id": F.when(F.col("stray"), wrapped).otherwise(F.col("parent_id")), "position": F.when(F.col("stray"), 0).otherwise(F.col("position"))})
     items = kept.where("stray").select("article_id", wrapped.alias("block_id"), "parent_id", "position", F.lit("list_item").alias("kind"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in _OWN])
@@ -157,7 +236,7 @@ def documents(rows: DataFrame, articles: DataFrame) -> DataFrame:
     parts = lines.select("article_id", "n", F.concat(F.when(F.col("comma"), ",").otherwise(""), _opened(), closed).alias("part"))
     told = parts.groupBy("article_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda p: p["part"]), "").alias("body"))  # one article's
     whole = F.concat(F.lit(f'{{"version":{VERSION},"blocks":['), F.coalesce("body", F.lit("")), F.lit("]}"))
-    return articles.select("article_id").distinct().join(told, "article_id", "left").select("article_id", F.lit(VERSION).alias("version"), whole.alias("document"))
+    return articles.select("article_id").distinct().join(told.hint("merge"), "article_id", "left").select("article_id", F.lit(VERSION).alias("version"), whole.alias("document"))
 
 
 def _text(x: object) -> str:

@@ -34,6 +34,15 @@ def told(c: Catalog) -> DataFrame:
     return scratch.table(trees.stored(nested(c)), "trees")
 
 
+def typed(c: Catalog) -> DataFrame:
+    """The pages' typed blocks; the table of their trees goes once the blocks' ways are stored."""
+    with scratch.step(c.spark, "told") as path:
+        rows = told(c)
+    made = trees.typed(rows)
+    scratch.drop(c.spark, path, made)
+    return made
+
+
 def articles(c: Catalog) -> DataFrame:
     return c.table("customer").select(F.col("c_custkey").alias("article_id"))
 
@@ -55,7 +64,7 @@ def nested_blocks(c: Catalog) -> DataFrame:
     """Blocks by their way from the top of the page."""
     path = F.array_join(F.transform("way", lambda w: w["position"].cast("string")), ".")
     said = F.when(F.col("kind") == "paragraph", F.array_join(F.transform("runs", lambda r: r["text"]), "")).otherwise(F.col("image_ref"))
-    return trees.typed(told(c)).select("article_id", path.alias("path"), "kind", said.alias("text"))
+    return typed(c).select("article_id", path.alias("path"), "kind", said.alias("text"))
 
 
 @query("nested_text", f"SELECT c_custkey AS page_id, 'deep ' || c_name || chr(10) || chr(10) || 'said' || CASE WHEN {LISTED} THEN chr(10) || chr(10) || 'one' ELSE '' END || chr(10) || chr(10) || 'end of page' AS plain_text FROM customer", views=False)
@@ -76,14 +85,20 @@ _DOCUMENT = f"""
 
 @query("tree_documents", f"WITH {_DOCUMENT} SELECT * FROM docs", views=False)
 def tree_documents(c: Catalog) -> DataFrame:
-    return trees.documents(trees.typed(told(c)), articles(c))
+    return trees.documents(typed(c), articles(c))
 
 
 @query("tree_round_trip", f"WITH {_ROWS}, {_DOCUMENT} SELECT article_id, document, (SELECT count(*) FROM rows_ r WHERE r.article_id = d.article_id) AS blocks FROM docs d", views=False)
 def tree_round_trip(c: Catalog) -> DataFrame:
     """Documents of the rows that documents were read into, and how many rows that were."""
-    back = scratch.table(trees.read_documents(tree_documents(c)), "trees")
-    return trees.documents(trees.typed(back), articles(c)).join(trees.block_counts(back), "article_id").select("article_id", "document", "blocks")
+    with scratch.step(c.spark, "first") as before:
+        first = tree_documents(c)
+    with scratch.step(c.spark, "read") as path:
+        back = scratch.table(trees.read_documents(first), "trees")
+    scratch.drop(c.spark, before)
+    counts, made = scratch.table(trees.block_counts(back), "counts"), trees.documents(trees.typed(back), articles(c))
+    scratch.drop(c.spark, path, made)
+    return made.join(pages.shuffled(counts), "article_id").select("article_id", "document", "blocks")
 
 
 @query("tree_replaced", f"""
