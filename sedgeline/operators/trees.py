@@ -153,9 +153,11 @@ def typed(rows: DataFrame) -> DataFrame:
     fits = F.when(F.col("parent_id").isNull(), block).when(holder == "list", block | item).when(holder.isin("list_item", "blockquote"), block).otherwise(F.lit(False))
     kept = rows.join(above.hint("merge"), "parent_id", "left").where(fits).withColumn("stray", F.coalesce((holder == "list") & block, F.lit(False)))
     wrapped = _id(F.col("block_id"), F.lit("item"))
-    own = kept.withColumns({"parent_id": F.when(F.col("stray"), wrapped).otherwise(F.col("parent_id")), "position": F.when(F.col("stray"), 0).otherwise(F.col("position"))})
-    items = kept.where("stray").select("article_id", wrapped.alias("block_id"), "parent_id", "position", F.lit("list_item").alias("kind"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in _OWN])
-    every = own.select(*_COLUMNS).unionByName(items)
+    moved = {"parent_id": F.when(F.col("stray"), wrapped).otherwise(F.col("parent_id")), "position": F.when(F.col("stray"), 0).otherwise(F.col("position"))}
+    own = F.struct(*[moved.get(c, F.col(c)).alias(c) for c in _COLUMNS])
+    item = {"article_id": F.col("article_id"), "block_id": wrapped, "parent_id": F.col("parent_id"), "position": F.col("position"), "kind": F.lit("list_item")}
+    around = F.struct(*[item.get(c, F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in _COLUMNS])
+    every = kept.select(F.inline(F.filter(F.array(own, F.when(F.col("stray"), around)), lambda x: x.isNotNull())))  # a stray with its item
     return with_ways(every, way=F.struct("position", F.xxhash64("block_id").alias("tie")), kinds=F.col("kind"))
 
 
